@@ -58,6 +58,26 @@ def discard(spark: SparkSession, *paths: str) -> None:
         fs.delete(hadoop, True)
 
 
+class Scratch:
+    """Tables of one run of an operator in the shared folder.
+
+    Unlike checkpoint() a reread table brings no constraints and statistics of the plan that made it,
+    which double with every join of an iteration until the planner drowns in them.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        df, path = stored(df, label)
+        self.paths.append(path)
+        return df
+
+    def clear(self) -> None:
+        discard(self.spark, *self.paths)
+        self.paths = []
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder, which Spark's cleaner removes when unreferenced."""
     shared_dir(df.sparkSession)

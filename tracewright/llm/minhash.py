@@ -27,13 +27,15 @@ the same text come back as often as they came. Other columns of the input don't
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, discard, slices, stored
+from .common import Scratch, checkpointed, slices
 from .components import components
 
 LAYERS, BUCKET_BITS, MANTISSA = 8, 4, 10
@@ -209,64 +211,59 @@ def _plausible(pairs: DataFrame, regs: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """A row for each row of docs(doc_id, text, ...): doc_id, n_shingles, component_id, kept."""
-    spark = docs.sparkSession
-    sk, sk_path = stored(sketches(docs, words, percent), "sketch")
-    sets = sk.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id"))
-    sets = checkpointed(sets)
+    keep = Scratch(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sk = keep.keep(sketches(docs, words, percent), "sketch")
+    sets = keep.keep(sk.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")), "sets")
     # one row for each distinct set; a doc_id that repeats with several texts keeps each of its sets
-    reps, reps_path = stored(
-        sk.withColumnRenamed("doc_id", "id").join(sets, ["fp", "id"]).dropDuplicates(["fp", "id"]).select("id", "n", "keys", "regs", "small"), "reps"
-    )
+    reps = sk.withColumnRenamed("doc_id", "id").join(sets, ["fp", "id"]).dropDuplicates(["fp", "id"]).select("id", "n", "keys", "regs", "small")
+    reps = keep.keep(reps, "reps")
     regs = reps.select("id", "n", "regs")
-    keys = reps.where("keys is not null").select("id", "n", F.explode("keys").alias("key"), F.lit(True).alias("banded")).union(_rare_keys(reps, percent))
+    banded = reps.where("keys is not null").select("id", "n", F.explode("keys").alias("key"), F.lit(True).alias("banded"))
+    keys = banded.union(_rare_keys(reps, percent))
     shared = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("other")).where("hub < other").select("key", "hub")
-    live, live_path = stored(keys.join(shared, "key").join(regs.select(F.col("id").alias("hub"), F.col("n").alias("n_hub")), "hub").select("key", "banded", "id", "n", "hub", "n_hub"), "buckets")
-    ids = live.select("id").distinct()
-    texts, texts_path = stored(
-        docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text")).join(ids, "id", "left_semi").dropDuplicates(["id"]), "texts"
-    )
-    links = tested = None
-    labels = ids.limit(0).select(F.col("id").alias("node"), F.col("id").alias("component"))
-
-    def labelled() -> DataFrame:
+    n_hub = regs.select(F.col("id").alias("hub"), F.col("n").alias("n_hub"))
+    live = keep.keep(keys.join(shared, "key").join(n_hub, "hub").select("key", "banded", "id", "n", "hub", "n_hub"), "buckets")
+    ids = live.select(F.col("id").alias("doc_id")).distinct()
+    texts = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text"))
+    texts = keep.keep(texts, "texts")
+    links, tested, labels = [], [], None
+
+    def labelled(label: str) -> DataFrame:
         """live with the component of each member, buckets of one component left out."""
         marked = live.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
         mixed = marked.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("size")).where("low < high")
-        return checkpointed(marked.join(mixed.select("key", "size"), "key"))
+        return keep.keep(marked.join(mixed.select("key", "size"), "key"), label)
 
     def tried(pairs: DataFrame) -> None:
-        nonlocal links, tested, labels
+        nonlocal labels
         near = _plausible(pairs, regs, percent)
-        if tested is not None:
-            near = near.join(tested, ["a", "b"], "left_anti")
-        near = checkpointed(near)
-        found = checkpointed(_confirmed(near, texts, words, percent))
-        links = found if links is None else links.union(found)
-        tested = near if tested is None else tested.union(near)
-        labels = checkpointed(components(links))
+        for earlier in tested:
+            near = near.join(earlier, ["a", "b"], "left_anti")
+        tested.append(keep.keep(near, "pairs"))
+        links.append(keep.keep(_confirmed(tested[-1], texts, words, percent), "links"))
+        labels = components(reduce(DataFrame.union, links), keep)
 
     # 1: each member with the least hub among its buckets
-    hubs = live.where("id <> hub")
-    tried(hubs.groupBy("id", "n").agg(F.min(F.struct("hub", "n_hub")).alias("h")).select(F.col("h.hub").alias("a"), F.col("id").alias("b"), F.col("h.n_hub").alias("n_a"), F.col("n").alias("n_b")))
+    hubs = live.where("id <> hub").groupBy("id", "n").agg(F.min(F.struct("hub", "n_hub")).alias("h"))
+    tried(hubs.select(F.col("h.hub").alias("a"), F.col("id").alias("b"), F.col("h.n_hub").alias("n_a"), F.col("n").alias("n_b")))
     # 2: each member with the hub of every bucket that still holds several components
-    rest = labelled()
-    tried(rest.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"), F.col("n_hub").alias("n_a"), F.col("n").alias("n_b")))
+    rest = labelled("rest2").where("id <> hub")
+    tried(rest.select(F.col("hub").alias("a"), F.col("id").alias("b"), F.col("n_hub").alias("n_a"), F.col("n").alias("n_b")))
     # 3: all pairs across components; in large buckets of a band those that share a second band (but
     # for one link in a million all do), while a rare shingle is enough by itself
-    rest = labelled()
+    rest = labelled("rest3")
     few = rest.where(f"size <= {LARGE} or not banded").select("key", "id", "n", "c")
     many = rest.where(f"size > {LARGE} and banded").select("key", "id", "n", "c")
-    second = many.join(rest.where("banded").select("id", F.col("key").alias("key2")), "id").where("key <> key2").select(F.xxhash64(F.least("key", "key2"), F.greatest("key", "key2")).alias("key"), "id", "n", "c").distinct()
+    second = many.join(rest.where("banded").select("id", F.col("key").alias("key2")), "id").where("key <> key2")
+    second = second.select(F.xxhash64(F.least("key", "key2"), F.greatest("key", "key2")).alias("key"), "id", "n", "c").distinct()
     cut = few.union(second)
     left = cut.select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"))
     right = cut.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"))
     tried(left.join(right, "key").where("a < b and c_a <> c_b").select("a", "b", "n_a", "n_b"))
-    result = (
-        sk.select("doc_id", "n", "fp")
-        .join(sets, "fp", "left")
-        .join(labels.withColumnRenamed("node", "id"), "id", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id", "doc_id")).alias("component_id"))
-    )
+    result = sk.select("doc_id", "n", "fp").join(sets, "fp", "left").join(labels.withColumnRenamed("node", "id"), "id", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id", "doc_id")).alias("component_id")
+    result = result.select("doc_id", F.col("n").alias("n_shingles"), component)
     result = checkpointed(result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
-    discard(spark, sk_path, reps_path, live_path, texts_path)
+    keep.clear()
     return result

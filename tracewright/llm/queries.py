@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_langid, q_minhash
+from . import q_decontam, q_langid, q_minhash, q_mixing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op3_near_dedup": q_minhash.op3_near_dedup,
     "op5_language_id": q_langid.op5_language_id,
+    "op6_decontamination": q_decontam.op6_decontamination,
+    "op9_source_mix": q_mixing.op9_source_mix,
 }
 
 ORACLES: dict[str, str] = {
     "op3_near_dedup": q_minhash.SQL,
+    "op9_source_mix": q_mixing.SQL,
 }
