@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_decontam, q_langid, q_minhash, q_mixing, q_mpeg, q_sharding
+from . import q_decontam, q_langid, q_minhash, q_mixing, q_mpeg, q_sharding, q_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ QUERIES: dict[str, Query] = {
     "op3_near_dedup": q_minhash.op3_near_dedup,
     "op5_language_id": q_langid.op5_language_id,
     "op6_decontamination": q_decontam.op6_decontamination,
+    "op7_warc": q_warc.op7_warc,
     "op8_sampled_shards": q_sharding.op8_sampled_shards,
     "op9_source_mix": q_mixing.op9_source_mix,
     "op10_mpeg_audio": q_mpeg.op10_mpeg_audio,
