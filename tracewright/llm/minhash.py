@@ -15,9 +15,8 @@ ordered prefix filter). Sets of PAIRED shingles and more do both, so that no pai
 Equal sets are one representative, its least doc_id, before any of this.
 
 Links. A bucket of k members is never expanded into its pairs. Members first meet the bucket's hub;
-confirmed links are merged by distributed union-find; then only pairs of *different* components within
-a bucket are left, and large buckets are cut by a second shared band before they are listed. Registers
-give a collision-corrected estimate that drops pairs far (7 standard deviations) below the threshold;
+confirmed links are merged by distributed union-find; what can still be linked lies between members of
+buckets with several components, and an exact positional prefix join finds it. Registers give a collision-corrected estimate that drops pairs far (7 standard deviations) below the threshold;
 the rest is confirmed on the full sets, recomputed from the whole texts.
 
 Defined results: null or empty text, or text of white space, has 0 shingles and is its own component.
@@ -33,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Scratch, checkpointed, slices
@@ -43,8 +43,6 @@ REGISTERS = LAYERS << BUCKET_BITS
 ROWS, BANDS = 4, 32
 EMPTY = 0xFFFF
 SMALL = 128
-#: Buckets of more members than this are cut by a second band before their pairs are listed.
-LARGE = 64
 #: The estimate may lie this far below the threshold before a pair is dropped: 7 standard deviations.
 SLACK = 0.25
 
@@ -150,7 +148,7 @@ def sketches(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def _rare_keys(reps: DataFrame, percent: int) -> DataFrame:
-    """(id, n, key, banded) of the exact way: of each small set its rarest shingles, n - ceil(t n) + 1 of them.
+    """(id, n, key) of the exact way: of each small set its rarest shingles, n - ceil(t n) + 1 of them.
 
     Rarity is the number of small sets that hold a shingle. Two linked sets agree in the order of
     shingles, so one of these must be common to both; common passages are hardly ever among them.
@@ -162,7 +160,7 @@ def _rare_keys(reps: DataFrame, percent: int) -> DataFrame:
         F.sort_array(F.collect_list(F.struct(F.coalesce("sets", F.lit(1)).alias("sets"), "key"))).alias("s")
     )  # at most SMALL members
     first = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1
-    return ranked.select("id", "n", F.explode(F.slice("s", F.lit(1), first.cast("int"))).alias("k")).where("k.sets > 1").select("id", "n", F.xxhash64("k.key", F.lit("rare")).alias("key"), F.lit(False).alias("banded"))
+    return ranked.select("id", "n", F.explode(F.slice("s", F.lit(1), first.cast("int"))).alias("k")).where("k.sets > 1").select("id", "n", F.xxhash64("k.key", F.lit("rare")).alias("key"))
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -209,6 +207,47 @@ def _plausible(pairs: DataFrame, regs: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, "a long, b long")
 
 
+def _prefix_pairs(members: DataFrame, texts: DataFrame, words: int, percent: int, keep: Scratch) -> DataFrame:
+    """(a, b, n_a, n_b) of members(id, n, c) of different components c, with all that can be linked.
+
+    A positional prefix join (Xiao et al., PPJoin, 2008). Shingles are ordered by the number of
+    members that hold them. Linked sets share one of their first n - ceil(t n) + 1; and at the first
+    that they share, no more can be common than what either set has from there on. Near copies of one
+    text whose own changes already use up what a link allows so meet nobody, however many they are.
+    Per shingle only members outside its commonest component meet the others.
+    """
+
+    def run(batches):
+        for piece, _ in slices(batches, "text", 1 << 20):
+            ids, ns, cs, hs = [], [], [], []
+            for i, n, c, text in zip(*(x.to_pylist() for x in piece.columns), strict=True):
+                held = shingles(text, words)
+                ids.append(np.full(len(held), i))
+                ns.append(np.full(len(held), n))
+                cs.append(np.full(len(held), c))
+                hs.append(held.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, ns, cs, hs)], names=["id", "n", "c", "key"])
+
+    each = members.join(texts, "id").select("id", "n", "c", "text").mapInArrow(run, "id long, n long, c long, key long")
+    each = keep.keep(each, "shingles")
+    often = each.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1")
+    order = W.partitionBy("id").orderBy(F.coalesce("sets", F.lit(1)), "key")
+    ranked = each.join(often, "key", "left").withColumn("at", F.row_number().over(order) - 1)
+    first = ranked.where(f"sets > 1 and at <= n - ({percent} * n + 99) div 100").select("key", "id", "n", "c", "at")
+    first = keep.keep(first, "prefixes")
+    counts = first.groupBy("key", "c").agg(F.count("*").alias("k"))
+    main = counts.groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("several")).where("several > 1").select("key", "main")
+    mixed = first.join(main, "key")
+    left = mixed.where("c <> main").select("key", *[F.col(x).alias(f"{x}_a") for x in ("id", "n", "c", "at")])
+    right = mixed.select("key", "main", *[F.col(x).alias(f"{x}_b") for x in ("id", "n", "c", "at")])
+    most = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    can = most * 100 >= (F.col("n_a") + F.col("n_b") - most) * percent
+    met = left.join(right, "key").where((F.col("c_a") != F.col("c_b")) & ((F.col("c_b") == F.col("main")) | (F.col("id_a") < F.col("id_b"))) & can)
+    swap = F.col("id_a") > F.col("id_b")
+    either = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
+    return met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), either("n_a", "n_b").alias("n_a"), either("n_b", "n_a").alias("n_b"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """A row for each row of docs(doc_id, text, ...): doc_id, n_shingles, component_id, kept."""
     keep = Scratch(docs.sparkSession)
@@ -219,11 +258,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     reps = sk.withColumnRenamed("doc_id", "id").join(sets, ["fp", "id"]).dropDuplicates(["fp", "id"]).select("id", "n", "keys", "regs", "small")
     reps = keep.keep(reps, "reps")
     regs = reps.select("id", "n", "regs")
-    banded = reps.where("keys is not null").select("id", "n", F.explode("keys").alias("key"), F.lit(True).alias("banded"))
+    banded = reps.where("keys is not null").select("id", "n", F.explode("keys").alias("key"))
     keys = banded.union(_rare_keys(reps, percent))
     shared = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("other")).where("hub < other").select("key", "hub")
     n_hub = regs.select(F.col("id").alias("hub"), F.col("n").alias("n_hub"))
-    live = keep.keep(keys.join(shared, "key").join(n_hub, "hub").select("key", "banded", "id", "n", "hub", "n_hub"), "buckets")
+    live = keep.keep(keys.join(shared, "key").join(n_hub, "hub").select("key", "id", "n", "hub", "n_hub"), "buckets")
     ids = live.select(F.col("id").alias("doc_id")).distinct()
     texts = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text"))
     texts = keep.keep(texts, "texts")
@@ -250,17 +289,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     # 2: each member with the hub of every bucket that still holds several components
     rest = labelled("rest2").where("id <> hub")
     tried(rest.select(F.col("hub").alias("a"), F.col("id").alias("b"), F.col("n_hub").alias("n_a"), F.col("n").alias("n_b")))
-    # 3: all pairs across components; in large buckets of a band those that share a second band (but
-    # for one link in a million all do), while a rare shingle is enough by itself
-    rest = labelled("rest3")
-    few = rest.where(f"size <= {LARGE} or not banded").select("key", "id", "n", "c")
-    many = rest.where(f"size > {LARGE} and banded").select("key", "id", "n", "c")
-    second = many.join(rest.where("banded").select("id", F.col("key").alias("key2")), "id").where("key <> key2")
-    second = second.select(F.xxhash64(F.least("key", "key2"), F.greatest("key", "key2")).alias("key"), "id", "n", "c").distinct()
-    cut = few.union(second)
-    left = cut.select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"))
-    right = cut.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"))
-    tried(left.join(right, "key").where("a < b and c_a <> c_b").select("a", "b", "n_a", "n_b"))
+    # 3: whatever link is left lies between members of these buckets; an exact prefix join finds it
+    members = labelled("rest3").select("id", "n", "c").distinct()
+    tried(_prefix_pairs(members, texts, words, percent, keep))
     result = sk.select("doc_id", "n", "fp").join(sets, "fp", "left").join(labels.withColumnRenamed("node", "id"), "id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id", "doc_id")).alias("component_id")
     result = result.select("doc_id", F.col("n").alias("n_shingles"), component)
