@@ -5,25 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
-from pyspark.sql import functions as F
 
-from .eventlog_sql import DUCK_LOG, event_log
+from . import eventlog_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-
-
-def directly_follows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = event_log(spark, sf_dir)
-    following = F.lead("activity").over(W.partitionBy("idcase").orderBy("timestamp", "id"))
-    return log.select("activity", following.alias("next_activity")).where("next_activity is not null").groupBy("activity", "next_activity").agg(F.count("*").alias("n"))
-
-
-QUERIES["el_directly_follows"] = directly_follows
-ORACLES["el_directly_follows"] = f"""
-SELECT activity, next_activity, count(*) AS n FROM (
-  SELECT activity, lead(activity) OVER (PARTITION BY idcase ORDER BY timestamp, id) AS next_activity FROM ({DUCK_LOG}) l
-) t WHERE next_activity IS NOT NULL GROUP BY 1, 2
-"""
+for _part in (eventlog_queries,):
+    QUERIES |= _part.QUERIES
+    ORACLES |= _part.ORACLES
