@@ -43,6 +43,8 @@ REGISTERS = LAYERS << BUCKET_BITS
 ROWS, BANDS = 4, 32
 EMPTY = 0xFFFF
 SMALL = 128
+#: Bits of the hashed counts by which shingles are put in order for the prefix join.
+CELLS = 21
 #: The estimate may lie this far below the threshold before a pair is dropped: 7 standard deviations.
 SLACK = 0.25
 
@@ -210,31 +212,47 @@ def _plausible(pairs: DataFrame, regs: DataFrame, percent: int) -> DataFrame:
 def _prefix_pairs(members: DataFrame, texts: DataFrame, words: int, percent: int, keep: Scratch) -> DataFrame:
     """(a, b, n_a, n_b) of members(id, n, c) of different components c, with all that can be linked.
 
-    A positional prefix join (Xiao et al., PPJoin, 2008). Shingles are ordered by the number of
-    members that hold them. Linked sets share one of their first n - ceil(t n) + 1; and at the first
-    that they share, no more can be common than what either set has from there on. Near copies of one
-    text whose own changes already use up what a link allows so meet nobody, however many they are.
+    A positional prefix join (Xiao et al., PPJoin, 2008). Shingles are put in one order, rare ones first.
+    Linked sets share one of their first n - ceil(t n) + 1; and at the first that they share, no more can
+    be common than what either set has from there on. Near copies of one text whose own changes already
+    use up what a link allows so meet nobody, however many they are. Any order is exact as long as all
+    sets keep it; rarity is read from 2**CELLS hashed counts, so that no shingle need be shuffled for it.
     Per shingle only members outside its commonest component meet the others.
     """
+    spark = members.sparkSession
+    own = keep.keep(members.join(texts, "id").select("id", "n", "c", "text"), "members")
 
-    def run(batches):
+    def cells(held: np.ndarray) -> np.ndarray:
+        return (held >> _U(64 - CELLS)).astype(np.int64)
+
+    def count(batches):
+        n = np.zeros(1 << CELLS, dtype=np.int64)
+        for piece, _ in slices(batches, "text"):
+            for text in piece.column(3).to_pylist():
+                np.add.at(n, cells(shingles(text, words)), 1)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["cell", "n"])
+
+    counted = own.mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(1 << CELLS, dtype=np.int32)
+    often[counted.column("cell").to_numpy()] = np.minimum(counted.column("n").to_numpy(), 2**31 - 1)
+    known = spark.sparkContext.broadcast(often)  # 8 MB at any size of the input
+
+    def prefixes(batches):
+        counts = known.value
         for piece, _ in slices(batches, "text", 1 << 20):
-            ids, ns, cs, hs = [], [], [], []
+            out: list[list[np.ndarray]] = [[], [], [], [], []]
             for i, n, c, text in zip(*(x.to_pylist() for x in piece.columns), strict=True):
                 held = shingles(text, words)
-                ids.append(np.full(len(held), i))
-                ns.append(np.full(len(held), n))
-                cs.append(np.full(len(held), c))
-                hs.append(held.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, ns, cs, hs)], names=["id", "n", "c", "key"])
-
-    each = members.join(texts, "id").select("id", "n", "c", "text").mapInArrow(run, "id long, n long, c long, key long")
-    each = keep.keep(each, "shingles")
-    often = each.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1")
-    order = W.partitionBy("id").orderBy(F.coalesce("sets", F.lit(1)), "key")
-    ranked = each.join(often, "key", "left").withColumn("at", F.row_number().over(order) - 1)
-    first = ranked.where(f"sets > 1 and at <= n - ({percent} * n + 99) div 100").select("key", "id", "n", "c", "at")
-    first = keep.keep(first, "prefixes")
+                sets = counts[cells(held)]
+                first = np.lexsort((held, sets))[: n - _least(percent, n) + 1]
+                at = np.flatnonzero(sets[first] > 1)  # a cell of one set holds a shingle of no other
+                key = held[first[at]].view(np.int64)
+                for column, x in zip(out, (key, *(np.full(len(at), v) for v in (i, n, c)), at), strict=True):
+                    column.append(x.astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["key", "id", "n", "c", "at"])
+
+    first = keep.keep(own.mapInArrow(prefixes, "key long, id long, n long, c long, at long"), "prefixes")
     counts = first.groupBy("key", "c").agg(F.count("*").alias("k"))
     main = counts.groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("several")).where("several > 1").select("key", "main")
     mixed = first.join(main, "key")
