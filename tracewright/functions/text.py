@@ -53,9 +53,14 @@ def mtld_of(toks, threshold: float = MTLD_THRESHOLD) -> float:
     return len(toks) / mean if mean else 0.0
 
 
-@F.pandas_udf("double")
-def mtld(toks: pd.Series) -> pd.Series:
-    return toks.map(mtld_of)
+def mtld(toks: Column | str) -> Column:
+    """MTLD of an array of tokens, by a pandas UDF made at the call: modules load without a session."""
+
+    @F.pandas_udf("double")
+    def fold(x: pd.Series) -> pd.Series:
+        return x.map(mtld_of).astype(float)
+
+    return fold(toks)
 
 
 def slugify(text: Column) -> Column:
