@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_decontam, q_html, q_langid, q_minhash, q_mixing, q_mpeg, q_sharding, q_warc
+from . import q_chat, q_decontam, q_html, q_langid, q_minhash, q_mixing, q_mpeg, q_sharding, q_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op1_preference_chat": q_chat.op1_preference_chat,
     "op3_near_dedup": q_minhash.op3_near_dedup,
     "op4_html_main_text": q_html.op4_html_main_text,
     "op5_language_id": q_langid.op5_language_id,
@@ -22,6 +23,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_preference_chat": q_chat.SQL,
     "op3_near_dedup": q_minhash.SQL,
     "op9_source_mix": q_mixing.SQL,
 }
