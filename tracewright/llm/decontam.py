@@ -9,8 +9,8 @@ have a place in the vectors, so the vocabulary is bounded by the benchmark.
 3. A randomised SVD of the passage x word matrix A: the range of A'A is found from Gaussian probes and
    from the items' own vectors, sums over partitions being reduced by blocks of words; A is then
    projected on that range, and the eigenvectors of the small Gram matrix give the latent space.
-   (Halko, Martinsson and Tropp, 2011.) With the items' vectors in the range, the cosine of an item
-   with a passage in the latent space isn't below that of their TF-IDF vectors by truncation alone.
+   (Halko, Martinsson and Tropp, 2011.) The items' directions, mixed at random where there are more than
+   DIRECTIONS of them, keep an item and a passage that holds it close in the latent space.
 4. Windows of each document, long enough to hold an item wherever it starts, are compared with the
    items in the latent space, a batch of windows by a matrix product.
 5. Each candidate is verified: longest common subsequence of item and window, as a share of the item,
@@ -38,11 +38,11 @@ from .common import discard, slices, stored
 
 CHUNK = 32
 PASSAGE = 2 * CHUNK
-PROBES = 64
+PROBES = 32
 #: Items of a query block; the range of the SVD has so many directions and PROBES at most.
 BLOCK = 1024
-DIRECTIONS = 224
-RANK = 256
+DIRECTIONS = 96
+RANK = 120
 #: Words in more passages than this share are stop words, but in items that have few others.
 STOP_SHARE = 0.05
 LEAST_WORDS = 4
