@@ -1,17 +1,17 @@
 """Near-duplicate documents by HyperMinHash, with exact confirmation and union-find.
 
 Words are maximal runs without ASCII white space, A-Z lower-cased. A document's set holds its distinct
-shingles of `words` words (one shorter shingle if it has fewer words; none without words), each as a
+shingles of `size` words (or code points, for lines) (one shorter shingle if it has fewer words; none without words), each as a
 64-bit hash. Documents a, b are linked when 100 * |a & b| >= percent * |a | b|, both not empty.
 
 Sketch. 8 layers of 16 buckets; a layer rehashes every shingle, its top 4 bits name the bucket, and
 the bucket keeps the least remaining hash as a 16-bit HyperMinHash register: the number of leading
 zeros and the 10 mantissa bits after the first one (Yu and Weber, "HyperMinHash", 2017).
 
-Candidates. Sets of over SMALL shingles are banded: 32 bands of 4 compressed registers. A link of
+Candidates. Sets of over `small` shingles are banded: 32 bands of 4 compressed registers. A link of
 Jaccard 0.8 shares a band but with probability (1 - 0.8**4)**32 = 5e-8. Smaller sets, whose buckets
 would stay empty, take an exact way: the rarest shingles, as many as any link must meet (frequency-
-ordered prefix filter). Sets of PAIRED shingles and more do both, so that no pair falls between.
+ordered prefix filter). Sets from percent * small up do both, so that no pair falls between.
 Equal sets are one representative, its least doc_id, before any of this.
 
 Links. A bucket of k members is never expanded into its pairs. Members first meet the bucket's hub;
@@ -26,6 +26,7 @@ the same text come back as often as they came. Other columns of the input don't
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -38,17 +39,38 @@ from pyspark.sql import functions as F
 from .common import Scratch, checkpointed, slices
 from .components import components
 
-LAYERS, BUCKET_BITS, MANTISSA = 8, 4, 10
-REGISTERS = LAYERS << BUCKET_BITS
-ROWS, BANDS = 4, 32
+BUCKET_BITS, MANTISSA = 4, 10
+ROWS = 4
 EMPTY = 0xFFFF
-SMALL = 128
 #: Bits of the hashed counts by which shingles are put in order for the prefix join.
 CELLS = 21
-#: The estimate may lie this far below the threshold before a pair is dropped: 7 standard deviations.
-SLACK = 0.25
 
-_SEEDS = np.array([xxhash.xxh3_64_intdigest(bytes([i]), seed=77) for i in range(LAYERS)], dtype=np.uint64)
+
+@dataclass(frozen=True)
+class Scheme:
+    """How texts become sets, and sets sketches. There are 4 * layers bands of ROWS registers."""
+
+    size: int = 5
+    unit: str = "words"
+    percent: int = 80
+    layers: int = 8
+    small: int = 128
+    #: The estimate may lie this far below the threshold before a pair is dropped.
+    slack: float = 0.25
+
+    @property
+    def registers(self) -> int:
+        return self.layers << BUCKET_BITS
+
+    def least(self, n: int) -> int:
+        """How many shingles a set linked with one of n must share with it at least."""
+        return -(-self.percent * n // 100)
+
+    def shingles(self, text: bytes | None) -> np.ndarray:
+        return (shingles if self.unit == "words" else char_shingles)(text, self.size)
+
+
+_SEEDS = np.array([xxhash.xxh3_64_intdigest(bytes([i]), seed=77) for i in range(16)], dtype=np.uint64)
 _U = np.uint64
 
 
@@ -85,11 +107,23 @@ def shingles(text: bytes | None, words: int) -> np.ndarray:
     return np.unique(_mix(h))
 
 
-def registers(held: np.ndarray) -> np.ndarray:
-    """The HyperMinHash registers of a set: uint16[REGISTERS], EMPTY where a bucket got nothing."""
-    g = (_mix(held[None, :] ^ _SEEDS[:, None]) >> _U(32)).astype(np.uint32)
-    at = (g >> np.uint32(32 - BUCKET_BITS)).astype(np.intp) + (np.arange(LAYERS) << BUCKET_BITS)[:, None]
-    least = np.full(REGISTERS, 0xFFFFFFFF, dtype=np.uint32)
+def char_shingles(text: bytes | None, size: int) -> np.ndarray:
+    """The sorted distinct hashes of runs of `size` code points of a whole UTF-8 text; one shorter run if it has fewer."""
+    code = np.frombuffer((text or b"").decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    if not len(code):
+        return code
+    k = min(size, len(code))
+    h = np.full(len(code) - k + 1, k, dtype=np.uint64)
+    for i in range(k):
+        h = h * _U(0x9E3779B97F4A7C15) + code[i : len(code) - k + 1 + i]
+    return np.unique(_mix(h))
+
+
+def registers(held: np.ndarray, layers: int = 8) -> np.ndarray:
+    """The HyperMinHash registers of a set: uint16[layers * 16], EMPTY where a bucket got nothing."""
+    g = (_mix(held[None, :] ^ _SEEDS[:layers, None]) >> _U(32)).astype(np.uint32)
+    at = (g >> np.uint32(32 - BUCKET_BITS)).astype(np.intp) + (np.arange(layers) << BUCKET_BITS)[:, None]
+    least = np.full(layers << BUCKET_BITS, 0xFFFFFFFF, dtype=np.uint32)
     np.minimum.at(least, at.ravel(), (g & np.uint32((1 << 32 - BUCKET_BITS) - 1)).ravel())
     bits = np.frexp(least.astype(np.float64))[1]  # the bit length; exact below 2**53
     zeros = (32 - BUCKET_BITS) - bits
@@ -99,11 +133,12 @@ def registers(held: np.ndarray) -> np.ndarray:
     return np.where(least == 0xFFFFFFFF, EMPTY, (zeros << MANTISSA) | mantissa).astype(np.uint16)
 
 
-def band_keys(regs: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each band; registers of a band come from different layers."""
-    wide = regs.reshape(LAYERS, -1).T.reshape(BANDS, ROWS).astype(np.uint64)
+def band_keys(regs: np.ndarray, layers: int = 8) -> np.ndarray:
+    """A 64-bit key of each band, of registers of different layers; bands without any register filled have none."""
+    wide = regs.reshape(layers, -1).T.reshape(-1, ROWS).astype(np.uint64)
     packed = wide[:, 0] | (wide[:, 1] << _U(16)) | (wide[:, 2] << _U(32)) | (wide[:, 3] << _U(48))
-    return _mix(_mix(packed) + np.arange(1, BANDS + 1, dtype=np.uint64)).view(np.int64)
+    keys = _mix(_mix(packed) + np.arange(1, len(wide) + 1, dtype=np.uint64)).view(np.int64)
+    return keys[packed != _U(0xFFFFFFFFFFFFFFFF)]
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
@@ -117,28 +152,24 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return np.maximum(0, (share - chance) / (1 - chance))
 
 
-def _least(percent: int, n: int) -> int:
-    return -(-percent * n // 100)
-
-
-def sketches(docs: DataFrame, words: int, percent: int) -> DataFrame:
+def sketches(docs: DataFrame, scheme: Scheme) -> DataFrame:
     """doc_id, n (set size), fp (128-bit fingerprint of the set; null if empty), keys, regs, small.
 
     keys and regs are there for banded sets, small (all shingles) for those of the exact way.
     """
-    paired = _least(percent, SMALL + 1)
+    paired = scheme.least(scheme.small + 1)
 
     def run(batches):
         for piece, _ in slices(batches, "text"):
             n, fp, keys, regs, small = [], [], [], [], []
             for text in piece.column(1).to_pylist():
-                held = shingles(text, words)
+                held = scheme.shingles(text)
                 n.append(len(held))
                 fp.append(xxhash.xxh3_128_digest(held.data) if len(held) else None)
-                r = registers(held) if len(held) >= paired else None
-                keys.append(None if r is None else band_keys(r))
+                r = registers(held, scheme.layers) if len(held) >= paired else None
+                keys.append(None if r is None else band_keys(r, scheme.layers))
                 regs.append(None if r is None else r.tobytes())
-                small.append(held.view(np.int64) if 0 < len(held) <= SMALL else None)
+                small.append(held.view(np.int64) if 0 < len(held) <= scheme.small else None)
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [piece.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(keys, longs), pa.array(regs, pa.binary()), pa.array(small, longs)],
@@ -149,7 +180,7 @@ def sketches(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return text.mapInArrow(run, "doc_id long, n long, fp binary, keys array<long>, regs binary, small array<long>")
 
 
-def _rare_keys(reps: DataFrame, percent: int) -> DataFrame:
+def _rare_keys(reps: DataFrame, scheme: Scheme) -> DataFrame:
     """(id, n, key) of the exact way: of each small set its rarest shingles, n - ceil(t n) + 1 of them.
 
     Rarity is the number of small sets that hold a shingle. Two linked sets agree in the order of
@@ -160,12 +191,12 @@ def _rare_keys(reps: DataFrame, percent: int) -> DataFrame:
     # what a single set holds can't link but counts in the prefix; it comes first
     ranked = each.join(often, "key", "left").groupBy("id", "n").agg(
         F.sort_array(F.collect_list(F.struct(F.coalesce("sets", F.lit(1)).alias("sets"), "key"))).alias("s")
-    )  # at most SMALL members
-    first = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1
+    )  # at most scheme.small members
+    first = F.col("n") - F.expr(f"({scheme.percent} * n + 99) div 100") + 1
     return ranked.select("id", "n", F.explode(F.slice("s", F.lit(1), first.cast("int"))).alias("k")).where("k.sets > 1").select("id", "n", F.xxhash64("k.key", F.lit("rare")).alias("key"))
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFrame:
     """Of pairs(a, b) those linked on their full sets. texts: id, text binary, of all ids that occur."""
 
     def run(batches):
@@ -176,10 +207,10 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
             ids = a.to_pylist()
             for i, x in enumerate(ids):
                 if x != last:
-                    last, held = x, shingles(ta[i].as_py(), words)
-                other = shingles(tb[i].as_py(), words)
+                    last, held = x, scheme.shingles(ta[i].as_py())
+                other = scheme.shingles(tb[i].as_py())
                 common = len(held) + len(other) - len(np.union1d(held, other))
-                keep.append(100 * common >= percent * (len(held) + len(other) - common))
+                keep.append(100 * common >= scheme.percent * (len(held) + len(other) - common))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
 
@@ -188,7 +219,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
     return with_a.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _plausible(pairs: DataFrame, regs: DataFrame, percent: int) -> DataFrame:
+def _plausible(pairs: DataFrame, regs: DataFrame, scheme: Scheme) -> DataFrame:
     """Pairs (a, b) without those whose sizes or registers rule the link out."""
 
     def run(batches):
@@ -197,19 +228,19 @@ def _plausible(pairs: DataFrame, regs: DataFrame, percent: int) -> DataFrame:
             keep = np.ones(batch.num_rows, dtype=bool)
             at = np.flatnonzero(np.asarray(r_a.is_valid()) & np.asarray(r_b.is_valid()))
             if len(at):
-                m_a, m_b = (np.frombuffer(b"".join(r.take(pa.array(at)).to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS) for r in (r_a, r_b))
+                m_a, m_b = (np.frombuffer(b"".join(r.take(pa.array(at)).to_pylist()), dtype=np.uint16).reshape(-1, scheme.registers) for r in (r_a, r_b))
                 near = estimate(m_a, m_b, n_a.to_numpy()[at], n_b.to_numpy()[at])
-                keep[at] = near >= percent / 100 - SLACK
+                keep[at] = near >= scheme.percent / 100 - scheme.slack
             mask = pa.array(keep)
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
 
-    sized = pairs.where(F.greatest("n_a", "n_b") * percent <= F.least("n_a", "n_b") * 100).select("a", "b").distinct()
+    sized = pairs.where(F.greatest("n_a", "n_b") * scheme.percent <= F.least("n_a", "n_b") * 100).select("a", "b").distinct()
     both = sized.join(regs.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("regs").alias("r_b")), "b")
     both = both.join(regs.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("regs").alias("r_a")), "a")
     return both.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, "a long, b long")
 
 
-def _prefix_pairs(members: DataFrame, texts: DataFrame, words: int, percent: int, keep: Scratch) -> DataFrame:
+def _prefix_pairs(members: DataFrame, texts: DataFrame, scheme: Scheme, keep: Scratch) -> DataFrame:
     """(a, b, n_a, n_b) of members(id, n, c) of different components c, with all that can be linked.
 
     A positional prefix join (Xiao et al., PPJoin, 2008). Shingles are put in one order, rare ones first.
@@ -229,7 +260,7 @@ def _prefix_pairs(members: DataFrame, texts: DataFrame, words: int, percent: int
         n = np.zeros(1 << CELLS, dtype=np.int64)
         for piece, _ in slices(batches, "text"):
             for text in piece.column(3).to_pylist():
-                np.add.at(n, cells(shingles(text, words)), 1)
+                np.add.at(n, cells(scheme.shingles(text)), 1)
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["cell", "n"])
 
@@ -243,9 +274,9 @@ def _prefix_pairs(members: DataFrame, texts: DataFrame, words: int, percent: int
         for piece, _ in slices(batches, "text", 1 << 20):
             out: list[list[np.ndarray]] = [[], [], [], [], []]
             for i, n, c, text in zip(*(x.to_pylist() for x in piece.columns), strict=True):
-                held = shingles(text, words)
+                held = scheme.shingles(text)
                 sets = counts[cells(held)]
-                first = np.lexsort((held, sets))[: n - _least(percent, n) + 1]
+                first = np.lexsort((held, sets))[: n - scheme.least(n) + 1]
                 at = np.flatnonzero(sets[first] > 1)  # a cell of one set holds a shingle of no other
                 key = held[first[at]].view(np.int64)
                 for column, x in zip(out, (key, *(np.full(len(at), v) for v in (i, n, c)), at), strict=True):
@@ -259,25 +290,25 @@ def _prefix_pairs(members: DataFrame, texts: DataFrame, words: int, percent: int
     left = mixed.where("c <> main").select("key", *[F.col(x).alias(f"{x}_a") for x in ("id", "n", "c", "at")])
     right = mixed.select("key", "main", *[F.col(x).alias(f"{x}_b") for x in ("id", "n", "c", "at")])
     most = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    can = most * 100 >= (F.col("n_a") + F.col("n_b") - most) * percent
+    can = most * 100 >= (F.col("n_a") + F.col("n_b") - most) * scheme.percent
     met = left.join(right, "key").where((F.col("c_a") != F.col("c_b")) & ((F.col("c_b") == F.col("main")) | (F.col("id_a") < F.col("id_b"))) & can)
     swap = F.col("id_a") > F.col("id_b")
     either = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
     return met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), either("n_a", "n_b").alias("n_a"), either("n_b", "n_a").alias("n_b"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
     """A row for each row of docs(doc_id, text, ...): doc_id, n_shingles, component_id, kept."""
     keep = Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sk = keep.keep(sketches(docs, words, percent), "sketch")
+    sk = keep.keep(sketches(docs, scheme), "sketch")
     sets = keep.keep(sk.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")), "sets")
     # one row for each distinct set; a doc_id that repeats with several texts keeps each of its sets
     reps = sk.withColumnRenamed("doc_id", "id").join(sets, ["fp", "id"]).dropDuplicates(["fp", "id"]).select("id", "n", "keys", "regs", "small")
     reps = keep.keep(reps, "reps")
     regs = reps.select("id", "n", "regs")
     banded = reps.where("keys is not null").select("id", "n", F.explode("keys").alias("key"))
-    keys = banded.union(_rare_keys(reps, percent))
+    keys = banded.union(_rare_keys(reps, scheme))
     shared = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("other")).where("hub < other").select("key", "hub")
     n_hub = regs.select(F.col("id").alias("hub"), F.col("n").alias("n_hub"))
     live = keep.keep(keys.join(shared, "key").join(n_hub, "hub").select("key", "id", "n", "hub", "n_hub"), "buckets")
@@ -294,11 +325,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     def tried(pairs: DataFrame) -> None:
         nonlocal labels
-        near = _plausible(pairs, regs, percent)
+        near = _plausible(pairs, regs, scheme)
         for earlier in tested:
             near = near.join(earlier, ["a", "b"], "left_anti")
         tested.append(keep.keep(near, "pairs"))
-        links.append(keep.keep(_confirmed(tested[-1], texts, words, percent), "links"))
+        links.append(keep.keep(_confirmed(tested[-1], texts, scheme), "links"))
         labels = components(reduce(DataFrame.union, links), keep)
 
     # 1: each member with the least hub among its buckets
@@ -309,7 +340,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     tried(rest.select(F.col("hub").alias("a"), F.col("id").alias("b"), F.col("n_hub").alias("n_a"), F.col("n").alias("n_b")))
     # 3: whatever link is left lies between members of these buckets; an exact prefix join finds it
     members = labelled("rest3").select("id", "n", "c").distinct()
-    tried(_prefix_pairs(members, texts, words, percent, keep))
+    tried(_prefix_pairs(members, texts, scheme, keep))
     result = sk.select("doc_id", "n", "fp").join(sets, "fp", "left").join(labels.withColumnRenamed("node", "id"), "id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id", "doc_id")).alias("component_id")
     result = result.select("doc_id", F.col("n").alias("n_shingles"), component)

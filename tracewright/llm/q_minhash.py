@@ -3,12 +3,12 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from .minhash import near_duplicates
+from .minhash import Scheme, near_duplicates
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of linked documents: doc_id, n_shingles, component_id, kept."""
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, percent=80)
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), Scheme(size=4))
 
 
 SQL = r"""

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_chat, q_decontam, q_html, q_langid, q_minhash, q_mixing, q_mpeg, q_sharding, q_warc
+from . import q_chat, q_decontam, q_html, q_langid, q_lines, q_minhash, q_mixing, q_mpeg, q_sharding, q_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_preference_chat": q_chat.op1_preference_chat,
+    "op2_fuzzy_lines": q_lines.op2_fuzzy_lines,
     "op3_near_dedup": q_minhash.op3_near_dedup,
     "op4_html_main_text": q_html.op4_html_main_text,
     "op5_language_id": q_langid.op5_language_id,
