@@ -24,7 +24,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that repeat a doc_id are one document. A null doc_id can't be in a group and stays.
     """
-    kept = minhash.near_duplicates(docs, words=5, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
+    kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
     named = docs.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
     return named.union(docs.where("doc_id is null"))
 
