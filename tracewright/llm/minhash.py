@@ -10,8 +10,8 @@ zeros and the 10 mantissa bits after the first one (Yu and Weber, "HyperMinHash"
 
 Candidates. Sets of over `small` shingles are banded: 32 bands of 4 compressed registers. A link of
 Jaccard 0.8 shares a band but with probability (1 - 0.8**4)**32 = 5e-8. Smaller sets, whose buckets
-would stay empty, take an exact way: the rarest shingles, as many as any link must meet (frequency-
-ordered prefix filter). Sets from percent * small up do both, so that no pair falls between.
+would stay empty, take an exact way: the rarest shingles, as many as any link must meet (a prefix
+filter in the order of hashed counts). Sets from percent * small up do both, so that no pair falls between.
 Equal sets are one representative, its least doc_id, before any of this.
 
 Links. A bucket of k members is never expanded into its pairs. Members first meet the bucket's hub;
@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .bitmap import bitmap, passes, sifted
 from .common import Scratch, checkpointed, slices
 from .components import components
 
@@ -180,20 +181,71 @@ def sketches(docs: DataFrame, scheme: Scheme) -> DataFrame:
     return text.mapInArrow(run, "doc_id long, n long, fp binary, keys array<long>, regs binary, small array<long>")
 
 
-def _rare_keys(reps: DataFrame, scheme: Scheme) -> DataFrame:
-    """(id, n, key) of the exact way: of each small set its rarest shingles, n - ceil(t n) + 1 of them.
+def _cells(held: np.ndarray) -> np.ndarray:
+    return (held.view(np.uint64) >> _U(64 - CELLS)).astype(np.int64)
 
-    Rarity is the number of small sets that hold a shingle. Two linked sets agree in the order of
-    shingles, so one of these must be common to both; common passages are hardly ever among them.
+
+def _cell_counts(sets: DataFrame, shingles_of) -> np.ndarray:
+    """How many of the sets hold a shingle of each hashed cell: 8 MB at any size of the input.
+
+    shingles_of gives the sets of a batch.
+    """
+
+    def count(batches):
+        n = np.zeros(1 << CELLS, dtype=np.int64)
+        for b in batches:
+            for held in shingles_of(b):
+                np.add.at(n, _cells(held), 1)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["cell", "n"])
+
+    counted = sets.mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(1 << CELLS, dtype=np.int32)
+    often[counted.column("cell").to_numpy()] = np.minimum(counted.column("n").to_numpy(), 2**31 - 1)
+    return often
+
+
+def _prefix(held: np.ndarray, counts: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
+    """The first n - ceil(t n) + 1 shingles of a set, rare ones first, and their places in that order.
+
+    Two linked sets share one of these, whatever the order, as long as it is one for all sets. Shingles
+    whose cell holds one set only are in no other and are left out; their places stay empty.
     """
-    each = reps.where("small is not null").select("id", "n", F.explode("small").alias("key"))
-    often = each.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1")
-    # what a single set holds can't link but counts in the prefix; it comes first
-    ranked = each.join(often, "key", "left").groupBy("id", "n").agg(
-        F.sort_array(F.collect_list(F.struct(F.coalesce("sets", F.lit(1)).alias("sets"), "key"))).alias("s")
-    )  # at most scheme.small members
-    first = F.col("n") - F.expr(f"({scheme.percent} * n + 99) div 100") + 1
-    return ranked.select("id", "n", F.explode(F.slice("s", F.lit(1), first.cast("int"))).alias("k")).where("k.sets > 1").select("id", "n", F.xxhash64("k.key", F.lit("rare")).alias("key"))
+    sets = counts[_cells(held)]
+    first = np.lexsort((held, sets))[: len(held) - scheme.least(len(held)) + 1]
+    at = np.flatnonzero(sets[first] > 1)
+    return held[first[at]], at
+
+
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    return [x.values.to_numpy().view(np.uint64) for x in column.drop_null()]
+
+
+def _keys(reps: DataFrame, counts, scheme: Scheme, wanted=None) -> DataFrame:
+    """(key, id) of every bucket of reps(id, keys, small): band keys, and rare shingles of small sets.
+
+    counts, and the bitmap of wanted keys if any, are broadcasts.
+    """
+
+    def run(batches):
+        for b in batches:
+            ids, banded, small = b.column(0), b.column(1), b.column(2)
+            own, out = [], []
+            there = ids.filter(banded.is_valid()).to_numpy()
+            lists = banded.drop_null()
+            out.append(lists.flatten().to_numpy())
+            own.append(np.repeat(there, np.diff(lists.offsets.to_numpy())))
+            for i, held in zip(ids.filter(small.is_valid()).to_pylist(), _lists(small), strict=True):
+                key, _ = _prefix(held, counts.value, scheme)
+                out.append(_mix(key ^ _U(0x5851F42D4C957F2D)).view(np.int64))
+                own.append(np.full(len(key), i))
+            key, own = np.concatenate(out), np.concatenate(own).astype(np.int64)
+            if wanted is not None:
+                mask = passes(wanted.value, key)
+                key, own = key[mask], own[mask]
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own)], names=["key", "id"])
+
+    return reps.select("id", "keys", "small").mapInArrow(run, "key long, id long")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFrame:
@@ -253,33 +305,17 @@ def _prefix_pairs(members: DataFrame, texts: DataFrame, scheme: Scheme, keep: Sc
     spark = members.sparkSession
     own = keep.keep(members.join(texts, "id").select("id", "n", "c", "text"), "members")
 
-    def cells(held: np.ndarray) -> np.ndarray:
-        return (held >> _U(64 - CELLS)).astype(np.int64)
+    def shingles_of(batch):
+        return (scheme.shingles(t) for piece, _ in slices([batch], "text") for t in piece.column(3).to_pylist())
 
-    def count(batches):
-        n = np.zeros(1 << CELLS, dtype=np.int64)
-        for piece, _ in slices(batches, "text"):
-            for text in piece.column(3).to_pylist():
-                np.add.at(n, cells(scheme.shingles(text)), 1)
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["cell", "n"])
-
-    counted = own.mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    often = np.zeros(1 << CELLS, dtype=np.int32)
-    often[counted.column("cell").to_numpy()] = np.minimum(counted.column("n").to_numpy(), 2**31 - 1)
-    known = spark.sparkContext.broadcast(often)  # 8 MB at any size of the input
+    known = spark.sparkContext.broadcast(_cell_counts(own, shingles_of))
 
     def prefixes(batches):
-        counts = known.value
         for piece, _ in slices(batches, "text", 1 << 20):
             out: list[list[np.ndarray]] = [[], [], [], [], []]
             for i, n, c, text in zip(*(x.to_pylist() for x in piece.columns), strict=True):
-                held = scheme.shingles(text)
-                sets = counts[cells(held)]
-                first = np.lexsort((held, sets))[: n - scheme.least(n) + 1]
-                at = np.flatnonzero(sets[first] > 1)  # a cell of one set holds a shingle of no other
-                key = held[first[at]].view(np.int64)
-                for column, x in zip(out, (key, *(np.full(len(at), v) for v in (i, n, c)), at), strict=True):
+                key, at = _prefix(scheme.shingles(text), known.value, scheme)
+                for column, x in zip(out, (key.view(np.int64), *(np.full(len(at), v) for v in (i, n, c)), at), strict=True):
                     column.append(x.astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["key", "id", "n", "c", "at"])
 
@@ -306,15 +342,19 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
     # one row for each distinct set; a doc_id that repeats with several texts keeps each of its sets
     reps = sk.withColumnRenamed("doc_id", "id").join(sets, ["fp", "id"]).dropDuplicates(["fp", "id"]).select("id", "n", "keys", "regs", "small")
     reps = keep.keep(reps, "reps")
-    regs = reps.select("id", "n", "regs")
-    banded = reps.where("keys is not null").select("id", "n", F.explode("keys").alias("key"))
-    keys = banded.union(_rare_keys(reps, scheme))
-    shared = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("other")).where("hub < other").select("key", "hub")
+    context = reps.sparkSession.sparkContext
+    counts = context.broadcast(_cell_counts(reps.where("small is not null").select("small"), lambda b: _lists(b.column(0))))
+    shared = _keys(reps, counts, scheme).groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("k")).where("k > 1").select("key", "hub")
+    shared = keep.keep(shared, "shared")
+    # most buckets have one member: these are sifted out before the buckets meet their hubs
+    wanted = context.broadcast(bitmap(shared, "key"))
+    found = keep.keep(_keys(reps, counts, scheme, wanted).join(shared, "key"), "buckets")
+    ids = bitmap(found, "id")
+    regs = keep.keep(sifted(reps.select("id", "n", "regs"), "id", ids), "registers")
     n_hub = regs.select(F.col("id").alias("hub"), F.col("n").alias("n_hub"))
-    live = keep.keep(keys.join(shared, "key").join(n_hub, "hub").select("key", "id", "n", "hub", "n_hub"), "buckets")
-    ids = live.select(F.col("id").alias("doc_id")).distinct()
-    texts = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text"))
-    texts = keep.keep(texts, "texts")
+    live = keep.keep(found.join(regs.select("id", "n"), "id").join(n_hub, "hub").select("key", "id", "n", "hub", "n_hub"), "live")
+    texts = sifted(docs.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text")), "id", ids)
+    texts = keep.keep(texts.dropDuplicates(["id"]), "texts")
     links, tested, labels = [], [], None
 
     def labelled(label: str) -> DataFrame:
