@@ -157,28 +157,28 @@ def _outside_quotes(sql: Column, change, inside=lambda x: x, keep_quotes: bool =
     return F.array_join(parts, "'" if keep_quotes else "")
 
 
-_WHITE = F.lit(" \t\n\r\x0b\x0c")
+def _strip(c: Column) -> Column:
+    return F.trim(c, F.lit(" \t\n\r\x0b\x0c"))
 
 
 def clean_sql(raw: Column, cot: bool = False, prefix: str = "") -> Column:
     """One executable statement out of a model's answer: chat marks, fence, final answer, prose, prefix,
     first statement (split at any semicolon, even in a literal), white space outside literals."""
-    strip = lambda c: F.trim(c, _WHITE)
     text = F.regexp_replace(F.coalesce(raw, F.lit("")), r"(?s)<\|im_end\|>.*", "")
-    text = strip(F.regexp_replace(text, r"<\|[^|>]+\|>", ""))
+    text = _strip(F.regexp_replace(text, r"<\|[^|>]+\|>", ""))
     fence = r"(?is)```(?:sql|sqlite)?\s*(.*?)\s*```"
-    fenced = lambda c: F.when(F.rlike(c, F.lit(fence)), strip(F.regexp_extract(c, fence, 1))).otherwise(c)
+    fenced = lambda c: F.when(F.rlike(c, F.lit(fence)), _strip(F.regexp_extract(c, fence, 1))).otherwise(c)
     inner = fenced(text)
     if cot:
         final = r"(?is)final\s*sql\s*:?\s*(.+)"
-        inner = F.when(inner != text, inner).when(F.rlike(text, F.lit(final)), fenced(strip(F.regexp_extract(text, final, 1)))).otherwise(text)
+        inner = F.when(inner != text, inner).when(F.rlike(text, F.lit(final)), fenced(_strip(F.regexp_extract(text, final, 1)))).otherwise(text)
     keyword = r"(?is)\b(?:select|with|insert|update|delete)\b.*"
     inner = F.when(F.rlike(inner, F.lit(keyword)), F.regexp_extract(inner, f"({keyword})", 1)).otherwise(inner)
     if prefix:
         inner = F.when(F.rlike(inner, F.lit(r"(?i)^\s*select\b")), inner).otherwise(F.concat(F.lit(prefix), inner))
-    head = strip(F.split_part(F.rtrim(strip(inner), F.lit(";")), F.lit(";"), F.lit(1)))
+    head = _strip(F.split_part(F.rtrim(_strip(inner), F.lit(";")), F.lit(";"), F.lit(1)))
     whole = F.when(head == "", "").otherwise(F.concat(head, F.lit(";")))
-    flat = strip(_outside_quotes(whole, lambda x: F.regexp_replace(x, r"[ \t\n\r]+", " ")))
+    flat = _strip(_outside_quotes(whole, lambda x: F.regexp_replace(x, r"[ \t\n\r]+", " ")))
     return F.when(text == "", "").otherwise(flat)
 
 
@@ -192,9 +192,8 @@ def normal_sql(sql: Column) -> Column:
         x = F.regexp_replace(x, r"\s+as\s+\w+", "")
         return F.regexp_replace(x, r"count\s*\(\s*(?!\*)\w+\s*\)", "count(*)")
 
-    strip = lambda c: F.trim(c, _WHITE)
-    bare = strip(F.rtrim(strip(F.coalesce(sql, F.lit(""))), F.lit(";")))
-    return strip(_outside_quotes(bare, level, F.lower, keep_quotes=False))
+    bare = _strip(F.rtrim(_strip(F.coalesce(sql, F.lit(""))), F.lit(";")))
+    return _strip(_outside_quotes(bare, level, F.lower, keep_quotes=False))
 
 
 def has_order_by(sql: Column) -> Column:

@@ -45,15 +45,15 @@ class Executor:
             return Execution(False, error="empty SQL")
         if not dialect.is_query(sql):
             return Execution(False, error="not a single query statement")
-        tag = f"execution-{uuid.uuid4().hex}"
+        context, group = self.spark.sparkContext, f"execution-{uuid.uuid4().hex}"
         late = threading.Event()
 
         def stop():
             late.set()
-            self.spark.sparkContext.cancelJobsWithTag(tag)
+            context.cancelJobGroup(group)
 
         timer = threading.Timer(self.timeout, stop)
-        self.spark.addTag(tag)
+        context.setJobGroup(group, sql[:100], interruptOnCancel=True)
         timer.start()
         try:
             rows = self.spark.sql(dialect.to_spark(sql) if self.sqlite else sql.rstrip("; \n"))
@@ -64,7 +64,7 @@ class Executor:
             return Execution(False, error=error, elapsed_ms=took())
         finally:
             timer.cancel()
-            self.spark.removeTag(tag)
+            context.setLocalProperty("spark.jobGroup.id", None)
 
 
 def normal_cell(c: Column, kind: T.DataType) -> Column:
