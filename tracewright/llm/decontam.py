@@ -117,8 +117,8 @@ def _encoded(docs: DataFrame, items: Items) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
 
 
-def _units(batches, size: int, gap: int = 0) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray, int]]:
-    """For pieces of the encoded table: doc_ids, first unit of each document, words and units of all
+def _units(batches, size: int, gap: int = 0) -> Iterator[tuple[list, tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray, int]]:
+    """For pieces of the encoded table: doc_ids, first and end unit of each document, words and units of all
     known words in order, and the number of units. A unit is `size` words; gap empty ones part documents."""
     for piece, _ in slices(batches, "ids", 1 << 20):
         raw = [np.frombuffer(x, dtype=np.int32) for x in piece.column(1).to_pylist()]
@@ -129,7 +129,7 @@ def _units(batches, size: int, gap: int = 0) -> Iterator[tuple[list, np.ndarray,
         within = np.arange(len(whole)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         unit = np.repeat(first, lengths) + within // size
         at = whole >= 0
-        yield piece.column(0).to_pylist(), first, whole[at], unit[at], int(counts.sum())
+        yield piece.column(0).to_pylist(), (first, first + counts - gap), whole[at], unit[at], int(counts.sum())
 
 
 def _summed(values: np.ndarray, rows: np.ndarray, where: np.ndarray, n: int) -> np.ndarray:
@@ -270,7 +270,7 @@ def _search(encoded: DataFrame, items: Items, idf: np.ndarray, space: np.ndarray
         most = max(by_scale, default=1)
         for piece, _ in ((b, 0) for b in batches):
             rows: list[tuple] = []
-            for doc_ids, first, words, unit, units in _units([piece], CHUNK, most - 1):
+            for doc_ids, (first, end), words, unit, units in _units([piece], CHUNK, most - 1):
                 at = used[words]
                 z = _summed(w, words[at], unit[at], units)
                 found: dict[tuple[int, int], tuple] = {}
@@ -285,6 +285,8 @@ def _search(encoded: DataFrame, items: Items, idf: np.ndarray, space: np.ndarray
                     near /= np.maximum(1e-12, np.sqrt(np.einsum("ij,ij->i", windows, windows)))[:, None]
                     for i, k in np.argwhere(near >= COSINE):
                         j, doc = int(chosen[k]), int(np.searchsorted(first, i, "right")) - 1
+                        if i >= end[doc]:  # it starts in the gap and reaches into the next document
+                            continue
                         if (doc, j) in found and found[doc, j][1] == 1.0:
                             continue
                         lo, hi = np.searchsorted(unit, (i, i + m))
