@@ -41,8 +41,8 @@ PASSAGE = 2 * CHUNK
 PROBES = 32
 #: Items of a query block; the range of the SVD has so many directions and PROBES at most.
 BLOCK = 1024
-DIRECTIONS = 96
-RANK = 120
+DIRECTIONS = 64
+RANK = 88
 #: Words in more passages than this share are stop words, but in items that have few others.
 STOP_SHARE = 0.05
 LEAST_WORDS = 4
