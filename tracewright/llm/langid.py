@@ -24,6 +24,8 @@ from .common import slices
 BITS = 18
 LONGEST_GRAM = 5
 UNKNOWN = "und"
+#: Bytes of text that are hashed at once; a worker needs about a hundred times that.
+PIECE = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -56,7 +58,7 @@ def presence(texts: list[str]) -> list[np.ndarray]:
 
 
 def _pieces(batches, *columns):
-    for piece, _ in (x for b in batches for x in slices([b], "text")):
+    for piece, _ in (x for b in batches for x in slices([b], "text", PIECE)):
         yield [piece.column(piece.schema.get_field_index(c)) for c in columns]
 
 
@@ -150,7 +152,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     text = docs.schema.names.index("text")
 
     def run(batches):
-        for piece, _ in slices(batches, "text"):
+        for piece, _ in slices(batches, "text", PIECE):
             langs, scores = predict(known.value, piece.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*piece.schema.names, "lang_pred", "score"])
 
