@@ -4,7 +4,7 @@ Records are ordered by a key, 60 bits of the md5 of the text and then doc_id, so
 neighbours. Key samples are drawn with probability proportional to size, their weighted quantiles
 become splitters, and records are range-partitioned between them. Ranges that come out overfull, such
 as one that holds a hot text, are subdivided by splitters from a denser sample of their own, until
-each is bounded or is a single record. Exact sums per range then give every record its exact place in
+each is bounded, its largest record apart. Exact sums per range then give every record its exact place in
 the whole order, from which its shard and its slot follow:
 
 - law `bytes`: the shard in which the middle of the record's bytes falls when the whole is cut into
@@ -82,20 +82,23 @@ def shard(docs: DataFrame, shards: int = 8, law: str = "bytes") -> DataFrame:
     total = total or 0
     ranges = min(MOST_RANGES, max(RANGES_A_SHARD * shards, -(-total // RANGE_BYTES)))
     aim = max(1.0, total / ranges)
-    u = F.pmod(F.xxhash64("__h", "__d", F.lit(8)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    turn = 0
 
     def drawn(rows: DataFrame, rate: float) -> list[tuple[int, int, float]]:
+        u = F.pmod(F.xxhash64("__h", "__d", F.lit(8 + turn)), F.lit(1 << 40)) / F.lit(float(1 << 40))
         found = rows.where(u < weight * F.lit(rate)).select("__h", "__d", weight.alias("w")).toLocalIterator()
         return [(r["__h"], r["__d"], max(1.0, r["w"] * rate)) for r in found]
 
     splitters = _splitters(drawn(keys, DRAWS / aim), ranges)
     while True:
         numbered = keys.withColumn("__r", _range_of(splitters)("__h", "__d"))
-        sums = numbered.groupBy("__r").agg(F.sum("size").alias("bytes"), F.sum(weight).alias("w"), F.count("*").alias("n"), F.min(F.struct("__h", "__d")).alias("lo"), F.max(F.struct("__h", "__d")).alias("hi"))
+        sums = numbered.groupBy("__r").agg(F.sum("size").alias("bytes"), F.sum(weight).alias("w"), F.max(weight).alias("big"), F.count("*").alias("n"), F.min(F.struct("__h", "__d")).alias("lo"), F.max(F.struct("__h", "__d")).alias("hi"))
         sums = sorted(sums.collect(), key=lambda r: r["__r"])
-        over = [r["__r"] for r in sums if r["w"] > OVERFULL * aim and r["lo"] != r["hi"]]
+        # a record that is larger than a range can't be divided; what stands beside it can
+        over = [r["__r"] for r in sums if r["w"] - r["big"] > OVERFULL * aim and r["lo"] != r["hi"]]
         if not over:
             break
+        turn += 1
         parts = spark.createDataFrame([(r,) for r in over], "__r int")
         dense = drawn(numbered.join(F.broadcast(parts), "__r"), 4 * DRAWS / aim)
         by: dict[int, list] = {r: [] for r in over}
