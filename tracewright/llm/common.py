@@ -93,7 +93,7 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, int]]:
+def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, int]]:
     """Arrow batches cut so that a binary or string column holds about most_bytes a piece.
 
     A row over that size comes alone. Memory of a Python worker so depends on the longest row only.

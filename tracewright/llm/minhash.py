@@ -85,7 +85,7 @@ class _Words(dict):
     """Hashes of words, kept from document to document; emptied before it grows past its bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 100_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
