@@ -278,6 +278,17 @@ def test_split_tree_is_exact():
     assert (out.sum(0) == q).all() and out.sum(1).max() - out.sum(1).min() <= 1 and (out >= 0).all()
 
 
+def test_a_taking_lost_in_the_deal_shows(spark, small, monkeypatch):
+    """op9 counts dealt rows: without the last shard's runs it takes less than the plan."""
+    total = lambda: queries.QUERIES["op9_source_mix"](spark, small).agg({"taken": "sum"}).first()[0]
+    planned, _ = mixing.planned(spark.read.parquet(f"{small}/documents.parquet"))
+    want = planned.selectExpr("sum(size * copies)").first()[0]
+    assert total() == want
+    whole = mixing.split_tree
+    monkeypatch.setattr(mixing, "split_tree", lambda *a: whole(*a) * (np.arange(8) < 7)[:, None])
+    assert 0 < total() < want
+
+
 def test_odd_mix(spark):
     docs = frame(spark, ODD)
     rows, _ = mixing.planned(docs)

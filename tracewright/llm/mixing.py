@@ -26,6 +26,7 @@ added are replaced. An empty table gives an empty result. Everything is a functi
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -139,15 +140,9 @@ def planned(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     return named.drop("whole", "part", "extra"), plan.select("src", "block", "whole", "part")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, shards: int = 8, seed: int = 9) -> DataFrame:
-    """The mixed rows: docs, all columns, a row for each taking, with shard int and mix_key long.
-
-    Rows of a shard in order of mix_key are its local shuffle.
-    """
-    spark = docs.sparkSession
-    docs = docs.drop("shard", "mix_key", "epoch")
-    names = docs.columns
-    rows, plan = planned(docs, weights, share, seed)
+def deal(rows: DataFrame, plan: DataFrame, shards: int = 8, seed: int = 9) -> DataFrame:
+    """The takings of rows, as planned() gives both: rows, all columns, a row for each taking, with shard int and mix_key long."""
+    spark = rows.sparkSession
     times = F.sequence(F.lit(1), F.col("whole") + F.col("part").cast("int"))
     instances = plan.where("whole > 0 or part").select("src", "block", F.explode(times).alias("epoch"))
     counts = {r["src"]: r["n"] for r in instances.groupBy("src").agg(F.count("*").alias("n")).collect()}
@@ -155,7 +150,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     leaves = split_tree(np.array([counts[s] for s in srcs], dtype=np.int64), shards, np.random.default_rng(seed)) if srcs else np.zeros((shards, 0), dtype=np.int64)
     ends = leaves.cumsum(0)
     runs = [(s, i, int(ends[i, j] - leaves[i, j]), int(ends[i, j])) for j, s in enumerate(srcs) for i in range(shards) if leaves[i, j]]
-    runs_df = spark.createDataFrame(runs, "src string, shard int, lo long, hi long")
+    # from Arrow, which needs no Python on executors
+    cols = zip(*runs, strict=True) if runs else [()] * 4
+    kinds = zip(("src", "shard", "lo", "hi"), (pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)
+    runs_df = spark.createDataFrame(pa.table({name: pa.array(c, kind) for c, (name, kind) in zip(cols, kinds, strict=True)}))
     turn = W.partitionBy("src").orderBy(hashed(f"{seed}.deal", F.col("src"), F.col("block"), F.col("epoch")), "block", "epoch")
     numbered = instances.withColumn("place", F.row_number().over(turn) - 1)
     placed = checkpointed(numbered.join(F.broadcast(runs_df), "src").where("place >= lo and place < hi").select("src", "block", "epoch", "shard"))
@@ -163,4 +161,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     taken = rows.where("copies > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     out = taken.join(F.broadcast(placed) if light else placed, ["src", "block", "epoch"])
     key = hashed(f"{seed}.row", F.col("shard"), F.col("epoch"), F.col("doc_id"))
-    return out.withColumn("mix_key", key).select(*names, "shard", "mix_key")
+    return out.withColumn("mix_key", key).select(*rows.columns, "shard", "mix_key")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, shards: int = 8, seed: int = 9) -> DataFrame:
+    """The mixed rows: docs, all columns, a row for each taking, with shard int and mix_key long.
+
+    Rows of a shard in order of mix_key are its local shuffle.
+    """
+    docs = docs.drop("shard", "mix_key", "epoch")
+    rows, plan = planned(docs, weights, share, seed)
+    return deal(rows, plan, shards, seed).select(*docs.columns, "shard", "mix_key")

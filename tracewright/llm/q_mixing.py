@@ -3,14 +3,27 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
-from .mixing import planned
+from .common import Scratch, table
+from .mixing import deal, planned
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document: doc_id, size, source_size, target, taken."""
-    rows, _ = planned(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    """What the mix takes of each document: doc_id, size, source_size, target, taken.
+
+    The mix is made in full, texts, shards and keys, and its rows are counted: a taking that is lost or
+    doubled on the way to a shard shows in taken.
+    """
+    # numbered as it is read, so a row has the same number each time
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source").withColumn("row", F.monotonically_increasing_id())
+    rows, plan = planned(docs)
+    scratch = Scratch(spark)
+    facts = ["row", "doc_id", "size", "source_size", "target"]
+    mixed = scratch.keep(deal(rows, plan).select("row", "doc_id", "text", "source", "shard", "mix_key"), "mix")
+    # not cleared: the result reads them lazily
+    times = Scratch(spark).keep(mixed.groupBy("row").agg(F.count("*").alias("times")), "times")
+    scratch.clear()
+    taken = F.col("size") * F.coalesce(F.col("times"), F.lit(0))
+    return rows.select(*facts).join(times, "row", "left").select(*facts[1:], taken.alias("taken"))
 
 
 SQL = r"""
