@@ -33,6 +33,13 @@ def test_template_text_of_a_host_goes(spark):
     assert out[100].startswith("Welcome") and out[101] == ""
 
 
+def test_an_article_keeps_what_its_host_repeats(spark):
+    page = lambda i: f"<html><body><div><p>Site words</p></div><article><p>Part of a series</p><p>Story {i}</p><p>A passage shared by all</p></article></body></html>"
+    pages = spark.createDataFrame([(i, f"http://one.example.com/{i}", page(i)) for i in range(12)], "page_id long, url string, html string")
+    out = {r["page_id"]: r["text"] for r in html_template.extract(pages).collect()}
+    assert out == {i: f"Part of a series\n\nStory {i}\n\nA passage shared by all" for i in range(12)}
+
+
 def test_pages_of_the_generator(spark, small):
     out = queries.QUERIES["op4_html_main_text"](spark, small).toPandas()
     assert len(out) == spark.read.parquet(f"{small}/pages.parquet").count()

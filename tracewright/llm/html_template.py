@@ -7,8 +7,8 @@ are compared by a fingerprint, the sum over pages of count times a hash of the p
 partial aggregates: no host's pages are ever brought together. A class is valid if its tokens occur
 once a page in at least SUPPORT of the host's pages, and in LEAST_PAGES, and if it has two tokens.
 Valid classes nest by their paths into the host's template: tags of it cut a page into slots, text of it
-is constant. What is extracted are the slots that remain: those inside the article or main element, or
-without one those of no boilerplate role, less constant text and lists of links. A slot's role comes
+is constant. What is extracted are the slots and the constant text inside the article or main element, or
+without one the slots of no boilerplate role, less constant text and lists of links. A slot's role comes
 from the elements it stands in: navigation, headers, footers, asides, forms and the like by tag, role,
 class or id.
 
@@ -16,8 +16,8 @@ Text: character references decoded, white space inside a block one space, trimme
 order joined by a blank line. Inline tags neither part nor join; br is white space.
 
 Defined results: null html and pages without main text give an empty string. Pages of a null url are
-one host. Unclosed and stray tags are closed or skipped as HTML has it; a page whose article is constant
-throughout keeps it. Rows that repeat come back as often as they came.
+one host. Unclosed and stray tags are closed or skipped as HTML has it; a page without article or
+main whose text is constant throughout keeps it. Rows that repeat come back as often as they came.
 """
 
 from __future__ import annotations
@@ -164,10 +164,11 @@ def main_text(page: str | None, template: frozenset[int] | set[int] = frozenset(
         return ""
     _, blocks = read(page)
     kept = [b for b in blocks if not b.boiler]
-    if any(b.main for b in kept):
-        kept = [b for b in kept if b.main]
-    else:
-        kept = [b for b in kept if b.linked < 0.5]
+    main = [b for b in kept if b.main]
+    if main:
+        # what repeats across pages is still the article's
+        return "\n\n".join(b.text for b in main)
+    kept = [b for b in kept if b.linked < 0.5]
     varying = [b for b in kept if b.token not in template]
     return "\n\n".join(b.text for b in (varying or kept))
 
