@@ -40,6 +40,25 @@ def test_an_article_keeps_what_its_host_repeats(spark):
     assert out == {i: f"Part of a series\n\nStory {i}\n\nA passage shared by all" for i in range(12)}
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body class='single no-sidebar'><article><p>Text</p></article></body>",
+        "<html class='js sidebar'><body class='header-fixed'><p>Text</p></body></html>",
+        "<div id='page' class='with-sidebar'><p>Text</p></div>",
+        "<div id='page' class='sidebar-right'><main><article><p>Text</p></article></main><div class='sidebar'>side</div></div>",
+        "<main class='content has-comments'><p>Text</p></main>",
+        "<main class='content comments-open'><div class='wrap sidebar-left'><article class='post promo'><p>Text</p><div class='share'>Share</div></article></div></main>",
+        "<article><p>Text</p><div class='comments'><article class='comment'>Reader</article></div></article><div class='related-posts'><article>Other</article></div>",
+        "<div class='sidebar-right'><article><p>Text</p></article><div class='promo'><article>Other</article></div></div>",
+        "<div><p>Text</p></div><div id='comments'><article class='comment'>Reader</article></div>",
+        "<main><p>Text</p></main><aside><article>Other</article></aside>",
+    ],
+)
+def test_wrappers_with_boilerplate_words_keep_the_text(page):
+    assert html_template.main_text(page) == "Text"
+
+
 def test_pages_of_the_generator(spark, small):
     out = queries.QUERIES["op4_html_main_text"](spark, small).toPandas()
     assert len(out) == spark.read.parquet(f"{small}/pages.parquet").count()

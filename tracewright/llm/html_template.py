@@ -10,7 +10,10 @@ Valid classes nest by their paths into the host's template: tags of it cut a pag
 is constant. What is extracted are the slots and the constant text inside the article or main element, or
 without one the slots of no boilerplate role, less constant text and lists of links. A slot's role comes
 from the elements it stands in: navigation, headers, footers, asides, forms and the like by tag, role,
-class or id.
+class or id. Words that say what an element has or lacks ("no-sidebar") are no mark, nor is a class or id of
+html or body. An article or main ends the marks by class or id of the elements around it and isn't condemned by
+its own; of several articles those under the fewest such marks are the main text. Lists of comments or related
+pages hold articles that aren't: an article doesn't end their marks.
 
 Text: character references decoded, white space inside a block one space, trimmed, blocks in page
 order joined by a blank line. Inline tags neither part nor join; br is white space.
@@ -59,6 +62,10 @@ _BOILER_WORDS = frozenset(
     "header masthead topbar toolbar footer copyright legal disclaimer comment comments disqus reply replies respond share sharing social "
     "related recommended recommendations widget pagination pager search form skip tagcloud".split()
 )
+#: A class with such a part says what an element has or lacks.
+_STATES = frozenset("no not non without with has have".split())
+#: Elements of these words hold lists of articles.
+_LISTS = frozenset("comment comments disqus replies reply respond related recommended recommendations".split())
 _MAIN_TAGS = frozenset(("article", "main"))
 _WORD = re.compile(r"[a-z]+")
 
@@ -69,28 +76,53 @@ class Block:
     token: int
     boiler: bool
     main: bool
+    article: bool
+    rank: int
     linked: float
 
 
+@dataclass(slots=True)
 class _Open:
-    __slots__ = ("tag", "path", "boiler", "main", "link")
-
-    def __init__(self, tag, path, boiler, main, link):
-        self.tag, self.path, self.boiler, self.main, self.link = tag, path, boiler, main, link
-
-
-def _marks(tag: str, attrs: str) -> tuple[str, bool, bool]:
-    """The name of an element in paths, whether it is boilerplate, and whether it holds the main text."""
+    """An open element. hard, soft: boilerplate by tag, role or hidden, by class or id; rank: class or id marks that
+    an article or main has ended; lists: it stands in a list of articles."""
+
+    tag: str
+    path: str
+    hard: bool = False
+    soft: bool = False
+    lists: bool = False
+    rank: int = 0
+    main: bool = False
+    article: bool = False
+    link: bool = False
+    marks: int = 0
+
+
+def _entered(top: _Open, tag: str, attrs: str) -> _Open:
+    """The element that a start tag opens inside top."""
     found = {m[0].lower(): (m[1] or m[2] or m[3]).lower() for m in _ATTR.findall(attrs)} if attrs.strip() else {}
-    words = set(_WORD.findall(f"{found.get('class', '')} {found.get('id', '')}"))
+    names = f"{found.get('class', '')} {found.get('id', '')}".split() if tag not in ("html", "body") else ()
+    parts = [w for n in names if _STATES.isdisjoint(w := _WORD.findall(n))]
+    mark = any(not _BOILER_WORDS.isdisjoint(w) for w in parts)
     hidden = "hidden" in found or found.get("aria-hidden") == "true"
-    boiler = tag in _BOILER_TAGS or hidden or found.get("role") in _BOILER_ROLES or not words.isdisjoint(_BOILER_WORDS)
-    return f"{tag}.{found.get('class', '')}", boiler, tag in _MAIN_TAGS or found.get("role") == "main"
+    hard = top.hard or tag in _BOILER_TAGS or hidden or found.get("role") in _BOILER_ROLES
+    is_main, is_article = tag == "main" or found.get("role") == "main", tag == "article"
+    out = _Open(tag, f"{top.path}/{tag}.{found.get('class', '')}", hard, top.soft, top.lists, top.rank, top.main, top.article, top.link or tag == "a", top.marks + mark)
+    whole = not _LISTS.isdisjoint(names)
+    if (is_main and not top.main) or (is_article and not top.article and not top.lists and not whole):
+        out.soft, out.rank = False, out.marks
+        out.lists = out.lists and not is_main
+    else:
+        out.soft = top.soft or mark
+        out.lists = top.lists or mark and any(not _LISTS.isdisjoint(w) for w in parts)
+    if (is_main or is_article) and not hard and not out.soft:
+        out.main, out.article = True, out.article or is_article
+    return out
 
 
 def read(page: str) -> tuple[list[int], list[Block]]:
     """The tag tokens and the text blocks of a page."""
-    root = _Open("", "", False, False, False)
+    root = _Open("", "")
     stack, tags, blocks, parts, linked = [root], [], [], [], 0
 
     def flush() -> None:
@@ -98,9 +130,10 @@ def read(page: str) -> tuple[list[int], list[Block]]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
+                inner = stack[-1]
                 top = next((x for x in reversed(stack) if x.tag in _BLOCK), root)
                 token = xxhash.xxh3_64_intdigest(f"{top.path} {text}".encode("utf-8", "surrogatepass"))
-                blocks.append(Block(text, token, stack[-1].boiler, stack[-1].main, linked / max(1, sum(map(len, parts)))))
+                blocks.append(Block(text, token, inner.hard or inner.soft, inner.main, inner.article, inner.rank, linked / max(1, sum(map(len, parts)))))
             parts.clear()
         linked = 0
 
@@ -141,10 +174,8 @@ def read(page: str) -> tuple[list[int], list[Block]]:
             close("p", scope=_SCOPE)
         if tag in _CLOSES:
             close(*_CLOSES[tag], scope=_SCOPE)
-        name, boiler, main = _marks(tag, m[3])
-        top = stack[-1]
-        path = f"{top.path}/{name}"
-        tags.append(xxhash.xxh3_64_intdigest(path.encode("utf-8", "surrogatepass")))
+        entered = _entered(stack[-1], tag, m[3])
+        tags.append(xxhash.xxh3_64_intdigest(entered.path.encode("utf-8", "surrogatepass")))
         if tag in _RAW:
             end = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
@@ -153,7 +184,7 @@ def read(page: str) -> tuple[list[int], list[Block]]:
             if tag == "br":
                 parts.append(" ")
             continue
-        stack.append(_Open(tag, path, top.boiler or boiler, top.main or main and not boiler, top.link or tag == "a"))
+        stack.append(entered)
     flush()
     return tags, blocks
 
@@ -167,7 +198,8 @@ def main_text(page: str | None, template: frozenset[int] | set[int] = frozenset(
     main = [b for b in kept if b.main]
     if main:
         # what repeats across pages is still the article's
-        return "\n\n".join(b.text for b in main)
+        least = min(b.rank for b in ([b for b in main if b.article] or main))
+        return "\n\n".join(b.text for b in main if b.rank <= least)
     kept = [b for b in kept if b.linked < 0.5]
     varying = [b for b in kept if b.token not in template]
     return "\n\n".join(b.text for b in (varying or kept))
