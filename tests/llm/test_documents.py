@@ -243,6 +243,28 @@ def test_lcs():
         assert decontam.lcs(decontam.masks_of(ids), len(ids), [ord(c) for c in b]) == table[-1][-1]
 
 
+@pytest.mark.parametrize(("least", "most", "replaced"), [(4, 10, 0.0), (8, 20, 0.2)])
+def test_recall_of_a_thousand_short_items(spark, least, most, replaced):
+    """Items planted whole, or with a share of the words before the answer replaced, all come back."""
+    rng = np.random.default_rng(5)
+    weight = 1 / np.arange(10, 20_010)
+    draw = lambda n: [f"w{x}" for x in rng.choice(20_000, n, p=weight / weight.sum())]
+    items, docs = [], []
+    for i in range(1000):
+        words = draw(int(rng.integers(least, most + 1)))
+        # the answer is the last word, in a sentence of its own
+        items.append((i, " ".join(words[:-1]) + ". " + words[-1]))
+        other = list(words)
+        for k in rng.permutation(len(words) - 1)[: int(replaced * len(words))]:
+            other[k] = f"foreign{k}"
+        at = int(rng.integers(0, 120))
+        docs.append((i, " ".join(draw(at) + other + draw(120 - at))))
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).select("doc_id", "item_id").collect()}
+    found = sum((i, i) in got for i in range(1000))
+    print(f"recall of items of {least} to {most} words, {replaced:.0%} replaced: {found} of 1000; rows in all: {len(got)}")
+    assert found == 1000
+
+
 # --- mixing -------------------------------------------------------------------------------------
 
 

@@ -13,6 +13,10 @@ have a place in the vectors, so the vocabulary is bounded by the benchmark.
    DIRECTIONS of them, keep an item and a passage that holds it close in the latent space.
 4. Windows of each document, long enough to hold an item wherever it starts, are compared with the
    items in the latent space, a batch of windows by a matrix product.
+   Of an item of at most SHORT words such a window is mostly foreign text, and its cosine can be low. So
+   these are also looked for by their rarest words, in windows that fit them: a match has LCS_SHARE of an
+   item's n words, so it has HITS of the rarest n - LCS_SHARE n + HITS, and a window of n words and half
+   as many more before and after. No window that verifies is missed by this.
 5. Each candidate is verified: longest common subsequence of item and window, as a share of the item,
    and the same of the item's answer, its last sentence. Both allow for inserted, dropped and replaced
    words, that is, for paraphrases.
@@ -49,6 +53,9 @@ LEAST_WORDS = 4
 COSINE = 0.4
 LCS_SHARE = 0.7
 ANSWER_SHARE = 0.7
+#: Items of so many words at most have windows of CHUNKs that may be foreign for the greater part.
+SHORT = CHUNK + 1
+HITS = 3
 
 _SPACED = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -250,6 +257,44 @@ def _latent(encoded: DataFrame, items: Items) -> tuple[np.ndarray, np.ndarray]:
     return idf, (q @ vectors[:, ::-1][:, :RANK]).astype(np.float32)
 
 
+def _anchors(words: list[list[int]], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the items of at most SHORT words: the rarest words that a match must have HITS of.
+
+    Words ascending with the item and the place in it of each, and HITS (all that a match has, if fewer) of each item.
+    """
+    rows, hits = [], np.ones(len(words), dtype=np.int64)
+    for j, own in enumerate(words):
+        if 0 < len(own) <= SHORT:
+            need = next(k for k in range(1, len(own) + 1) if k / len(own) >= LCS_SHARE)
+            hits[j] = min(HITS, need)
+            rare = sorted(range(len(own)), key=lambda k, own=own: -idf[own[k]])[: len(own) - need + hits[j]]
+            rows += [(own[k], j, k) for k in rare]
+    word, item, place = (np.array(c, dtype=np.int64) for c in (zip(*sorted(rows), strict=True) if rows else [()] * 3))
+    return word, item, place, hits
+
+
+def _fitted(text: np.ndarray, anchors: tuple, sizes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """item, start, end and first anchor of the windows of text (words of documents in a row, -1 for words of no item) that have enough anchors."""
+    word, item, place, hits = anchors
+    lo, n = np.searchsorted(word, text), np.searchsorted(word, text, "right")
+    n -= lo
+    at = np.flatnonzero(n)
+    n, lo = n[at], lo[at]
+    pos = np.repeat(at, n)
+    row = np.arange(len(pos)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+    j, k = item[row], place[row]
+    order = np.lexsort((pos, j))
+    j, k, pos = j[order], k[order], pos[order]
+    slack = np.maximum(2, sizes[j] // 2)
+    last = np.arange(len(j)) + hits[j] - 1
+    inside = last < len(j)
+    last = np.minimum(last, len(j) - 1)
+    start = pos - k - slack
+    good = inside & (j[last] == j) & (pos[last] < start + sizes[j] + 2 * slack)
+    found = np.unique(np.stack([j[good], start[good], (start + sizes[j] + 2 * slack)[good], pos[good]]), axis=1)
+    yield from zip(*found.tolist(), strict=True)
+
+
 def _search(encoded: DataFrame, items: Items, idf: np.ndarray, space: np.ndarray) -> DataFrame:
     weighted = (space * idf[:, None]).astype(np.float32)
     scales: dict[int, list[int]] = {}
@@ -261,14 +306,17 @@ def _search(encoded: DataFrame, items: Items, idf: np.ndarray, space: np.ndarray
         if words:
             x = weighted[words].sum(0)
             vectors[j] = x / max(1e-12, float(np.linalg.norm(x)))
-    known = encoded.sparkSession.sparkContext.broadcast((items.item_ids, items.words, items.answers, weighted, idf > 0, scales, vectors))
+    anchors = _anchors(items.words, idf)
+    known = encoded.sparkSession.sparkContext.broadcast((items.item_ids, items.words, items.answers, weighted, idf > 0, scales, vectors, anchors))
 
     def run(batches):
-        item_ids, words_of, answers, w, used, by_scale, q = known.value
+        item_ids, words_of, answers, w, used, by_scale, q, anchors = known.value
+        sizes = np.array([len(x) for x in words_of])
         masks = [masks_of(x) for x in words_of]
         own_masks = [masks_of(x) for x in answers]
         most = max(by_scale, default=1)
-        for piece, _ in ((b, 0) for b in batches):
+        # cut as _units cuts, so that one piece gives one round of it
+        for piece, _ in slices(batches, "ids", 1 << 20):
             rows: list[tuple] = []
             for doc_ids, (first, end), words, unit, units in _units([piece], CHUNK, most - 1):
                 at = used[words]
@@ -297,6 +345,22 @@ def _search(encoded: DataFrame, items: Items, idf: np.ndarray, space: np.ndarray
                         answer = lcs(own_masks[j], len(answers[j]), window) / len(answers[j])
                         if answer >= ANSWER_SHARE and share > found.get((doc, j), (0, 0))[1]:
                             found[doc, j] = (float(near[i, k]), share, answer)
+                raw = [np.frombuffer(x, dtype=np.int32) for x in piece.column(1).to_pylist()]
+                ends = np.cumsum([len(x) for x in raw])
+                for j, start, stop, hit in _fitted(np.concatenate(raw), anchors, sizes) if len(anchors[0]) else ():
+                    doc = int(np.searchsorted(ends, hit, "right"))
+                    if found.get((doc, j), (0, 0))[1] == 1.0:
+                        continue
+                    before = int(ends[doc]) - len(raw[doc])
+                    window = raw[doc][max(0, start - before) : stop - before]
+                    window = window[window >= 0].tolist()
+                    share = lcs(masks[j], len(words_of[j]), window) / len(words_of[j])
+                    if share < LCS_SHARE:
+                        continue
+                    answer = lcs(own_masks[j], len(answers[j]), window) / len(answers[j])
+                    if answer >= ANSWER_SHARE and share > found.get((doc, j), (0, 0))[1]:
+                        x = w[window].sum(0)
+                        found[doc, j] = (float(x @ q[j]) / max(1e-12, float(np.linalg.norm(x))), share, answer)
                 rows += [(doc_ids[d], item_ids[j], *x) for (d, j), x in found.items()]
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), *[pa.float64()] * 3), strict=True)], names=["doc_id", "item_id", "cosine", "lcs_share", "answer_share"])
