@@ -59,6 +59,14 @@ def test_wrappers_with_boilerplate_words_keep_the_text(page):
     assert html_template.main_text(page) == "Text"
 
 
+@pytest.mark.parametrize("mark", ['<svg class="i"/>', "<svg><path d=''/></svg>", "<math />", "<svg>", "<object data=x>", "<audio src=x>", "<video src=x>", "<canvas>", "<select>"])
+def test_raw_elements_without_an_end_tag(mark):
+    assert html_template.main_text(f"<article><p>One</p>{mark}<p>Two</p></article>") == "One\n\nTwo"
+    if mark.endswith("/>"):
+        assert html_template.main_text(f"<article><p>One</p>{mark}<p>Two</p><svg>x</svg><p>Three</p></article>") == "One\n\nTwo\n\nThree"
+    assert html_template.main_text("<article><p>One</p><script>var x;<p>Two</p></article>") == "One"
+
+
 def test_pages_of_the_generator(spark, small):
     out = queries.QUERIES["op4_html_main_text"](spark, small).toPandas()
     assert len(out) == spark.read.parquet(f"{small}/pages.parquet").count()

@@ -46,6 +46,9 @@ _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]
 # Fixed values of HTML: elements by how their tags are read.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg math canvas audio video object select".split())
+#: Raw elements that a slash closes, and those of which an unclosed one is skipped by its tag only.
+_FOREIGN = frozenset(("svg", "math"))
+_SKIPPED = _FOREIGN | frozenset("object audio video canvas select".split())
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html head li main menu nav ol p pre section summary table caption thead tbody tfoot tr td th ul button label legend".split()
@@ -147,7 +150,8 @@ def read(page: str) -> tuple[list[int], list[Block]]:
             if stack[i].tag in scope:
                 return
 
-    at = 0
+    # the next end tag of each raw element, -1 if there is none: unclosed ones don't search the page again
+    at, ends = 0, {}
     while at < len(page):
         m = _TAG.search(page, at)
         upto = m.start() if m else len(page)
@@ -177,8 +181,15 @@ def read(page: str) -> tuple[list[int], list[Block]]:
         entered = _entered(stack[-1], tag, m[3])
         tags.append(xxhash.xxh3_64_intdigest(entered.path.encode("utf-8", "surrogatepass")))
         if tag in _RAW:
-            end = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            if tag in _FOREIGN and m[3].endswith("/"):
+                continue
+            if tag not in ends or 0 <= ends[tag][0] < at:
+                end = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(page, at)
+                ends[tag] = end.span() if end else (-1, -1)
+            if ends[tag][0] >= 0:
+                at = ends[tag][1]
+            elif tag not in _SKIPPED:
+                at = len(page)
             continue
         if tag in _VOID or m[3].endswith("/") and tag not in _BLOCK:
             if tag == "br":
