@@ -28,6 +28,13 @@ def test_gold_file(spark, tmp_path):
     assert [r["value"] for r in bad.collect()] == ["broken line"]
 
 
+def test_gold_by_id_else_by_line_else_of_dev(spark, tmp_path):
+    (tmp_path / "dev.json").write_text(json.dumps([{"id": f"0_{i}", "question": "q", "query": "OWN"} for i in range(4)]))
+    (tmp_path / "gold.txt").write_text("LINE 0\te\t0_2\nLINE 1\te\tother\nLINE 2\te\tanother\nbroken\n")
+    samples = P.load(R.dev_json(spark, str(tmp_path / "dev.json")), R.gold_file(spark, str(tmp_path / "gold.txt"))[0])
+    assert {r["id"]: r["gold_sql"] for r in samples.collect()} == {"0_0": "LINE 0", "0_1": "LINE 1", "0_2": "LINE 0", "0_3": "OWN"}
+
+
 def test_json_and_tsv(spark, tmp_path):
     (tmp_path / "dev.json").write_text(json.dumps([{"id": "0_0", "question": "q", "question_toks": ["q"]}, {"id": "0_1", "question": "p"}]))
     assert R.dev_json(spark, str(tmp_path / "dev.json")).count() == 2

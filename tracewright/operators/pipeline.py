@@ -91,8 +91,11 @@ def prompt(question: Column, strategy: str) -> Column:
 
 
 def load(dev: DataFrame, gold: DataFrame, hardness: DataFrame | None = None, prebuilt: DataFrame | None = None) -> DataFrame:
-    """Samples: dev with gold SQL by id, else that of dev; hardness and prebuilt prompt by id with defaults."""
+    """Samples: dev with gold SQL by id, else by line where both have it, else that of dev; hardness and prebuilt prompt by id with defaults."""
     out = dev.join(gold.select("id", "gold_sql"), "id", "left")
+    if "line" in dev.columns and "line" in gold.columns:
+        by_line = gold.select(F.col("line").cast("long").alias("line"), F.col("gold_sql").alias("__by_line"))
+        out = out.join(by_line, "line", "left").withColumn("gold_sql", F.coalesce("gold_sql", "__by_line"))
     if hardness is not None:
         out = out.join(hardness.select("id", "hardness"), "id", "left")
     if prebuilt is not None:

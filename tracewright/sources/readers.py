@@ -32,7 +32,8 @@ def register(log: DataFrame, name: str = "event_log") -> None:
 
 def dev_json(spark: SparkSession, path: str) -> DataFrame:
     """An array of questions, one file."""
-    return spark.read.schema(DEV).json(path, multiLine=True)
+    # a multi-line file is read by one task, in order
+    return spark.read.schema(DEV).json(path, multiLine=True).withColumn("line", F.monotonically_increasing_id())
 
 
 def gold_file(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
