@@ -12,7 +12,7 @@ Candidates. Sets of over `small` shingles are banded: 32 bands of 4 compressed r
 Jaccard 0.8 shares a band but with probability (1 - 0.8**4)**32 = 5e-8. Smaller sets, whose buckets
 would stay empty, take an exact way: the rarest shingles, as many as any link must meet (a prefix
 filter in the order of hashed counts). Sets from percent * small up do both, so that no pair falls between.
-Equal sets are one representative, its least doc_id, before any of this.
+Equal sets are one node, known by their fingerprint, before any of this.
 
 Links. A bucket of k members is never expanded into its pairs. Members first meet the bucket's hub;
 confirmed links are merged by distributed union-find; what can still be linked lies between members of
@@ -21,7 +21,8 @@ the rest is confirmed on the full sets, recomputed from the whole texts.
 
 Defined results: null or empty text, or text of white space, has 0 shingles and is its own component.
 A null doc_id isn't linked: its component_id is null and it is kept. Rows that repeat a doc_id with
-the same text come back as often as they came. Other columns of the input don't matter.
+the same text come back as often as they came; with other texts they are documents of their own, each
+linked by its own set. Other columns of the input don't matter.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -73,6 +74,8 @@ class Scheme:
 
 _SEEDS = np.array([xxhash.xxh3_64_intdigest(bytes([i]), seed=77) for i in range(16)], dtype=np.uint64)
 _U = np.uint64
+#: Joins the hash of a run of code points to that of what follows; odd.
+_FACTOR = 0x9E3779B97F4A7C15
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -108,24 +111,41 @@ def shingles(text: bytes | None, words: int) -> np.ndarray:
     return np.unique(_mix(h))
 
 
+def rolled(code: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of `size` of the code points. Runs are joined of halves, so the work grows with log(size)."""
+    h, out, done, n = _mix(code.astype(np.uint64) + _U(1)), None, 0, 1
+    while n <= size:
+        if size & n:
+            out = h if out is None else out[: max(0, len(h) - done)] * _U(pow(_FACTOR, n, 1 << 64)) + h[done:]
+            done += n
+        h = h[: max(0, len(h) - n)] * _U(pow(_FACTOR, n, 1 << 64)) + h[n:]
+        n *= 2
+    return _mix(out)
+
+
 def char_shingles(text: bytes | None, size: int) -> np.ndarray:
     """The sorted distinct hashes of runs of `size` code points of a whole UTF-8 text; one shorter run if it has fewer."""
-    code = np.frombuffer((text or b"").decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-    if not len(code):
-        return code
-    k = min(size, len(code))
-    h = np.full(len(code) - k + 1, k, dtype=np.uint64)
-    for i in range(k):
-        h = h * _U(0x9E3779B97F4A7C15) + code[i : len(code) - k + 1 + i]
-    return np.unique(_mix(h))
+    code = np.frombuffer((text or b"").decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32)
+    return np.unique(rolled(code, min(size, len(code)))) if len(code) else np.empty(0, dtype=np.uint64)
 
 
-def registers(held: np.ndarray, layers: int = 8) -> np.ndarray:
-    """The HyperMinHash registers of a set: uint16[layers * 16], EMPTY where a bucket got nothing."""
-    g = (_mix(held[None, :] ^ _SEEDS[:layers, None]) >> _U(32)).astype(np.uint32)
-    at = (g >> np.uint32(32 - BUCKET_BITS)).astype(np.intp) + (np.arange(layers) << BUCKET_BITS)[:, None]
-    least = np.full(layers << BUCKET_BITS, 0xFFFFFFFF, dtype=np.uint32)
-    np.minimum.at(least, at.ravel(), (g & np.uint32((1 << 32 - BUCKET_BITS) - 1)).ravel())
+def least_of(held: np.ndarray, owner: np.ndarray, n: int, layers: int) -> np.ndarray:
+    """The least remaining hash in each bucket of n sets: uint32[n, layers * 16], all bits where there is none.
+
+    owner names the set of each shingle; shingles that repeat do no harm. Of parts of a set take the minimum.
+    """
+    width = layers << BUCKET_BITS
+    least = np.full(n * width, 0xFFFFFFFF, dtype=np.uint32)
+    base = owner.astype(np.intp) * width
+    for layer in range(layers):
+        g = (_mix(held ^ _SEEDS[layer]) >> _U(32)).astype(np.uint32)
+        at = base + ((g >> np.uint32(32 - BUCKET_BITS)).astype(np.intp) + (layer << BUCKET_BITS))
+        np.minimum.at(least, at, g & np.uint32((1 << 32 - BUCKET_BITS) - 1))
+    return least.reshape(n, width)
+
+
+def packed(least: np.ndarray) -> np.ndarray:
+    """The HyperMinHash registers of least hashes: uint16, EMPTY where a bucket got nothing."""
     bits = np.frexp(least.astype(np.float64))[1]  # the bit length; exact below 2**53
     zeros = (32 - BUCKET_BITS) - bits
     shift = bits - 1 - MANTISSA
@@ -134,12 +154,23 @@ def registers(held: np.ndarray, layers: int = 8) -> np.ndarray:
     return np.where(least == 0xFFFFFFFF, EMPTY, (zeros << MANTISSA) | mantissa).astype(np.uint16)
 
 
+def registers(held: np.ndarray, layers: int = 8) -> np.ndarray:
+    """The HyperMinHash registers of one set: uint16[layers * 16]."""
+    return packed(least_of(held, np.zeros(len(held), dtype=np.intp), 1, layers))[0]
+
+
+def band_keys_of(regs: np.ndarray, layers: int) -> tuple[np.ndarray, np.ndarray]:
+    """int64[n, bands]: a key of each band, of registers of different layers; and which bands have any register filled."""
+    wide = regs.reshape(len(regs), layers, -1).transpose(0, 2, 1).reshape(len(regs), -1, ROWS).astype(np.uint64)
+    joined = wide[..., 0] | (wide[..., 1] << _U(16)) | (wide[..., 2] << _U(32)) | (wide[..., 3] << _U(48))
+    keys = _mix(_mix(joined) + np.arange(1, joined.shape[1] + 1, dtype=np.uint64))
+    return keys.view(np.int64), joined != _U(0xFFFFFFFFFFFFFFFF)
+
+
 def band_keys(regs: np.ndarray, layers: int = 8) -> np.ndarray:
-    """A 64-bit key of each band, of registers of different layers; bands without any register filled have none."""
-    wide = regs.reshape(layers, -1).T.reshape(-1, ROWS).astype(np.uint64)
-    packed = wide[:, 0] | (wide[:, 1] << _U(16)) | (wide[:, 2] << _U(32)) | (wide[:, 3] << _U(48))
-    keys = _mix(_mix(packed) + np.arange(1, len(wide) + 1, dtype=np.uint64)).view(np.int64)
-    return keys[packed != _U(0xFFFFFFFFFFFFFFFF)]
+    """The keys of the bands of one set; bands without any register filled have none."""
+    keys, filled = band_keys_of(regs[None], layers)
+    return keys[filled]
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
@@ -154,7 +185,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
 
 
 def sketches(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """doc_id, n (set size), fp (128-bit fingerprint of the set; null if empty), keys, regs, small.
+    """doc_id, hash (of the text), n (set size), fp (128-bit fingerprint of the set; null if empty), keys, regs, small.
 
     keys and regs are there for banded sets, small (all shingles) for those of the exact way.
     """
@@ -163,7 +194,7 @@ def sketches(docs: DataFrame, scheme: Scheme) -> DataFrame:
     def run(batches):
         for piece, _ in slices(batches, "text"):
             n, fp, keys, regs, small = [], [], [], [], []
-            for text in piece.column(1).to_pylist():
+            for text in piece.column(2).to_pylist():
                 held = scheme.shingles(text)
                 n.append(len(held))
                 fp.append(xxhash.xxh3_128_digest(held.data) if len(held) else None)
@@ -173,12 +204,21 @@ def sketches(docs: DataFrame, scheme: Scheme) -> DataFrame:
                 small.append(held.view(np.int64) if 0 < len(held) <= scheme.small else None)
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [piece.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(keys, longs), pa.array(regs, pa.binary()), pa.array(small, longs)],
-                names=["doc_id", "n", "fp", "keys", "regs", "small"],
+                [piece.column(0), piece.column(1), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(keys, longs), pa.array(regs, pa.binary()), pa.array(small, longs)],
+                names=["doc_id", "hash", "n", "fp", "keys", "regs", "small"],
             )
 
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return text.mapInArrow(run, "doc_id long, n long, fp binary, keys array<long>, regs binary, small array<long>")
+    return _hashed(docs).mapInArrow(run, "doc_id long, hash long, n long, fp binary, keys array<long>, regs binary, small array<long>")
+
+
+def _hashed(docs: DataFrame) -> DataFrame:
+    """doc_id, hash, text binary: texts of one doc_id are told apart by their hashes."""
+    text = F.col("text").cast("binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("hash"), text.alias("text"))
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(text.cast("binary"))
 
 
 def _cells(held: np.ndarray) -> np.ndarray:
@@ -333,39 +373,26 @@ def _prefix_pairs(members: DataFrame, texts: DataFrame, scheme: Scheme, keep: Sc
     return met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), either("n_a", "n_b").alias("n_a"), either("n_b", "n_a").alias("n_b"))
 
 
-def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
-    """A row for each row of docs(doc_id, text, ...): doc_id, n_shingles, component_id, kept."""
-    keep = Scratch(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sk = keep.keep(sketches(docs, scheme), "sketch")
-    sets = keep.keep(sk.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")), "sets")
-    # one row for each distinct set; a doc_id that repeats with several texts keeps each of its sets
-    reps = sk.withColumnRenamed("doc_id", "id").join(sets, ["fp", "id"]).dropDuplicates(["fp", "id"]).select("id", "n", "keys", "regs", "small")
-    reps = keep.keep(reps, "reps")
-    context = reps.sparkSession.sparkContext
-    counts = context.broadcast(_cell_counts(reps.where("small is not null").select("small"), lambda b: _lists(b.column(0))))
-    shared = _keys(reps, counts, scheme).groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("k")).where("k > 1").select("key", "hub")
-    shared = keep.keep(shared, "shared")
-    # most buckets have one member: these are sifted out before the buckets meet their hubs
-    wanted = context.broadcast(bitmap(shared, "key"))
-    found = keep.keep(_keys(reps, counts, scheme, wanted).join(shared, "key"), "buckets")
-    ids = bitmap(found, "id")
-    regs = keep.keep(sifted(reps.select("id", "n", "regs"), "id", ids), "registers")
-    n_hub = regs.select(F.col("id").alias("hub"), F.col("n").alias("n_hub"))
-    live = keep.keep(found.join(regs.select("id", "n"), "id").join(n_hub, "hub").select("key", "id", "n", "hub", "n_hub"), "live")
-    texts = sifted(docs.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text")), "id", ids)
-    texts = keep.keep(texts.dropDuplicates(["id"]), "texts")
+def linked(found: DataFrame, sets: DataFrame, texts: DataFrame, scheme: Scheme, keep: Scratch) -> DataFrame:
+    """(node, component) of every set that is linked to another; component is a node of it.
+
+    found(key, id, hub): the members of all buckets of several, hub being one of them; sets(id, n, regs)
+    and texts(id, text binary): those of found at least, a row each. The links are those of all
+    pairs that share a bucket, and of all pairs of members of buckets that hub links leave in parts.
+    """
+    n_hub = sets.select(F.col("id").alias("hub"), F.col("n").alias("n_hub"))
+    live = keep.keep(found.join(sets.select("id", "n"), "id").join(n_hub, "hub").select("key", "id", "n", "hub", "n_hub"), "live")
     links, tested, labels = [], [], None
 
     def labelled(label: str) -> DataFrame:
         """live with the component of each member, buckets of one component left out."""
         marked = live.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-        mixed = marked.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("size")).where("low < high")
-        return keep.keep(marked.join(mixed.select("key", "size"), "key"), label)
+        mixed = marked.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
+        return keep.keep(marked.join(mixed.select("key"), "key"), label)
 
     def tried(pairs: DataFrame) -> None:
         nonlocal labels
-        near = _plausible(pairs, regs, scheme)
+        near = _plausible(pairs, sets, scheme)
         for earlier in tested:
             near = near.join(earlier, ["a", "b"], "left_anti")
         tested.append(keep.keep(near, "pairs"))
@@ -381,9 +408,36 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
     # 3: whatever link is left lies between members of these buckets; an exact prefix join finds it
     members = labelled("rest3").select("id", "n", "c").distinct()
     tried(_prefix_pairs(members, texts, scheme, keep))
-    result = sk.select("doc_id", "n", "fp").join(sets, "fp", "left").join(labels.withColumnRenamed("node", "id"), "id", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id", "doc_id")).alias("component_id")
-    result = result.select("doc_id", F.col("n").alias("n_shingles"), component)
+    return labels
+
+
+def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
+    """A row for each row of docs(doc_id, text, ...): doc_id, n_shingles, component_id, kept, hash (text_hash of the text)."""
+    keep = Scratch(docs.sparkSession)
+    sk = keep.keep(sketches(docs, scheme), "sketch")
+    # a node for each distinct set; the document that is first shows it
+    sets = sk.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "hash")).alias("first"))
+    sets = keep.keep(sets.withColumn("id", F.monotonically_increasing_id()), "sets")
+    reps = sk.join(sets, "fp").where(F.struct("doc_id", "hash") == F.col("first")).dropDuplicates(["id"])
+    reps = keep.keep(reps.select("id", "doc_id", "hash", "n", "keys", "regs", "small"), "reps")
+    context = reps.sparkSession.sparkContext
+    counts = context.broadcast(_cell_counts(reps.where("small is not null").select("small"), lambda b: _lists(b.column(0))))
+    shared = _keys(reps, counts, scheme).groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("k")).where("k > 1").select("key", "hub")
+    shared = keep.keep(shared, "shared")
+    # most buckets have one member: these are sifted out before the buckets meet their hubs
+    wanted = context.broadcast(bitmap(shared, "key"))
+    found = keep.keep(_keys(reps, counts, scheme, wanted).join(shared, "key"), "buckets")
+    some = keep.keep(sifted(reps.select("id", "doc_id", "hash", "n", "regs"), "id", bitmap(found, "id")), "registers")
+    texts = sifted(_hashed(docs), "doc_id", bitmap(some, "doc_id")).join(some.select("id", "doc_id", "hash"), ["doc_id", "hash"])
+    texts = keep.keep(texts.select("id", "text").dropDuplicates(["id"]), "texts")
+    labels = linked(found, some.select("id", "n", "regs"), texts, scheme, keep)
+    named = labels.withColumnRenamed("node", "id").join(sets.select("id", F.col("first.doc_id").alias("own")), "id")
+    least = named.groupBy("component").agg(F.min("own").alias("least"))
+    of_set = sets.join(named.join(least, "component").select("id", "least"), "id", "left")
+    of_set = of_set.select("fp", F.coalesce("least", "first.doc_id").alias("of_set"))
+    result = sk.select("doc_id", "hash", "n", "fp").join(of_set, "fp", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("of_set", "doc_id")).alias("component_id")
+    result = result.select("doc_id", F.col("n").alias("n_shingles"), component, "hash")
     result = checkpointed(result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
     keep.clear()
-    return result
+    return result.select("doc_id", "n_shingles", "component_id", "kept", "hash")
