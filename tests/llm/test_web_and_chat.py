@@ -2,10 +2,12 @@
 
 import gzip
 import io
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
-from tracewright.llm import chat, html_template, queries, warc
+from tracewright.llm import chat, html_page, html_template, queries, warc
 
 
 # --- pages --------------------------------------------------------------------------------------
@@ -33,6 +35,73 @@ def test_template_text_of_a_host_goes(spark):
     assert out[100].startswith("Welcome") and out[101] == ""
 
 
+def texts_of(spark, rows):
+    return {r["page_id"]: r["text"] for r in html_template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_the_template_alone_finds_the_text(spark):
+    """Pages of the generator with all elements that mean something turned into div, without classes: the text is the same."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    plain = pages.withColumn("html", F.regexp_replace(F.regexp_replace("html", r"<(/?)(nav|article|footer|header|main|aside)\b", "<$1div"), r' class="[^"]*"', ""))
+    big = {r["host"] for r in pages.groupBy(html_template._host(F.col("url")).alias("host")).count().where("count >= 5").collect()}
+    assert big
+    rows = pages.select("page_id", html_template._host(F.col("url")).alias("host"), "html").collect()
+    want = {r["page_id"]: html_template.main_text(r["html"]) for r in rows if r["host"] in big}
+    got = {r["page_id"]: r["text"] for r in html_template.extract(plain).collect()}
+    assert {i: got[i] for i in want} == want
+    # without the template, and with another one, it is not
+    assert all(html_template.main_text(r["html"]) != want[r["page_id"]] for r in plain.select("page_id", html_template._host(F.col("url")).alias("host"), "html").collect() if r["host"] in big)
+    host = sorted(big)[0]
+    found = html_template.templates(plain).where(F.col("__host") == host).first()
+    assert found and len(found["tokens_of"]) > 10 and found["region"]
+    template = html_template.Template(dict(zip(found["tokens_of"], found["class_of"], strict=True)), {c: found["class_of"].count(c) for c in found["class_of"]}, {n: t for n, t in zip(found["numbers_of"], found["times_of"], strict=True) if t}, dict(zip(found["slots_of"], found["roles_of"], strict=True)), found["region"])
+    turned = html_template.Template(dict(zip(list(template.of)[1:] + list(template.of)[:1], template.of.values(), strict=True)), template.size, {n: t + 1 for n, t in template.times.items()}, {s + 1: r for s, r in template.roles.items()}, template.region + 2)
+    page = next(r["html"] for r in plain.withColumn("host", html_template._host(F.col("url"))).collect() if r["host"] == host)
+    assert html_template.main_text(page, template) in want.values() and html_template.main_text(page, turned) != html_template.main_text(page, template)
+
+
+def test_labels_that_occur_several_times_go(spark):
+    """A label three times on each of 12 pages, and one as often as there are entries, which differs by page."""
+    entry = lambda i, k: f"<div><b>Posted in:</b><p>Entry {k} of page {i}, told in words of its own {i * 7919 + k}</p></div>"
+    same_count = [(i, "http://a.example.com/", f"<body>{''.join(entry(i, k) for k in range(3))}</body>") for i in range(12)]
+    other_count = [(100 + i, "http://b.example.com/", f"<body>{''.join(entry(i, k) for k in range(2 + i % 4))}</body>") for i in range(12)]
+    out = texts_of(spark, same_count + other_count)
+    assert all("Posted" not in t and t.count("Entry") == (3 if i < 100 else 2 + i % 4) for i, t in out.items())
+
+
+def test_menus_inside_main_go_by_the_template(spark):
+    page = lambda i: f"<main><h2>Title {i}</h2><p>Story {i} with <a href=x>a link</a> and words enough</p><ul class='more-stories'>{''.join(f'<li><a href=y>Other story {i + k}</a></li>' for k in range(4))}</ul></main>"
+    out = texts_of(spark, [(i, "http://a.example.com/", page(i)) for i in range(12)])
+    assert out == {i: f"Title {i}\n\nStory {i} with a link and words enough" for i in range(12)}
+
+
+def test_small_hosts_and_hosts_of_copies(spark):
+    """Hosts of one or two pages, and of copies of one page that differ in one block, have no template: nothing varies enough to tell by."""
+    two = [(i, "http://two.example.com/", f"<body><div><p>Welcome</p><p>Story {i}</p></div><div class='cookie-notice'>Cookies</div></body>") for i in range(2)]
+    words = " ".join(f"w{k}" for k in range(80))
+    copies = [(100 + i, "http://copies.example.com/", f"<body><div><p>{words}</p><p>{words[::-1]}</p><p>Copy {i}</p></div></body>") for i in range(30)]
+    out = texts_of(spark, two + copies)
+    assert out[0] == "Welcome\n\nStory 0"
+    assert all(out[100 + i] == f"{words}\n\n{words[::-1]}\n\nCopy {i}" for i in range(30))
+
+
+def test_crossing_and_unordered_classes_are_no_template():
+    a, b = 10, 20
+    t = html_template.Template({1: a, 2: a, 3: a, 5: b, 6: b}, {a: 3, b: 2})
+    slots, spans, bad = html_template.cut([1, 7, 5, 8, 6, 2, 9, 3], t)
+    assert not bad and len(spans[a]) == 1 and len({slots[1], slots[3], slots[6]}) == 3 and slots[0] == html_template.CONSTANT
+    assert html_template.cut([1, 5, 2, 6, 3], t)[2] == {b}
+    assert html_template.cut([5, 5, 6], t)[2] == {b}
+
+
+@pytest.mark.parametrize("piece", ["<a x='y\" ", "<a x='y\" >", "<!", "<!--", "<", "<b>", "</x>", "<p><b>", "<a href='", "<script>", "<svg>", "<li>", "<div class=\"a", "<a class   ", "&amp"])
+def test_reading_takes_linear_time(piece):
+    """3 MB of what a reader might search again and again."""
+    start = time.time()
+    html_page.read(piece * (3_000_000 // len(piece)))
+    assert time.time() - start < 30
+
+
 def test_an_article_keeps_what_its_host_repeats(spark):
     page = lambda i: f"<html><body><div><p>Site words</p></div><article><p>Part of a series</p><p>Story {i}</p><p>A passage shared by all</p></article></body></html>"
     pages = spark.createDataFrame([(i, f"http://one.example.com/{i}", page(i)) for i in range(12)], "page_id long, url string, html string")
@@ -53,6 +122,10 @@ def test_an_article_keeps_what_its_host_repeats(spark):
         "<div class='sidebar-right'><article><p>Text</p></article><div class='promo'><article>Other</article></div></div>",
         "<div><p>Text</p></div><div id='comments'><article class='comment'>Reader</article></div>",
         "<main><p>Text</p></main><aside><article>Other</article></aside>",
+        "<body class='single right-sidebar'><article><p>Text</p></article></body>",
+        "<article><div class='side-by-side'>Te</div></article>".replace("Te", "Text"),
+        "<article><div class='share-price'>Text</div></article>",
+        "<article><p>Text</p><div class='share-buttons'>Share</div><div class='related-posts'>R</div><div class='cookie-notice'>C</div></article>",
     ],
 )
 def test_wrappers_with_boilerplate_words_keep_the_text(page):

@@ -1,279 +1,391 @@
 """Main text of web pages by equivalence-class template deduction.
 
-Tokens of a page are its tags and its text blocks, each with the path of elements it stands in (Arasu
-and Garcia-Molina, "Extracting structured data from web pages", 2003). Tokens of one host that occur
-equally often in each of its pages share an occurrence vector and form an equivalence class. Vectors
-are compared by a fingerprint, the sum over pages of count times a hash of the page, which adds up in
-partial aggregates: no host's pages are ever brought together. A class is valid if its tokens occur
-once a page in at least SUPPORT of the host's pages, and in LEAST_PAGES, and if it has two tokens.
-Valid classes nest by their paths into the host's template: tags of it cut a page into slots, text of it
-is constant. What is extracted are the slots and the constant text inside the article or main element, or
-without one the slots of no boilerplate role, less constant text and lists of links. A slot's role comes
-from the elements it stands in: navigation, headers, footers, asides, forms and the like by tag, role,
-class or id. Words that say what an element has or lacks ("no-sidebar") are no mark, nor is a class or id of
-html or body. An article or main ends the marks by class or id of the elements around it and isn't condemned by
-its own; of several articles those under the fewest such marks are the main text. Lists of comments or related
-pages hold articles that aren't: an article doesn't end their marks.
-
-Text: character references decoded, white space inside a block one space, trimmed, blocks in page
-order joined by a blank line. Inline tags neither part nor join; br is white space.
+After Arasu and Garcia-Molina, "Extracting structured data from web pages" (2003), for all hosts at once:
+
+1. Tokens (html_page.py): starts and ends of elements and blocks of text, by path. Tokens of a host that occur
+   equally often in each of its pages share an occurrence vector and form an equivalence class. Vectors hold
+   counts, not 0 and 1, and are compared by a fingerprint: the XOR over pages of a hash of page and count.
+2. Tokens that occur k times on most pages (SUPPORT of them) have k roles, by their order on the page: each is
+   a token of its own, once a page. A class is valid if it has two tokens and occurs in SUPPORT of the host's pages
+   and in LEAST_PAGES, if its tokens come in the same order on every page, and if its spans nest with those of
+   other classes; of two classes that cross, the one of fewer tokens goes. Of tokens that are once a page those go
+   that change their place among the others of their class.
+3. Valid classes nest into the host's template. A slot is a gap between two tokens of a class, inside the slot
+   that the span stands in.
+4. What a slot holds decides its role. Its novelty is the share of its text that isn't a repetition of text on
+   other pages, of any host. Slots that are mostly links are menus; slots of less than half the novelty of the
+   host's largest other slot hold what comes round: notices, adverts, footers; so do slots with less than a
+   tenth of the new text of the element that it stands in, unless they are in that element too. Text tokens of the template are constant.
+   All of that is cut, and what the remaining slots hold is the text of a page.
+
+All sums are partial aggregates by host and token, class or slot; no host's pages are brought together. What a
+host's template holds is bounded by the length of a page, as each of its tokens is in most of the host's pages.
+
+Inside an article or main element a template doesn't cut what is constant or comes round, for series and shared
+passages are the article's; it cuts menus there. Where a page has such an element the rest of the page is left
+out. Navigation, headers, footers, asides, forms and the like by tag or role are never text. Class names and
+ids (html_page.py) mark boilerplate that no template tells from text, such as reader comments, but not on html and
+body, nor on what an article or main stands in. If everything of a page is marked, the marks don't count.
+
+Hosts of fewer than LEAST_PAGES different pages, and those where less than VARYING of the text varies (they hold
+copies of one page), have no template: tags, roles and names decide there, and blocks that are mostly links go.
 
 Defined results: null html and pages without main text give an empty string. Pages of a null url are
-one host. Unclosed and stray tags are closed or skipped as HTML has it; a page without article or
-main whose text is constant throughout keeps it. Rows that repeat come back as often as they came.
+one host. Unclosed and stray tags are closed or skipped as HTML has it. Rows that repeat come back as often as
+they came; equal pages of a host count once for its template.
 """
 
 from __future__ import annotations
 
-import html as _html
-import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices
-
-SUPPORT, LEAST_PAGES = 0.9, 8
-#: Templates of so many tokens in all are broadcast (16 MB); more are joined by host.
-MOST_BROADCAST = 1_000_000
-
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-
-# Fixed values of HTML: elements by how their tags are read.
-_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg math canvas audio video object select".split())
-#: Raw elements that a slash closes, and those of which an unclosed one is skipped by its tag only.
-_FOREIGN = frozenset(("svg", "math"))
-_SKIPPED = _FOREIGN | frozenset("object audio video canvas select".split())
-_BLOCK = frozenset(
-    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
-    "header hgroup hr html head li main menu nav ol p pre section summary table caption thead tbody tfoot tr td th ul button label legend".split()
-)
-_CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "option": ("option",)}
-_SCOPE = frozenset("ul ol menu dl table article section div body main".split())
-
-# What marks boilerplate, and what marks the main text.
-_BOILER_TAGS = frozenset("nav header footer aside form button head dialog menu label legend fieldset".split())
-_BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-_BOILER_WORDS = frozenset(
-    "ad ads advert advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices "
-    "newsletter subscribe subscription signup login popup modal overlay sidebar side aside menu nav navbar navigation breadcrumb breadcrumbs "
-    "header masthead topbar toolbar footer copyright legal disclaimer comment comments disqus reply replies respond share sharing social "
-    "related recommended recommendations widget pagination pager search form skip tagcloud".split()
-)
-#: A class with such a part says what an element has or lacks.
-_STATES = frozenset("no not non without with has have".split())
-#: Elements of these words hold lists of articles.
-_LISTS = frozenset("comment comments disqus replies reply respond related recommended recommendations".split())
-_MAIN_TAGS = frozenset(("article", "main"))
-_WORD = re.compile(r"[a-z]+")
+from .common import Scratch, checkpointed, slices
+from .html_page import Token, read
+
+SUPPORT, LEAST_PAGES, VARYING = 0.9, 3, 0.2
+#: Templates of so many numbers in all are broadcast (16 MB); more are joined by host.
+MOST_BROADCAST = 2_000_000
+CONSTANT, LINKS, ROUND, MINOR = 0, 1, 2, 3
+#: In place of the characters of a text, what a token is.
+_TAG, _HARD, _END, _OPEN = -1, -2, -3, -4
 
 
 @dataclass
-class Block:
-    text: str
-    token: int
-    boiler: bool
-    main: bool
-    article: bool
-    rank: int
-    linked: float
-
-
-@dataclass(slots=True)
-class _Open:
-    """An open element. hard, soft: boilerplate by tag, role or hidden, by class or id; rank: class or id marks that
-    an article or main has ended; lists: it stands in a list of articles."""
-
-    tag: str
-    path: str
-    hard: bool = False
-    soft: bool = False
-    lists: bool = False
-    rank: int = 0
-    main: bool = False
-    article: bool = False
-    link: bool = False
-    marks: int = 0
-
-
-def _entered(top: _Open, tag: str, attrs: str) -> _Open:
-    """The element that a start tag opens inside top."""
-    found = {m[0].lower(): (m[1] or m[2] or m[3]).lower() for m in _ATTR.findall(attrs)} if attrs.strip() else {}
-    names = f"{found.get('class', '')} {found.get('id', '')}".split() if tag not in ("html", "body") else ()
-    parts = [w for n in names if _STATES.isdisjoint(w := _WORD.findall(n))]
-    mark = any(not _BOILER_WORDS.isdisjoint(w) for w in parts)
-    hidden = "hidden" in found or found.get("aria-hidden") == "true"
-    hard = top.hard or tag in _BOILER_TAGS or hidden or found.get("role") in _BOILER_ROLES
-    is_main, is_article = tag == "main" or found.get("role") == "main", tag == "article"
-    out = _Open(tag, f"{top.path}/{tag}.{found.get('class', '')}", hard, top.soft, top.lists, top.rank, top.main, top.article, top.link or tag == "a", top.marks + mark)
-    whole = not _LISTS.isdisjoint(names)
-    if (is_main and not top.main) or (is_article and not top.article and not top.lists and not whole):
-        out.soft, out.rank = False, out.marks
-        out.lists = out.lists and not is_main
-    else:
-        out.soft = top.soft or mark
-        out.lists = top.lists or mark and any(not _LISTS.isdisjoint(w) for w in parts)
-    if (is_main or is_article) and not hard and not out.soft:
-        out.main, out.article = True, out.article or is_article
+class Template:
+    """of: the class of each token; size: tokens of each class; times: how often a token of several roles occurs on a
+    page; roles: LINKS, ROUND or MINOR of slots that aren't text; region: the start of the element that MINOR doesn't
+    hold in, 0 if there is none; once: all tokens that are one of several roles."""
+
+    of: dict[int, int] = field(default_factory=dict)
+    size: dict[int, int] = field(default_factory=dict)
+    times: dict[int, int] = field(default_factory=dict)
+    roles: dict[int, int] = field(default_factory=dict)
+    region: int = 0
+    once: frozenset[int] = frozenset()
+
+    def __post_init__(self):
+        self.once = frozenset(_mixed(n, k + 1) for n, t in self.times.items() for k in range(t))
+
+
+def _mixed(*parts: int) -> int:
+    return xxhash.xxh3_64_intdigest(b"".join((x & (1 << 64) - 1).to_bytes(8, "little") for x in parts)) >> 1
+
+
+def with_roles(numbers: list[int], template: Template) -> list[int]:
+    """The tokens of a page, those of several roles told apart. A page where one occurs more or less often hasn't its roles."""
+    times = template.times
+    count: dict[int, int] = {}
+    for number in numbers:
+        if number in times:
+            count[number] = count.get(number, 0) + 1
+    turn, out = dict.fromkeys(count, 0), []
+    for number in numbers:
+        if number in count and count[number] == times[number]:
+            turn[number] += 1
+            number = _mixed(number, turn[number])
+        out.append(number)
     return out
 
 
-def read(page: str) -> tuple[list[int], list[Block]]:
-    """The tag tokens and the text blocks of a page."""
-    root = _Open("", "")
-    stack, tags, blocks, parts, linked = [root], [], [], [], 0
-
-    def flush() -> None:
-        nonlocal linked
-        if parts:
-            text = " ".join("".join(parts).split())
-            if text:
-                inner = stack[-1]
-                top = next((x for x in reversed(stack) if x.tag in _BLOCK), root)
-                token = xxhash.xxh3_64_intdigest(f"{top.path} {text}".encode("utf-8", "surrogatepass"))
-                blocks.append(Block(text, token, inner.hard or inner.soft, inner.main, inner.article, inner.rank, linked / max(1, sum(map(len, parts)))))
-            parts.clear()
-        linked = 0
-
-    def close(*names: str, scope: frozenset = frozenset()) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in names:
-                if any(x.tag in _BLOCK for x in stack[i:]):
-                    flush()
-                del stack[i:]
-                return
-            if stack[i].tag in scope:
-                return
-
-    # the next end tag of each raw element, -1 if there is none: unclosed ones don't search the page again
-    at, ends = 0, {}
-    while at < len(page):
-        m = _TAG.search(page, at)
-        upto = m.start() if m else len(page)
-        if upto > at:
-            piece = _html.unescape(page[at:upto])
-            parts.append(piece)
-            if stack[-1].link:
-                linked += len(piece)
-        if not m:
-            break
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            if tag in _BLOCK:
-                flush()
-            # an inline end tag doesn't close the block around it
-            close(tag, scope=frozenset() if tag in _BLOCK else _BLOCK)
-            tags.append(xxhash.xxh3_64_intdigest(f"{stack[-1].path}/{tag}>"))
-            continue
-        if tag in _BLOCK:
-            flush()
-            close("p", scope=_SCOPE)
-        if tag in _CLOSES:
-            close(*_CLOSES[tag], scope=_SCOPE)
-        entered = _entered(stack[-1], tag, m[3])
-        tags.append(xxhash.xxh3_64_intdigest(entered.path.encode("utf-8", "surrogatepass")))
-        if tag in _RAW:
-            if tag in _FOREIGN and m[3].endswith("/"):
-                continue
-            if tag not in ends or 0 <= ends[tag][0] < at:
-                end = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(page, at)
-                ends[tag] = end.span() if end else (-1, -1)
-            if ends[tag][0] >= 0:
-                at = ends[tag][1]
-            elif tag not in _SKIPPED:
-                at = len(page)
+def cut(tokens: list[int], template: Template) -> tuple[list[int], dict[int, list[list[int]]], set[int]]:
+    """The slot of each token, CONSTANT for the template's own; the tokens of each complete span by class; and the
+    classes that cross a larger one or begin a span anew before it is complete."""
+    of, size = template.of, template.size
+    # open spans: class, their tokens, address of the span
+    stack: list[tuple[int, list[int], int]] = []
+    slots, spans, bad, here = [], {}, set(), 1
+    for token in tokens:
+        c = of.get(token)
+        if c is None:
+            slots.append(here)
             continue
-        if tag in _VOID or m[3].endswith("/") and tag not in _BLOCK:
-            if tag == "br":
-                parts.append(" ")
-            continue
-        stack.append(entered)
-    flush()
-    return tags, blocks
-
-
-def main_text(page: str | None, template: frozenset[int] | set[int] = frozenset()) -> str:
-    """The main text of a page of a host with the given template tokens."""
+        slots.append(CONSTANT)
+        at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == c), -1)
+        if at >= 0 and token in stack[at][1]:
+            bad.add(c)
+            del stack[at:]
+            at = -1
+        if at < 0:
+            stack.append((c, [token], _mixed(here, c)))
+        else:
+            for crossed, *_ in stack[at + 1 :]:
+                bad.add(c if (size[c], c) < (size[crossed], crossed) else crossed)
+            del stack[at + 1 :]
+            stack[at][1].append(token)
+            if len(stack[at][1]) == size[c]:
+                spans.setdefault(c, []).append(stack.pop()[1])
+        here = _mixed(stack[-1][2], len(stack[-1][1])) if stack else 1
+    return slots, spans, bad
+
+
+def main_text(page: str | None, template: Template | None = None) -> str:
+    """The main text of a page of a host of the given template."""
     if not page:
         return ""
-    _, blocks = read(page)
-    kept = [b for b in blocks if not b.boiler]
-    main = [b for b in kept if b.main]
-    if main:
-        # what repeats across pages is still the article's
-        least = min(b.rank for b in ([b for b in main if b.article] or main))
-        return "\n\n".join(b.text for b in main if b.rank <= least)
-    kept = [b for b in kept if b.linked < 0.5]
-    varying = [b for b in kept if b.token not in template]
-    return "\n\n".join(b.text for b in (varying or kept))
+    tokens = read(page)
+    template = template or _NONE
+    roles = with_roles([t.number for t in tokens], template)
+    # blocks with the role of their slot, None for text
+    found: list[tuple[Token, int | None]] = []
+    end = None
+    for t, role, slot in zip(tokens, roles, cut(roles, template)[0], strict=True):
+        if t.opens and role == template.region:
+            end = t.number | 1
+        elif t.number == end:
+            end = None
+        if t.text is not None and not t.hard:
+            judged = CONSTANT if slot == CONSTANT else template.roles.get(slot)
+            found.append((t, None if judged == MINOR and end is not None else judged))
+    inside = [(t, r) for t, r in found if t.main]
+    if inside:
+        least = min(t.rank for t, _ in ([x for x in inside if x[0].article] or inside))
+        kept = [t for t, r in inside if t.rank <= least and r != LINKS]
+    elif template.of:
+        kept = [t for t, r in found if r is None]
+    else:
+        kept = [t for t, _ in found if 2 * t.linked < len(t.text)]
+    return "\n\n".join(t.text for t in [t for t in kept if not t.soft] or kept)
+
+
+_NONE = Template()
 
 
 def _host(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
+def _sizes(tokens: list[Token]) -> list[int]:
+    """Of each token the characters of its text, or what else it is; _HARD for text that is boilerplate by tag or role."""
+    return [(_OPEN if t.opens else _END if t.ends else _TAG) if t.text is None else _HARD if t.hard else len(t.text) for t in tokens]
 
 
-def tokens_of(pages: DataFrame) -> DataFrame:
-    """host, token, times, page (a hash): a row for each different token of each page."""
+def _read(pages: DataFrame) -> DataFrame:
+    """host, page (a hash of the page), numbers, sizes, linked, texts (hashes of blocks): the tokens of each page of each host."""
 
     def run(batches):
         for piece, _ in slices(batches, "html"):
-            hosts, token, times, page = [], [], [], []
-            for host, own, text in zip(*(c.to_pylist() for c in piece.columns), strict=True):
-                tags, blocks = read(text)
-                counts: dict[int, int] = {}
-                for t in (*tags, *(b.token for b in blocks)):
-                    counts[t] = counts.get(t, 0) + 1
-                hosts += [host] * len(counts)
-                token += map(_signed, counts)
-                times += counts.values()
-                page += [own] * len(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(token, pa.int64()), pa.array(times, pa.int64()), pa.array(page, pa.int64())], names=["host", "token", "times", "page"])
-
-    page = F.xxhash64("page_id", "url")
-    rows = pages.select(_host(F.col("url")).alias("host"), page.alias("page"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
-    return rows.mapInArrow(run, "host string, token long, times long, page long")
+            rows = [read(x) for x in piece.column(2).to_pylist()]
+            lists = [[t.number for t in r] for r in rows], [_sizes(r) for r in rows], [[t.linked for t in r] for r in rows], [[_text(t) for t in r] for r in rows]
+            kinds = pa.int64(), pa.int32(), pa.int32(), pa.int64()
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *(pa.array(x, pa.list_(k)) for x, k in zip(lists, kinds, strict=True))], names=["host", "page", "numbers", "sizes", "linked", "texts"])
 
+    html = F.coalesce(F.col("html"), F.lit(""))
+    rows = pages.select(_host(F.col("url")).alias("host"), F.xxhash64(html).alias("page"), html.alias("html"))
+    return rows.mapInArrow(run, "host string, page long, numbers array<long>, sizes array<int>, linked array<int>, texts array<long>")
 
-def templates(pages: DataFrame) -> DataFrame:
-    """host, tokens: the tokens of all valid equivalence classes of each host."""
-    seen = tokens_of(pages).groupBy("host", "token").agg(
-        F.count("*").alias("pages"), F.max("times").alias("most"), F.sum(F.expr("cast((times * (page % 2147483647)) as decimal(38, 0))")).alias("vector"), F.sum("times").alias("times")
+
+def _text(token: Token) -> int:
+    """A hash of a block's text, wherever it stands; 0 for others."""
+    return xxhash.xxh3_64_intdigest(token.text.encode("utf-8", "surrogatepass")) >> 1 if token.text is not None and not token.hard else 0
+
+
+def _runs(hosts: list[str]):
+    """Start and end of the runs of one host."""
+    starts = [i for i in range(len(hosts)) if not i or hosts[i] != hosts[i - 1]]
+    return zip(starts, [*starts[1:], len(hosts)], strict=True)
+
+
+def _classes(tokens: DataFrame, sizes: DataFrame) -> DataFrame:
+    """host, number, class, times of the tokens of each host that may form a template; times where it is the same on most pages."""
+
+    def run(batches):
+        for b in batches:
+            out: list[list] = [[], [], [], [], []]
+            column = b.column(2)
+            ends, flat = column.offsets.to_numpy(), column.values.to_numpy()
+            pages = b.column(1).to_numpy().view(np.uint64)
+            hosts = b.column(0).to_pylist()
+            for lo, hi in _runs(hosts):
+                own = np.repeat(np.arange(lo, hi), np.diff(ends[lo : hi + 1]))
+                (number, page), times = np.unique(np.stack([flat[ends[lo] : ends[hi]], own]), axis=1, return_counts=True)
+                if not len(times):
+                    continue
+                order = np.lexsort((times, number))
+                number, times, seen = number[order], times[order], pages[page[order]]
+                first = np.flatnonzero(np.r_[True, (number[1:] != number[:-1]) | (times[1:] != times[:-1])])
+                columns = [hosts[lo]] * len(first), number[first], times[first], np.diff(np.r_[first, len(times)]), np.bitwise_xor.reduceat(seen, first).view(np.int64)
+                for c, values in zip(out, columns, strict=True):
+                    c.extend(values)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.string(), *[pa.int64()] * 4), strict=True)], names=["host", "number", "times", "pages", "vector"])
+
+    counted = tokens.select("host", "page", "numbers").mapInArrow(run, "host string, number long, times long, pages long, vector long")
+    by_times = counted.groupBy("host", "number", "times").agg(F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"))
+    seen = by_times.groupBy("host", "number").agg(
+        F.sum("pages").alias("pages"), F.max(F.struct("pages", "times", "vector")).alias("most"), F.bit_xor(F.xxhash64("times", "vector")).alias("vector")
+    )
+    often = seen.join(sizes, "host").where((F.col("all") >= LEAST_PAGES) & (F.col("pages") >= SUPPORT * F.col("all")))
+    same = F.col("most.pages") >= SUPPORT * F.col("all")
+    # a class's name is its vector
+    name = F.when(same, F.xxhash64(F.lit("same"), "most.vector")).otherwise(F.col("vector"))
+    return often.select("host", "number", name.alias("class"), F.when(same, F.col("most.times")).alias("times"))
+
+
+def _with_roles(classes: DataFrame) -> DataFrame:
+    """host, token, class, number and times (null for tokens of varying counts): a row for each role of each token."""
+
+    def run(batches):
+        for b in batches:
+            rows = [(h, _mixed(n, i + 1) if t else n, c, n, t) for h, n, c, t in zip(*(x.to_pylist() for x in b.columns), strict=True) for i in range(t or 1)]
+            cols = zip(*rows, strict=True) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), *[pa.int64()] * 4), strict=True)], names=["host", "token", "class", "number", "times"])
+
+    return classes.select("host", "number", "class", "times").mapInArrow(run, "host string, token long, class long, number long, times long")
+
+
+def _gathered(classes: DataFrame) -> DataFrame:
+    """__host, tokens_of, class_of, numbers_of, times_of: a row for each host."""
+    rows = classes.groupBy("host").agg(F.collect_list(F.struct("token", "class", "number", "times")).alias("t"))
+    return rows.select(F.col("host").alias("__host"), F.col("t.token").alias("tokens_of"), F.col("t.class").alias("class_of"), F.col("t.number").alias("numbers_of"), F.col("t.times").alias("times_of"))
+
+
+_GATHERED = ["tokens_of", "class_of", "numbers_of", "times_of"]
+
+
+class _Templates:
+    """Templates of hosts, made once for each run of rows of a host."""
+
+    def __init__(self):
+        self.host, self.template = None, None
+
+    def of(self, host: str, columns: list, i: int) -> Template | None:
+        if host != self.host:
+            self.host, self.template = host, None
+            tokens, of, numbers, times, *roles = (c[i].as_py() for c in columns)
+            if tokens is not None:
+                size: dict[int, int] = {}
+                for c in of:
+                    size[c] = size.get(c, 0) + 1
+                known = {n: t for n, t in zip(numbers, times, strict=True) if t}
+                self.template = Template(dict(zip(tokens, of, strict=True)), size, known, *((dict(zip(roles[0] or (), roles[1] or (), strict=True)), roles[2]) if roles else ()))
+        return self.template
+
+
+def _with(rows: DataFrame, templates: DataFrame) -> DataFrame:
+    """rows with the template of their host; templates are broadcast where they are small."""
+    n = templates.agg(F.sum(F.size("tokens_of"))).first()[0] or 0
+    small = F.broadcast(templates) if n <= MOST_BROADCAST else templates
+    return rows.join(small, rows["host"] == small["__host"], "left").drop("__host")
+
+
+def _valid(tokens: DataFrame, classes: DataFrame, keep: Scratch) -> DataFrame:
+    """The rows of classes whose tokens keep one order and whose spans nest on all pages."""
+
+    def run(batches):
+        known = _Templates()
+        for b in batches:
+            # of a class of tokens that are once a page the least and greatest place of each; of others those of the order's hash
+            found: dict[tuple, list] = {}
+            for i, (host, numbers) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                template = known.of(host, b.columns[2:6], i)
+                page = with_roles(numbers, template)
+                _, spans, bad = cut(page, template)
+                for c in bad:
+                    found.setdefault((host, c, 0), [1 << 62, -1, False])[2] = True
+                for c, own in spans.items():
+                    places = enumerate(own[0]) if own[0][0] in template.once else ((_mixed(*x), 0) for x in own)
+                    for place, token in places:
+                        seen = found.setdefault((host, c, token), [place, place, False])
+                        seen[0], seen[1] = min(seen[0], place), max(seen[1], place)
+            rows = [(*k, *v) for k, v in found.items()]
+            cols = zip(*rows, strict=True) if rows else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), *[pa.int64()] * 4, pa.bool_()), strict=True)], names=["host", "class", "token", "low", "high", "bad"])
+
+    rows = _with(tokens.select("host", "numbers"), keep.keep(_gathered(classes), "candidates")).where("tokens_of is not null")
+    checked = rows.select("host", "numbers", *_GATHERED).mapInArrow(run, "host string, class long, token long, low long, high long, bad boolean")
+    found = keep.keep(checked.groupBy("host", "class", "token").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("bad").alias("bad")), "checked")
+    crossing = found.where("bad or (token = 0 and low <> high)").select("host", "class").distinct()
+    moving = found.where("token <> 0 and low <> high").select("host", "token")
+    return classes.join(crossing, ["host", "class"], "left_anti").join(moving, ["host", "token"], "left_anti")
+
+
+def _regions(numbers: list[int], roles: list[int], sizes: list[int], once: frozenset[int]) -> list[int]:
+    """The start of the innermost element of the template, of those once a page, that each token stands in; 0 without one."""
+    stack, out = [(0, 0)], []
+    for number, role, size in zip(numbers, roles, sizes, strict=True):
+        if size == _OPEN and role in once:
+            stack.append((number | 1, role))
+        elif size == _END and any(number == end for end, _ in stack):
+            while stack.pop()[0] != number:
+                pass
+        out.append(stack[-1][1])
+    return out
+
+
+def _roles(tokens: DataFrame, templates: DataFrame) -> DataFrame:
+    """__host, slots_of, roles_of, region, copies: slots of each host that don't hold text; whether the host has copies only."""
+
+    def run(batches):
+        known = _Templates()
+        for b in batches:
+            found: dict[tuple, list] = {}
+            for i, (host, numbers, sizes, linked, texts) in enumerate(zip(*(c.to_pylist() for c in b.columns[:5]), strict=True)):
+                template = known.of(host, b.columns[5:9], i)
+                page = with_roles(numbers, template)
+                regions = _regions(numbers, page, sizes, template.once)
+                for text, chars, links, slot, region in zip(texts, sizes, linked, cut(page, template)[0], regions, strict=True):
+                    if chars >= 0:
+                        own = found.setdefault((host, slot, text), [0, chars, links, region])
+                        own[0] += 1
+            rows = [(*k, *v) for k, v in found.items()]
+            cols = zip(*rows, strict=True) if rows else [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), *[pa.int64()] * 6), strict=True)], names=["host", "slot", "text", "n", "chars", "linked", "region"])
+
+    rows = _with(tokens.select("host", "numbers", "sizes", "linked", "texts"), templates).where("tokens_of is not null")
+    rows = rows.select("host", "numbers", "sizes", "linked", "texts", *_GATHERED).mapInArrow(run, "host string, slot long, text long, n long, chars long, linked long, region long")
+    texts = rows.groupBy("host", "slot", "text").agg(F.sum("n").alias("n"), F.max("chars").alias("chars"), F.max("linked").alias("linked"), F.max("region").alias("region"))
+    texts = texts.join(texts.groupBy("text").agg(F.sum("n").alias("everywhere")), "text")
+    slots = texts.groupBy("host", "slot").agg(
+        F.sum(F.col("n") * F.col("chars")).alias("all"), F.sum(F.col("n") * F.col("chars") / F.col("everywhere")).alias("new"), F.sum(F.col("n") * F.col("linked")).alias("linked"), F.max("region").alias("region")
     )
-    size = pages.groupBy(_host(F.col("url")).alias("host")).agg(F.count("*").alias("all"))
-    often = seen.join(size, "host").where((F.col("pages") >= LEAST_PAGES) & (F.col("pages") >= SUPPORT * F.col("all")) & (F.col("most") == 1))
-    classes = often.groupBy("host", "pages", "vector").agg(F.collect_list("token").alias("tokens")).where(F.size("tokens") >= 2)
-    return classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
+    menu, constant = F.col("linked") * 2 > F.col("all"), F.col("slot") == CONSTANT
+    slots = slots.withColumn("novelty", F.col("new") / F.col("all"))
+    top = slots.where(~menu & ~constant).groupBy("host").agg(F.max(F.struct("new", "slot", "novelty", "region")).alias("top"))
+    beside = slots.where(~menu & ~constant).join(top, "host").where("region = top.region").groupBy("host").agg(F.sum("new").alias("beside"))
+    round_, minor = F.col("novelty") * 2 < F.col("top.novelty"), F.col("new") * 10 < F.col("beside")
+    judged = slots.join(top.join(beside, "host"), "host", "left").withColumn("role", F.when(~constant, F.when(menu, LINKS).when(round_, ROUND).when(minor, MINOR)))
+    # what of a host's text, menus aside, isn't constant
+    varies = F.sum(F.when(~menu & ~constant, F.col("all")).otherwise(0)) / F.sum(F.when(~menu, F.col("all")).otherwise(0))
+    marked = F.collect_list(F.when(F.col("role").isNotNull(), F.struct("slot", "role"))).alias("r")
+    out = judged.groupBy("host").agg(marked, F.coalesce(F.max("top.region"), F.lit(0)).alias("region"), F.coalesce(varies < VARYING, F.lit(True)).alias("copies"))
+    return out.select(F.col("host").alias("__host"), F.col("r.slot").alias("slots_of"), F.col("r.role").alias("roles_of"), "region", "copies")
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """__host, tokens_of, class_of, numbers_of, times_of, slots_of, roles_of, region: the template of each host of pages(page_id, url, html) that has one."""
+    keep = Scratch(pages.sparkSession)
+    # equal pages of a host count once; their tokens are as long as a page's tags, so these rows may meet
+    tokens = keep.keep(_read(pages).dropDuplicates(["host", "page"]), "tokens")
+    sizes = tokens.groupBy("host").agg(F.count("*").alias("all"))
+    candidates = keep.keep(_several(_with_roles(_classes(tokens, sizes))), "classes")
+    gathered = keep.keep(_gathered(_several(_valid(tokens, candidates, keep))), "valid")
+    roles = _roles(tokens, gathered)
+    out = checkpointed(gathered.join(roles, "__host").where("not copies").drop("copies"))
+    keep.clear()
+    return out
+
+
+def _several(classes: DataFrame) -> DataFrame:
+    """Without the classes of one token."""
+    large = classes.groupBy("host", "class").agg(F.count("*").alias("k")).where("k > 1").drop("k")
+    return classes.join(large, ["host", "class"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages(page_id, url, html)."""
     pages = pages.select("page_id", "url", "html")
-    # not cleared: the result reads it lazily
-    found = Scratch(pages.sparkSession).keep(templates(pages), "templates")
-    tokens = found.agg(F.sum(F.size("tokens"))).first()[0] or 0
-    rows = pages.withColumn("host", _host(F.col("url"))).join(F.broadcast(found) if tokens <= MOST_BROADCAST else found, "host", "left")
+    rows = _with(pages.withColumn("host", _host(F.col("url"))), templates(pages))
 
     def run(batches):
-        last, template = None, frozenset()
-        for piece, _ in slices(batches, "html"):
-            out = []
-            for own, page in zip(piece.column(3), piece.column(2).to_pylist(), strict=True):
-                if own is not last:
-                    values = own.as_py()
-                    template = frozenset(x & ((1 << 64) - 1) for x in values or ())
-                out.append(main_text(page, template))
+        known = _Templates()
+        for piece, at in slices(batches, "html"):
+            hosts = piece.column(3).to_pylist()
+            out = [main_text(page, known.of(host, piece.columns[4:], i)) for i, (host, page) in enumerate(zip(hosts, piece.column(2).to_pylist(), strict=True))]
             yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return rows.select("page_id", "url", "html", "tokens").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.select("page_id", "url", "html", "host", *_GATHERED, "slots_of", "roles_of", "region").mapInArrow(run, "page_id long, url string, text string, n_chars long")
