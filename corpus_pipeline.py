@@ -14,19 +14,29 @@ from tracewright.llm.common import Scratch, checkpointed, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents in which no language can be told: null texts and texts without a letter."""
+    """Without the documents in no language that the model knows: null texts, texts without a letter, and those whose
+    kernel with every language is below langid.FLOOR. Where no row is labelled no language is known, and all texts with a letter stay.
+    """
     model = langid.learned_from(docs)
-    return langid.identify(docs, model).where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    found = langid.identify(docs, model)
+    letter = F.coalesce(F.col("text").rlike(langid.LETTER), F.lit(False))
+    known = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= langid.FLOOR) if model.langs else letter
+    return found.where(known).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that of least doc_id: five words, Jaccard 0.8.
 
-    Rows that repeat a doc_id are one document. A null doc_id can't be in a group and stays.
+    Rows that repeat a doc_id with the same text are one document, with the least of its other columns; with
+    other texts they are documents of their own. A null doc_id can't be in a group and stays.
     """
-    kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return named.union(docs.where("doc_id is null"))
+    found = minhash.near_duplicates(docs).where("first and doc_id is not null")
+    kept = found.groupBy("doc_id", "hash").agg(F.count("*").alias("__times")).select("doc_id", F.col("hash").alias("__hash"), "__times")
+    own = docs.where("doc_id is not null").withColumn("__hash", minhash.text_hash(F.col("text"))).join(kept, ["doc_id", "__hash"])
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    several = own.where("__times > 1").groupBy("doc_id", "__hash").agg(F.first("text").alias("text"), F.min(F.struct(F.lit(0).alias("__"), *others)).alias("__others"))
+    several = several.select("doc_id", "text", *[F.col("__others")[c].alias(c) for c in others])
+    return own.where("__times = 1").select(*docs.columns).unionByName(several).unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

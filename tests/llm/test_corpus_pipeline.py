@@ -5,7 +5,7 @@ from collections import Counter
 import corpus_pipeline as P
 from pyspark.sql import functions as F
 
-from tracewright.llm import decontam, langid
+from tracewright.llm import decontam
 
 
 def test_stages(spark, small, tmp_path):
@@ -43,7 +43,25 @@ def test_run_is_the_stages(spark, small):
     assert {"doc_id", "text", "shard", "slot"} <= set(out.columns) and out.count() > 0
 
 
-def test_only_undetermined_documents_are_rejected(spark, small):
+def test_only_documents_of_no_known_language_are_rejected(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     assert P.language_id(spark, docs, small).count() == docs.count()
-    assert langid.UNKNOWN == "und"
+    odd = [(1, None, "en", "s", 0), (2, "12 34 ...", "en", "s", 9), (3, "日本語のテキストです", "ja", "s", 10), (4, "Привет как дела сегодня", None, "s", 23), (5, "a plain text, as others", None, "s", 20)]
+    new = [(10**7 + i, *r) for i, *r in odd]
+    kept = P.language_id(spark, docs.where("lang is not null").union(spark.createDataFrame(new[1:], docs.schema).withColumn("lang", F.lit(None).cast("string"))), small)
+    assert {r["doc_id"] - 10**7 for r in kept.where("doc_id > 5000000").collect()} == {5}
+    # without a label no language is known, so only texts without a letter go
+    bare = spark.createDataFrame(odd, docs.schema).withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(r["doc_id"] for r in P.language_id(spark, bare, small).collect()) == [3, 4, 5]
+
+
+def test_near_dedup_keeps_unlike_texts_of_one_id(spark):
+    words = lambda c, n=40: " ".join(f"{c}{i}" for i in range(n))
+    rows = [(1, words("a"), "en", "s", 1), (2, words("a") + " more", "en", "s", 2), (2, words("b"), "en", "s", 3), (3, words("c"), "fr", "t", 5), (3, words("c"), "en", "s", 4), (4, words("d") + " x", "en", "s", 6), (4, words("d"), "en", "s", 7), (5, None, "en", "s", 8), (5, "", "en", "s", 9), (None, words("a"), "en", "s", 10)]
+    seen = []
+    for order in (rows, rows[::-1], rows[4:] + rows[:4]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+        seen.append(sorted(map(tuple, P.near_dedup(spark, docs, "").collect()), key=str))
+    # of the two like texts of document 4 one stays, of the equal rows of document 3 that of least other columns
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) == 7
+    assert {(r[0], r[4]) for r in seen[0]} >= {(1, 1), (2, 3), (3, 4), (5, 8), (5, 9), (None, 10)} and sum(r[0] == 4 for r in seen[0]) == 1

@@ -412,7 +412,11 @@ def linked(found: DataFrame, sets: DataFrame, texts: DataFrame, scheme: Scheme,
 
 
 def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
-    """A row for each row of docs(doc_id, text, ...): doc_id, n_shingles, component_id, kept, hash (text_hash of the text)."""
+    """A row for each row of docs(doc_id, text, ...): doc_id, n_shingles, component_id, kept, hash (text_hash of the text), first.
+
+    kept: the row has its component's least doc_id. first: it has the least text hash of those too, so that of each
+    component one text is first, also where a doc_id repeats with other texts.
+    """
     keep = Scratch(docs.sparkSession)
     sk = keep.keep(sketches(docs, scheme), "sketch")
     # a node for each distinct set; the document that is first shows it
@@ -431,13 +435,13 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
     texts = sifted(_hashed(docs), "doc_id", bitmap(some, "doc_id")).join(some.select("id", "doc_id", "hash"), ["doc_id", "hash"])
     texts = keep.keep(texts.select("id", "text").dropDuplicates(["id"]), "texts")
     labels = linked(found, some.select("id", "n", "regs"), texts, scheme, keep)
-    named = labels.withColumnRenamed("node", "id").join(sets.select("id", F.col("first.doc_id").alias("own")), "id")
-    least = named.groupBy("component").agg(F.min("own").alias("least"))
-    of_set = sets.join(named.join(least, "component").select("id", "least"), "id", "left")
-    of_set = of_set.select("fp", F.coalesce("least", "first.doc_id").alias("of_set"))
+    named = labels.withColumnRenamed("node", "id").join(sets, "id")
+    least = named.groupBy("component").agg(F.min("first").alias("least"))
+    of_set = sets.join(named.join(least, "component").select("id", "least"), "id", "left").select("fp", F.coalesce("least", "first").alias("least"))
     result = sk.select("doc_id", "hash", "n", "fp").join(of_set, "fp", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("of_set", "doc_id")).alias("component_id")
-    result = result.select("doc_id", F.col("n").alias("n_shingles"), component, "hash")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least.doc_id", "doc_id")).alias("component_id")
+    first = F.coalesce(F.struct("doc_id", "hash") == F.col("least"), F.lit(True)).alias("first")
+    result = result.select("doc_id", F.col("n").alias("n_shingles"), component, "hash", first)
     result = checkpointed(result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
     keep.clear()
-    return result.select("doc_id", "n_shingles", "component_id", "kept", "hash")
+    return result.select("doc_id", "n_shingles", "component_id", "kept", "hash", "first")

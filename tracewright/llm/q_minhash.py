@@ -8,7 +8,7 @@ from .minhash import Scheme, near_duplicates
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of linked documents: doc_id, n_shingles, component_id, kept."""
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), Scheme(size=4)).drop("hash")
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), Scheme(size=4)).drop("hash", "first")
 
 
 SQL = r"""
