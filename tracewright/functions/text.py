@@ -32,17 +32,28 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.round(F.coalesce(share, F.lit(0.0)), 6)
 
 
-def _factors(toks, threshold: float) -> float:
+class Factors:
     """Factors of one direction: each ends where the running ratio comes to the threshold; the rest counts in part."""
-    factors, seen, n = 0.0, set(), 0
-    for t in toks:
-        n += 1
-        seen.add(t)
-        if len(seen) / n <= threshold:
-            factors, seen, n = factors + 1, set(), 0
-    if n:
-        factors += (1 - len(seen) / n) / (1 - threshold)
-    return factors
+
+    def __init__(self, threshold: float = MTLD_THRESHOLD):
+        self.threshold, self.whole, self.seen, self.n, self.tokens = threshold, 0, set(), 0, 0
+
+    def add(self, toks) -> None:
+        for t in toks:
+            self.n += 1
+            self.tokens += 1
+            self.seen.add(t)
+            if len(self.seen) / self.n <= self.threshold:
+                self.whole, self.seen, self.n = self.whole + 1, set(), 0
+
+    def total(self) -> float:
+        return self.whole + ((1 - len(self.seen) / self.n) / (1 - self.threshold) if self.n else 0.0)
+
+
+def _factors(toks, threshold: float) -> float:
+    state = Factors(threshold)
+    state.add(toks)
+    return state.total()
 
 
 def mtld_of(toks, threshold: float = MTLD_THRESHOLD) -> float:
@@ -93,5 +104,17 @@ def group_of(utterance_id: Column) -> Column:
     return F.regexp_replace(utterance_id, r"_[^_]*$", "")
 
 
+def results_filename(model: Column) -> Column:
+    """The file of statements, a line a question."""
+    return F.concat(F.lit("RESULTS_MODEL-"), F.replace(model, F.lit("/"), F.lit("-")), F.lit(".txt"))
+
+
+def signed_p(p: Column) -> Column:
+    """A p-value with its mark: in powers of ten below 0.0001, else 4 digits; a dot between 0.05 and 0.1."""
+    text = F.when(p < 0.0001, F.format_string("%.2e", p)).otherwise(F.format_string("%.4f", p))
+    mark = F.when(p < 0.001, " ***").when(p < 0.01, " **").when(p < 0.05, " *").when(p < 0.1, " .").otherwise("")
+    return F.concat(text, mark)
+
+
 def stars(p: Column) -> Column:
     return F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("ns")

@@ -6,12 +6,14 @@ published ones are.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import sqltext as X
 from ..functions import text as T
+from .order import running
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -29,12 +31,11 @@ def describe(df: DataFrame, value: str) -> DataFrame:
 def quartiles(df: DataFrame, value: str) -> DataFrame:
     """q1, q3 by nearest rank: the values at n // 4 and 3 n // 4 of the sorted list, from 0.
 
-    percent_rank-free: values are counted first, so a running sum over different values finds both.
+    Values are counted first, so a running sum over different values finds both.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("k"))
-    order = W.orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    ranked = counts.withColumn("upto", F.sum("k").over(order)).withColumn("n", F.sum("k").over(W.partitionBy()))
-    return ranked.agg(F.min(F.when(F.col("upto") > F.expr("n div 4"), F.col("v"))).alias("q1"), F.min(F.when(F.col("upto") > F.expr("3 * n div 4"), F.col("v"))).alias("q3"))
+    ranked = running(counts, "k", "v")
+    return ranked.agg(F.min(F.when(F.col("upto") > F.expr("total div 4"), F.col("v"))).alias("q1"), F.min(F.when(F.col("upto") > F.expr("3 * total div 4"), F.col("v"))).alias("q3"))
 
 
 def positions(rows: DataFrame, group: str, order: str) -> DataFrame:
@@ -46,10 +47,17 @@ def positions(rows: DataFrame, group: str, order: str) -> DataFrame:
 def build(dev: DataFrame, gold: DataFrame, meta: DataFrame) -> DataFrame:
     """The corpus: dev(id, question, query, group_id, u_class), gold(id, gold_sql), meta(id, spider_class, domain_value_class).
 
-    Gold SQL by id, else that of dev; class `no_hardness` where meta has none.
+    Gold SQL by id, else by line where both have it, else that of dev; class `no_hardness` where meta has none. With a
+    column `utterance` meta's rows of an empty one are left out, before anything is counted.
     """
     group = F.coalesce("group_id", T.group_of(F.col("id")))
-    out = dev.join(gold, "id", "left").join(meta, "id", "left")
+    if "utterance" in meta.columns:
+        meta = meta.where(F.trim(F.coalesce("utterance", F.lit(""))) != "").drop("utterance")
+    out = dev.join(gold.select("id", "gold_sql"), "id", "left")
+    if "line" in dev.columns and "line" in gold.columns:
+        by_line = gold.select(F.col("line").cast("long").alias("line"), F.col("gold_sql").alias("__by_line"))
+        out = out.join(by_line, "line", "left").withColumn("gold_sql", F.coalesce("gold_sql", "__by_line"))
+    out = out.join(meta, "id", "left")
     return out.select(
         F.col("id").alias("utterance_id"), group.alias("group_id"), F.substring_index("id", "_", -1).cast("int").alias("position"), "question",
         F.coalesce("gold_sql", "query", F.lit("")).alias("gold_sql"), F.coalesce("u_class", F.lit("")).alias("u_class"),
@@ -95,8 +103,24 @@ def corpus_diversity(corpus: DataFrame) -> DataFrame:
 
 
 def corpus_mtld(corpus: DataFrame) -> DataFrame:
-    """MTLD of all utterances in order. It is a fold over one ordered list, serial by definition."""
-    return _ordered_tokens(corpus.withColumn("group_id", F.col("group_id").cast("int")), None).select(F.round(T.mtld("toks"), 4).alias("mtld"))
+    """MTLD of all utterances in order. It is a fold over one ordered list, serial by definition: one task reads the sorted
+    rows as a stream, once in each direction, and holds the different tokens since the last factor only."""
+    rows = corpus.select(F.col("group_id").cast("int").alias("g"), "position", T.tokens("question").alias("toks"))
+
+    def folded(order: list, backwards: bool) -> DataFrame:
+        def run(batches):
+            state = T.Factors()
+            for b in batches:
+                for toks in b["toks"]:
+                    state.add(toks[::-1] if backwards else toks)
+            yield pd.DataFrame({"n": [state.tokens], "factors": [state.total()]})
+
+        # partitions of a sorted frame are read one after the other
+        return rows.orderBy(*order).select("toks").coalesce(1).mapInPandas(run, "n long, factors double")
+
+    both = folded([F.col("g").asc(), F.col("position").asc()], False).union(folded([F.col("g").desc(), F.col("position").desc()], True))
+    n, mean = F.max("n"), F.avg("factors")
+    return both.agg(F.round(F.when((n >= 2) & (mean > 0), n / mean).otherwise(F.lit(0.0)), 4).alias("mtld"))
 
 
 def anchor_pairs(corpus: DataFrame) -> DataFrame:

@@ -8,13 +8,14 @@ import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from py4j.java_gateway import is_instance_of
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import dialect
 from ..functions import sqltext as X
+from .order import numbered_in_place
 
 TIMEOUT = 5.0
 HEAD = 5
@@ -32,6 +33,22 @@ class Execution:
     elapsed_ms: int = 0
 
 
+_PLANS = "org.apache.spark.sql.catalyst.plans.logical."
+
+
+def only_reads(spark: SparkSession, sql: str) -> bool:
+    """Whether no node of the parsed plan is a command or a statement that writes, wherever it stands, as behind a WITH."""
+    gateway = spark.sparkContext._gateway
+    left = [spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)]
+    while left:
+        node = left.pop()
+        if any(is_instance_of(gateway, node, _PLANS + kind) for kind in ("Command", "ParsedStatement", "InsertIntoDir")):
+            return False
+        for inner in (node.children(), node.innerChildren()):
+            left += [x for x in (inner.apply(i) for i in range(inner.size())) if is_instance_of(gateway, x, _PLANS + "LogicalPlan")]
+    return True
+
+
 class Executor:
     """Runs one query statement at a time against the views of a session; nothing else is let through."""
 
@@ -56,7 +73,10 @@ class Executor:
         context.setJobGroup(group, sql[:100], interruptOnCancel=True)
         timer.start()
         try:
-            rows = self.spark.sql(dialect.to_spark(sql) if self.sqlite else sql.rstrip("; \n"))
+            text = dialect.to_spark(sql) if self.sqlite else sql.rstrip("; \n")
+            if not only_reads(self.spark, text):
+                return Execution(False, error="not a single query statement", elapsed_ms=took())
+            rows = self.spark.sql(text)
             cells = normal_rows(rows).cache()
             return Execution(True, cells, tuple(rows.columns), cells.count(), elapsed_ms=took())
         except Exception as e:
@@ -68,10 +88,15 @@ class Executor:
 
 
 def normal_cell(c: Column, kind: T.DataType) -> Column:
-    """A cell as text: null is <null>, a whole float its integer, other floats 6 digits, booleans 1 or 0, else trimmed lower case."""
+    """A cell as text: null is <null>, a whole float its integer, other floats 6 digits, booleans 1 or 0, else trimmed lower case.
+
+    Infinite floats and NaN are inf, -inf and nan; minus zero is 0.
+    """
     if isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
-        d = c.cast("double")
-        text = F.when(d == F.floor(d), F.format_string("%.0f", d)).otherwise(F.format_string("%.6f", d))
+        d = c.cast("double") + F.lit(0.0)  # minus zero becomes zero
+        large = F.lit(float("inf"))
+        odd = F.when(F.isnan(d), "nan").when(d == large, "inf").when(d == -large, "-inf")
+        text = odd.otherwise(F.when(d == F.rint(d), F.format_string("%.0f", d)).otherwise(F.format_string("%.6f", d)))
     elif isinstance(kind, T.BooleanType):
         text = F.when(c, "1").otherwise("0")
     elif isinstance(kind, T.StringType):
@@ -94,7 +119,7 @@ def normal_rows(df: DataFrame) -> DataFrame:
 def same_rows(pred: DataFrame, gold: DataFrame, ordered: bool) -> bool:
     """Equal as lists if ordered, else as multisets, by grouped counts: no rows are collected."""
     if ordered:
-        number = lambda df, n: df.select(F.row_number().over(W.orderBy("place")).alias("i"), F.col("row").alias(n))
+        number = lambda df, n: numbered_in_place(df, "place").select("i", F.col("row").alias(n))
         off = number(pred, "p").join(number(gold, "g"), "i", "full").where(~F.col("p").eqNullSafe(F.col("g")))
     else:
         counts = lambda df, n: df.groupBy("row").agg(F.count("*").alias(n))

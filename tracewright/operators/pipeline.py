@@ -6,11 +6,13 @@ No model is reached from here: a generator is any callable of messages, and `ech
 from __future__ import annotations
 
 import json
-import os
+import subprocess
 import time
+import uuid
 from collections.abc import Callable, Iterator
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
+from typing import ClassVar
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,6 +49,20 @@ class RunConfig:
         return {k: "***REDACTED***" if k in ("api_key",) and v is not None else v for k, v in asdict(self).items()}
 
 
+@dataclass
+class Answer:
+    """What a generator may give in place of a text: the text, and counts and times by name."""
+
+    text: str
+    usage: dict = field(default_factory=dict)
+
+    #: Counts are whole numbers, all others are floats.
+    USAGE: ClassVar[dict[str, type]] = {
+        "prompt_tokens": int, "completion_tokens": int, "total_tokens": int, "prompt_n": int, "prompt_ms": float, "prompt_per_token_ms": float,
+        "prompt_per_second": float, "predicted_n": int, "predicted_ms": float, "predicted_per_token_ms": float, "predicted_per_second": float,
+    }
+
+
 class AuthError(Exception):
     """The endpoint refuses the credentials: the run ends."""
 
@@ -102,7 +118,7 @@ def load(dev: DataFrame, gold: DataFrame, hardness: DataFrame | None = None, pre
         out = out.join(prebuilt.select("id", F.col("prompt").alias("prebuilt_prompt")), "id", "left")
     text = lambda c, d: F.coalesce(F.col(c), F.lit(d)).alias(c) if c in out.columns else F.lit(d).alias(c)
     group = F.coalesce("group_id", F.substring_index("id", "_", 1)).alias("group_id")
-    return out.select("id", group, "question", text("db_id", "event_log"), F.coalesce("gold_sql", "query", F.lit("")).alias("gold_sql"), text("hardness", "no_hardness"), text("prebuilt_prompt", ""))
+    return out.select("id", group, "question", text("db_id", "event_log"), F.coalesce("gold_sql", "query", F.lit("")).alias("gold_sql"), text("hardness", "no_hardness"), text("prebuilt_prompt", ""), *[c for c in ("line",) if c in out.columns])
 
 
 def echo(messages: Messages) -> str:
@@ -110,14 +126,15 @@ def echo(messages: Messages) -> str:
     return "```sql\nSELECT COUNT(*) FROM event_log;\n```"
 
 
-def generate(samples: DataFrame, generator: Callable[[Messages], str], retries: int = 3, pause: float = 1.5) -> DataFrame:
-    """samples with raw_response, latency_ms, error. Calls run on the executors, a batch of rows at a time.
+def generate(samples: DataFrame, generator: Callable[[Messages], str | Answer], retries: int = 3, pause: float = 1.5, abort: bool = False) -> DataFrame:
+    """samples with raw_response, latency_ms, error, and the counts and times of Answer. Calls run on the executors, a batch of
+    rows at a time.
 
     Rate limits and transient failures are tried again, a refused credential ends the job, anything else
-    becomes the row's error.
+    becomes the row's error. With abort a task asks no more after its first error; the rows it leaves out aren't in the result.
     """
 
-    def ask(messages: Messages) -> tuple[str, float, str | None]:
+    def ask(messages: Messages) -> tuple[str | Answer, float, str | None]:
         start = time.monotonic()
         for turn in range(retries + 1):
             try:
@@ -132,12 +149,23 @@ def generate(samples: DataFrame, generator: Callable[[Messages], str], retries:
         return "", (time.monotonic() - start) * 1000, f"{type(last).__name__}: {last}"
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        failed = False
         for part in parts:
-            found = [ask([dict(m.asDict() if hasattr(m, "asDict") else m) for m in ms]) for ms in part.pop("m")]
-            part["raw_response"], part["latency_ms"], part["error"] = ([f[i] for f in found] for i in range(3))
-            yield part
-
-    return samples.select("id", F.col("prompt_messages").alias("m")).mapInPandas(run, "id string, raw_response string, latency_ms double, error string").join(samples, "id")
+            rows = []
+            for ident, messages in zip(part["id"], part["m"], strict=True):
+                if failed and abort:
+                    break
+                answer, took, error = ask([dict(m.asDict() if hasattr(m, "asDict") else m) for m in messages])
+                failed = failed or error is not None
+                answer = answer if isinstance(answer, Answer) else Answer(answer)
+                usage = [None if answer.usage.get(k) is None else kind(answer.usage[k]) for k, kind in Answer.USAGE.items()]
+                rows.append((ident, answer.text, took, error, *usage))
+            yield pd.DataFrame(rows, columns=names).astype(object)
+
+    names = ["id", "raw_response", "latency_ms", "error", *Answer.USAGE]
+    kinds = ", ".join(f"{k} {'long' if kind is int else 'double'}" for k, kind in Answer.USAGE.items())
+    asked = samples.select("id", F.col("prompt_messages").alias("m")).mapInPandas(run, f"id string, raw_response string, latency_ms double, error string, {kinds}")
+    return asked.join(samples, "id")
 
 
 def score(generated: DataFrame, cfg: RunConfig) -> DataFrame:
@@ -159,35 +187,63 @@ def experiment(spark: SparkSession, cfg: RunConfig) -> str:
     return f"{cfg.results_root}/{cfg.language}/{spark.range(1).select(name).first()[0]}"
 
 
-def run(spark: SparkSession, samples: DataFrame, generator: Callable[[Messages], str], cfg: RunConfig) -> dict:
-    """The whole run over samples: writes predictions, scores and metadata; gives the metadata.
+def _commit() -> str | None:
+    """The commit of the working folder, if it is a checkout."""
+    try:
+        return subprocess.run(["git", "rev-parse", "HEAD"], capture_output=True, text=True, timeout=10, check=True).stdout.strip() or None
+    except (OSError, subprocess.SubprocessError):
+        return None
+
 
-    With resume, ids of the predictions file are skipped, and totals cover all of the file.
+def _score_files(spark: SparkSession, scored: DataFrame, folder: str, model: str, mode: str = "append") -> None:
+    for metric in ("em", "ex"):
+        if metric in scored.columns:
+            name = spark.range(1).select(T.scores_filename(F.lit(model), F.lit(metric.upper()))).first()[0]
+            sinks.scores(scored, f"{folder}/{name}", metric, mode)
+
+
+def run(spark: SparkSession, samples: DataFrame, generator: Callable[[Messages], str | Answer], cfg: RunConfig, dataset: str | None = None) -> dict:
+    """The whole run over samples: writes predictions, scores, statements and metadata; gives the metadata.
+
+    Answers are written before they are scored, so that none is asked for again when an executor is lost later. With
+    resume, ids of the predictions file are skipped, and totals cover all of the file. With on_error `abort` the run
+    ends at an error: what was answered is written, and RuntimeError names the sample. dataset: the file that
+    the samples are from, whose SHA-256 the metadata holds.
     """
     folder = experiment(spark, cfg)
-    os.makedirs(folder, exist_ok=True)
-    meta = {"experiment_name": folder.rpartition("/")[2], "config": cfg.public(), "started_at": datetime.now(UTC).isoformat(), "finished_at": None}
-    sinks.metadata(meta, f"{folder}/run_meta.json")
+    path, raw = f"{folder}/predictions.jsonl", f"{folder}/.answers-{uuid.uuid4().hex}"
+    sha = readers.fingerprint(spark, dataset).first()["sha256"] if dataset else None
+    meta = {"experiment_name": folder.rpartition("/")[2], "config": cfg.public(), "started_at": datetime.now(UTC).isoformat(), "finished_at": None, "git_sha": _commit(), "dataset_sha256": sha}
+    sinks.metadata(spark, meta, f"{folder}/run_meta.json")
     if cfg.limit is not None:
         samples = samples.orderBy("id").limit(cfg.limit)
-    path = f"{folder}/predictions.jsonl"
-    if cfg.resume and os.path.exists(path):
+    every = samples
+    if cfg.resume and sinks.exists(spark, path):
         samples = samples.join(readers.completed_ids(spark, path), "id", "left_anti")
     built = samples.withColumn("prompt_messages", F.when(F.col("prebuilt_prompt") != "", F.array(F.struct(F.lit("user").alias("role"), F.col("prebuilt_prompt").alias("content")))).otherwise(prompt(F.col("question"), cfg.prompt)))
-    done = score(generate(built, generator), cfg).cache()
-    sinks.append_jsonl(done.drop("group_id", "prebuilt_prompt"), path)
-    for metric in ("em", "ex"):
-        if metric in done.columns:
-            name = spark.range(1).select(T.scores_filename(F.lit(cfg.model), F.lit(metric.upper()))).first()[0]
-            sinks.scores(done, f"{folder}/{name}", metric)
+    generate(built, generator, abort=cfg.on_error == "abort").write.parquet(raw)
+    done = score(spark.read.parquet(raw), cfg).cache()
+    sinks.append_jsonl(done.drop("group_id", "prebuilt_prompt", "line"), path)
+    _score_files(spark, done, folder, cfg.model)
+    stopped = done.where("error is not null").orderBy("id").first() if cfg.on_error == "abort" else None
     done.unpersist()
-    meta |= {"finished_at": datetime.now(UTC).isoformat(), **sinks.totals(readers.predictions(spark, path))}
-    sinks.metadata(meta, f"{folder}/run_meta.json")
+    sinks.discard(spark, raw)
+    stored = readers.predictions(spark, path)
+    name = spark.range(1).select(T.results_filename(F.lit(cfg.model))).first()[0]
+    order = "line" if "line" in every.columns else "id"
+    sinks.statements(every.select("id", *{order} - {"id"}).join(stored.select("id", "predicted_sql").dropDuplicates(["id"]), "id"), f"{folder}/{name}", order)
+    meta |= {"finished_at": datetime.now(UTC).isoformat(), **sinks.totals(stored)}
+    sinks.metadata(spark, meta, f"{folder}/run_meta.json")
+    if stopped:
+        raise RuntimeError(f"Aborting on error at {stopped['id']}: {stopped['error']}")
     return json.loads(json.dumps(sinks.plain(meta)))
 
 
-def rescore(spark: SparkSession, path: str, cfg: RunConfig) -> DataFrame:
-    """Stored predictions scored anew."""
+def rescore(spark: SparkSession, path: str, cfg: RunConfig, folder: str | None = None) -> DataFrame:
+    """Stored predictions scored anew; with a folder, its score files are written there, in place of earlier ones."""
     stored = readers.predictions(spark, path).select("id", "question", "hardness", "predicted_sql", "gold_sql", "error")
     out = E.exact_match(stored, "predicted_sql", "gold_sql").drop("normalized_pred", "normalized_gold")
-    return E.execution_accuracy(out, "predicted_sql", "gold_sql", cfg.sql_timeout) if cfg.metric != "EM" else out
+    out = E.execution_accuracy(out, "predicted_sql", "gold_sql", cfg.sql_timeout) if cfg.metric != "EM" else out
+    if folder:
+        _score_files(spark, out, folder, cfg.model, "overwrite")
+    return out

@@ -165,8 +165,11 @@ def cluster_bootstrap(sums: list, first: str, second: str, draws: int = DRAWS, s
         share = lambda k: w @ arrays[f"{c}_{k}_sum"] / (w @ arrays[f"{c}_{k}_n"])
         return 100 * (share("paraphrase") - share("base"))
 
-    w = rng.multinomial(n, np.full(n, 1 / n), size=draws).astype(float)
-    found = loss(w, second) - loss(w, first)
+    found = np.empty(draws)
+    step = max(1, (1 << 22) // n)  # draws at once: 32 MB of weights
+    for at in range(0, draws, step):
+        w = rng.multinomial(n, np.full(n, 1 / n), size=min(step, draws - at)).astype(float)
+        found[at : at + step] = loss(w, second) - loss(w, first)
     return {"mean": float(found.mean()), "ci_lo": float(np.percentile(found, 2.5)), "ci_hi": float(np.percentile(found, 97.5)), "p_boot": float((found <= 0).mean())}
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.order import numbered, numbered_in_place
+
 EVENT_LOG = "id bigint, activity string, timestamp timestamp_ntz, resource string, cost double, idcase string"
 DEV = "id string, group_id string, question string, question_toks array<string>, query string, db_id string, u_class string"
 SCORES = "run_id string, predicted string, gold string, difficulty string, score int"
@@ -41,7 +42,9 @@ def gold_file(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
     line counts from 0 over all lines, blank ones included; blank ones are neither gold nor rejects.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\r", ""), "\n")).alias("line", "value")).where(F.trim("value") != "")
+    # the parts of one file are read in order; only their counts meet
+    read = spark.read.option("lineSep", "\n").text(path).select(F.regexp_replace("value", "\r", "").alias("value"), F.monotonically_increasing_id().alias("__at"))
+    lines = numbered_in_place(read, "__at").select(F.col("i").cast("int").alias("line"), "value").where(F.trim("value") != "")
     parts = lines.withColumn("p", F.split("value", "\t"))
     good = parts.where(F.size("p") >= 3).select(F.col("p")[2].alias("id"), F.col("p")[1].alias("db_id"), F.col("p")[0].alias("gold_sql"), "line")
     return good, parts.where(F.size("p") < 3).select("line", "value")
@@ -53,16 +56,25 @@ def header_tsv(spark: SparkSession, path: str, quoted: bool = True) -> DataFrame
     return read.option("multiLine", True).csv(path) if quoted else read.option("quote", "").csv(path).na.drop(how="all")
 
 
+def _scores(spark: SparkSession, path: str, *more: Column) -> DataFrame:
+    """Rows of a headerless score table, quoting off: lines of more than five fields and blank ones are skipped, missing
+    fields are null, and a score is cut to a whole number, 0 if it isn't a number."""
+    lines = spark.read.text(path).select("value", *more).where(F.trim("value") != "").withColumn("p", F.split("value", "\t"))
+    names = [x.split()[0] for x in SCORES.split(", ")]
+    fields = [F.nullif(F.get("p", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names[:-1])]
+    number = F.expr("try_cast(trim(get(p, 4)) as double)")
+    score = F.when(number.isNull() | F.isnan(number), 0).otherwise(number).cast("int").alias(names[-1])
+    return lines.where(F.size("p") <= len(names)).select(*fields, score, *[c for c in lines.columns if c not in ("value", "p")])
+
+
 def score_tsv(spark: SparkSession, path: str) -> DataFrame:
-    """A headerless score table, quoting off, malformed lines skipped; question_id is what precedes the last underscore."""
-    rows = spark.read.schema(SCORES).option("sep", "\t").option("quote", "").option("mode", "DROPMALFORMED").csv(path)
-    return rows.withColumn("question_id", F.regexp_replace("run_id", r"_[^_]*$", ""))
+    """A score table; question_id is what precedes the last underscore."""
+    return _scores(spark, path).withColumn("question_id", F.regexp_replace("run_id", r"_[^_]*$", ""))
 
 
 def score_files(spark: SparkSession, folder: str, metric: str) -> DataFrame:
     """All score tables of a metric in a folder, with the model key found in each file's name."""
-    rows = spark.read.schema(SCORES).option("sep", "\t").option("quote", "").csv(f"{folder}/scores_*_{metric}.tsv")
-    return rows.withColumn("model_key", F.regexp_extract(F.input_file_name(), rf"scores_(.+)_{metric}\.tsv", 1))
+    return _scores(spark, f"{folder}/scores_*_{metric}.tsv", F.regexp_extract(F.input_file_name(), rf"scores_(.+)_{metric}\.tsv", 1).alias("model_key"))
 
 
 def side_by_side(results: dict[str, DataFrame], base: DataFrame, key: str = "id") -> DataFrame:
@@ -74,7 +86,7 @@ def side_by_side(results: dict[str, DataFrame], base: DataFrame, key: str = "id"
 
 def glued(left: DataFrame, right: DataFrame, order_left: str, order_right: str) -> DataFrame:
     """Two frames side by side by row position in the given orders, for files without an id."""
-    number = lambda df, by: df.withColumn("__i", F.row_number().over(W.orderBy(by)))
+    number = lambda df, by: numbered(df, by).withColumnRenamed("i", "__i")
     return number(left, order_left).join(number(right, order_right), "__i").drop("__i")
 
 

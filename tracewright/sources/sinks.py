@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import json
 import math
-from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -59,8 +58,29 @@ def plain(value: Any) -> Any:
     return None if isinstance(value, float) and math.isnan(value) else value
 
 
-def metadata(values: dict[str, Any], path: str) -> None:
-    Path(path).write_text(json.dumps(plain(values), indent=2))
+def _located(spark: SparkSession, path: str):
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    found, fs = _located(spark, path)
+    return fs.exists(found)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    found, fs = _located(spark, path)
+    fs.delete(found, True)
+
+
+def metadata(spark: SparkSession, values: dict[str, Any], path: str) -> None:
+    """One JSON file, in the file system that Spark finds the path in."""
+    found, fs = _located(spark, path)
+    out = fs.create(found, True)
+    try:
+        out.write(bytearray(json.dumps(plain(values), indent=2).encode()))
+    finally:
+        out.close()
 
 
 def report(title: str, df: DataFrame, rows: int = 50) -> None:
