@@ -62,11 +62,42 @@ def test_held_out_accuracy(spark, small):
     assert all(h == (zlib.crc32(str(i).encode()) % 3 == 1) for i, h in zip(m.doc_id, m.held_out, strict=True))
 
 
-def test_kernel_weights_equal_the_kernel():
-    """The multiplied-out weights give what landmarks one by one give."""
-    a, b = langid.presence(["das ist ein Haus", "this is a house"])
-    assert len(np.intersect1d(a, b)) > 0
-    assert list(langid.presence(["", "a"])[0]) == []
+def test_scores_are_those_of_the_kernel(spark):
+    """Kernel, Nystroem map and ridge regression one by one, with sets of n-grams, give what the multiplied-out weights give."""
+    rng = random.Random(4)
+    say = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    vocabulary = {"de": "das ist ein Haus und der Hund".split(), "en": "this is a house and the dog".split(), "fr": "ceci est une maison et le chien".split()}
+    rows = [(i, say(vocabulary[k], 3 + i % 9), k) for i, k in enumerate(list(vocabulary) * 8)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    grams = lambda t: {t.lower()[i : i + n] for n in range(1, 6) for i in range(len(t) - n + 1)}
+    kernel = lambda a, b: len(grams(a) & grams(b)) / (len(grams(a)) * len(grams(b))) ** 0.5
+    marks = [t for _, t, _ in rows]
+    k_mm = np.array([[kernel(a, b) for b in marks] for a in marks])
+    values, vectors = np.linalg.eigh(k_mm)
+    phi = k_mm @ (vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T)
+    target = np.array([[k == x for x in model.langs] for *_, k in rows], dtype=float)
+    weight = np.linalg.solve(phi.T @ phi + 0.1 * np.eye(len(marks)), phi.T @ target)
+    half = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
+    for t in ("the dog is a house", "das Haus", "une maison est un chien", "x"):
+        want = np.array([kernel(t, m) for m in marks]) @ half @ weight
+        langs, scores = langid.predict(model, [t])
+        assert langs == [model.langs[want.argmax()]] and abs(scores[0] - min(1, max(0, want.max()))) < 2e-3, (t, want, scores)
+
+
+def test_presence_in_windows_and_on_the_wire(monkeypatch):
+    """Cut into windows a text has the n-grams that it has whole; what is shipped as numbers or bits comes back."""
+    texts = ["", "a", "ab" * 50, "".join(chr(97 + i * i % 26) for i in range(1000)), "short one"]
+    want = langid.presence(texts)
+    for size in (7, 64, 999):
+        monkeypatch.setattr(langid, "PIECE", size)
+        assert all((a == b).all() for a, b in zip(want, langid.presence(texts), strict=True))
+    dense = np.arange(0, 1 << langid.BITS, 3)
+    assert all((langid._received(langid._shipped(g)) == g).all() for g in (*want, dense)) and len(langid._shipped(dense)) == 1 << langid.BITS - 3
+
+
+def test_dirty_languages_are_bounded(spark):
+    rows = [(i, f"text of the language number {i % 40}", f"l{i % 40:02}" if i % 3 else "en") for i in range(300)]
+    assert langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_langs=5).langs[0] == "en"
 
 
 def test_odd_languages(spark):
@@ -147,10 +178,43 @@ def test_registers_estimate():
         k = int(j * 1000)
         h = (1000 - k) // 2
         a, b = np.unique(u[: k + h]), np.unique(np.r_[u[:k], u[k + h :]])
-        found = minhash.estimate(minhash.registers(a)[None], minhash.registers(b)[None], np.array([len(a)]), np.array([len(b)]))
+        found = minhash.estimate(minhash.registers(a, minhash.Scheme())[None], minhash.registers(b, minhash.Scheme())[None], np.array([len(a)]), np.array([len(b)]))
         assert abs(found[0] - j) < 0.15
 
 
+def test_estimates_have_the_mean_and_spread_of_independent_buckets():
+    rng, found = np.random.default_rng(1), []
+    for _ in range(200):
+        u = rng.integers(0, 2**63, 1000).astype(np.uint64)
+        a, b = np.unique(u[:900]), np.unique(np.r_[u[:800], u[900:]])
+        found.append(minhash.estimate(minhash.registers(a, minhash.Scheme())[None], minhash.registers(b, minhash.Scheme())[None], np.array([900]), np.array([900]))[0])
+    assert abs(np.mean(found) - 0.8) < 0.01 and np.std(found) < 0.045
+
+
+def test_near_copies_around_the_threshold_equal_brute_force(spark):
+    """One large family of which many members are barely linked or not, and texts that hold another whole: all by brute force."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(220)]
+    texts = {i: " ".join(edited(rng, base, rng.choice([0.015, 0.02, 0.022, 0.025, 0.03]))) for i in range(400)}
+    texts |= {1000 + i: " ".join(base[: 220 - 11 * i] + [f"x{i}y{k}" for k in range(9 * i)]) for i in range(15)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()}
+    want = brute_components(list(texts), word_sets(texts, 5))
+    assert 20 < len(set(want.values())) < 400
+    assert got == want
+
+
+def test_one_id_with_two_texts_links_both(spark):
+    """Document 2 comes with two texts, near to document 1 and to document 3: no link is lost, in any order of rows."""
+    words = lambda c: [f"{c}{i}" for i in range(60)]
+    a, b = words("a"), words("b")
+    rows = [(1, a), (2, [*a[:-1], "x"]), (2, [*b[:-1], "y"]), (3, b), (4, ["other", "words"]), (4, ["unlike", "them"])]
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        docs = spark.createDataFrame([(i, " ".join(w)) for i, w in order], "doc_id long, text string").repartition(3)
+        got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs).collect())
+        assert got == [(1, 1, True), (2, 1, False), (2, 2, True), (3, 2, False), (4, 4, True), (4, 4, True)]
+
+
 def test_components_of_chains_and_stars(spark, monkeypatch):
     monkeypatch.setattr("tracewright.llm.components.LAST", 3)  # the distributed rounds do the work
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (3, 2), (2, 3), (500, None)]
@@ -163,6 +227,11 @@ def test_components_of_chains_and_stars(spark, monkeypatch):
 # --- lines --------------------------------------------------------------------------------------
 
 
+def decisions(decided):
+    """(doc_id, place) -> whether the line stays."""
+    return {(r["doc_id"], k): k in r["kept"] for r in decided.collect() for k in range(r["n_lines"])}
+
+
 def test_lines_equal_brute_force(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").limit(120)
     texts = sorted((r["doc_id"], r["text"]) for r in docs.collect())
@@ -195,15 +264,61 @@ def test_lines_equal_brute_force(spark, small):
     place = {j: first[n] for n, j in order.items()}
     want = {(i, k): not n or place[owner[n]] == (i, k) for i, k, n in every}
     decided = lines.dedup_lines(docs)
-    assert {(r["doc_id"], r["place"]): r["kept"] for r in decided.collect()} == want
+    assert decisions(decided) == want
     text = {r["doc_id"]: r["text"] for r in lines.rebuilt(docs, decided).collect()}
     assert text[10**6] == "A brand new line of words, fuzzy enough to count here\n" and text[10**6 + 1] is None
 
 
+def test_line_registers_are_those_of_line_sets(monkeypatch):
+    """Made for many lines at once, and for lines cut into windows, registers are those of each line's own set."""
+    rng, scheme = random.Random(3), lines.SCHEME
+    texts = ["".join(rng.choice("abcdé 😀") for _ in range(n)) for n in (8, 9, 40, 1000, 31, 200)]
+    for window in (1 << 18, 64, 16):
+        monkeypatch.setattr(lines, "WINDOW", window)
+        got, _ = lines.signed(texts, scheme)
+        assert all((g == minhash.registers(scheme.shingles(t.encode()), scheme)).all() for g, t in zip(got, texts, strict=True))
+
+
+def test_lines_of_few_shingles_take_the_exact_way():
+    few = lambda t: bool(len(lines._small_keys([t.encode()], lines.SCHEME)[0]) and (len(t) < 27 or lines.signed([t], lines.SCHEME)[1][0]))
+    assert few("a" * 500) and few("ab" * 40 + "x") and few("short")
+    assert not few("".join(chr(97 + i % 25) for i in range(80)))
+    for n in range(25, 34):
+        assert few("".join(map(chr, range(100, 100 + n)))) == (n - 7 <= 24)
+
+
+def test_repetitive_and_hot_lines(spark):
+    """Rules of one character, a hot line in most documents, its near copies, and lines of equal shingles."""
+    hot = "subscribe to our newsletter to get all the news of the day in your mailbox"
+    rows = [(i, f"{hot}\nthis is line number {i * 7919} of its own kind, unlike others {i * i * 31}\n{'-' * (40 + i % 3)}") for i in range(200)]
+    rows += [(1000 + i, f"{hot} x{i}") for i in range(30)]
+    out = decisions(lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert len(out) == 630 and out[0, 0] and out[0, 2]
+    assert not any(v for (_, p), v in out.items() if p == 2 and _ > 0)
+    assert not any(v for (d, p), v in out.items() if p == 0 and d > 0)
+
+
+def test_small_buffers_and_one_id_with_two_texts(spark, monkeypatch):
+    """Keys that go out from many buffers, and places told apart by the text they are in."""
+    monkeypatch.setattr(lines, "BUFFER", 1)
+    a, b = "the first line of one text, long enough to count as a line", "quite another line, of another text, nothing like the others"
+    docs = spark.createDataFrame([(7, f"{a}\n{b}"), (7, f"{b}\n{a} too"), (8, f"{b}!\n\nx"), (9, "x"), (7, f"{a}\n{b}")], "doc_id long, text string").coalesce(1)
+    decided = lines.dedup_lines(docs)
+    got = [(r["doc_id"], r["n_lines"], r["rows"]) for r in decided.collect()]
+    # of the two texts of 7 the least place, then the least hash of the text, owns a line
+    assert sorted(got) == [(7, 2, 1), (7, 2, 2), (8, 3, 1), (9, 1, 1)]
+    assert {r["doc_id"]: r["kept"] for r in decided.where("doc_id > 7").collect()} == {8: [1, 2], 9: []}
+    by_text = {r["text"]: r["text"].split("\n") for r in docs.collect()}
+    back = {r["text"] for r in lines.rebuilt(docs.withColumn("own", docs["text"]), decided).where("doc_id = 7").collect()}
+    assert back == {a, b} and len(by_text) == 4
+
+
 def test_odd_lines(spark):
-    out = lines.dedup_lines(frame(spark, ODD)).collect()
-    assert all(r["doc_id"] != 1 for r in out)
-    kept = {(r["doc_id"], r["place"]): r["kept"] for r in out}
+    decided = lines.dedup_lines(frame(spark, ODD))
+    kept = decisions(decided)
+    assert all(i != 1 for i, _ in kept) and decided.agg({"rows": "sum"}).first()[0] == len(ODD) - 1
+    back = lines.rebuilt(frame(spark, ODD), decided)
+    assert back.count() == len(ODD) and back.columns == frame(spark, ODD).columns
     assert kept[2, 0] and kept[3, 0] and kept[3, 1] and kept[7, 0] and kept[9, 0]
 
 

@@ -1,64 +1,356 @@
 """Fuzzy line deduplication over a corpus.
 
-A line is normalised (lower case, white space runs one space, trimmed). Equal lines are one; different
-ones are linked when the Jaccard index of their sets of 8-character shingles is 0.8 or more: HyperMinHash
-signatures of 4 layers, 16 bands of 4 registers, exact confirmation, distributed union-find (all of
-minhash.py, with its exact way for short lines). Of each component one line stays: that of least
-(doc_id, line number). Blank lines always stay.
+A line is normalised (lower case, runs of ASCII white space one space, trimmed). Equal lines are one;
+different ones are linked when the Jaccard index of their sets of 8-character shingles is 0.8 or more. Of
+each component of links one line stays: that of least (doc_id, place). Blank lines always stay.
 
-A line of Jaccard 0.8 shares a band with probability 1 - (1 - 0.8**4)**16 = 0.9998, of 0.85 and more with
-0.99999. Hot lines don't meet in a task: exact copies are counted by partial aggregates, and the join
-that brings components back to lines is one that Spark splits.
+Signatures. HyperMinHash registers of 2 layers of 32 buckets and 16 bands of 4 registers, as minhash.py
+has them, are made for all lines of a piece of text at once. A line of Jaccard 0.8 shares a band with
+probability 1 - (1 - 0.8**4)**16 = 0.9998, of 0.85 and more with 0.99999. Lines of at most `small` different
+shingles take an exact way: two that are linked share one of their n - ceil(0.8 n) + 1 shingles of least hash.
+
+Nearly no line has a partner, so no line is stored or shuffled. One pass over the texts ships a record of each
+line, its hashes and place, by which exact copies are one; and its keys, 16 bytes each, by which a task finds
+those that several lines have. A second pass fetches the few lines that have such a key.
+Links are confirmed on whole lines and united as in minhash.py.
+
+Hot lines and keys: copies within a piece are one line. A key goes out twice at most from a buffer of BUFFER
+keys, however many lines of it have the key; the others go out as members of their bucket, to any task. The
+joins that bring members to hubs and components back to documents are ones that Spark splits.
 
 Defined results: null text has no line; empty text has one, blank. A null doc_id sorts first, so its
-lines are kept before others. Rows that repeat a document repeat its places and keep the same lines.
+lines are kept before others. Rows that repeat a doc_id and its text keep the same lines; with other texts they are
+documents of their own. Lines are told apart by 128 bits; those that share the first 64 with another (of 10**9
+lines hardly one) are compared for equality only.
 """
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, checkpointed
-from .minhash import Scheme, near_duplicates
+from .bitmap import bitmap, passes, sifted
+from .common import Scratch, checkpointed, slices
+from .minhash import Scheme, _mix, band_keys_of, least_of, linked, packed, rolled, text_hash
+
+SCHEME = Scheme(size=8, unit="chars", layers=2, bits=5, small=24)
+#: Code points that are hashed at once: what a core's cache holds. Longer lines are cut into overlapping parts for it.
+WINDOW = 1 << 15
+#: Keys of a buffer, and bytes of records and keys that one task sorts, about.
+BUFFER, BYTES_A_TASK = 1 << 18, 32 << 20
+_U = np.uint64
+#: What is known of a line: hashes, and its least place: doc_id if there is one, the hash of that text, the number of the line.
+_RECORD = np.dtype([("h1", "<i8"), ("h2", "<i8"), ("has", "i1"), ("doc_id", "<i8"), ("place", "<i4"), ("hash", "<i8")])
+
+
+#: White space other than single spaces between words.
+_ODD = re.compile(rb"[\t\x0b\x0c\r]|  ")
+
+
+def lines_in(text: bytes) -> list[bytes]:
+    """The normalised lines of a UTF-8 text."""
+    low = text.lower() if text.isascii() else text.decode("utf-8", "replace").lower().encode("utf-8", "replace")
+    return [b" ".join(x.split()) for x in low.split(b"\n")] if _ODD.search(low) else [x.strip(b" ") for x in low.split(b"\n")]
+
+
+def hashes(lines: list[bytes]) -> np.ndarray:
+    """int64[n, 2]: the 128 bits by which lines are told apart."""
+    raw = b"".join([xxhash.xxh3_128_digest(x) for x in lines])
+    return np.frombuffer(raw, dtype=np.int64).reshape(-1, 2)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    own = docs.where("text is not null")
+    return own.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("hash"), F.col("text").cast("binary").alias("text"))
+
+
+def _windows(lines: list[str], size: int):
+    """Groups of about WINDOW code points of the texts: the text of each window of `size` code points, and its hash."""
+    held, length = [], 0
+
+    def out():
+        own = np.array([k for k, _ in held])
+        windows = np.array([len(x) - size + 1 for _, x in held])
+        h = rolled(np.frombuffer("".join([x for _, x in held]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32), size)
+        part = np.repeat(np.arange(len(held)), windows)
+        return np.repeat(own, windows), h[np.arange(len(part)) + part * (size - 1)]
+
+    for k, x in enumerate(lines):
+        for i in range(0, len(x) - size + 1, WINDOW):
+            part = x[i : i + WINDOW + size - 1]
+            if held and length + len(part) > WINDOW:
+                yield out()
+                held, length = [], 0
+            held.append((k, part))
+            length += len(part)
+    if held:
+        yield out()
+
+
+def signed(lines: list[str], scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
+    """The registers of lines that have as many code points as a shingle at least, and whether each may have
+    at most `small` different shingles: one of the first small + 1 repeats."""
+    least = np.full((len(lines), scheme.registers), 0xFFFFFFFF, dtype=np.uint32)
+    few = np.zeros(len(lines), dtype=bool)
+    first = scheme.small + 1
+    for own, h in _windows(lines, scheme.size):
+        lo, hi = own[0], own[-1] + 1
+        least[lo:hi] = np.minimum(least[lo:hi], least_of(h, own - lo, hi - lo, scheme))
+        starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        enough = np.diff(np.r_[starts, len(own)]) >= first
+        ahead = np.sort(h[starts[enough][:, None] + np.arange(first)], axis=1)
+        few[own[starts[enough]]] |= (ahead[:, 1:] == ahead[:, :-1]).any(axis=1)
+        few[own[starts[~enough]]] = True
+    return packed(least, scheme), few
+
+
+def _small_keys(lines: list[bytes], scheme: Scheme) -> list[np.ndarray]:
+    """The keys of the exact way of each line; none for lines of more than `small` shingles."""
+    out = []
+    for x in lines:
+        held = scheme.shingles(x)
+        key = held[: len(held) - scheme.least(len(held)) + 1] if len(held) <= scheme.small else held[:0]
+        out.append(_mix(key ^ _U(0x5851F42D4C957F2D)).view(np.int64))
+    return out
+
+
+def _keys(lines: list[bytes], own: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
+    """All keys of different lines, and the line's h1 of each."""
+    least = scheme.least(scheme.small + 1) + scheme.size - 1
+    texts = [x.decode() for x in lines]
+    long = np.fromiter(map(len, texts), dtype=np.int64, count=len(lines)) >= least
+    regs, few = signed([texts[i] for i in np.flatnonzero(long)], scheme)
+    keys, filled = band_keys_of(regs, scheme)
+    short = np.r_[np.flatnonzero(~long), np.flatnonzero(long)[few]]
+    exact = _small_keys([lines[i] for i in short], scheme)
+    return np.concatenate([keys[filled], *exact]), np.concatenate([np.repeat(own[long], filled.sum(1)), np.repeat(own[short], [len(k) for k in exact]).astype(np.int64)])
+
+
+def _runs(values: np.ndarray) -> np.ndarray:
+    """Where a run of equal values begins."""
+    return np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.empty(0, dtype=np.intp)
+
 
-SCHEME = Scheme(size=8, unit="chars", layers=4, small=24, slack=0.35)
+def _least_records(records: np.ndarray) -> np.ndarray:
+    """One record of each line, that of least place, in order of h1."""
+    records = records[np.lexsort([records[c] for c in ("hash", "place", "doc_id", "has", "h2", "h1")])]
+    return records[np.flatnonzero(np.r_[True, (records["h1"][1:] != records["h1"][:-1]) | (records["h2"][1:] != records["h2"][:-1])])] if len(records) else records
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, place (from 0), line as it is, norm."""
-    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    return rows.withColumn("norm", F.trim(F.regexp_replace(F.lower("line"), r"\s+", " ")))
+def _buckets(key: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs (key, own) in order, each once, with the place of its key's run and the starts of the runs."""
+    order = np.argsort(key, kind="stable")
+    key, own = key[order], own[order]
+    starts = _runs(key)
+    run = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(key)]))
+    if len(starts) < len(key):  # most keys are alone, so only the others need an order
+        several = np.flatnonzero(np.bincount(run)[run] > 1)
+        inner = several[np.lexsort((own[several], run[several]))]
+        own[several] = own[inner]
+    keep = np.r_[True, (key[1:] != key[:-1]) | (own[1:] != own[:-1])] if len(key) else np.empty(0, dtype=bool)
+    key, own = key[keep], own[keep]
+    starts = _runs(key)
+    return key, own, np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(key)])), starts
 
 
-def _keys() -> list:
-    """A 128-bit key of a normalised line; equal lines meet by it, without their texts."""
-    return [F.xxhash64("norm", F.lit(i)).alias(f"h{i}") for i in (1, 2)]
+#: Kinds of blocks: records of lines; of blank lines, and one for each row with minus the number of its lines as place;
+#: pairs (key, h1); and pairs that are known to be in a bucket of several.
+LINES, PAIRS, MEMBERS, BLANKS = 0, 1, 2, 3
+_REDUCED = "h1 long, h2 long, has boolean, doc_id long, place int, hash long, clash boolean, key long, id long, hub long"
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, place, kept for every line of docs(doc_id, text)."""
-    keep = Scratch(docs.sparkSession)
-    each = lines_of(docs)
-    places = each.where("norm <> ''").select(*_keys(), F.struct("doc_id", "place").alias("at"), "norm")
-    first = places.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.min_by("norm", "at").alias("norm"))
-    unique = keep.keep(first.withColumn("id", F.monotonically_increasing_id()), "lines")
-    parts = near_duplicates(unique.select(F.col("id").alias("doc_id"), F.col("norm").alias("text")), SCHEME).select(F.col("doc_id").alias("id"), "component_id")
-    mapped = unique.select("id", "h1", "h2", "at").join(parts, "id")
-    owner = mapped.groupBy("component_id").agg(F.min("at").alias("owner"))
-    # only lines that aren't their own owner need be known to go
-    owners = keep.keep(mapped.join(owner, "component_id").select("h1", "h2", "owner"), "owners")
-    narrow = each.select("doc_id", "place", (F.col("norm") == "").alias("blank"), *_keys())
-    out = narrow.join(owners, ["h1", "h2"], "left")
-    kept = F.col("blank") | (F.struct("doc_id", "place").eqNullSafe(F.col("owner")))
-    out = checkpointed(out.select("doc_id", "place", kept.alias("kept")))
+def _shipped(docs: DataFrame, scheme: Scheme, parts: int) -> DataFrame:
+    """part, kind, data: blocks of the records and keys of all lines, dealt to parts by h1 or key."""
+
+    def blocks(kind: int, by: np.ndarray, rows: np.ndarray):
+        part = _mix(by.view(np.uint64)) % _U(parts)
+        order = np.argsort(part, kind="stable")
+        rows, ends = rows[order], np.searchsorted(part[order], np.arange(parts + 1).astype(np.uint64))
+        there = np.flatnonzero(np.diff(ends))
+        for at in range(0, len(there), 1000):
+            some = there[at : at + 1000]
+            data = [rows[ends[i] : ends[i + 1]].tobytes() for i in some]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([kind] * len(some), pa.int32()), pa.array(data, pa.binary())], names=["part", "kind", "data"])
+
+    def put_out(records, blanks, keys, owners):
+        blanks = np.concatenate(blanks)
+        yield from blocks(BLANKS, np.ascontiguousarray(blanks["hash"]), blanks)
+        records = _least_records(np.concatenate(records))
+        yield from blocks(LINES, np.ascontiguousarray(records["h1"]), records)
+        key, own, run, starts = _buckets(np.concatenate(keys), np.concatenate(owners))
+        ends = np.r_[starts[1:], len(key)][: len(starts)] - 1
+        # of each key its least and its greatest line meet others; those between are members at any rate
+        outer = np.zeros(len(key), dtype=bool)
+        outer[starts] = outer[ends] = True
+        yield from blocks(PAIRS, key[outer], np.stack([key[outer], own[outer]], axis=1))
+        yield from blocks(MEMBERS, own[~outer], np.stack([key[~outer], own[~outer]], axis=1))
+
+    def run(batches):
+        records, blanks, keys, owners, size = [], [], [], [], 0
+        for piece, _ in slices(batches, "text"):
+            found = [lines_in(text) for text in piece.column(2).to_pylist()]
+            lines = [x for own in found for x in own]
+            n = np.array([len(x) for x in found])
+            h = hashes(lines)
+            full = np.fromiter(map(bool, lines), dtype=bool, count=len(lines))
+            record = np.zeros(len(lines), dtype=_RECORD)
+            doc = piece.column(0)
+            record["h1"], record["h2"] = h.T
+            record["has"] = np.repeat(np.asarray(doc.is_valid()), n)
+            record["doc_id"] = np.repeat(doc.fill_null(0).to_numpy(), n)
+            record["hash"] = np.repeat(piece.column(1).to_numpy(), n)
+            record["place"] = np.arange(len(lines)) - np.repeat(np.cumsum(n) - n, n)
+            records.append(record[full])
+            ends = np.cumsum(n) - 1
+            counts = record[ends]
+            counts["place"] = -n
+            blanks += [record[~full], counts]
+            at = dict(zip(lines, range(len(lines)), strict=True))
+            at.pop(b"", None)
+            key, own = _keys(list(at), h[list(at.values()), 0], scheme)
+            keys.append(key)
+            owners.append(own)
+            size += len(key) + len(lines)
+            if size > BUFFER:
+                yield from put_out(records, blanks, keys, owners)
+                records, blanks, keys, owners, size = [], [], [], [], 0
+        if records:
+            yield from put_out(records, blanks, keys, owners)
+
+    return _texts(docs).mapInArrow(run, "part int, kind int, data binary")
+
+
+def _reduced(blocks: DataFrame) -> DataFrame:
+    """The different lines, with clash where others share their h1 (key is null); blank lines and numbers of lines (h1 and
+    key are null); the buckets of several lines: key, id (an h1), hub, the least of them, which is null for those
+    members of whom only that is known."""
+    names = [x.split()[0] for x in _REDUCED.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
+
+    def batches_of(columns: dict, n: int):
+        for at in range(0, n, 1 << 18):
+            yield pa.RecordBatch.from_arrays([columns[c][at : at + (1 << 18)] if c in columns else pa.nulls(min(n - at, 1 << 18), k) for c, k in zip(names, kinds, strict=True)], names=names)
+
+    def run(batches):
+        held: dict[int, list] = {LINES: [], PAIRS: []}
+
+        def placed(records):
+            columns = {c: pa.array(np.ascontiguousarray(records[c])) for c in ("place", "hash")}
+            return columns | {"has": pa.array(records["has"].astype(bool)), "doc_id": pa.array(np.ascontiguousarray(records["doc_id"]), mask=records["has"] == 0)}
+
+        for b in batches:
+            for kind, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if kind == MEMBERS:
+                    key, own = np.frombuffer(data, dtype=np.int64).reshape(-1, 2).T
+                    yield from batches_of({"key": pa.array(key), "id": pa.array(own)}, len(key))
+                elif kind == BLANKS:
+                    blanks = np.frombuffer(data, dtype=_RECORD)
+                    yield from batches_of(placed(blanks), len(blanks))
+                else:
+                    held[kind].append(data)
+        records = _least_records(np.frombuffer(b"".join(held.pop(LINES)), dtype=_RECORD))
+        if len(records):
+            h1 = records["h1"]
+            same = h1[1:] == h1[:-1]
+            own = {"h1": pa.array(np.ascontiguousarray(h1)), "h2": pa.array(np.ascontiguousarray(records["h2"])), "clash": pa.array(np.r_[False, same] | np.r_[same, False])}
+            yield from batches_of(placed(records) | own, len(records))
+        pairs = np.frombuffer(b"".join(held.pop(PAIRS)), dtype=np.int64).reshape(-1, 2)
+        key, own, run_, starts = _buckets(pairs[:, 0], pairs[:, 1])
+        if len(key):
+            several = np.bincount(run_)[run_] > 1
+            yield from batches_of({"key": pa.array(key[several]), "id": pa.array(own[several]), "hub": pa.array(own[starts][run_[several]])}, int(several.sum()))
+
+    return blocks.select("kind", "data").mapInArrow(run, _REDUCED)
+
+
+def _fetched(docs: DataFrame, wanted, scheme: Scheme) -> DataFrame:
+    """id, n, text of the lines whose h1 passes the bitmap; repeats within a piece are one."""
+
+    def run(batches):
+        for piece, _ in slices(batches, "text"):
+            lines = dict.fromkeys(x for text in piece.column(2).to_pylist() for x in lines_in(text))
+            lines.pop(b"", None)
+            found = list(lines)
+            own = hashes(found)[:, 0]
+            mask = passes(wanted.value, own)
+            texts = [found[i] for i in np.flatnonzero(mask)]
+            sizes = [_size(x.decode(), scheme.size) for x in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(own[mask]), pa.array(sizes, pa.int64()), pa.array(texts, pa.binary())], names=["id", "n", "text"])
+
+    return _texts(docs).mapInArrow(run, "id long, n long, text binary")
+
+
+def _size(line: str, size: int) -> int:
+    """How many different shingles a line has."""
+    return len({line[i : i + size] for i in range(len(line) - size + 1)}) or 1
+
+
+def components_of(docs: DataFrame, lines: DataFrame, members: DataFrame, scheme: Scheme, keep: Scratch) -> DataFrame:
+    """(node, component) of the lines, by h1, that are linked to others."""
+    context = docs.sparkSession.sparkContext
+    found, inner = members.where("hub is not null"), members.where("hub is null")
+    clash = lines.where("clash").select(F.col("h1").alias("id")).distinct()
+    hubs = found.groupBy("key").agg(F.min("hub").alias("hub"))
+    buckets = found.select("key", "id", "hub").union(inner.select("key", "id").distinct().join(hubs, "key").select("key", "id", "hub"))
+    if not clash.isEmpty():
+        buckets = buckets.join(clash, "id", "left_anti").select("key", "id")
+        buckets = buckets.join(buckets.groupBy("key").agg(F.min("id").alias("hub")), "key").select("key", "id", "hub")
+    buckets = keep.keep(buckets, "buckets")
+    sets = keep.keep(_fetched(docs, context.broadcast(bitmap(buckets, "id")), scheme).dropDuplicates(["id"]), "sets")
+    return linked(buckets, sets.select("id", "n"), sets.select("id", "text"), scheme, keep)
+
+
+def dedup_lines(docs: DataFrame, scheme: Scheme = SCHEME) -> DataFrame:
+    """doc_id, hash (text_hash of the text), n_lines, kept, rows: the places of the lines that stay, from 0, in order; a row
+    for each different (doc_id, text) that isn't null, and how many rows of docs(doc_id, text) have it."""
+    spark = docs.sparkSession
+    keep = Scratch(spark)
+    docs = docs.select("doc_id", "text")
+    # the planner knows the size of files, of other frames it may say any number
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > 1 << 50:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # a line of 100 bytes or more has 16 keys of 16 bytes and a record of 37
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-3 * size // BYTES_A_TASK))
+    found = keep.keep(_reduced(_shipped(docs, scheme, 4 * tasks).repartition(tasks, "part")), "lines")
+    lines = found.where("h1 is not null").select("h1", "h2", "has", "doc_id", "place", "hash", "clash")
+    members = found.where("key is not null").select("key", "id", "hub")
+    labels = components_of(docs, lines, members, scheme, keep).withColumnRenamed("node", "h1")
+    labels = keep.keep(labels, "labels")
+    spot = ["has", "doc_id", "place", "hash"]
+    in_parts = bitmap(labels, "h1")
+    mapped = keep.keep(sifted(lines.select("h1", *spot), "h1", in_parts).join(labels, "h1"), "mapped")
+    owners = mapped.groupBy("component").agg(F.min(F.struct(*spot)).alias("o")).select("o.*")
+    alone = _alone(lines, in_parts, labels)
+    blanks = found.where("h1 is null and key is null").select(*spot)
+    stay = alone.select(*spot).union(owners.select(*spot)).union(blanks)
+    mine = F.collect_list(F.when(F.col("place") >= 0, F.col("place")))
+    out = stay.groupBy("doc_id", "hash").agg((-F.min("place")).alias("n_lines"), F.array_sort(mine).alias("kept"), F.count_if(F.col("place") < 0).alias("rows"))
+    # a blank line comes once for each row that has it
+    out = checkpointed(out.withColumn("kept", F.array_distinct("kept")))
     keep.clear()
     return out
 
 
+def _alone(lines: DataFrame, in_parts: np.ndarray, labels: DataFrame) -> DataFrame:
+    """The lines that no other is linked with: the bitmap lets a few of them through, which are told by the labels."""
+    known = lines.sparkSession.sparkContext.broadcast(in_parts)
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(~passes(known.value, b.column(0).to_numpy())))
+
+    return lines.mapInArrow(run, lines.schema).union(sifted(lines, "h1", in_parts).join(labels.select("h1"), "h1", "left_anti").select(*lines.columns))
+
+
 def rebuilt(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """docs, all columns, their text without the lines that go. A document's lines meet by doc_id."""
-    gone = decided.where("not kept").groupBy("doc_id").agg(F.collect_set("place").alias("__gone")).withColumnRenamed("doc_id", "__doc")
-    out = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__doc"]), "left")
-    lines = F.filter(F.split("text", "\n"), lambda x, i: ~F.coalesce(F.array_contains("__gone", i), F.lit(False)))
-    return out.withColumn("text", F.array_join(lines, "\n")).drop("__gone", "__doc")
+    """docs, all columns, their text without the lines that go."""
+    kept = decided.select(F.col("doc_id").alias("__doc"), F.col("hash").alias("__hash"), F.col("kept").alias("__kept"))
+    out = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__doc")) & (text_hash(docs["text"]) == F.col("__hash")), "left")
+    lines = F.filter(F.split("text", "\n"), lambda x, i: F.array_contains("__kept", i))
+    return out.withColumn("text", F.array_join(lines, "\n")).select(*docs.columns)

@@ -16,8 +16,9 @@ Equal sets are one node, known by their fingerprint, before any of this.
 
 Links. A bucket of k members is never expanded into its pairs. Members first meet the bucket's hub;
 confirmed links are merged by distributed union-find; what can still be linked lies between members of
-buckets with several components, and an exact positional prefix join finds it. Registers give a collision-corrected estimate that drops pairs far (7 standard deviations) below the threshold;
-the rest is confirmed on the full sets, recomputed from the whole texts.
+buckets with several components, and a join of their differences from the hub finds it exactly. Registers give a
+collision-corrected estimate that drops pairs far (7 standard deviations) below the threshold; the rest is
+confirmed on the full sets, recomputed from the whole texts.
 
 Defined results: null or empty text, or text of white space, has 0 shingles and is its own component.
 A null doc_id isn't linked: its component_id is null and it is kept. Rows that repeat a doc_id with
@@ -41,7 +42,7 @@ from .bitmap import bitmap, passes, sifted
 from .common import Scratch, checkpointed, slices
 from .components import components
 
-BUCKET_BITS, MANTISSA = 4, 10
+MANTISSA = 10
 ROWS = 4
 EMPTY = 0xFFFF
 #: Bits of the hashed counts by which shingles are put in order for the prefix join.
@@ -56,13 +57,15 @@ class Scheme:
     unit: str = "words"
     percent: int = 80
     layers: int = 8
+    #: A layer has 2**bits buckets.
+    bits: int = 4
     small: int = 128
     #: The estimate may lie this far below the threshold before a pair is dropped.
     slack: float = 0.25
 
     @property
     def registers(self) -> int:
-        return self.layers << BUCKET_BITS
+        return self.layers << self.bits
 
     def least(self, n: int) -> int:
         """How many shingles a set linked with one of n must share with it at least."""
@@ -72,7 +75,7 @@ class Scheme:
         return (shingles if self.unit == "words" else char_shingles)(text, self.size)
 
 
-_SEEDS = np.array([xxhash.xxh3_64_intdigest(bytes([i]), seed=77) for i in range(16)], dtype=np.uint64)
+_SEEDS = np.array([xxhash.xxh3_64_intdigest(bytes([i]), seed=78) | 1 for i in range(16)], dtype=np.uint64)
 _U = np.uint64
 #: Joins the hash of a run of code points to that of what follows; odd.
 _FACTOR = 0x9E3779B97F4A7C15
@@ -129,47 +132,52 @@ def char_shingles(text: bytes | None, size: int) -> np.ndarray:
     return np.unique(rolled(code, min(size, len(code)))) if len(code) else np.empty(0, dtype=np.uint64)
 
 
-def least_of(held: np.ndarray, owner: np.ndarray, n: int, layers: int) -> np.ndarray:
-    """The least remaining hash in each bucket of n sets: uint32[n, layers * 16], all bits where there is none.
+def least_of(held: np.ndarray, owner: np.ndarray, n: int, scheme: Scheme) -> np.ndarray:
+    """The least remaining hash in each bucket of n sets: uint32[n, registers], all bits where there is none.
 
     owner names the set of each shingle; shingles that repeat do no harm. Of parts of a set take the minimum.
     """
-    width = layers << BUCKET_BITS
+    width, bits = scheme.registers, np.uint32(32 - scheme.bits)
     least = np.full(n * width, 0xFFFFFFFF, dtype=np.uint32)
     base = owner.astype(np.intp) * width
-    for layer in range(layers):
-        g = (_mix(held ^ _SEEDS[layer]) >> _U(32)).astype(np.uint32)
-        at = base + ((g >> np.uint32(32 - BUCKET_BITS)).astype(np.intp) + (layer << BUCKET_BITS))
-        np.minimum.at(least, at, g & np.uint32((1 << 32 - BUCKET_BITS) - 1))
+    for layer in range(scheme.layers):
+        # shingle hashes are mixed well, so the high bits of a product with an odd number rehash them
+        g = ((held * _SEEDS[layer]) >> _U(32)).astype(np.uint32)
+        at = base + (g >> bits)
+        if layer:
+            at += layer << scheme.bits
+        np.minimum.at(least, at, g & np.uint32((1 << int(bits)) - 1))
     return least.reshape(n, width)
 
 
-def packed(least: np.ndarray) -> np.ndarray:
+def packed(least: np.ndarray, scheme: Scheme) -> np.ndarray:
     """The HyperMinHash registers of least hashes: uint16, EMPTY where a bucket got nothing."""
     bits = np.frexp(least.astype(np.float64))[1]  # the bit length; exact below 2**53
-    zeros = (32 - BUCKET_BITS) - bits
+    zeros = (32 - scheme.bits) - bits
     shift = bits - 1 - MANTISSA
     wide = least.astype(np.int64)
     mantissa = np.where(shift >= 0, wide >> np.maximum(shift, 0), wide << np.maximum(-shift, 0)) & ((1 << MANTISSA) - 1)
     return np.where(least == 0xFFFFFFFF, EMPTY, (zeros << MANTISSA) | mantissa).astype(np.uint16)
 
 
-def registers(held: np.ndarray, layers: int = 8) -> np.ndarray:
-    """The HyperMinHash registers of one set: uint16[layers * 16]."""
-    return packed(least_of(held, np.zeros(len(held), dtype=np.intp), 1, layers))[0]
+def registers(held: np.ndarray, scheme: Scheme) -> np.ndarray:
+    """The HyperMinHash registers of one set: uint16[registers]."""
+    return packed(least_of(held, np.zeros(len(held), dtype=np.intp), 1, scheme), scheme)[0]
 
 
-def band_keys_of(regs: np.ndarray, layers: int) -> tuple[np.ndarray, np.ndarray]:
-    """int64[n, bands]: a key of each band, of registers of different layers; and which bands have any register filled."""
-    wide = regs.reshape(len(regs), layers, -1).transpose(0, 2, 1).reshape(len(regs), -1, ROWS).astype(np.uint64)
+def band_keys_of(regs: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
+    """int64[n, bands]: a key of each band, of registers of different layers if there are several; and which bands have
+    any register filled."""
+    by_bucket = regs.reshape(len(regs), scheme.layers, 1 << scheme.bits).transpose(0, 2, 1)
+    wide = by_bucket.reshape(len(regs), scheme.registers // ROWS, ROWS).astype(np.uint64)
     joined = wide[..., 0] | (wide[..., 1] << _U(16)) | (wide[..., 2] << _U(32)) | (wide[..., 3] << _U(48))
     keys = _mix(_mix(joined) + np.arange(1, joined.shape[1] + 1, dtype=np.uint64))
     return keys.view(np.int64), joined != _U(0xFFFFFFFFFFFFFFFF)
 
 
-def band_keys(regs: np.ndarray, layers: int = 8) -> np.ndarray:
+def band_keys(regs: np.ndarray, scheme: Scheme) -> np.ndarray:
     """The keys of the bands of one set; bands without any register filled have none."""
-    keys, filled = band_keys_of(regs[None], layers)
+    keys, filled = band_keys_of(regs[None], scheme)
     return keys[filled]
 
 
@@ -198,8 +206,8 @@ def sketches(docs: DataFrame, scheme: Scheme) -> DataFrame:
                 held = scheme.shingles(text)
                 n.append(len(held))
                 fp.append(xxhash.xxh3_128_digest(held.data) if len(held) else None)
-                r = registers(held, scheme.layers) if len(held) >= paired else None
-                keys.append(None if r is None else band_keys(r, scheme.layers))
+                r = registers(held, scheme) if len(held) >= paired else None
+                keys.append(None if r is None else band_keys(r, scheme))
                 regs.append(None if r is None else r.tobytes())
                 small.append(held.view(np.int64) if 0 < len(held) <= scheme.small else None)
             longs = pa.list_(pa.int64())
@@ -291,18 +299,32 @@ def _keys(reps: DataFrame, counts, scheme: Scheme, wanted=None) -> DataFrame:
 def _confirmed(pairs: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFrame:
     """Of pairs(a, b) those linked on their full sets. texts: id, text binary, of all ids that occur."""
 
+    def sets_of(text: bytes, short: bool):
+        # of short lines a set of strings is made faster than an array of hashes
+        if not short:
+            return scheme.shingles(text)
+        t = text.decode("utf-8", "replace")
+        return {t[i : i + scheme.size] for i in range(len(t) - scheme.size + 1)} or {t}
+
     def run(batches):
-        last, held = None, None
+        last, held, held_short = None, None, None
         for piece, _ in slices(batches, "text_b"):
             keep = []
             a, b, ta, tb = (piece.column(i) for i in range(4))
-            ids = a.to_pylist()
-            for i, x in enumerate(ids):
+            ids, others = a.to_pylist(), tb.to_pylist()
+            for i, (x, other) in enumerate(zip(ids, others, strict=True)):
                 if x != last:
-                    last, held = x, scheme.shingles(ta[i].as_py())
-                other = scheme.shingles(tb[i].as_py())
-                common = len(held) + len(other) - len(np.union1d(held, other))
-                keep.append(100 * common >= scheme.percent * (len(held) + len(other) - common))
+                    last, text, held, held_short = x, ta[i].as_py(), None, None
+                short = scheme.unit == "chars" and 0 < len(text) < 1000 and 0 < len(other) < 1000
+                if short:
+                    mine = held_short = sets_of(text, True) if held_short is None else held_short
+                    theirs = sets_of(other, True)
+                    common = len(mine & theirs)
+                else:
+                    mine = held = sets_of(text, False) if held is None else held
+                    theirs = sets_of(other, False)
+                    common = len(mine) + len(theirs) - len(np.union1d(mine, theirs))
+                keep.append(100 * common >= scheme.percent * (len(mine) + len(theirs) - common))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
 
@@ -327,47 +349,96 @@ def _plausible(pairs: DataFrame, regs: DataFrame, scheme: Scheme) -> DataFrame:
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
 
     sized = pairs.where(F.greatest("n_a", "n_b") * scheme.percent <= F.least("n_a", "n_b") * 100).select("a", "b").distinct()
+    if "regs" not in regs.columns:
+        return sized
     both = sized.join(regs.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("regs").alias("r_b")), "b")
     both = both.join(regs.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("regs").alias("r_a")), "a")
     return both.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, "a long, b long")
 
 
-def _prefix_pairs(members: DataFrame, texts: DataFrame, scheme: Scheme, keep: Scratch) -> DataFrame:
-    """(a, b, n_a, n_b) of members(id, n, c) of different components c, with all that can be linked.
+def _difference_pairs(members: DataFrame, texts: DataFrame, scheme: Scheme, keep: Scratch) -> DataFrame:
+    """(a, b, n_a, n_b) of members(hub, n_hub, id, n, c) of one hub and different components c, with all that can be linked.
+
+    Let D_s be the symmetric difference of member s and the hub. That of s and x has |D_s| + |D_x| - 2 |D_s & D_x| members,
+    and a link allows m = r (n_s + n_x) of them, r = (100 - percent) / (100 + percent). So s and x must share
+    (|D_s| + |D_x| - m) / 2 of their differences. Of two members of different components one at least isn't linked with
+    the hub, and if that is s, this is over (1 - r) / 2 |D_x|. Near copies of one text have small differences that
+    hardly meet, however many they are. Members of another size than the hub's meet the others by their differences
+    from the empty set, which are their sets.
 
-    A positional prefix join (Xiao et al., PPJoin, 2008). Shingles are put in one order, rare ones first.
-    Linked sets share one of their first n - ceil(t n) + 1; and at the first that they share, no more can
-    be common than what either set has from there on. Near copies of one text whose own changes already
-    use up what a link allows so meet nobody, however many they are. Any order is exact as long as all
-    sets keep it; rarity is read from 2**CELLS hashed counts, so that no shingle need be shuffled for it.
-    Per shingle only members outside its commonest component meet the others.
+    Differences are joined by prefixes: with elements in one order, rare ones first, sets that share o elements share
+    one of their first |D| - o + 1. At the first that they share, no more can be common than what either has from there
+    on. Any order is exact as long as all sets keep it; rarity is read from 2**CELLS hashed counts.
     """
     spark = members.sparkSession
-    own = keep.keep(members.join(texts, "id").select("id", "n", "c", "text"), "members")
+    r_over, r_under = 100 - scheme.percent, 100 + scheme.percent
+    alike = F.greatest("n", "n_hub") * scheme.percent <= F.least("n", "n_hub") * 100
+    # only members beside the hub that lie in several components can be linked with each other
+    members = members.where("id <> hub")
+    members = members.join(members.groupBy("hub").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("hub"), "hub")
+    wide = members.where(~alike).select("hub").distinct().withColumn("wide", F.lit(True))
+    own, hubs = (texts.select(F.col("id").alias(i), F.col("text").alias(t)) for i, t in (("id", "text"), ("hub", "text_h")))
+    both = members.join(wide, "hub", "left").join(own, "id").join(hubs, "hub")
+    both = both.select("hub", "id", "n", "c", F.coalesce("wide", F.lit(False)).alias("wide"), F.when(alike, F.col("text_h")).alias("text_h"), "text")
+
+    def differ(batches):
+        # ref 0: differences from the hub, 1: from the empty set
+        names, kinds = ["hub", "id", "n", "c", "ref", "free", "d"], (*[pa.int64()] * 5, pa.bool_(), pa.binary())
+        last, held, out, size = None, None, [], 0
+
+        def batch(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    def shingles_of(batch):
-        return (scheme.shingles(t) for piece, _ in slices([batch], "text") for t in piece.column(3).to_pylist())
-
-    known = spark.sparkContext.broadcast(_cell_counts(own, shingles_of))
+        for b in batches:
+            for i in range(b.num_rows):
+                hub, ident, n, c, is_wide, text_h, text = (x[i].as_py() for x in b.columns)
+                found = scheme.shingles(text)
+                if text_h is not None:
+                    if hub != last:
+                        last, held = hub, scheme.shingles(text_h)
+                    d = np.setxor1d(held, found, assume_unique=True)
+                    out.append((hub, ident, n, c, 0, len(d) * r_under > r_over * (n + len(held)), d.tobytes()))
+                if text_h is None or is_wide:
+                    out.append((hub, ident, n, c, 1, text_h is None, found.tobytes()))
+                size += len(out[-1][-1]) + 100
+                if size > 1 << 22:
+                    yield batch(out)
+                    out, size = [], 0
+        if out:
+            yield batch(out)
+
+    diffs = keep.keep(both.mapInArrow(differ, "hub long, id long, n long, c long, ref long, free boolean, d binary"), "differences")
+    known = spark.sparkContext.broadcast(_cell_counts(diffs.select("d"), lambda b: (np.frombuffer(x, dtype=np.uint64) for x in b.column(0).to_pylist())))
 
     def prefixes(batches):
-        for piece, _ in slices(batches, "text", 1 << 20):
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
-            for i, n, c, text in zip(*(x.to_pylist() for x in piece.columns), strict=True):
-                key, at = _prefix(scheme.shingles(text), known.value, scheme)
-                for column, x in zip(out, (key.view(np.int64), *(np.full(len(at), v) for v in (i, n, c)), at), strict=True):
+        names = ["key", "hub", "id", "n", "c", "ref", "d", "at", "early", "free"]
+        for piece, _ in slices(batches, "d", 1 << 20):
+            out: list[list[np.ndarray]] = [[] for _ in names]
+            for hub, ident, n, c, ref, free, data in zip(*(x.to_pylist() for x in piece.columns), strict=True):
+                held = np.frombuffer(data, dtype=np.uint64)
+                sets, d = known.value[_cells(held)], len(held)
+                # what any partner shares: it has n / 0.8 members at most, so its difference has d - slack at least
+                slack = r_over * (n + 100 * n // scheme.percent) // r_under
+                share = max(1, -(-(d + max(1, d - slack) - slack) // 2))
+                # and what one shares that isn't linked with the hub
+                more = max(share, (r_under - r_over) * d // (2 * r_under) + 1)
+                order = np.lexsort((held, sets))[: max(0, d - share + 1)]
+                at = np.flatnonzero(sets[order] > 1)
+                same = (np.full(len(at), v) for v in (hub, ident, n, c, ref, d))
+                for column, x in zip(out, (held[order][at].view(np.int64), *same, at, at < d - more + 1, np.full(len(at), free)), strict=True):
                     column.append(x.astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["key", "id", "n", "c", "at"])
-
-    first = keep.keep(own.mapInArrow(prefixes, "key long, id long, n long, c long, at long"), "prefixes")
-    counts = first.groupBy("key", "c").agg(F.count("*").alias("k"))
-    main = counts.groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("several")).where("several > 1").select("key", "main")
-    mixed = first.join(main, "key")
-    left = mixed.where("c <> main").select("key", *[F.col(x).alias(f"{x}_a") for x in ("id", "n", "c", "at")])
-    right = mixed.select("key", "main", *[F.col(x).alias(f"{x}_b") for x in ("id", "n", "c", "at")])
-    most = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    can = most * 100 >= (F.col("n_a") + F.col("n_b") - most) * scheme.percent
-    met = left.join(right, "key").where((F.col("c_a") != F.col("c_b")) & ((F.col("c_b") == F.col("main")) | (F.col("id_a") < F.col("id_b"))) & can)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=names)
+
+    first = keep.keep(diffs.mapInArrow(prefixes, "key long, hub long, id long, n long, c long, ref long, d long, at long, early long, free long"), "prefixes")
+    several = first.groupBy("hub", "ref", "key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max("free").alias("any")).where("low < high and any = 1").select("hub", "ref", "key")
+    mixed = first.join(several, ["hub", "ref", "key"])
+    side = lambda s: [F.col(x).alias(f"{x}_{s}") for x in ("id", "n", "c", "d", "at")]
+    left = mixed.where("free = 1").select("hub", "ref", "key", *side("a"))
+    right = mixed.where("early = 1").select("hub", "ref", "key", F.col("free").alias("free_b"), *side("b"))
+    most = F.least(F.col("d_a") - F.col("at_a"), F.col("d_b") - F.col("at_b"))
+    can = (F.col("d_a") + F.col("d_b") - 2 * most) * r_under <= r_over * (F.col("n_a") + F.col("n_b"))
+    near = F.greatest("n_a", "n_b") * scheme.percent <= F.least("n_a", "n_b") * 100
+    met = left.join(right, ["hub", "ref", "key"]).where((F.col("c_a") != F.col("c_b")) & ((F.col("free_b") == 0) | (F.col("id_a") < F.col("id_b"))) & near & can)
     swap = F.col("id_a") > F.col("id_b")
     either = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
     return met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), either("n_a", "n_b").alias("n_a"), either("n_b", "n_a").alias("n_b"))
@@ -376,9 +447,8 @@ def _prefix_pairs(members: DataFrame, texts: DataFrame, scheme: Scheme, keep: Sc
 def linked(found: DataFrame, sets: DataFrame, texts: DataFrame, scheme: Scheme, keep: Scratch) -> DataFrame:
     """(node, component) of every set that is linked to another; component is a node of it.
 
-    found(key, id, hub): the members of all buckets of several, hub being one of them; sets(id, n, regs)
-    and texts(id, text binary): those of found at least, a row each. The links are those of all
-    pairs that share a bucket, and of all pairs of members of buckets that hub links leave in parts.
+    found(key, id, hub): the members of all buckets of several, hub being one of them, the same for all; sets(id, n, and regs if there are any) and texts(id, text binary): those of found at
+    least, a row each. The links are those of all pairs that share a bucket.
     """
     n_hub = sets.select(F.col("id").alias("hub"), F.col("n").alias("n_hub"))
     live = keep.keep(found.join(sets.select("id", "n"), "id").join(n_hub, "hub").select("key", "id", "n", "hub", "n_hub"), "live")
@@ -405,9 +475,8 @@ def linked(found: DataFrame, sets: DataFrame, texts: DataFrame, scheme: Scheme,
     # 2: each member with the hub of every bucket that still holds several components
     rest = labelled("rest2").where("id <> hub")
     tried(rest.select(F.col("hub").alias("a"), F.col("id").alias("b"), F.col("n_hub").alias("n_a"), F.col("n").alias("n_b")))
-    # 3: whatever link is left lies between members of these buckets; an exact prefix join finds it
-    members = labelled("rest3").select("id", "n", "c").distinct()
-    tried(_prefix_pairs(members, texts, scheme, keep))
+    # 3: whatever link is left lies between members of one of these buckets; a join of differences finds it
+    tried(_difference_pairs(labelled("rest3").select("hub", "n_hub", "id", "n", "c").distinct(), texts, scheme, keep))
     return labels
 
 

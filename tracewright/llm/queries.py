@@ -25,6 +25,7 @@ QUERIES: dict[str, Query] = {
 
 ORACLES: dict[str, str] = {
     "op1_preference_chat": q_chat.SQL,
+    "op2_fuzzy_lines": q_lines.SQL,
     "op3_near_dedup": q_minhash.SQL,
     "op9_source_mix": q_mixing.SQL,
 }
