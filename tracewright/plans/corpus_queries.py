@@ -70,7 +70,20 @@ _turns("tx_describe", lambda u: C.describe(C.anchor_pairs(u), "jaccard_similarit
 _turns("tx_quartiles", lambda u: C.quartiles(C.anchor_pairs(u), "jaccard_similarity"), "SELECT s[len(s) // 4 + 1] AS q1, s[3 * len(s) // 4 + 1] AS q3 FROM (SELECT list_sort(list(round(coalesce(len(list_intersect(a.toks, v.toks))::DOUBLE / nullif(len(list_distinct(list_concat(a.toks, v.toks))), 0), 0), 6))) AS s FROM u v JOIN u a ON a.group_id = v.group_id AND a.position = 0 WHERE v.position > 0)")
 _turns("tx_group_lexical", lambda u: C.lexical_diversity(u).drop("mtld"), "SELECT group_id, count(*) AS n_utterances, len(flatten(list(toks))) AS n_tokens, len(list_distinct(flatten(list(toks)))) AS n_types, round(len(list_distinct(flatten(list(toks))))::DOUBLE / len(flatten(list(toks))), 6) AS ttr FROM u GROUP BY group_id")
 _turns("tx_corpus_lexical", C.corpus_diversity, "SELECT count(*) AS n_tokens, count(DISTINCT t) AS n_types, round(count(DISTINCT t)::DOUBLE / count(*), 6) AS ttr FROM (SELECT unnest(toks) AS t FROM u)")
-_turns("tx_mtld", lambda u: C.lexical_diversity(u).select("group_id", "mtld"), None)
+# the fold of each group's tokens, forwards and backwards, a token a round
+_MTLD = """, g AS (SELECT group_id, flatten(list(toks ORDER BY position)) AS toks FROM u GROUP BY group_id
+), d AS (SELECT group_id, 1 AS dir, toks FROM g UNION ALL SELECT group_id, 2, list_reverse(toks) FROM g
+), r(group_id, dir, i, n, seen, f) AS (
+  SELECT group_id, dir, 0, 0, CAST([] AS VARCHAR[]), 0 FROM d
+  UNION ALL
+  SELECT group_id, dir, i + 1, CASE WHEN hit THEN 0 ELSE n + 1 END, CASE WHEN hit THEN CAST([] AS VARCHAR[]) ELSE more END, f + CAST(hit AS INT) FROM (
+    SELECT *, len(more)::DOUBLE / (n + 1) <= 0.72::DOUBLE AS hit FROM (
+      SELECT r.*, CASE WHEN list_contains(seen, toks[i + 1]) THEN seen ELSE list_append(seen, toks[i + 1]) END AS more FROM r JOIN d ON d.group_id = r.group_id AND d.dir = r.dir WHERE i < len(toks)))
+), e AS (
+  SELECT d.group_id, len(toks) AS n, f + CASE WHEN r.n > 0 THEN (1 - len(seen)::DOUBLE / r.n) / (1 - 0.72::DOUBLE) ELSE 0 END AS factors FROM r JOIN d ON d.group_id = r.group_id AND d.dir = r.dir WHERE i = len(toks)
+) SELECT group_id, round(CASE WHEN max(n) < 2 OR avg(factors) = 0 THEN 0 ELSE max(n) / avg(factors) END, 4) AS mtld FROM e GROUP BY group_id"""
+_turns("tx_mtld", lambda u: C.lexical_diversity(u).select("group_id", "mtld"), _MTLD)
+ORACLES["tx_mtld"] = ORACLES["tx_mtld"].replace("WITH u AS", "WITH RECURSIVE u AS").replace(") , g AS", "), g AS")
 _turns("tx_corpus_mtld", C.corpus_mtld, None)
 _turns("tx_group_sizes", C.group_sizes, "SELECT round(avg(n), 6) AS mean, round(median(n), 6) AS median, round(stddev_samp(n), 6) AS sd, min(n) AS min, max(n) AS max, count(*) AS n FROM (SELECT count(*) AS n FROM u GROUP BY group_id)")
 _turns("tx_positions", lambda u: C.positions(u.select("group_id", F.col("position").cast("string").alias("Utterance_id")), "group_id", "Utterance_id").select("group_id", "position", "utterance_id"), "SELECT group_id, row_number() OVER (PARTITION BY group_id ORDER BY position) - 1 AS position, concat(group_id, '_', row_number() OVER (PARTITION BY group_id ORDER BY position) - 1) AS utterance_id FROM u")
@@ -78,19 +91,35 @@ _turns("tx_positions", lambda u: C.positions(u.select("group_id", F.col("positio
 _PLAIN = "regexp_replace(regexp_replace(gold_sql, '''[^'']*''', '''''', 'g'), '\"[^\"]*\"', '\"\"', 'g')"
 _COLS = ", ".join(f"CASE WHEN regexp_matches(p, '(?i)\\b{c}\\b') THEN '{c}' END" for c in X.TARGET_COLUMNS)
 _asked("sql_columns", lambda q: q.select("id", F.array_join(X.referenced_columns(F.col("gold_sql")), ";").alias("cols")), f", r AS (SELECT id, {_PLAIN} AS p FROM q) SELECT id, concat_ws(';', {_COLS}) AS cols FROM r")
-_asked(
-    "sql_literals",
-    lambda q: q.select("id", F.posexplode(X.literals(F.col("gold_sql"))).alias("place", "l")).select("id", "place", "l.literal", "l.value_type"),
-    f""", s AS (
-  SELECT id, regexp_extract_all(gold_sql, '''([^'']+)''', 1) AS a, regexp_extract_all(gold_sql, '"([^"]+)"', 1) AS b, regexp_extract_all({_PLAIN}, '\\b(\\d+(?:\\.\\d+)?)\\b', 1) AS c FROM q
+_LITERALS = f"""s AS (
+  SELECT *, regexp_extract_all(gold_sql, '''([^'']+)''', 1) AS a, regexp_extract_all(gold_sql, '"([^"]+)"', 1) AS b, regexp_extract_all({_PLAIN}, '\\b(\\d+(?:\\.\\d+)?)\\b', 1) AS c FROM q
 ), l AS (
-  SELECT id, list_concat(
+  SELECT * EXCLUDE (a, b, c), list_concat(
     list_transform(a, lambda x: {{'v': CASE WHEN regexp_matches(x, '^\\d{{4}}%') THEN rtrim(x, '%') ELSE x END,
       't': CASE WHEN regexp_matches(x, '^\\d{{4}}-\\d{{2}}-\\d{{2}}') OR regexp_matches(x, '^\\d{{4}}-\\d{{2}}$') THEN 'date_string' WHEN regexp_matches(x, '^\\d{{4}}%') THEN 'year_pattern' ELSE 'string' END}}),
     list_transform(b, lambda x: {{'v': x, 't': CASE WHEN regexp_matches(x, '^\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN 'date_string' ELSE 'string' END}}),
     list_transform(c, lambda x: {{'v': x, 't': 'numeric'}})) AS ls FROM s
-) SELECT id, i - 1 AS place, ls[i].v AS literal, ls[i].t AS value_type FROM (SELECT id, ls, unnest(range(1, len(ls) + 1)) AS i FROM l)""",
+)"""
+_asked(
+    "sql_literals",
+    lambda q: q.select("id", F.posexplode(X.literals(F.col("gold_sql"))).alias("place", "l")).select("id", "place", "l.literal", "l.value_type"),
+    f", {_LITERALS} SELECT id, i - 1 AS place, ls[i].v AS literal, ls[i].t AS value_type FROM (SELECT id, ls, unnest(range(1, len(ls) + 1)) AS i FROM l)",
 )
+
+
+def _value_named(v: str, t: str) -> str:
+    """Whether the lower-cased question `low` names the value v of type t."""
+    text, parts = f"trim(lower({v}))", f"string_split(trim(lower({v})), '-')"
+    soft = lambda c: f"trim(regexp_replace({c}, '[''-]', ' ', 'g'))"
+    part = lambda i: f"coalesce({parts}[{i}], '')"
+    months = " OR ".join(f"({part(2)} = '{i:02d}' AND (contains(low, '{m}') OR contains(low, '{i}')))" for i, m in enumerate(X.MONTHS, 1))
+    dated = f"contains(low, {text}) OR ({part(1)} <> '' AND contains(low, {part(1)})) OR {months} OR ({part(3)} <> '' AND contains(low, ltrim({part(3)}, '0')))"
+    grouped = f"format('{{:,}}', TRY_CAST({v} AS BIGINT))"
+    number = f"regexp_matches(low, '\\b' || replace({v}, '.', '\\.') || '\\b') OR (NOT contains({v}, '.') AND len({v}) >= 4 AND coalesce(contains(low, {grouped}) OR contains(low, replace({grouped}, ',', '.')), false))"
+    return f"CASE {t} WHEN 'string' THEN contains(low, {text}) OR contains({soft('low')}, {soft(text)}) WHEN 'numeric' THEN {v} <> '1' AND ({number}) ELSE {dated} END"
+
+
+_VALUES = f"{_LITERALS}, v AS (SELECT utterance_id, lower(question) AS low, unnest(ls) AS x FROM l), w AS (SELECT utterance_id, x.t AS value_type, {_value_named('x.v', 'x.t')} AS value_lexicalized FROM v WHERE NOT (x.t = 'numeric' AND x.v = '1'))"
 _MARKS = ", ".join(f"regexp_matches(p, '{m}') AS \"{o}\"" for o, m in X.OPERATION_MARKS.items())
 _asked("sql_operations", lambda q: q.withColumn("m", X.operations(F.col("gold_sql"))).select("id", *[F.col("m")[o].alias(o) for o in X.OPERATION_MARKS]), f", r AS (SELECT id, upper({_PLAIN}) AS p FROM q) SELECT id, {_MARKS} FROM r")
 _CUES = ", ".join(f"regexp_matches(lower(question), '{'|'.join(f'(?:{p})' for p in ps)}') AS \"{o}\"" for o, ps in X.OPERATION_CUES.items())
@@ -117,9 +146,26 @@ _asked(
     lambda q: C.operation_summary(C.operation_rows(q)),
     f", r AS (SELECT id, question, upper({_PLAIN}) AS p FROM q), c AS ({_OPS}) SELECT coalesce(sql_operation, 'OVERALL') AS sql_operation, count(*) FILTER (r) AS occurrences, count(*) FILTER (r AND l) AS explicit_cue, count(*) FILTER (r AND NOT l) AS no_explicit_cue, round(100 * coalesce(count(*) FILTER (r AND l)::DOUBLE / nullif(count(*) FILTER (r), 0), 0), 2) AS lexicalization_rate_pct FROM c GROUP BY ROLLUP (sql_operation)",
 )
-_asked("sql_value_rows", lambda q: C.value_rows(q).groupBy("value_type", "value_lexicalized").agg(F.count("*").alias("n")), None)
-_asked("sql_value_summary", lambda q: C.value_summary(C.value_rows(q)), None)
-_asked("sql_utterance_level", C.utterance_level, None)
+_asked("sql_value_rows", lambda q: C.value_rows(q).groupBy("value_type", "value_lexicalized").agg(F.count("*").alias("n")), f", {_VALUES} SELECT value_type, value_lexicalized, count(*) AS n FROM w GROUP BY ALL")
+_asked(
+    "sql_value_summary",
+    lambda q: C.value_summary(C.value_rows(q)),
+    f", {_VALUES}, n AS (SELECT count(DISTINCT utterance_id) AS applicable_utterances, count(*) AS total_literal_instances, count(*) FILTER (value_lexicalized) AS n_lexicalized, count(*) FILTER (NOT value_lexicalized) AS n_not_lexicalized FROM w) "
+    "SELECT *, round(coalesce(100 * n_lexicalized::DOUBLE / nullif(total_literal_instances, 0), 0), 2) AS pct_lexicalized, round(coalesce(100 * n_not_lexicalized::DOUBLE / nullif(total_literal_instances, 0), 0), 2) AS pct_not_lexicalized FROM n",
+)
+_LEVEL = f"""{_LITERALS}, m AS (
+  SELECT *, list_filter(ls, lambda x: NOT (x.t = 'numeric' AND x.v = '1')) AS vs, lower(question) AS low,
+    list_filter([{_COLS.replace("regexp_matches(p,", f"regexp_matches({_PLAIN},")}], lambda x: x IS NOT NULL) AS cols,
+    list_filter([{', '.join(f"CASE WHEN {_named(c)} THEN '{c}' END" for c in X.TARGET_COLUMNS)}], lambda x: x IS NOT NULL) AS named,
+    list_filter([{', '.join(f"CASE WHEN regexp_matches(upper({_PLAIN}), '{k}') THEN '{o}' END" for o, k in X.OPERATION_MARKS.items())}], lambda x: x IS NOT NULL) AS ops,
+    list_filter([{', '.join(f"CASE WHEN regexp_matches(lower(question), '{'|'.join(f'(?:{p})' for p in ps)}') THEN '{o}' END" for o, ps in X.OPERATION_CUES.items())}], lambda x: x IS NOT NULL) AS cued FROM l
+), h AS (
+  SELECT utterance_id, count(*) FILTER ({_value_named('x.v', 'x.t')}) AS hits FROM (SELECT utterance_id, low, unnest(vs) AS x FROM m) GROUP BY utterance_id
+), k AS (
+  SELECT m.*, coalesce(hits, 0) AS hits, list_filter(cols, lambda x: list_contains(named, x)) AS both_cols, list_filter(ops, lambda x: list_contains(cued, x)) AS both_ops FROM m LEFT JOIN h ON h.utterance_id = m.utterance_id
+) SELECT utterance_id, group_id, question, gold_sql, len(vs) AS val_n_literals, hits AS val_n_lexicalized, len(vs) > 0 AS val_applicable, array_to_string(cols, ';') AS cols_referenced, array_to_string(both_cols, ';') AS cols_lexicalized,
+  len(cols) AS n_cols_referenced, len(both_cols) AS n_cols_lexicalized, array_to_string(ops, ';') AS ops_present, array_to_string(both_ops, ';') AS ops_with_cue, len(ops) AS n_ops_present, len(both_ops) AS n_ops_with_cue FROM k"""
+_asked("sql_utterance_level", C.utterance_level, f", {_LEVEL}")
 _asked("sql_validation", lambda q: C.validation(q.withColumn("position", F.col("id"))), "SELECT group_id, count(*) AS n_utterances, count(DISTINCT regexp_replace(lower(trim(gold_sql)), '\\s+', ' ', 'g')) AS n_distinct_gold_sql, count(DISTINCT regexp_replace(lower(trim(gold_sql)), '\\s+', ' ', 'g')) = 1 AS gold_sql_consistent, substr(arg_min(gold_sql, id), 1, 200) AS gold_sql_sample FROM q GROUP BY group_id")
 _NORMAL = "rtrim(list_reduce(list_transform(string_split(regexp_replace(trim(gold_sql), ';+$', ''), ''''), lambda x, i: CASE WHEN i % 2 = 1 THEN regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(x), '\\s+', ' ', 'g'), '\\s*,\\s*', ',', 'g'), '\\s+as\\s+\\w+', '', 'g'), 'count\\s*\\(\\s*\\w+\\s*\\)', 'count(*)', 'g') ELSE lower(x) END), lambda a, b: a || b))"
 _asked("ev_normal_sql", lambda q: q.select("id", X.normal_sql(F.col("gold_sql")).alias("sql")), f"SELECT id, {_NORMAL} AS sql FROM q")
