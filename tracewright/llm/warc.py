@@ -30,7 +30,7 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, shared_dir, slices
+from .common import checkpointed, shared_dir, slices
 
 STEP = 1 << 16
 DATE = "2024-01-01T00:00:00Z"
@@ -227,9 +227,9 @@ def read_archives(archives: DataFrame, folder: str, payloads: bool = True) -> Da
 
 
 def archived(pages: DataFrame, least: int = 0) -> tuple[DataFrame, str]:
-    """Writes pages(page_id, url, html) as archives of the shared folder: the table of archives, and the folder."""
+    """Writes pages(page_id, url, html) as archives of the shared folder: the table of archives, and the folder, which is the caller's to remove."""
     folder = f"{shared_dir(pages.sparkSession)}/tracewright-warc-{uuid.uuid4().hex}"
-    archives = Scratch(pages.sparkSession).keep(write_archives(referred(pages, least), folder), "archives")
+    archives = checkpointed(write_archives(referred(pages, least), folder))
     # an archive is read by one task; spread them, as a small table of paths is one partition
     n = max(1, archives.count())
     return archives.repartition(n, "path"), folder
