@@ -9,8 +9,8 @@ have a place in the vectors, so the vocabulary is bounded by the benchmark.
 3. A randomised SVD of the passage x word matrix A: the range of A'A is found from Gaussian probes and
    from the items' own vectors, sums over partitions being reduced by blocks of words; A is then
    projected on that range, and the eigenvectors of the small Gram matrix give the latent space.
-   (Halko, Martinsson and Tropp, 2011.) The items' directions, mixed at random where there are more than
-   DIRECTIONS of them, keep an item and a passage that holds it close in the latent space.
+   (Halko, Martinsson and Tropp, 2011.) DIRECTIONS random mixtures of the items' directions, which span those of as
+   many items, keep an item and a passage that holds it close in the latent space.
 4. Windows of each document, long enough to hold an item wherever it starts, are compared with the
    items in the latent space, a batch of windows by a matrix product.
    Of an item of at most SHORT words such a window is mostly foreign text, and its cosine can be low. So
@@ -31,6 +31,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,13 +39,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, slices, stored
+from .common import checkpointed, discard, slices, stored
 
 CHUNK = 32
 PASSAGE = 2 * CHUNK
 PROBES = 32
 #: Items of a query block; the range of the SVD has so many directions and PROBES at most.
 BLOCK = 1024
+#: Items that the driver holds at a time.
+SHARE = 64 * BLOCK
 DIRECTIONS = 64
 RANK = 88
 #: Words in more passages than this share are stop words, but in items that have few others.
@@ -88,7 +91,7 @@ def masks_of(ids: list[int]) -> dict[int, int]:
 
 @dataclass(frozen=True)
 class Items:
-    """A block of items: ids, words as vocabulary numbers, answers likewise, the vocabulary."""
+    """Items: ids, words as vocabulary numbers, answers likewise, the vocabulary."""
 
     item_ids: list[int]
     words: list[list[int]]
@@ -103,6 +106,17 @@ class Items:
         return cls([i for i, _ in rows], words, [number(answer_of(t)) for _, t in rows], vocabulary)
 
 
+    def block(self, at: int) -> tuple[Items, np.ndarray]:
+        """BLOCK items from the at-th on with a vocabulary of their own, and its number of each word of this one, -1 for others."""
+        some = slice(at, at + BLOCK)
+        used = sorted({x for w in (*self.words[some], *self.answers[some]) for x in w})
+        local = np.full(len(self.vocabulary), -1, dtype=np.int32)
+        local[used] = np.arange(len(used))
+        names = list(self.vocabulary)
+        moved = lambda rows: [local[w].tolist() for w in rows]
+        return Items(self.item_ids[some], moved(self.words[some]), moved(self.answers[some]), {names[x]: i for i, x in enumerate(used)}), local
+
+
 class _Numbers(dict):
     def __missing__(self, word: bytes) -> int:
         return -1
@@ -124,6 +138,18 @@ def _encoded(docs: DataFrame, items: Items) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
 
 
+def _for_block(encoded: DataFrame, local: np.ndarray) -> DataFrame:
+    """The encoded documents in the numbers of a block."""
+    known = encoded.sparkSession.sparkContext.broadcast(local)
+
+    def run(batches):
+        for piece, _ in slices(batches, "ids"):
+            ids = [np.frombuffer(x, dtype=np.int32) for x in piece.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([np.where(x < 0, -1, known.value[x]).astype(np.int32).tobytes() for x in ids], pa.binary())], names=["doc_id", "ids"])
+
+    return encoded.mapInArrow(run, "doc_id long, ids binary")
+
+
 def _units(batches, size: int, gap: int = 0) -> Iterator[tuple[list, tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray, int]]:
     """For pieces of the encoded table: doc_ids, first and end unit of each document, words and units of all
     known words in order, and the number of units. A unit is `size` words; gap empty ones part documents."""
@@ -247,8 +273,7 @@ def _latent(encoded: DataFrame, items: Items) -> tuple[np.ndarray, np.ndarray]:
     own = np.zeros((v, len(items.words)))
     for j, words in enumerate(items.words):
         np.add.at(own[:, j], words, idf[words])
-    if own.shape[1] > DIRECTIONS:
-        own = own @ rng.standard_normal((own.shape[1], DIRECTIONS))
+    own = own @ rng.standard_normal((own.shape[1], DIRECTIONS))
     both = np.hstack([m / np.maximum(1e-12, np.linalg.norm(m, axis=0)) for m in (g, own)])
     left, size, _ = np.linalg.svd(both, full_matrices=False)
     q = left[:, size > 1e-9 * max(size.max(), 1e-12)]
@@ -374,19 +399,22 @@ LEAKS = "doc_id long, item_id long, cosine double, lcs_share double, answer_shar
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, cosine, lcs_share, answer_share of every leak of benchmark(item_id, text) into docs(doc_id, text).
 
-    The benchmark is the query set: it is collected, and searched in blocks of BLOCK items.
+    The benchmark is the query set. The driver reads it in shares of SHARE items, so what it holds and broadcasts is bounded
+    by their length; the documents are encoded once a share and searched for a block of BLOCK of its items at a time.
     """
     spark = docs.sparkSession
-    rows = sorted((r["item_id"], r["text"]) for r in benchmark.select("item_id", "text").where("item_id is not null and text is not null").distinct().collect())
-    rows = [r for r in rows if tokens(r[1])]
+    rows = benchmark.select("item_id", "text").where("item_id is not null and text is not null").distinct().sort("item_id", "text").toLocalIterator()
+    asked = ((r["item_id"], r["text"]) for r in rows if tokens(r["text"]))
     out = spark.createDataFrame([], T._parse_datatype_string(LEAKS))
-    for at in range(0, len(rows), BLOCK):
-        items = Items.of(rows[at : at + BLOCK])
+    while share := list(islice(asked, SHARE)):
+        items = Items.of(share)
         encoded, path = stored(_encoded(docs, items), "encoded")
-        idf, space = _latent(encoded, items)
-        found, _ = stored(_search(encoded, items, idf, space), "leaks")
+        for at in range(0, len(share), BLOCK):
+            block, local = items.block(at) if len(share) > BLOCK else (items, None)
+            own = encoded if local is None else _for_block(encoded, local)
+            idf, space = _latent(own, block)
+            out = out.union(checkpointed(_search(own, block, idf, space)))
         discard(spark, path)
-        out = out.union(found)
     return out
 
 
