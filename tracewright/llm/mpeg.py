@@ -2,8 +2,9 @@
 
 parse() reads any MPEG audio stream of layers I to III: it skips ID3v2, looks for frame headers and
 resynchronises after damage (a header counts if the frame it announces is followed by another like it,
-by a tag or by the end), verifies the CRC-16 of protected frames, reads Xing, Info and VBRI tables
-and ID3v1, and gives the exact duration in samples and the offset of every frame.
+by a tag or by the end), verifies the CRC-16 of protected frames of all layers, reads Xing, Info and VBRI tables
+and ID3v1, and gives the exact duration in samples and the offset of every frame. Streams of free format, whose
+headers don't state a bitrate, have no frames here.
 
 carry() stores bytes in a silent stream: MPEG-1 layer III, 48 kHz, mono, 224 kbit/s, so frames are 672
 bytes; each holds UNIT payload bytes and their CRC-32 as ancillary data behind an empty granule.
@@ -42,6 +43,10 @@ _KBITS = {
 _RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
 
 
+#: Layers I and II: bits of allocation by groups of subbands, for layer I, MPEG-1 layer II, its low rates, MPEG-2 layer II.
+_ALLOCATION = {"I": ((4, 32),), "II": ((4, 11), (3, 12), (2, 7)), "low": ((4, 2), (3, 10)), "2": ((4, 4), (3, 7), (2, 19))}
+
+
 def _table() -> list[int]:
     out = []
     for x in range(256):
@@ -69,6 +74,41 @@ def crc16(data: bytes) -> int:
     return found
 
 
+def crc16_bits(value: int, n: int) -> int:
+    """The same CRC over the n bits of a number, first bit highest."""
+    c = 0xFFFF
+    for i in range(n - 1, -1, -1):
+        c = (c << 1 & 0xFFFF) ^ (0x8005 if (c >> 15) ^ (value >> i & 1) else 0)
+    return c
+
+
+def allocation_crc(data: bytes, at: int, h: Header) -> int:
+    """What the checksum of a protected frame of layer I or II must be: over the header's last two bytes, the bit
+    allocation and, in layer II, the scale factor selection of the subbands that have bits."""
+    if h.layer == 1:
+        groups, bands = _ALLOCATION["I"], 32
+    elif h.version != 3:
+        groups, bands = _ALLOCATION["2"], 30
+    else:
+        kbits = h.kbits if h.mono else h.kbits // 2
+        low = kbits < 56
+        groups = _ALLOCATION["low" if low else "II"]
+        bands = (12 if h.rate == 32000 else 8) if low else 30 if kbits >= 96 and h.rate != 48000 else 27
+    channels = 1 if h.mono else 2
+    parted = 0 if h.mono else min(bands, 4 * h.extension + 4) if h.joint else bands
+    widths = [w for w, k in groups for _ in range(k)][:bands]
+    # no frame has more than 32 subbands of 2 channels of 4 + 2 bits
+    bits = int.from_bytes(data[at + 6 : at + 6 + 48].ljust(48, b"\0"), "big")
+    read, selected = 0, 0
+    for band, width in enumerate(widths):
+        for _ in range(channels if band < parted else 1):
+            given = bits >> (384 - read - width) & ((1 << width) - 1)
+            read += width
+            selected += (1 if band < parted or h.mono else channels) * bool(given)
+    n = read + (2 * selected if h.layer == 2 else 0)
+    return crc16_bits(int.from_bytes(data[at + 2 : at + 4], "big") << n | bits >> (384 - n), 16 + n)
+
+
 @dataclass(frozen=True)
 class Header:
     version: int  # 3: MPEG-1, 2: MPEG-2, 0: MPEG-2.5
@@ -78,6 +118,9 @@ class Header:
     mono: bool
     size: int
     samples: int
+    kbits: int
+    joint: bool
+    extension: int
 
     @property
     def side(self) -> int:
@@ -108,7 +151,7 @@ def _header(data: bytes) -> Header | None:
     bits = 1000 * _KBITS[1 if version == 3 else 2, layer][index]
     samples = 384 if layer == 1 else 1152 if layer == 2 or version == 3 else 576
     size = (12 * bits // rate + padding) * 4 if layer == 1 else samples // 8 * bits // rate + padding
-    return Header(version, layer, not data[1] & 1, rate, data[3] >> 6 == 3, size, samples)
+    return Header(version, layer, not data[1] & 1, rate, data[3] >> 6 == 3, size, samples, bits // 1000, data[3] >> 6 == 1, data[3] >> 4 & 3)
 
 
 @dataclass
@@ -165,7 +208,7 @@ def _vbr(data: bytes, at: int, h: Header, out: Stream) -> bool:
         out.table = "VBRI"
         out.table_bytes, out.table_frames, n, scale, width = struct.unpack(">IIHHH", data[x + 10 : x + 24])
         p = x + 26
-        out.toc = [int.from_bytes(data[p + i * width : p + (i + 1) * width], "big") * scale for i in range(min(n, 1000))]
+        out.toc = [int.from_bytes(data[p + i * width : p + (i + 1) * width], "big") * scale for i in range(min(n, max(0, len(data) - p) // max(1, width)))]
         return True
     return False
 
@@ -194,10 +237,9 @@ def parse(data: bytes | None) -> Stream:
                 break
             continue
         lost = False
-        if h.protected and h.layer == 3:
-            side = data[at + 6 : at + 6 + h.side]
-            if crc16(data[at + 2 : at + 4] + side) != int.from_bytes(data[at + 4 : at + 6], "big"):
-                out.bad += 1
+        if h.protected:
+            want = crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) if h.layer == 3 else allocation_crc(data, at, h)
+            out.bad += want != int.from_bytes(data[at + 4 : at + 6], "big")
         out.rate = h.rate
         if not (first and h.layer == 3 and _vbr(data, at, h, out)):
             out.offsets.append(at)
