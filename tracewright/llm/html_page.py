@@ -1,8 +1,8 @@
 """Pages as token sequences: a lenient reader of HTML in time linear in the page.
 
 A page becomes a list of tokens in page order: the start of an element, its end (also where HTML implies it)
-and blocks of text. A token's number is a hash of the path of elements it stands in, and of the text for a
-block. Paths hold tags and class names, without names that hold a digit, which tend to number the page. The start
+and blocks of text. A token's number is a hash of the path of elements it stands in; a block has a hash of its
+text besides. Paths hold tags and class names, without names that hold a digit, which tend to number the page. The start
 of an element has an even number, and its end the next odd one.
 
 Text: character references decoded, white space inside a block one space, trimmed. Inline tags neither part
@@ -78,6 +78,7 @@ class Token:
 
     number: int
     text: str | None = None
+    hash: int = 0
     hard: bool = False
     soft: bool = False
     main: bool = False
@@ -163,7 +164,8 @@ def read(page: str) -> list[Token]:
             text = " ".join("".join(parts).split())
             if text:
                 inner = stack[-1]
-                out.append(Token(_hash(inner.block.path, text), text, inner.hard, inner.soft, inner.main, inner.article, inner.rank, min(linked, len(text))))
+                own = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
+                out.append(Token(inner.block.path, text, own, inner.hard, inner.soft, inner.main, inner.article, inner.rank, min(linked, len(text))))
             parts.clear()
         linked = 0
 

@@ -41,8 +41,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Scratch, checkpointed, slices
@@ -58,47 +59,54 @@ _TAG, _HARD, _END, _OPEN = -1, -2, -3, -4
 
 @dataclass
 class Template:
-    """of: the class of each token; size: tokens of each class; times: how often a token of several roles occurs on a
+    """of: the class of each token; size: tokens of each class; times: how often a token whose roles are told apart occurs on a
     page; roles: LINKS, ROUND or MINOR of slots that aren't text; region: the start of the element that MINOR doesn't
-    hold in, 0 if there is none; once: all tokens that are one of several roles."""
+    hold in, 0 if there is none; turns: the roles of each token in order; once: all of them."""
 
     of: dict[int, int] = field(default_factory=dict)
     size: dict[int, int] = field(default_factory=dict)
     times: dict[int, int] = field(default_factory=dict)
     roles: dict[int, int] = field(default_factory=dict)
     region: int = 0
+    turns: dict[int, list[int]] = field(default_factory=dict)
     once: frozenset[int] = frozenset()
 
     def __post_init__(self):
-        self.once = frozenset(_mixed(n, k + 1) for n, t in self.times.items() for k in range(t))
+        self.turns = {n: [_mixed(n, k + 1) for k in range(t)] for n, t in self.times.items()}
+        self.once = frozenset(x for own in self.turns.values() for x in own)
 
 
 def _mixed(*parts: int) -> int:
-    return xxhash.xxh3_64_intdigest(b"".join((x & (1 << 64) - 1).to_bytes(8, "little") for x in parts)) >> 1
+    """63 bits of hash of whole numbers."""
+    x = 0x243F6A8885A308D3
+    for part in parts:
+        x = ((x ^ part) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
+        x ^= x >> 29
+    return (x * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF) >> 1
+
+
+def numbered(tokens: list[Token]) -> list[int]:
+    """The number of each token: of a block by its path and its text."""
+    return [t.number if t.text is None else t.number ^ t.hash | 1 for t in tokens]
 
 
 def with_roles(numbers: list[int], template: Template) -> list[int]:
     """The tokens of a page, those of several roles told apart. A page where one occurs more or less often hasn't its roles."""
-    times = template.times
+    turns = template.turns
     count: dict[int, int] = {}
     for number in numbers:
-        if number in times:
+        if number in turns:
             count[number] = count.get(number, 0) + 1
-    turn, out = dict.fromkeys(count, 0), []
-    for number in numbers:
-        if number in count and count[number] == times[number]:
-            turn[number] += 1
-            number = _mixed(number, turn[number])
-        out.append(number)
-    return out
+    left = {n: iter(turns[n]) for n, k in count.items() if k == len(turns[n])}
+    return [next(left[n]) if n in left else n for n in numbers]
 
 
 def cut(tokens: list[int], template: Template) -> tuple[list[int], dict[int, list[list[int]]], set[int]]:
     """The slot of each token, CONSTANT for the template's own; the tokens of each complete span by class; and the
     classes that cross a larger one or begin a span anew before it is complete."""
     of, size = template.of, template.size
-    # open spans: class, their tokens, address of the span
-    stack: list[tuple[int, list[int], int]] = []
+    # open spans: class, their tokens in order and as a set, address of the span
+    stack: list[tuple[int, list[int], set[int], int]] = []
     slots, spans, bad, here = [], {}, set(), 1
     for token in tokens:
         c = of.get(token)
@@ -106,21 +114,24 @@ def cut(tokens: list[int], template: Template) -> tuple[list[int], dict[int, lis
             slots.append(here)
             continue
         slots.append(CONSTANT)
-        at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == c), -1)
-        if at >= 0 and token in stack[at][1]:
+        at = len(stack) - 1
+        while at >= 0 and stack[at][0] != c:
+            at -= 1
+        if at >= 0 and token in stack[at][2]:
             bad.add(c)
             del stack[at:]
             at = -1
         if at < 0:
-            stack.append((c, [token], _mixed(here, c)))
+            stack.append((c, [token], {token}, _mixed(here, c)))
         else:
             for crossed, *_ in stack[at + 1 :]:
                 bad.add(c if (size[c], c) < (size[crossed], crossed) else crossed)
             del stack[at + 1 :]
             stack[at][1].append(token)
+            stack[at][2].add(token)
             if len(stack[at][1]) == size[c]:
                 spans.setdefault(c, []).append(stack.pop()[1])
-        here = _mixed(stack[-1][2], len(stack[-1][1])) if stack else 1
+        here = _mixed(stack[-1][3], len(stack[-1][1])) if stack else 1
     return slots, spans, bad
 
 
@@ -130,7 +141,7 @@ def main_text(page: str | None, template: Template | None = None) -> str:
         return ""
     tokens = read(page)
     template = template or _NONE
-    roles = with_roles([t.number for t in tokens], template)
+    roles = with_roles(numbered(tokens), template)
     # blocks with the role of their slot, None for text
     found: list[tuple[Token, int | None]] = []
     end = None
@@ -165,30 +176,36 @@ def _sizes(tokens: list[Token]) -> list[int]:
     return [(_OPEN if t.opens else _END if t.ends else _TAG) if t.text is None else _HARD if t.hard else len(t.text) for t in tokens]
 
 
+def _host_id(url):
+    return F.xxhash64(_host(url))
+
+
 def _read(pages: DataFrame) -> DataFrame:
-    """host, page (a hash of the page), numbers, sizes, linked, texts (hashes of blocks): the tokens of each page of each host."""
+    """host (a hash), page (a hash of the page), numbers (paths), sizes, linked, texts (hashes of blocks): the tokens of each page."""
 
     def run(batches):
+        kinds = pa.int64(), pa.int32(), pa.int32(), pa.int64()
         for piece, _ in slices(batches, "html"):
             rows = [read(x) for x in piece.column(2).to_pylist()]
-            lists = [[t.number for t in r] for r in rows], [_sizes(r) for r in rows], [[t.linked for t in r] for r in rows], [[_text(t) for t in r] for r in rows]
-            kinds = pa.int64(), pa.int32(), pa.int32(), pa.int64()
+            lists = [[t.number for t in r] for r in rows], [_sizes(r) for r in rows], [[t.linked for t in r] for r in rows], [[t.hash for t in r] for r in rows]
             yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *(pa.array(x, pa.list_(k)) for x, k in zip(lists, kinds, strict=True))], names=["host", "page", "numbers", "sizes", "linked", "texts"])
 
     html = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select(_host(F.col("url")).alias("host"), F.xxhash64(html).alias("page"), html.alias("html"))
-    return rows.mapInArrow(run, "host string, page long, numbers array<long>, sizes array<int>, linked array<int>, texts array<long>")
+    rows = pages.select(_host_id(F.col("url")).alias("host"), F.xxhash64(html).alias("page"), html.alias("html"))
+    return rows.mapInArrow(run, "host long, page long, numbers array<long>, sizes array<int>, linked array<int>, texts array<long>")
 
 
-def _text(token: Token) -> int:
-    """A hash of a block's text, wherever it stands; 0 for others."""
-    return xxhash.xxh3_64_intdigest(token.text.encode("utf-8", "surrogatepass")) >> 1 if token.text is not None and not token.hard else 0
+def _flat(paths: pa.ListArray, texts: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all tokens of a batch, as numbered() has them, and where each page's begin; the last end too."""
+    number, text = paths.flatten().to_numpy(), texts.flatten().to_numpy()
+    ends = np.r_[0, np.cumsum(pa.compute.list_value_length(paths).to_numpy())]
+    return np.where(text != 0, number ^ text | 1, number), ends
 
 
-def _runs(hosts: list[str]):
-    """Start and end of the runs of one host."""
-    starts = [i for i in range(len(hosts)) if not i or hosts[i] != hosts[i - 1]]
-    return zip(starts, [*starts[1:], len(hosts)], strict=True)
+def _numbers(batch: pa.RecordBatch) -> list[list[int]]:
+    flat, ends = _flat(batch.column(batch.schema.get_field_index("numbers")), batch.column(batch.schema.get_field_index("texts")))
+    flat = flat.tolist()
+    return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def _classes(tokens: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -196,25 +213,23 @@ def _classes(tokens: DataFrame, sizes: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
-            column = b.column(2)
-            ends, flat = column.offsets.to_numpy(), column.values.to_numpy()
-            pages = b.column(1).to_numpy().view(np.uint64)
-            hosts = b.column(0).to_pylist()
-            for lo, hi in _runs(hosts):
-                own = np.repeat(np.arange(lo, hi), np.diff(ends[lo : hi + 1]))
-                (number, page), times = np.unique(np.stack([flat[ends[lo] : ends[hi]], own]), axis=1, return_counts=True)
-                if not len(times):
-                    continue
-                order = np.lexsort((times, number))
-                number, times, seen = number[order], times[order], pages[page[order]]
-                first = np.flatnonzero(np.r_[True, (number[1:] != number[:-1]) | (times[1:] != times[:-1])])
-                columns = [hosts[lo]] * len(first), number[first], times[first], np.diff(np.r_[first, len(times)]), np.bitwise_xor.reduceat(seen, first).view(np.int64)
-                for c, values in zip(out, columns, strict=True):
-                    c.extend(values)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.string(), *[pa.int64()] * 4), strict=True)], names=["host", "number", "times", "pages", "vector"])
-
-    counted = tokens.select("host", "page", "numbers").mapInArrow(run, "host string, number long, times long, pages long, vector long")
+            hosts, pages = b.column(0).to_numpy(), b.column(1).to_numpy()
+            flat, ends = _flat(b.column(2), b.column(3))
+            row = np.repeat(np.arange(b.num_rows), np.diff(ends))
+            order = np.lexsort((flat, row))
+            flat, row = flat[order], row[order]
+            first = np.flatnonzero(np.r_[True, (flat[1:] != flat[:-1]) | (row[1:] != row[:-1])]) if len(flat) else np.empty(0, dtype=np.intp)
+            times, number, row = np.diff(np.r_[first, len(flat)]), flat[first], row[first]
+            host, vector = hosts[row], pages[row]
+            order = np.lexsort((times, number, host))
+            times, number, host, vector = times[order], number[order], host[order], vector[order]
+            new = np.r_[True, (host[1:] != host[:-1]) | (number[1:] != number[:-1]) | (times[1:] != times[:-1])] if len(host) else np.empty(0, dtype=bool)
+            first = np.flatnonzero(new)
+            vectors = np.bitwise_xor.reduceat(vector, first) if len(first) else vector
+            columns = host[first], number[first], times[first], np.diff(np.r_[first, len(host)]), vectors
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["host", "number", "times", "pages", "vector"])
+
+    counted = tokens.select("host", "page", "numbers", "texts").mapInArrow(run, "host long, number long, times long, pages long, vector long")
     by_times = counted.groupBy("host", "number", "times").agg(F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"))
     seen = by_times.groupBy("host", "number").agg(
         F.sum("pages").alias("pages"), F.max(F.struct("pages", "times", "vector")).alias("most"), F.bit_xor(F.xxhash64("times", "vector")).alias("vector")
@@ -233,9 +248,9 @@ def _with_roles(classes: DataFrame) -> DataFrame:
         for b in batches:
             rows = [(h, _mixed(n, i + 1) if t else n, c, n, t) for h, n, c, t in zip(*(x.to_pylist() for x in b.columns), strict=True) for i in range(t or 1)]
             cols = zip(*rows, strict=True) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), *[pa.int64()] * 4), strict=True)], names=["host", "token", "class", "number", "times"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["host", "token", "class", "number", "times"])
 
-    return classes.select("host", "number", "class", "times").mapInArrow(run, "host string, token long, class long, number long, times long")
+    return classes.select("host", "number", "class", "times").mapInArrow(run, "host long, token long, class long, number long, times long")
 
 
 def _gathered(classes: DataFrame) -> DataFrame:
@@ -248,22 +263,27 @@ _GATHERED = ["tokens_of", "class_of", "numbers_of", "times_of"]
 
 
 class _Templates:
-    """Templates of hosts, made once for each run of rows of a host."""
+    """Templates of hosts, each made once as long as there are MOST of them at most."""
+
+    MOST = 500
 
     def __init__(self):
-        self.host, self.template = None, None
+        self.known: dict[int, Template | None] = {}
 
-    def of(self, host: str, columns: list, i: int) -> Template | None:
-        if host != self.host:
-            self.host, self.template = host, None
+    def of(self, host: int, columns: list, i: int) -> Template | None:
+        if host not in self.known:
+            if len(self.known) >= self.MOST:
+                self.known.clear()
             tokens, of, numbers, times, *roles = (c[i].as_py() for c in columns)
+            template = None
             if tokens is not None:
                 size: dict[int, int] = {}
                 for c in of:
                     size[c] = size.get(c, 0) + 1
                 known = {n: t for n, t in zip(numbers, times, strict=True) if t}
-                self.template = Template(dict(zip(tokens, of, strict=True)), size, known, *((dict(zip(roles[0] or (), roles[1] or (), strict=True)), roles[2]) if roles else ()))
-        return self.template
+                template = Template(dict(zip(tokens, of, strict=True)), size, known, *((dict(zip(roles[0] or (), roles[1] or (), strict=True)), roles[2]) if roles else ()))
+            self.known[host] = template
+        return self.known[host]
 
 
 def _with(rows: DataFrame, templates: DataFrame) -> DataFrame:
@@ -281,8 +301,8 @@ def _valid(tokens: DataFrame, classes: DataFrame, keep: Scratch) -> DataFrame:
         for b in batches:
             # of a class of tokens that are once a page the least and greatest place of each; of others those of the order's hash
             found: dict[tuple, list] = {}
-            for i, (host, numbers) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
-                template = known.of(host, b.columns[2:6], i)
+            for i, (host, numbers) in enumerate(zip(b.column(0).to_pylist(), _numbers(b), strict=True)):
+                template = known.of(host, b.columns[3:7], i)
                 page = with_roles(numbers, template)
                 _, spans, bad = cut(page, template)
                 for c in bad:
@@ -294,10 +314,10 @@ def _valid(tokens: DataFrame, classes: DataFrame, keep: Scratch) -> DataFrame:
                         seen[0], seen[1] = min(seen[0], place), max(seen[1], place)
             rows = [(*k, *v) for k, v in found.items()]
             cols = zip(*rows, strict=True) if rows else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), *[pa.int64()] * 4, pa.bool_()), strict=True)], names=["host", "class", "token", "low", "high", "bad"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (*[pa.int64()] * 5, pa.bool_()), strict=True)], names=["host", "class", "token", "low", "high", "bad"])
 
-    rows = _with(tokens.select("host", "numbers"), keep.keep(_gathered(classes), "candidates")).where("tokens_of is not null")
-    checked = rows.select("host", "numbers", *_GATHERED).mapInArrow(run, "host string, class long, token long, low long, high long, bad boolean")
+    rows = _with(tokens.select("host", "numbers", "texts"), keep.keep(_gathered(classes), "candidates")).where("tokens_of is not null")
+    checked = rows.select("host", "numbers", "texts", *_GATHERED).mapInArrow(run, "host long, class long, token long, low long, high long, bad boolean")
     found = keep.keep(checked.groupBy("host", "class", "token").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("bad").alias("bad")), "checked")
     crossing = found.where("bad or (token = 0 and low <> high)").select("host", "class").distinct()
     moving = found.where("token <> 0 and low <> high").select("host", "token")
@@ -317,14 +337,14 @@ def _regions(numbers: list[int], roles: list[int], sizes: list[int], once: froze
     return out
 
 
-def _roles(tokens: DataFrame, templates: DataFrame) -> DataFrame:
+def _roles(tokens: DataFrame, templates: DataFrame, keep: Scratch) -> DataFrame:
     """__host, slots_of, roles_of, region, copies: slots of each host that don't hold text; whether the host has copies only."""
 
     def run(batches):
         known = _Templates()
         for b in batches:
             found: dict[tuple, list] = {}
-            for i, (host, numbers, sizes, linked, texts) in enumerate(zip(*(c.to_pylist() for c in b.columns[:5]), strict=True)):
+            for i, (numbers, host, sizes, linked, texts) in enumerate(zip(_numbers(b), *(b.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True)):
                 template = known.of(host, b.columns[5:9], i)
                 page = with_roles(numbers, template)
                 regions = _regions(numbers, page, sizes, template.once)
@@ -334,15 +354,16 @@ def _roles(tokens: DataFrame, templates: DataFrame) -> DataFrame:
                         own[0] += 1
             rows = [(*k, *v) for k, v in found.items()]
             cols = zip(*rows, strict=True) if rows else [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), *[pa.int64()] * 6), strict=True)], names=["host", "slot", "text", "n", "chars", "linked", "region"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["host", "slot", "text", "n", "chars", "linked", "region"])
 
     rows = _with(tokens.select("host", "numbers", "sizes", "linked", "texts"), templates).where("tokens_of is not null")
-    rows = rows.select("host", "numbers", "sizes", "linked", "texts", *_GATHERED).mapInArrow(run, "host string, slot long, text long, n long, chars long, linked long, region long")
+    rows = rows.select("host", "numbers", "sizes", "linked", "texts", *_GATHERED).mapInArrow(run, "host long, slot long, text long, n long, chars long, linked long, region long")
     texts = rows.groupBy("host", "slot", "text").agg(F.sum("n").alias("n"), F.max("chars").alias("chars"), F.max("linked").alias("linked"), F.max("region").alias("region"))
-    texts = texts.join(texts.groupBy("text").agg(F.sum("n").alias("everywhere")), "text")
-    slots = texts.groupBy("host", "slot").agg(
+    # what is left of a text is a row for each host and slot
+    texts = texts.withColumn("everywhere", F.sum("n").over(W.partitionBy("text")))
+    slots = keep.keep(texts.groupBy("host", "slot").agg(
         F.sum(F.col("n") * F.col("chars")).alias("all"), F.sum(F.col("n") * F.col("chars") / F.col("everywhere")).alias("new"), F.sum(F.col("n") * F.col("linked")).alias("linked"), F.max("region").alias("region")
-    )
+    ), "slots")
     menu, constant = F.col("linked") * 2 > F.col("all"), F.col("slot") == CONSTANT
     slots = slots.withColumn("novelty", F.col("new") / F.col("all"))
     top = slots.where(~menu & ~constant).groupBy("host").agg(F.max(F.struct("new", "slot", "novelty", "region")).alias("top"))
@@ -364,7 +385,7 @@ def templates(pages: DataFrame) -> DataFrame:
     sizes = tokens.groupBy("host").agg(F.count("*").alias("all"))
     candidates = keep.keep(_several(_with_roles(_classes(tokens, sizes))), "classes")
     gathered = keep.keep(_gathered(_several(_valid(tokens, candidates, keep))), "valid")
-    roles = _roles(tokens, gathered)
+    roles = _roles(tokens, gathered, keep)
     out = checkpointed(gathered.join(roles, "__host").where("not copies").drop("copies"))
     keep.clear()
     return out
@@ -379,7 +400,7 @@ def _several(classes: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages(page_id, url, html)."""
     pages = pages.select("page_id", "url", "html")
-    rows = _with(pages.withColumn("host", _host(F.col("url"))), templates(pages))
+    rows = _with(pages.withColumn("host", _host_id(F.col("url"))), templates(pages))
 
     def run(batches):
         known = _Templates()
