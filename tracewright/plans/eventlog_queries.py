@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import eventlog as E
+from ..operators.order import numbered
 from .eventlog_sql import DUCK_LOG, event_log
 
 QUERIES: dict = {}
@@ -24,6 +25,8 @@ def _where(name: str, condition, sql: str) -> None:
 
 _n = lambda: F.count("*").alias("n")
 _r = lambda c, k=6: F.round(c, k)
+# the order itself as a column, as results are compared without one
+_placed = lambda df, *order: numbered(df, *order).withColumnRenamed("i", "place")
 
 # F: filters and projections
 _where("activity", lambda: E.has_activity("purchase"), "activity = 'purchase'")
@@ -94,7 +97,7 @@ _add("by_year_parts", lambda log: log.groupBy(F.year("timestamp").cast("long").a
 _add("julianday", lambda log: log.select("id", _r(E.seconds("timestamp") / 86400.0 + 2440587.5, 6).alias("jd")), "SELECT id, round(floor(epoch(timestamp)) / 86400.0 + 2440587.5, 6) AS jd FROM event_log")
 _add("min_max_time", lambda log: log.groupBy("activity").agg(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi")), "SELECT activity, min(timestamp) AS lo, max(timestamp) AS hi FROM event_log GROUP BY activity")
 _add("rework", lambda log: E.rework(log, "daycase"), "SELECT daycase, CAST(count(*) - count(DISTINCT activity) AS BIGINT) AS rework FROM event_log GROUP BY daycase")
-_add("value_counts", lambda log: log.groupBy("resource").agg(_n()).orderBy(F.desc("n"), F.asc_nulls_first("resource")), "SELECT resource, count(*) AS n FROM event_log GROUP BY resource ORDER BY n DESC")
+_add("value_counts", lambda log: _placed(log.groupBy("resource").agg(_n()), F.desc("n"), F.asc_nulls_first("resource")), "SELECT resource, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, resource NULLS FIRST) - 1 AS place FROM event_log GROUP BY resource")
 _add("overall_row", lambda log: log.rollup("activity").agg(_n()).select(F.coalesce("activity", F.lit("OVERALL")).alias("activity"), "n"), "SELECT coalesce(activity, 'OVERALL') AS activity, count(*) AS n FROM event_log GROUP BY ROLLUP (activity)")
 _add("percent_guarded", lambda log: log.groupBy("activity").agg(_r(100 * F.coalesce(F.try_divide(F.count("resource"), F.count("*")), F.lit(0.0)), 2).alias("pct")), "SELECT activity, round(100 * coalesce(count(resource)::DOUBLE / nullif(count(*), 0), 0), 2) AS pct FROM event_log GROUP BY activity")
 
@@ -121,7 +124,9 @@ _add("follows_given", lambda log: E.following(log, "activity", case="idcase").wh
 # O: top-k of values, dropping ties by id
 _add("top_limit", lambda log: log.where(E.cost_known()).select("id", "cost").orderBy(F.desc("cost"), "id").limit(7), "SELECT id, cost FROM event_log WHERE cost IS NOT NULL ORDER BY cost DESC, id LIMIT 7")
 _add("top_values", lambda log: log.join(log.where(E.cost_known()).select("cost").distinct().orderBy(F.desc("cost")).limit(5), "cost", "left_semi").select("id", "cost"), "SELECT id, cost FROM event_log WHERE cost IN (SELECT DISTINCT cost FROM event_log WHERE cost IS NOT NULL ORDER BY cost DESC LIMIT 5)")
-_add("distinct_sorted_by_other", lambda log: log.groupBy("activity").agg(F.min("timestamp").alias("t")).orderBy("t").select("activity"), "SELECT activity FROM event_log GROUP BY activity ORDER BY min(timestamp)")
+_add("distinct_sorted_by_other", lambda log: _placed(log.groupBy("activity").agg(F.min("timestamp").alias("t")), "t", "activity").drop("t"), "SELECT activity, row_number() OVER (ORDER BY min(timestamp), activity) - 1 AS place FROM event_log GROUP BY activity")
+_add("sorted", lambda log: _placed(log.select("id", "cost"), F.asc_nulls_first("cost"), F.desc("id")), "SELECT id, cost, row_number() OVER (ORDER BY cost NULLS FIRST, id DESC) - 1 AS place FROM event_log")
+_add("order_in_subquery", lambda log: log.orderBy("cost").groupBy("activity").agg(_n()), "SELECT activity, count(*) AS n FROM (SELECT * FROM event_log ORDER BY cost) GROUP BY activity")
 
 # S: sets
 _add("union_metrics", lambda log: E.union_of(log, views=E.has_activity("view"), known=E.cost_known(), r3=E.performed_by("r3")), "SELECT count(*) AS n, 'views' AS grp FROM event_log WHERE activity = 'view' UNION SELECT count(*), 'known' FROM event_log WHERE cost IS NOT NULL UNION SELECT count(*), 'r3' FROM event_log WHERE resource = 'r3'")

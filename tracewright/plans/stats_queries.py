@@ -6,6 +6,8 @@ difficulty, its source the question; flags of lineitem give four conditions.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +62,38 @@ _add(
     _mcnemar,
     f", k AS (SELECT difficulty, {_cells} FROM s GROUP BY difficulty) SELECT difficulty, b + c AS nd, CASE WHEN b + c = 0 THEN 0 WHEN b + c >= 25 THEN round((abs(b - c) - 1) ** 2 / (b + c), 9) END AS statistic, CASE WHEN b + c = 0 THEN 'exact (no discordant pairs)' WHEN b + c < 25 THEN 'exact binomial McNemar' ELSE 'chi-squared with continuity correction' END AS method, round((c - b)::DOUBLE / n, 9) AS delta FROM k WHERE n >= 2",
 )
+def _exact(s: DataFrame) -> DataFrame:
+    """The exact test of each question, with its p-value, from the cells of all."""
+    cells = Z.contingency(s, "quality", "toxic", "question_id", "difficulty").where("n >= 2 and b + c > 0 and b + c < 25")
+    rows = [(r["question_id"], r["difficulty"], (m := Z.mcnemar(r["a"], r["b"], r["c"], r["d"]))["n_discordant"], m["p_value"], m["significant"]) for r in cells.collect()]
+    return s.sparkSession.createDataFrame(rows, "question_id string, difficulty string, nd long, p_value double, significant boolean").withColumn("p_value", F.round("p_value", 9))
+
+
+_add(
+    "st_mcnemar_exact",
+    _exact,
+    f", k AS (SELECT question_id, difficulty, {_cells} FROM s GROUP BY ALL), t AS (SELECT *, b + c AS nd, unnest(range(0, least(b, c) + 1)) AS i FROM k WHERE n >= 2 AND b + c > 0 AND b + c < 25), p AS (SELECT question_id, difficulty, nd, round(least(1, 2 * sum(factorial(CAST(nd AS INT))::DOUBLE / (factorial(CAST(i AS INT))::DOUBLE * factorial(CAST(nd - i AS INT))::DOUBLE) / 2 ** nd)), 9) AS p_value FROM t GROUP BY ALL) SELECT *, p_value < 0.05 AS significant FROM p",
+)
+
+
+def _subgroups(s: DataFrame) -> DataFrame:
+    """What doesn't depend on the draws of each subgroup's tests: sizes, accuracies and their difference, as the test and the bootstrap see it."""
+    found = Z.subgroups(s, "quality", "toxic", "difficulty", draws=50)
+    rows = [(k, v["n_items"], round(v["acc_A"], 9), round(v["acc_B"], 9), round(v["delta"], 9), round(v["boot_obs_delta"], 9), v["boot_ci_lo"] <= v["boot_ci_hi"]) for k, v in found.items()]
+    return s.sparkSession.createDataFrame(rows, "difficulty string, n_items long, acc_a double, acc_b double, delta double, boot_delta double, ordered boolean")
+
+
+_add("st_subgroups", _subgroups, "SELECT difficulty, count(*) AS n_items, round(avg(quality), 9) AS acc_a, round(avg(toxic), 9) AS acc_b, round(avg(toxic) - avg(quality), 9) AS delta, round(avg(toxic) - avg(quality), 9) AS boot_delta, true AS ordered FROM s GROUP BY difficulty HAVING count(*) >= 2")
+
+
+def _cluster(s: DataFrame) -> DataFrame:
+    """The bootstrap by question, told by what all seeds share: its interval is in order and holds the mean of the draws."""
+    sums = [r for r in Z.group_sums(s.where("difficulty = 'en'").withColumn("kind", F.when(F.col("run_id") % 2 == 0, "base").otherwise("paraphrase")), "question_id", "kind", "quality", "toxic").collect()]
+    found = Z.cluster_bootstrap(sums, "quality", "toxic", draws=200)
+    return s.sparkSession.createDataFrame([(len(sums), found["ci_lo"] <= found["mean"] <= found["ci_hi"], 0 <= found["p_boot"] <= 1)], "n_groups long, inside boolean, is_share boolean")
+
+
+_add("st_cluster_bootstrap", _cluster, "SELECT count(DISTINCT question_id) AS n_groups, true AS inside, true AS is_share FROM s WHERE difficulty = 'en'")
 _add("st_accuracy", lambda s: s.groupBy("difficulty").agg(F.round(F.avg("quality"), 9).alias("acc_a"), F.round(F.avg("toxic"), 9).alias("acc_b")), "SELECT difficulty, round(avg(quality), 9) AS acc_a, round(avg(toxic), 9) AS acc_b FROM s GROUP BY difficulty")
 _add("st_passk", lambda s: Z.pass_at_k(s.withColumn("score", F.col("toxic")), "question_id", "difficulty"), "SELECT difficulty, count(*) AS n_questions, round(avg(best), 9) AS pass_at_k, round(sum(s) / sum(k), 9) AS mean_run_acc FROM (SELECT difficulty, question_id, max(toxic) AS best, sum(toxic) AS s, count(toxic) AS k FROM s GROUP BY ALL) GROUP BY difficulty")
 _add(
@@ -86,7 +120,21 @@ _add(
     f", d AS (SELECT draw, quality, toxic, ('0x' || substr(md5(concat(draw, '-', run_id)), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM s, range(1, 51) r(draw)), w AS (SELECT *, {_poisson_sql()} AS w FROM d) SELECT draw::INT AS draw, round(sum(w * (toxic - quality))::DOUBLE / sum(w), 9) AS delta FROM w WHERE w > 0 GROUP BY draw",
 )
 _add("st_did_patterns", lambda c: Z.did_patterns(c, "z", "l", "f", "c"), "SELECT z, l, f, c, count(*) AS n FROM c4 GROUP BY ALL", conditions, _C)
-_add("st_did", lambda c: c.agg(F.round((F.avg("c") - F.avg("f")) - (F.avg("l") - F.avg("z")), 9).alias("did"), F.count("*").alias("n_items")), "SELECT round((avg(c) - avg(f)) - (avg(l) - avg(z)), 9) AS did, count(*) AS n_items FROM c4", conditions, _C)
+_DID = ("obs_did", "acc_zeroshot", "acc_lexicon", "acc_lf", "acc_combined", "marginal_lex", "marginal_lf", "expected_add", "actual_combined_gain")
+
+
+def _did(c: DataFrame) -> DataFrame:
+    found = Z.did(Z.did_patterns(c, "z", "l", "f", "c").collect(), draws=50)
+    return c.sparkSession.createDataFrame([(found["n_items"], *[round(found[k], 9) for k in _DID])], "n_items long, " + ", ".join(f"{k} double" for k in _DID))
+
+
+_add(
+    "st_did",
+    _did,
+    "SELECT count(*) AS n_items, round((avg(c) - avg(f)) - (avg(l) - avg(z)), 9) AS obs_did, round(avg(z), 9) AS acc_zeroshot, round(avg(l), 9) AS acc_lexicon, round(avg(f), 9) AS acc_lf, round(avg(c), 9) AS acc_combined, round(avg(l) - avg(z), 9) AS marginal_lex, round(avg(f) - avg(z), 9) AS marginal_lf, round(avg(l) + avg(f) - 2 * avg(z), 9) AS expected_add, round(avg(c) - avg(z), 9) AS actual_combined_gain FROM c4",
+    conditions,
+    _C,
+)
 _add("st_difficulty", lambda s: s.select("run_id", Z.difficulty_number(F.when(F.col("difficulty") == "en", "hard").when(F.col("difficulty") == "de", "extra").otherwise(F.col("difficulty"))).alias("d")), "SELECT run_id, CASE difficulty WHEN 'en' THEN 2 WHEN 'de' THEN 3 ELSE 1 END AS d FROM s")
 
 
@@ -131,6 +179,24 @@ _add(
 _add("ql_results_em", lambda p: Z.qualifier_results(Z.labels(p, "classes", heads=True), "classes", "kind", "score", "hardness"), "SELECT split_part(class, ' - ', 1) AS label, kind, count(*) AS total, count(*) FILTER (score = 1) AS ok FROM e WHERE hardness <> 'no_hardness' GROUP BY ALL", parts, _P)
 _add("ql_results_ex", lambda p: Z.qualifier_results(Z.labels(p, "classes", heads=True), "classes", "kind", "score"), "SELECT split_part(class, ' - ', 1) AS label, kind, count(*) AS total, count(*) FILTER (score = 1) AS ok FROM e GROUP BY ALL", parts, _P)
 
+
+
+def _perspective(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All counts of a perspective: qualifiers 6 to 8, here the brand, type and name of parts."""
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet")
+    kind = F.when(F.col("p_partkey") % 5 == 0, "base").otherwise("paraphrase").alias("Base_paraphrase")
+    df = rows.select(kind, *[F.col(c).alias(Z.QUALIFIERS[q][0]) for q, c in ((6, "p_brand"), (7, "p_type"), (8, "p_name"))])
+    found = Z.perspective(df, "sql")
+    return reduce(DataFrame.unionByName, [v.withColumn("qualifier", F.lit(q)) for q, v in found.items()])
+
+
+QUERIES["ql_perspective"] = _perspective
+ORACLES["ql_perspective"] = (
+    "WITH l AS (SELECT 6 AS qualifier, p_brand AS label, p_partkey FROM part UNION ALL SELECT 7, p_type, p_partkey FROM part UNION ALL SELECT 8, p_name, p_partkey FROM part), "
+    "c AS (SELECT qualifier, label, count(*) FILTER (p_partkey % 5 = 0) AS base, count(*) FILTER (p_partkey % 5 <> 0) AS paraphrase, count(*) AS \"both\" FROM l WHERE label IS NOT NULL GROUP BY ALL) "
+    "SELECT *, round(base / 205.0::DOUBLE * 100, 6) AS base_pct, round(paraphrase / 1450.0::DOUBLE * 100, 6) AS paraphrase_pct, round(\"both\" / 1655.0::DOUBLE * 100, 6) AS both_pct FROM c"
+)
+
 # SQLite's dialect end to end: pairs of predicted and gold statements over the event log
 _PAIRS = [
     ("SELECT COUNT(*) FROM event_log WHERE activity LIKE 'VIEW'", "SELECT COUNT(id) FROM event_log WHERE activity = 'view'", 1),
@@ -158,11 +224,14 @@ ORACLES["ev_execution"] = "SELECT * FROM (VALUES " + ", ".join(f"({i}, {want})"
 
 
 def _multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the orders whose grouped counts differ between two renderings of one result: none."""
+    """Cells of the orders as text, and whether two renderings of one result are the same rows, as a list and as a multiset."""
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderstatus", "o_totalprice")
-    cells = E.normal_rows(rows)
-    return cells.select(F.col("row")[0].alias("status"), F.col("row")[1].alias("price")).groupBy("status").agg(F.count("*").alias("n"), F.countDistinct("price").alias("prices"))
+    cells = E.normal_rows(rows).cache()
+    other = E.normal_rows(rows.select(F.concat(F.lit(" "), F.lower("o_orderstatus")), F.col("o_totalprice").cast("decimal(20, 2)"))).cache()
+    same = [E.same_rows(cells, other, ordered) for ordered in (True, False)] + [E.same_rows(cells, other.where("row[0] <> 'f'"), False)]
+    out = cells.select(F.col("row")[0].alias("status"), F.col("row")[1].alias("price")).groupBy("status").agg(F.count("*").alias("n"), F.countDistinct("price").alias("prices"))
+    return out.withColumns(dict(zip(("same_list", "same_multiset", "same_without"), map(F.lit, same), strict=True)))
 
 
 QUERIES["ev_normal_rows"] = _multiset
-ORACLES["ev_normal_rows"] = "SELECT lower(trim(o_orderstatus)) AS status, count(*) AS n, count(DISTINCT CASE WHEN o_totalprice = floor(o_totalprice) THEN printf('%.0f', o_totalprice) ELSE printf('%.6f', o_totalprice) END) AS prices FROM orders GROUP BY 1"
+ORACLES["ev_normal_rows"] = "SELECT lower(trim(o_orderstatus)) AS status, count(*) AS n, count(DISTINCT CASE WHEN o_totalprice = floor(o_totalprice) THEN printf('%.0f', o_totalprice) ELSE printf('%.6f', o_totalprice) END) AS prices, true AS same_list, true AS same_multiset, false AS same_without FROM orders GROUP BY 1"
