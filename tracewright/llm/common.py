@@ -24,13 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors and the driver share: spark.checkpoint.dir of the session.
 
-    Only where that is unset (single-machine tests) a folder of our own is made and set.
+    Only where that is unset and all runs on one machine (tests) a folder of our own is made and set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jvm_dir.isDefined():
             return jvm_dir.get()
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="tracewright-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         found = f"file://{own}"

@@ -25,8 +25,9 @@ added are replaced. An empty table gives an empty result. Everything is a functi
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -150,13 +151,12 @@ def deal(rows: DataFrame, plan: DataFrame, shards: int = 8, seed: int = 9) -> Da
     leaves = split_tree(np.array([counts[s] for s in srcs], dtype=np.int64), shards, np.random.default_rng(seed)) if srcs else np.zeros((shards, 0), dtype=np.int64)
     ends = leaves.cumsum(0)
     runs = [(s, i, int(ends[i, j] - leaves[i, j]), int(ends[i, j])) for j, s in enumerate(srcs) for i in range(shards) if leaves[i, j]]
-    # from Arrow, which needs no Python on executors
-    cols = zip(*runs, strict=True) if runs else [()] * 4
-    kinds = zip(("src", "shard", "lo", "hi"), (pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)
-    runs_df = spark.createDataFrame(pa.table({name: pa.array(c, kind) for c, (name, kind) in zip(cols, kinds, strict=True)}))
+    # a row for each source and shard, as a literal
+    listed = F.from_json(F.lit(json.dumps([dict(zip(("src", "shard", "lo", "hi"), r, strict=True)) for r in runs])), "array<struct<src string, shard int, lo long, hi long>>")
+    runs_df = spark.range(1).select(F.inline(listed))
     turn = W.partitionBy("src").orderBy(hashed(f"{seed}.deal", F.col("src"), F.col("block"), F.col("epoch")), "block", "epoch")
     numbered = instances.withColumn("place", F.row_number().over(turn) - 1)
-    placed = checkpointed(numbered.join(F.broadcast(runs_df), "src").where("place >= lo and place < hi").select("src", "block", "epoch", "shard"))
+    placed = checkpointed(numbered.join((F.broadcast(runs_df) if len(runs) <= MOST_BROADCAST else runs_df), "src").where("place >= lo and place < hi").select("src", "block", "epoch", "shard"))
     light = placed.count() <= MOST_BROADCAST
     taken = rows.where("copies > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     out = taken.join(F.broadcast(placed) if light else placed, ["src", "block", "epoch"])
