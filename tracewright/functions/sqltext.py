@@ -64,9 +64,9 @@ def without_literals(sql: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(sql, r"'[^']*'", "''"), r'"[^"]*"', '""')
 
 
-def referenced_columns(sql: Column) -> Column:
-    """The target columns that occur outside quotes, in their fixed order."""
-    plain = without_literals(sql)
+def referenced_columns(sql: Column, plain: Column | None = None) -> Column:
+    """The target columns that occur outside quotes, in their fixed order. plain: without_literals(sql), if it is a column already."""
+    plain = without_literals(sql) if plain is None else plain
     return F.array_compact(F.array(*[F.when(F.rlike(plain, F.lit(rf"(?i)\b{c}\b")), c) for c in TARGET_COLUMNS]))
 
 
@@ -90,17 +90,17 @@ def literals(sql: Column) -> Column:
     )
 
 
-def operations(sql: Column) -> Column:
-    """map<operation, boolean>. Temporal sees BETWEEN, of any column, and `timestamp ... LIKE` only."""
-    plain = without_literals(F.upper(sql))
+def operations(sql: Column, plain: Column | None = None) -> Column:
+    """map<operation, boolean>. Temporal sees BETWEEN, of any column, and `timestamp ... LIKE` only. plain: without_literals(upper(sql))."""
+    plain = without_literals(F.upper(sql)) if plain is None else plain
     return F.create_map(*[x for name, mark in OPERATION_MARKS.items() for x in (F.lit(name), F.rlike(plain, F.lit(mark)))])
 
 
-def names_column(utterance: Column, column: str) -> Column:
-    """Does the utterance name the column: words as tokens, phrases as substrings? (Tokens have no hyphen.)"""
+def names_column(utterance: Column, column: str, toks: Column | None = None) -> Column:
+    """Does the utterance name the column: words as tokens, phrases as substrings? (Tokens have no hyphen.) toks: tokens(utterance)."""
     words = [s for s in COLUMN_SYNONYMS[column] if " " not in s]
     phrases = [s for s in COLUMN_SYNONYMS[column] if " " in s]
-    found = F.arrays_overlap(tokens(utterance), F.array(*map(F.lit, words)))
+    found = F.arrays_overlap(tokens(utterance) if toks is None else toks, F.array(*map(F.lit, words)))
     for p in phrases:
         found |= F.contains(F.lower(utterance), F.lit(p))
     return found

@@ -155,17 +155,20 @@ def value_summary(values: DataFrame) -> DataFrame:
 
 def column_rows(corpus: DataFrame) -> DataFrame:
     """Stage 4.2: a row for each utterance and column: sql_references_column, column_lexicalized (null: not referenced)."""
-    refs = X.referenced_columns(F.col("gold_sql"))
-    cells = [F.struct(F.lit(c).alias("column"), F.array_contains("refs", c).alias("ref"), X.names_column(F.col("question"), c).alias("lex")) for c in X.TARGET_COLUMNS]
-    out = corpus.withColumn("refs", refs).select("utterance_id", "group_id", F.explode(F.array(*cells)).alias("c"))
+    # what several expressions read is a column of its own, so that it is made once a row
+    out = corpus.withColumns({"__plain": X.without_literals(F.col("gold_sql")), "__toks": T.tokens("question")})
+    out = out.withColumn("refs", X.referenced_columns(F.col("gold_sql"), F.col("__plain")))
+    cells = [F.struct(F.lit(c).alias("column"), F.array_contains("refs", c).alias("ref"), X.names_column(F.col("question"), c, F.col("__toks")).alias("lex")) for c in X.TARGET_COLUMNS]
+    out = out.select("utterance_id", "group_id", F.explode(F.array(*cells)).alias("c"))
     return out.select("utterance_id", "group_id", "c.column", F.col("c.ref").alias("sql_references_column"), F.when(F.col("c.ref"), F.col("c.lex")).alias("column_lexicalized"))
 
 
 def operation_rows(corpus: DataFrame) -> DataFrame:
     """Stage 4.3: a row for each utterance and operation: operation_present_in_sql, has_nl_cue (null: not present)."""
-    ops = X.operations(F.col("gold_sql"))
+    out = corpus.withColumn("__plain", X.without_literals(F.upper("gold_sql")))
+    out = out.withColumn("ops", X.operations(F.col("gold_sql"), F.col("__plain")))
     cells = [F.struct(F.lit(o).alias("sql_operation"), F.col("ops")[o].alias("there"), X.has_cue(F.col("question"), o).alias("cue")) for o in X.OPERATION_CUES]
-    out = corpus.withColumn("ops", ops).select("utterance_id", "group_id", F.explode(F.array(*cells)).alias("c"))
+    out = out.select("utterance_id", "group_id", F.explode(F.array(*cells)).alias("c"))
     return out.select("utterance_id", "group_id", "c.sql_operation", F.col("c.there").alias("operation_present_in_sql"), F.when(F.col("c.there"), F.col("c.cue")).alias("has_nl_cue"))
 
 
@@ -188,8 +191,9 @@ def utterance_level(corpus: DataFrame) -> DataFrame:
     """One row for each utterance with all dimensions; names joined by semicolons in their fixed order."""
     q = F.col("question")
     lits = F.filter(X.literals(F.col("gold_sql")), lambda x: ~((x["value_type"] == "numeric") & (x["literal"] == "1")))
-    out = corpus.withColumns({"__l": lits, "__c": X.referenced_columns(F.col("gold_sql")), "__o": X.operations(F.col("gold_sql"))})
-    named = F.array_compact(F.array(*[F.when(F.array_contains("__c", c) & X.names_column(q, c), c) for c in X.TARGET_COLUMNS]))
+    out = corpus.withColumns({"__l": lits, "__p": X.without_literals(F.col("gold_sql")), "__u": X.without_literals(F.upper("gold_sql")), "__t": T.tokens("question")})
+    out = out.withColumns({"__c": X.referenced_columns(F.col("gold_sql"), F.col("__p")), "__o": X.operations(F.col("gold_sql"), F.col("__u"))})
+    named = F.array_compact(F.array(*[F.when(F.array_contains("__c", c) & X.names_column(q, c, F.col("__t")), c) for c in X.TARGET_COLUMNS]))
     there = F.array_compact(F.array(*[F.when(F.col("__o")[o], o) for o in X.OPERATION_CUES]))
     cued = F.array_compact(F.array(*[F.when(F.col("__o")[o] & X.has_cue(q, o), o) for o in X.OPERATION_CUES]))
     hits = F.size(F.filter("__l", lambda x: X.value_named(x, q)))

@@ -155,10 +155,16 @@ ORACLES["st_stacked"] = f"WITH {_C} SELECT * FROM (SELECT 0 AS lex, 0 AS lf, cou
 def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = conditions(spark, sf_dir)
     fit = Z.mixed_model(Z.stacked(**{k: _four(c, v) for k, v in (("zeroshot", "z"), ("lexicon", "l"), ("lf", "f"), ("combined", "c"))}))
-    return spark.createDataFrame([(k, float(v)) for k, v in fit["params"].items()], "term string, estimate double")
+    # the level depends on the variance ratio, but the effects don't: every question has all four conditions equally often
+    rows = [(k, float(v)) for k, v in fit["params"].items() if k != "Intercept"]
+    return spark.createDataFrame(rows, "term string, estimate double").withColumn("estimate", F.round("estimate", 6) + F.lit(0.0))
 
 
 QUERIES["st_mixed_model"] = _mixed
+ORACLES["st_mixed_model"] = (
+    f"WITH {_C}, m AS (SELECT avg(z) AS z, avg(l) AS l, avg(f) AS f, avg(c) AS c FROM c4) SELECT 'lex' AS term, round(l - z, 6) AS estimate FROM m "
+    "UNION ALL SELECT 'lf', round(f - z, 6) FROM m UNION ALL SELECT 'lex:lf', round(c - l - f + z, 6) FROM m UNION ALL SELECT 'difficulty_num', 0.0::DOUBLE FROM m"
+)
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
