@@ -27,6 +27,7 @@ ORACLES: dict[str, str] = {
     "op1_preference_chat": q_chat.SQL,
     "op2_fuzzy_lines": q_lines.SQL,
     "op3_near_dedup": q_minhash.SQL,
+    "op4_html_main_text": q_html.SQL,
     "op7_warc": q_warc.SQL,
     "op8_sampled_shards": q_sharding.SQL,
     "op9_source_mix": q_mixing.SQL,
