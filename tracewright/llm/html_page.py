@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import html as _html
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 import xxhash
@@ -36,6 +35,7 @@ _BLOCK = frozenset(
     "header hgroup hr html head li main menu nav ol p pre section summary table caption thead tbody tfoot tr td th ul button label legend".split()
 )
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "option": ("option",)}
+_P = ("p",)
 _SCOPE = frozenset("ul ol menu dl table article section div body main".split())
 
 # What marks boilerplate, and what marks the main text.
@@ -52,6 +52,7 @@ _HOLDERS = frozenset(
     "area bar block box body button buttons container content count field footer form group head header heading icons inner item items link links "
     "list message outer panel post posts region row section slot stories strip text thread title top unit wrap wrapper zone".split()
 )
+_MAIN = frozenset(("main", "article"))
 #: A class with such a part says what an element has or lacks.
 _STATES = frozenset("no not non without with has have".split())
 #: Elements of these words hold lists of articles.
@@ -127,6 +128,12 @@ def _entered(top: _Open, tag: str, attrs: str) -> _Open:
     if attrs and not attrs.isspace():
         for m in _ATTR.finditer(attrs):
             found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    elif tag not in _MAIN:
+        # most tags have no attributes and keep what their element stands in
+        out = _Open(tag, _path(top.path, tag, ""), top.block, top.hard or tag in _BOILER_TAGS, top.soft, top.lists, top.rank, top.main, top.article, top.link or tag == "a", top.marks)
+        if tag in _BLOCK:
+            out.block = out
+        return out
     classes = found.get("class", "").lower()
     names = f"{classes} {found.get('id', '').lower()}".split() if tag not in ("html", "body") else ()
     marks = [w for n in names if (w := marking(n))]
@@ -154,7 +161,7 @@ def read(page: str) -> list[Token]:
     """The tokens of a page."""
     root = _Open("", 0)
     root.block = root
-    stack, opened, out = [root], Counter(), []
+    stack, opened, out = [root], {}, []
     parts: list[str] = []
     linked = 0
 
@@ -171,21 +178,25 @@ def read(page: str) -> list[Token]:
 
     def cut(i: int) -> None:
         """Ends all elements from the i-th of the stack on."""
-        if any(x.tag in _BLOCK for x in stack[i:]):
+        if parts and any(x.tag in _BLOCK for x in stack[i:]):
             flush()
-        for x in reversed(stack[i:]):
+        while len(stack) > i:
+            x = stack.pop()
             out.append(Token(x.path | 1, ends=True))
             opened[x.tag] -= 1
-        del stack[i:]
 
     def close(names: tuple[str, ...], scope: frozenset = frozenset()) -> None:
-        if any(opened[n] for n in names):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in names:
-                    cut(i)
-                    return
-                if stack[i].tag in scope:
-                    return
+        for n in names:
+            if opened.get(n):
+                break
+        else:
+            return
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].tag in names:
+                cut(i)
+                return
+            if stack[i].tag in scope:
+                return
 
     # the next end tag of each raw element, -1 if there is none: unclosed ones don't search the page again
     at, ends, tag_of = 0, {}, _QUOTED
@@ -225,19 +236,20 @@ def read(page: str) -> list[Token]:
         at = m.end()
         tag = m[2].lower()
         if m[1]:
-            if tag in _BLOCK:
+            if parts and tag in _BLOCK:
                 flush()
             # an inline end tag doesn't close the block around it
             close((tag,), frozenset() if tag in _BLOCK else _BLOCK)
             continue
         if tag in _BLOCK:
-            flush()
-            close(("p",), _SCOPE)
+            if parts:
+                flush()
+            if opened.get("p"):
+                close(_P, _SCOPE)
         if tag in _CLOSES:
             close(_CLOSES[tag], _SCOPE)
-        entered = _entered(stack[-1], tag, m[3])
         if tag in _RAW:
-            out.append(Token(entered.path))
+            out.append(Token(_path(stack[-1].path, tag, "")))
             if tag in _FOREIGN and m[3].endswith("/"):
                 continue
             if tag not in ends or 0 <= ends[tag][0] < at:
@@ -249,13 +261,14 @@ def read(page: str) -> list[Token]:
                 at = len(page)
             continue
         if tag in _VOID or m[3].endswith("/") and tag not in _BLOCK:
-            out.append(Token(entered.path))
+            out.append(Token(_path(stack[-1].path, tag, "")))
             if tag == "br":
                 parts.append(" ")
             continue
+        entered = _entered(stack[-1], tag, m[3])
         out.append(Token(entered.path, opens=tag not in ("html", "body")))
         stack.append(entered)
-        opened[tag] += 1
+        opened[tag] = opened.get(tag, 0) + 1
     flush()
     cut(1)
     return out
