@@ -26,8 +26,6 @@ lines hardly one) are compared for equality only.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -49,13 +47,15 @@ _RECORD = np.dtype([("h1", "<i8"), ("h2", "<i8"), ("has", "i1"), ("doc_id", "<i8
 
 
 #: White space other than single spaces between words.
-_ODD = re.compile(rb"[\t\x0b\x0c\r]|  ")
+_ODD = (b"  ", b"\t", b"\r", b"\x0b", b"\x0c")
 
 
 def lines_in(text: bytes) -> list[bytes]:
     """The normalised lines of a UTF-8 text."""
     low = text.lower() if text.isascii() else text.decode("utf-8", "replace").lower().encode("utf-8", "replace")
-    return [b" ".join(x.split()) for x in low.split(b"\n")] if _ODD.search(low) else [x.strip(b" ") for x in low.split(b"\n")]
+    if any(x in low for x in _ODD):
+        return [b" ".join(x.split()) for x in low.split(b"\n")]
+    return [x.strip(b" ") for x in low.split(b"\n")]
 
 
 def hashes(lines: list[bytes]) -> np.ndarray:

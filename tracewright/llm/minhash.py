@@ -428,8 +428,10 @@ def linked(found: DataFrame, sets: DataFrame, texts: DataFrame, scheme: Scheme,
     # 2: each member with the hub of every bucket that still holds several components
     rest = labelled("rest2").where("id <> hub")
     tried(rest.select(F.col("hub").alias("a"), F.col("id").alias("b"), F.col("n_hub").alias("n_a"), F.col("n").alias("n_b")))
-    # 3: whatever link is left lies between members of these buckets; an exact prefix join finds it
-    tried(_prefix_pairs(labelled("rest3").select("id", "n", "c").distinct(), texts, scheme, keep))
+    # 3: whatever link is left lies between members of one bucket, neither its hub; an exact prefix join finds it
+    rest = labelled("rest3").where("id <> hub")
+    parts = rest.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+    tried(_prefix_pairs(rest.join(parts, "key").select("id", "n", "c").distinct(), texts, scheme, keep))
     return labels
 
 
