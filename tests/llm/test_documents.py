@@ -215,6 +215,17 @@ def test_one_id_with_two_texts_links_both(spark):
         assert got == [(1, 1, True), (2, 1, False), (2, 2, True), (3, 2, False), (4, 4, True), (4, 4, True)]
 
 
+def test_cell_counts_are_those_of_all_sets(spark):
+    rng = np.random.default_rng(3)
+    held = [np.unique(rng.integers(0, 2**63, 50).astype(np.uint64)) for _ in range(40)] + [np.arange(0, 2**40, 2**31, dtype=np.uint64) * np.uint64(2**23)] * 3
+    rows = spark.createDataFrame([(x.tobytes(),) for x in held], "d binary").repartition(5)
+    got = minhash._cell_counts(rows, lambda b: (np.frombuffer(x, dtype=np.uint64) for x in b.column(0).to_pylist()))
+    want = np.zeros(1 << minhash.CELLS, dtype=np.int64)
+    for x in held:
+        np.add.at(want, minhash._cells(x), 1)
+    assert (got == want).all() and want.max() > 1
+
+
 def test_components_of_chains_and_stars(spark, monkeypatch):
     monkeypatch.setattr("tracewright.llm.components.LAST", 3)  # the distributed rounds do the work
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (3, 2), (2, 3), (500, None)]

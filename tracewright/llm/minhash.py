@@ -233,24 +233,54 @@ def _cells(held: np.ndarray) -> np.ndarray:
     return (held.view(np.uint64) >> _U(64 - CELLS)).astype(np.int64)
 
 
+#: Cells of a block in which partial counts are added up.
+_BLOCK = 1 << 10
+
+
 def _cell_counts(sets: DataFrame, shingles_of) -> np.ndarray:
     """How many of the sets hold a shingle of each hashed cell: 8 MB at any size of the input.
 
-    shingles_of gives the sets of a batch.
+    shingles_of gives the sets of a batch. Tasks hand on blocks of counts, which are added up by block on the executors.
     """
 
+    def rows(n: np.ndarray):
+        blocks, data = n.reshape(-1, _BLOCK), []
+        there = np.flatnonzero(blocks.any(axis=1))
+        for b in blocks[there]:
+            at = np.flatnonzero(b)
+            # pairs (cell, count), or all counts of the block where that is shorter
+            data.append(np.stack([at, b[at]]).tobytes() if 2 * len(at) < _BLOCK else b.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(data, pa.binary())], names=["block", "data"])
+
     def count(batches):
         n = np.zeros(1 << CELLS, dtype=np.int64)
         for b in batches:
             for held in shingles_of(b):
                 np.add.at(n, _cells(held), 1)
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["cell", "n"])
+        yield from rows(n)
 
-    counted = sets.mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    often = np.zeros(1 << CELLS, dtype=np.int32)
-    often[counted.column("cell").to_numpy()] = np.minimum(counted.column("n").to_numpy(), 2**31 - 1)
-    return often
+    def added(total: np.ndarray, block: int, data: bytes) -> None:
+        x = np.frombuffer(data, dtype=np.int64)
+        if len(x) == _BLOCK:
+            total[block * _BLOCK : (block + 1) * _BLOCK] += x
+        else:
+            at, k = x.reshape(2, -1)
+            total[block * _BLOCK + at] += k
+
+    def add(batches):
+        n = np.zeros(1 << CELLS, dtype=np.int64)
+        for b in batches:
+            for block, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                added(n, block, data)
+        yield from rows(n)
+
+    schema = "block int, data binary"
+    tasks = min(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 << CELLS >> 10)
+    found = sets.mapInArrow(count, schema).repartition(tasks, "block").mapInArrow(add, schema).toArrow()
+    often = np.zeros(1 << CELLS, dtype=np.int64)
+    for block, data in zip(found.column("block").to_pylist(), found.column("data").to_pylist(), strict=True):
+        added(often, block, data)
+    return np.minimum(often, 2**31 - 1).astype(np.int32)
 
 
 def _prefix(held: np.ndarray, counts: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
