@@ -170,7 +170,7 @@ def execution_accuracy(df: DataFrame, pred: str, gold: str, timeout: float = TIM
     schema = T.StructType([T.StructField("__p", T.StringType()), T.StructField("__g", T.StringType()), T.StructField("ex_detail", kind)])
     scores = spark.createDataFrame(rows, schema)
     on = (F.coalesce(F.col(pred), F.lit("")) == F.col("__p")) & (F.coalesce(F.col(gold), F.lit("")) == F.col("__g"))
-    return df.join(F.broadcast(scores), on, "left").drop("__p", "__g").withColumn("ex", F.col("ex_detail.score"))
+    return df.join(scores, on, "left").drop("__p", "__g").withColumn("ex", F.col("ex_detail.score"))
 
 
 def running_means(scored: DataFrame, *metrics: str) -> DataFrame:
