@@ -75,6 +75,12 @@ def test_menus_inside_main_go_by_the_template(spark):
     assert out == {i: f"Title {i}\n\nStory {i} with a link and words enough" for i in range(12)}
 
 
+def test_an_article_of_links_is_kept(spark):
+    page = lambda i: f"<article><ul>{''.join(f'<li><a href=y>Source {i}, {k}</a></li>' for k in range(4))}</ul></article>"
+    out = texts_of(spark, [(i, "http://a.example.com/", page(i)) for i in range(6)])
+    assert out == {i: "\n\n".join(f"Source {i}, {k}" for k in range(4)) for i in range(6)}
+
+
 def test_small_hosts_and_hosts_of_copies(spark):
     """Hosts of one or two pages, and of copies of one page that differ in one block, have no template: nothing varies enough to tell by."""
     two = [(i, "http://two.example.com/", f"<body><div><p>Welcome</p><p>Story {i}</p></div><div class='cookie-notice'>Cookies</div></body>") for i in range(2)]

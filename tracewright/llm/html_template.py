@@ -156,7 +156,9 @@ def main_text(page: str | None, template: Template | None = None) -> str:
     inside = [(t, r) for t, r in found if t.main]
     if inside:
         least = min(t.rank for t, _ in ([x for x in inside if x[0].article] or inside))
-        kept = [t for t, r in inside if t.rank <= least and r != LINKS]
+        inside = [(t, r) for t, r in inside if t.rank <= least]
+        # an article may be a list of links
+        kept = [t for t, r in inside if r != LINKS] or [t for t, _ in inside]
     elif template.of:
         kept = [t for t, r in found if r is None]
     else:
