@@ -367,13 +367,13 @@ def _roles(tokens: DataFrame, templates: DataFrame, keep: Scratch) -> DataFrame:
         F.sum(F.col("n") * F.col("chars")).alias("all"), F.sum(F.col("n") * F.col("chars") / F.col("everywhere")).alias("new"), F.sum(F.col("n") * F.col("linked")).alias("linked"), F.max("region").alias("region")
     ), "slots")
     menu, constant = F.col("linked") * 2 > F.col("all"), F.col("slot") == CONSTANT
-    slots = slots.withColumn("novelty", F.col("new") / F.col("all"))
+    slots = slots.withColumn("novelty", F.try_divide("new", "all"))
     top = slots.where(~menu & ~constant).groupBy("host").agg(F.max(F.struct("new", "slot", "novelty", "region")).alias("top"))
     beside = slots.where(~menu & ~constant).join(top, "host").where("region = top.region").groupBy("host").agg(F.sum("new").alias("beside"))
     round_, minor = F.col("novelty") * 2 < F.col("top.novelty"), F.col("new") * 10 < F.col("beside")
     judged = slots.join(top.join(beside, "host"), "host", "left").withColumn("role", F.when(~constant, F.when(menu, LINKS).when(round_, ROUND).when(minor, MINOR)))
     # what of a host's text, menus aside, isn't constant
-    varies = F.sum(F.when(~menu & ~constant, F.col("all")).otherwise(0)) / F.sum(F.when(~menu, F.col("all")).otherwise(0))
+    varies = F.try_divide(F.sum(F.when(~menu & ~constant, F.col("all")).otherwise(0)), F.sum(F.when(~menu, F.col("all")).otherwise(0)))
     marked = F.collect_list(F.when(F.col("role").isNotNull(), F.struct("slot", "role"))).alias("r")
     out = judged.groupBy("host").agg(marked, F.coalesce(F.max("top.region"), F.lit(0)).alias("region"), F.coalesce(varies < VARYING, F.lit(True)).alias("copies"))
     return out.select(F.col("host").alias("__host"), F.col("r.slot").alias("slots_of"), F.col("r.role").alias("roles_of"), "region", "copies")
