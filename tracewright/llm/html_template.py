@@ -328,13 +328,16 @@ def _valid(tokens: DataFrame, classes: DataFrame, keep: Scratch) -> DataFrame:
 
 def _regions(numbers: list[int], roles: list[int], sizes: list[int], once: frozenset[int]) -> list[int]:
     """The start of the innermost element of the template, of those once a page, that each token stands in; 0 without one."""
-    stack, out = [(0, 0)], []
+    stack, ends, out = [(0, 0)], set(), []
     for number, role, size in zip(numbers, roles, sizes, strict=True):
         if size == _OPEN and role in once:
             stack.append((number | 1, role))
-        elif size == _END and any(number == end for end, _ in stack):
-            while stack.pop()[0] != number:
-                pass
+            ends.add(number | 1)
+        elif size == _END and number in ends:
+            while (end := stack.pop()[0]) != number:
+                ends.discard(end)
+            if all(number != x for x, _ in stack):
+                ends.discard(number)
         out.append(stack[-1][1])
     return out
 

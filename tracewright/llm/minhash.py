@@ -14,8 +14,8 @@ would stay empty, take an exact way: the rarest shingles, as many as any link mu
 filter in the order of hashed counts). Sets from percent * small up do both, so that no pair falls between.
 Equal sets are one node, known by their fingerprint, before any of this.
 
-Links. A bucket of k members is never expanded into its pairs. Members first meet the bucket's hub;
-confirmed links are merged by distributed union-find; what can still be linked lies between members of
+Links. A bucket of k members is never expanded into its pairs. Members first meet the bucket's hub, then the
+member that is nearest to it; confirmed links are merged by distributed union-find; what can still be linked lies between members of
 buckets with several components, and an exact positional prefix join finds it. Registers give a
 collision-corrected estimate that drops pairs far (7 standard deviations) below the threshold; the rest is
 confirmed on the full sets, recomputed from the whole texts.
@@ -327,7 +327,7 @@ def _keys(reps: DataFrame, counts, scheme: Scheme, wanted=None) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFrame:
-    """Of pairs(a, b) those linked on their full sets. texts: id, text binary, of all ids that occur."""
+    """Of pairs(a, b) those linked on their full sets, with near, their Jaccard index in millionths. texts: id, text binary, of all ids that occur."""
 
     def sets_of(text: bytes, short: bool):
         # of short lines a set of strings is made faster than an array of hashes
@@ -339,7 +339,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFrame:
     def run(batches):
         last, held, held_short = None, None, None
         for piece, _ in slices(batches, "text_b"):
-            keep = []
+            keep, near = [], []
             a, b, ta, tb = (piece.column(i) for i in range(4))
             ids, others = a.to_pylist(), tb.to_pylist()
             for i, (x, other) in enumerate(zip(ids, others, strict=True)):
@@ -354,13 +354,15 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFrame:
                     mine = held = sets_of(text, False) if held is None else held
                     theirs = sets_of(other, False)
                     common = len(mine) + len(theirs) - len(np.union1d(mine, theirs))
-                keep.append(100 * common >= scheme.percent * (len(mine) + len(theirs) - common))
+                union = len(mine) + len(theirs) - common
+                keep.append(100 * common >= scheme.percent * union)
+                near.append(1_000_000 * common // union)
             mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask), pa.array(near, pa.int64()).filter(mask)], names=["a", "b", "near"])
 
     with_b = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     with_a = with_b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    return with_a.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return with_a.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, near long")
 
 
 def _plausible(pairs: DataFrame, regs: DataFrame, scheme: Scheme) -> DataFrame:
@@ -458,8 +460,16 @@ def linked(found: DataFrame, sets: DataFrame, texts: DataFrame, scheme: Scheme,
     # 2: each member with the hub of every bucket that still holds several components
     rest = labelled("rest2").where("id <> hub")
     tried(rest.select(F.col("hub").alias("a"), F.col("id").alias("b"), F.col("n_hub").alias("n_a"), F.col("n").alias("n_b")))
-    # 3: whatever link is left lies between members of one bucket, neither its hub; an exact prefix join finds it
-    rest = labelled("rest3").where("id <> hub")
+    # 3: each member with the one nearest to the hub, likely a middle of the bucket, where that is in another component
+    rest = labelled("middle")
+    nearest = rest.where("id <> hub").select("key", "id", "n", "c", F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b"))
+    nearest = nearest.join(reduce(DataFrame.union, links), ["a", "b"]).groupBy("key").agg(F.max(F.struct("near", "id", "n", "c")).alias("m"))
+    others = rest.join(nearest, "key").where("c <> m.c")
+    first = F.col("id") < F.col("m.id")
+    either = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    tried(others.select(either("id", "m.id").alias("a"), either("m.id", "id").alias("b"), either("n", "m.n").alias("n_a"), either("m.n", "n").alias("n_b")))
+    # 4: whatever link is left lies between members of one bucket, neither its hub; an exact prefix join finds it
+    rest = labelled("rest4").where("id <> hub")
     parts = rest.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
     tried(_prefix_pairs(rest.join(parts, "key").select("id", "n", "c").distinct(), texts, scheme, keep))
     return labels
