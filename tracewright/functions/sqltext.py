@@ -161,6 +161,7 @@ def _strip(c: Column) -> Column:
     return F.trim(c, F.lit(" \t\n\r\x0b\x0c"))
 
 
+# The patterns of the next three functions and their order; scores that must come out equal depend on them.
 def clean_sql(raw: Column, cot: bool = False, prefix: str = "") -> Column:
     """One executable statement out of a model's answer: chat marks, fence, final answer, prose, prefix,
     first statement (split at any semicolon, even in a literal), white space outside literals."""

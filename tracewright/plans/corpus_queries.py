@@ -171,5 +171,7 @@ _NORMAL = "rtrim(list_reduce(list_transform(string_split(regexp_replace(trim(gol
 _asked("ev_normal_sql", lambda q: q.select("id", X.normal_sql(F.col("gold_sql")).alias("sql")), f"SELECT id, {_NORMAL} AS sql FROM q")
 _asked("ev_order_by", lambda q: q.select("id", X.has_order_by(F.concat("gold_sql", F.when(F.col("id") % 2 == 0, " ORDER  BY 1").otherwise(""))).alias("ordered")), "SELECT id, id % 2 = 0 AS ordered FROM q")
 _asked("ev_clean_sql", lambda q: q.select("id", X.clean_sql(F.concat(F.lit("Sure, here it is:\n```sql\n"), F.col("gold_sql"), F.lit(";\n```<|im_end|>\nuser"))).alias("sql")), "SELECT id, replace(gold_sql, 'SELECT  DISTINCT', 'SELECT DISTINCT') || ';' AS sql FROM q")
+_asked("ev_clean_sql_cot", lambda q: q.select("id", X.clean_sql(F.concat(F.lit("First I count the events.\nFinal SQL:\n"), F.col("gold_sql"), F.lit(" ;\n")), cot=True).alias("sql")), "SELECT id, replace(gold_sql, 'SELECT  DISTINCT', 'SELECT DISTINCT') || ';' AS sql FROM q")
+_asked("ev_clean_sql_prefix", lambda q: q.where("id % 6 < 4").select("id", X.clean_sql(F.substring("gold_sql", 8, 1000), prefix="SELECT ").alias("sql")), "SELECT id, replace(gold_sql, 'SELECT  DISTINCT', 'SELECT DISTINCT') || ';' AS sql FROM q WHERE id % 6 < 4")
 _asked("sql_slug", lambda q: q.select("id", T.slugify(F.col("question")).alias("slug")), "SELECT id, trim(regexp_replace(lower(question), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM q")
 _asked("sql_group_of", lambda q: q.select("id", T.group_of(F.col("utterance_id")).alias("g")), "SELECT id, group_id AS g FROM q")
