@@ -68,12 +68,19 @@ class Scratch:
     """Tables of one run of an operator in the shared folder.
 
     Unlike checkpoint() a reread table brings no constraints and statistics of the plan that made it,
-    which double with every join of an iteration until the planner drowns in them.
+    which double with every join of an iteration until the planner drowns in them. As a context the
+    tables go when the block ends, also by an error.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
 
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.clear()
+
     def keep(self, df: DataFrame, label: str) -> DataFrame:
         df, path = stored(df, label)
         self.paths.append(path)
