@@ -1,12 +1,13 @@
 """Hard negatives and vector codes against brute force over whole numbers of Python."""
 
+import hashlib
 import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.llm import hardneg, queries
+from tracewright.llm import hardneg, queries, vectorcode
 from tracewright.llm.common import Scratch
 
 NAN, INF = float("nan"), float("inf")
@@ -109,3 +110,64 @@ def test_vectors_in_floats_and_clashing_columns(spark, tmp_path):
     out = queries.QUERIES["op11_hard_negatives"](spark, str(tmp_path))
     assert out.columns == ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
     assert sorted(map(tuple, out.collect()), key=str) == want
+
+
+def compressed(rows, parts=4, entries=256, rounds=4):
+    """By the definition, over whole numbers of Python; rows of (id, label, vector)."""
+    rows = [r for r in rows if _kept(r[2])]
+    width = -(-max((len(r[2]) for r in rows), default=0) // parts)
+    rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[2]))
+    whole = [[math.floor(1024 * x) for x in r[2]] + [0] * (parts * width - len(r[2])) for r in rows]
+    whole = [[v[p * width : (p + 1) * width] for p in range(parts)] for v in whole]
+    books = [[v[p] for v in whole[:entries]] for p in range(parts)]
+    far = lambda x, c: sum((a - b) ** 2 for a, b in zip(x, c, strict=True))
+    near = lambda p, x: min((far(x, c), e) for e, c in enumerate(books[p]))
+    for _ in range(rounds):
+        for p in range(parts):
+            chose = [near(p, v[p])[1] for v in whole]
+            for e in range(len(books[p])):
+                if got := [v[p] for v, c in zip(whole, chose, strict=True) if c == e]:
+                    books[p][e] = [sum(y) // len(got) for y in zip(*got, strict=True)]
+    found = [[near(p, v[p]) for p in range(parts)] for v in whole]
+    errors = [sum(d for d, _ in f) for f in found]
+    by_label = {}
+    for r, e in zip(rows, errors, strict=True):
+        by_label[r[1]] = by_label.get(r[1], 0) + e
+    digest = hashlib.sha256(",".join(str(y) for p in books for c in p for y in c).encode()).hexdigest()
+    return sorted(((r[0], "".join(f"{e:02x}" for _, e in f), err, by_label[r[1]], digest) for r, f, err in zip(rows, found, errors, strict=True)), key=str)
+
+
+CODED = [
+    (random_rows(400, 8, [-1.0, -0.5, 0.25, 0.3, 0.5, 1.0], ["a", "b", None], 4), 16),
+    (random_rows(300, 10, [x / 9 for x in range(-9, 10)], ["a", "b"], 5), 256),
+    ([(None if i % 5 == 0 else i % 40, "a", [0.5] * 8) for i in range(200)] + random_rows(50, 8, [0.0, 1.0], [None], 6), 8),
+    ([(1, "a", None), (2, None, [NAN, 1.0]), (3, "a", [1.0, None]), (4, "b", []), (5, "b", [0.1]), (6, None, [INF]), (7, "c", [-3.3, 2.0, 1.0, 4.0, 900.0])], 256),
+    ([(1, "a", [1.0] * 4)], 256),
+    ([], 256),
+]
+
+
+@pytest.mark.parametrize("rows,entries", CODED)
+def test_codes_equal_brute_force(spark, rows, entries):
+    frame = spark.createDataFrame(rows, "id long, label string, vector array<double>").repartition(3)
+    with Scratch(spark) as scratch:
+        out = vectorcode.compress(frame, scratch, entries=entries).drop("label")
+        assert sorted(map(tuple, out.collect()), key=str) == compressed(rows, entries=entries)
+
+
+def test_codes_in_floats_and_clashing_columns(spark, tmp_path):
+    rows = [(i, i % 3 or None, [((i * k) % 11) / 11 - 0.3 for k in range(1, 9)], "mine", "mine") for i in range(0, 500)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>, code string, error string").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = spark.read.parquet(f"{tmp_path}/embeddings.parquet").collect()
+    out = queries.QUERIES["op12_vector_codes"](spark, str(tmp_path))
+    assert out.columns == ["vec_id", "code", "error", "label_error", "codebooks_sha256"]
+    assert sorted(map(tuple, out.collect()), key=str) == compressed([(r["vec_id"], r["label"], r["embedding"]) for r in got])
+
+
+def test_large_components_are_held(spark):
+    rows = [(1, "a", [1e30, 0.0, 0.0, 1.0]), (2, "a", [-1e30, 0.0, 0.0, 1.0]), (3, "a", [3.0, 0.0, 0.0, 1.0])]
+    frame = spark.createDataFrame(rows, "id long, label string, vector array<double>")
+    held = vectorcode.most(1) / 1024
+    with Scratch(spark) as scratch:
+        out = vectorcode.compress(frame, scratch, entries=2).drop("label")
+        assert sorted(map(tuple, out.collect()), key=str) == compressed([(i, k, [max(-held, min(held, x)) for x in v]) for i, k, v in rows], entries=2)

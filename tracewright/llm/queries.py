@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_chat, q_decontam, q_hardneg, q_html, q_langid, q_lines, q_minhash, q_mixing, q_mpeg, q_sharding, q_tokencount, q_warc
+from . import q_chat, q_decontam, q_hardneg, q_html, q_langid, q_lines, q_minhash, q_mixing, q_mpeg, q_sharding, q_tokencount, q_vectorcode, q_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,7 @@ QUERIES: dict[str, Query] = {
     "op9_source_mix": q_mixing.op9_source_mix,
     "op10_mpeg_audio": q_mpeg.op10_mpeg_audio,
     "op11_hard_negatives": q_hardneg.op11_hard_negatives,
+    "op12_vector_codes": q_vectorcode.op12_vector_codes,
     "op13_token_counts": q_tokencount.op13_token_counts,
 }
 
@@ -34,4 +35,5 @@ ORACLES: dict[str, str] = {
     "op8_sampled_shards": q_sharding.SQL,
     "op9_source_mix": q_mixing.SQL,
     "op11_hard_negatives": q_hardneg.SQL,
+    "op12_vector_codes": q_vectorcode.SQL,
 }
