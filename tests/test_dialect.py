@@ -5,7 +5,7 @@ from datetime import datetime
 import pytest
 
 from tracewright.functions import dialect as D
-from tracewright.operators.evaluate import Executor, execution_match, normal_rows, same_rows
+from tracewright.operators.evaluate import Executor, differing_rows, execution_match, normal_rows, same_rows
 from tracewright.sources.readers import EVENT_LOG, register
 
 ROWS = [
@@ -105,6 +105,7 @@ def test_cells_as_text(spark):
 def test_rows_in_order_over_several_partitions(spark):
     rows = lambda n, k: normal_rows(spark.range(n, numPartitions=k).selectExpr("id * 7 % 11 AS x")).cache()
     a = rows(50, 3)
+    assert differing_rows(a, rows(50, 7), ordered=True).isEmpty()
     assert same_rows(a, rows(50, 7), ordered=True) and not same_rows(a, rows(51, 3), ordered=True)
     assert not same_rows(a, normal_rows(spark.range(50, numPartitions=3).selectExpr("(49 - id) * 7 % 11 AS x")).cache(), ordered=True)
 

@@ -6,7 +6,7 @@ import threading
 import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from py4j.java_gateway import is_instance_of
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions import dialect
 from ..functions import sqltext as X
+from .digest import Digest, Key, digest
 from .order import numbered_in_place
 
 TIMEOUT = 5.0
@@ -23,15 +24,22 @@ HEAD = 5
 
 @dataclass
 class Execution:
-    """The outcome of one statement: a materialised result, or an error as data."""
+    """The outcome of one statement: the digest of its whole result, or an error as data.
+
+    `rows` is the result as normal rows, not kept: reading it runs the statement again.
+    """
 
     ok: bool
     rows: DataFrame | None = None
     columns: tuple[str, ...] = ()
-    count: int = 0
+    digest: Digest = field(default_factory=Digest)
     error: str | None = None
     elapsed_ms: int = 0
 
+    @property
+    def count(self) -> int:
+        return self.digest.count
+
 
 _PLANS = "org.apache.spark.sql.catalyst.plans.logical."
 
@@ -54,6 +62,7 @@ class Executor:
 
     def __init__(self, spark: SparkSession, timeout: float = TIMEOUT, sqlite: bool = True):
         self.spark, self.timeout, self.sqlite = spark, timeout, sqlite
+        self.key = Key.drawn()
 
     def execute(self, sql: str | None) -> Execution:
         start = time.monotonic()
@@ -77,8 +86,8 @@ class Executor:
             if not only_reads(self.spark, text):
                 return Execution(False, error="not a single query statement", elapsed_ms=took())
             rows = self.spark.sql(text)
-            cells = normal_rows(rows).cache()
-            return Execution(True, cells, tuple(rows.columns), cells.count(), elapsed_ms=took())
+            cells = normal_rows(rows)
+            return Execution(True, cells, tuple(rows.columns), digest(cells, self.key, HEAD), elapsed_ms=took())
         except Exception as e:
             error = f"timeout after {self.timeout:g} s" if late.is_set() else f"{type(e).__name__}: {str(e).splitlines()[0]}"
             return Execution(False, error=error, elapsed_ms=took())
@@ -117,24 +126,31 @@ def normal_rows(df: DataFrame) -> DataFrame:
 
 
 def same_rows(pred: DataFrame, gold: DataFrame, ordered: bool) -> bool:
-    """Equal as lists if ordered, else as multisets, by grouped counts: no rows are collected."""
+    """Equal as lists if ordered, else as multisets: by digests, so rows are neither shuffled, kept nor collected."""
+    key = Key.drawn()
+    return digest(pred, key).same(digest(gold, key), ordered)
+
+
+def differing_rows(pred: DataFrame, gold: DataFrame, ordered: bool) -> DataFrame:
+    """What keeps two results of normal rows from being the same: i, pred_row, gold_row of unlike places if ordered, else row,
+    pred_times, gold_times of rows that one has more often. Order needs frames that come the same way each time (stored ones).
+    """
     if ordered:
         number = lambda df, n: numbered_in_place(df, "place").select("i", F.col("row").alias(n))
-        off = number(pred, "p").join(number(gold, "g"), "i", "full").where(~F.col("p").eqNullSafe(F.col("g")))
-    else:
-        counts = lambda df, n: df.groupBy("row").agg(F.count("*").alias(n))
-        off = counts(pred, "p").join(counts(gold, "g"), "row", "full").where(~F.col("p").eqNullSafe(F.col("g")))
-    return off.isEmpty()
+        return number(pred, "pred_row").join(number(gold, "gold_row"), "i", "full").where(~F.col("pred_row").eqNullSafe(F.col("gold_row")))
+    counts = lambda df, n: df.groupBy("row").agg(F.count("*").alias(n))
+    both = counts(pred, "pred_times").join(counts(gold, "gold_times"), "row", "full").na.fill(0, ["pred_times", "gold_times"])
+    return both.where("pred_times <> gold_times")
 
 
 def execution_match(pred: Execution, gold: Execution, gold_sql: str) -> dict:
-    """score 0 or 1 and its details; any failure scores 0. Order counts if the gold query orders."""
+    """score 0 or 1 and its details; any failure scores 0. Order counts if the gold query orders. Both come of one executor."""
     if not pred.ok or not gold.ok:
         return {"score": 0, "pred_ok": pred.ok, "gold_ok": gold.ok, "pred_error": pred.error, "gold_error": gold.error, "pred_rows_count": pred.count, "gold_rows_count": gold.count}
     ordered = X.has_order_by_text(gold_sql)
-    same = pred.count == gold.count and same_rows(pred.rows, gold.rows, ordered)
-    head = lambda e: [r["row"] for r in e.rows.orderBy("place").limit(HEAD).collect()]
-    return {"score": int(same), "pred_ok": True, "gold_ok": True, "ordered": ordered, "pred_rows_count": pred.count, "gold_rows_count": gold.count, "pred_rows_head": head(pred), "gold_rows_head": head(gold)}
+    same = pred.digest.same(gold.digest, ordered)
+    heads = {f"{n}_rows_head": [list(r) for r in e.digest.head] for n, e in (("pred", pred), ("gold", gold))}
+    return {"score": int(same), "pred_ok": True, "gold_ok": True, "ordered": ordered, "pred_rows_count": pred.count, "gold_rows_count": gold.count, **heads}
 
 
 def exact_match(df: DataFrame, pred: str, gold: str) -> DataFrame:
@@ -150,11 +166,7 @@ def score_pairs(spark: SparkSession, pairs: list[tuple[str, str]], timeout: floa
     statements = sorted({s for p in pairs for s in p})
     with ThreadPoolExecutor(threads) as pool:
         done = dict(zip(statements, pool.map(executor.execute, statements), strict=True))
-    found = {p: execution_match(done[p[0]], done[p[1]], p[1]) for p in set(pairs)}
-    for e in done.values():
-        if e.rows is not None:
-            e.rows.unpersist()
-    return found
+    return {p: execution_match(done[p[0]], done[p[1]], p[1]) for p in set(pairs)}
 
 
 DETAIL = "score int, pred_ok boolean, gold_ok boolean, ordered boolean, pred_error string, gold_error string, pred_rows_count long, gold_rows_count long, pred_rows_head array<array<string>>, gold_rows_head array<array<string>>"

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate as E
 from ..operators import stats as Z
-from .eventlog_sql import event_log
+from .eventlog_sql import DUCK_LOG, event_log
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -228,6 +228,54 @@ def _execution(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["ev_execution"] = _execution
 ORACLES["ev_execution"] = "SELECT * FROM (VALUES " + ", ".join(f"({i}, {want})" for i, (_, _, want) in enumerate(_PAIRS) if want is not None) + ") t(id, ex)"
 
+# every one of twelve statements as the prediction of each, but none without an order for one with: as SQLite's dialect, and as rows (text) in an order (place) for DuckDB
+_TWELVE = [
+    ("SELECT activity FROM event_log WHERE cost > 40", "activity", "cost > 40", ""),
+    ("SELECT UPPER(activity) AS 'what it was' FROM event_log WHERE NOT cost <= 40", "activity", "cost > 40", ""),
+    ("SELECT activity FROM event_log WHERE cost >= 41 ORDER BY id", "activity", "cost >= 41", "id"),
+    ("SELECT ' ' || activity FROM event_log WHERE cost > 40 ORDER BY id", "activity", "cost > 40", "id"),
+    ("SELECT activity FROM event_log WHERE cost > 40 ORDER BY id DESC", "activity", "cost > 40", "-id"),
+    ("SELECT DISTINCT activity FROM event_log WHERE cost > 40 ORDER BY activity", "DISTINCT activity", "cost > 40", "activity"),
+    ("SELECT activity FROM event_log WHERE cost > 40 GROUP BY activity", "DISTINCT activity", "cost > 40", ""),
+    ("SELECT MIN(activity) FROM event_log WHERE activity LIKE 'PURCHASE' GROUP BY activity", "DISTINCT activity", "activity = 'purchase'", ""),
+    ("SELECT DISTINCT activity FROM event_log WHERE cost > 40 ORDER BY activity DESC", "DISTINCT activity", "cost > 40", "chr(255 - ascii(activity))"),
+    ("SELECT activity, id FROM event_log WHERE cost > 40", "activity || '|' || id", "cost > 40", ""),
+    ("SELECT activity FROM event_log WHERE cost > 40 ORDER BY 0 - id", "activity", "cost > 40", "-id"),
+    ("SELECT idcase FROM event_log WHERE resource IS NULL ORDER BY id", "idcase", "resource IS NULL", "id"),
+]
+
+
+def _execution_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Execution accuracy of 109 pairs, compared by digests of their whole results."""
+    event_log(spark, sf_dir).createOrReplaceTempView("event_log")
+    rows = [(100 * i + j, p[0], g[0]) for i, p in enumerate(_TWELVE) for j, g in enumerate(_TWELVE) if p[3] or not g[3]]
+    out = E.execution_accuracy(spark.createDataFrame(rows, "id int, pred string, gold string"), "pred", "gold", timeout=60)
+    return out.select("id", "ex", F.col("ex_detail.pred_rows_count").alias("pred_rows"))
+
+
+QUERIES["ev_execution_pairs"] = _execution_pairs
+ORACLES["ev_execution_pairs"] = (
+    f"WITH event_log AS ({DUCK_LOG}), s AS ("
+    + " UNION ALL ".join(
+        f"SELECT {i} AS k, {str(bool(order)).lower()} AS ordered, list(x ORDER BY place) AS l FROM (SELECT x, row_number() OVER (ORDER BY {order.replace('activity', 'x') or 'x'}) AS place FROM (SELECT {what} AS x{', id' if 'id' in order else ''} FROM event_log WHERE {where}))"
+        for i, (_, what, where, order) in enumerate(_TWELVE)
+    )
+    + ") SELECT CAST(100 * p.k + g.k AS INT) AS id, CAST(CASE WHEN g.ordered THEN p.l = g.l ELSE list_sort(p.l) = list_sort(g.l) END AS INT) AS ex, len(p.l) AS pred_rows FROM s p, s g WHERE p.ordered OR NOT g.ordered"
+)
+
+
+def _exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact match of statements written about each part: the same one in other letter case, quotes and spaces, or another one."""
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet")
+    gold = F.concat(F.lit("SELECT COUNT(*) FROM event_log WHERE activity = '"), "p_name", F.lit("'"))
+    other = F.concat(F.lit("select  count(*)\nfrom event_log where activity = '"), F.upper("p_name"), F.lit("' ;"))
+    kinds = F.when(F.col("p_partkey") % 4 == 0, other).when(F.col("p_partkey") % 4 == 1, F.concat(gold, F.lit(" LIMIT 1"))).when(F.col("p_partkey") % 4 == 2, "").otherwise(gold)
+    return E.exact_match(rows.select("p_partkey", kinds.alias("pred"), gold.alias("gold")), "pred", "gold").select("p_partkey", "em", "normalized_gold")
+
+
+QUERIES["ev_exact_match"] = _exact
+ORACLES["ev_exact_match"] = "SELECT p_partkey, CAST(p_partkey % 4 IN (0, 3) AS INT) AS em, 'select count(*) from event_log where activity = ' || lower(p_name) AS normalized_gold FROM part"
+
 
 def _multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of the orders as text, and whether two renderings of one result are the same rows, as a list and as a multiset."""
