@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import slices
+
 # --- predicates over single events -------------------------------------------------------------
 
 
@@ -176,9 +178,36 @@ def trace(log: DataFrame, case: str = "idcase") -> DataFrame:
     return log.groupBy(case).agg(F.transform(events, lambda e: e["activity"]).alias("trace"))
 
 
-def variants(log: DataFrame, case: str = "idcase") -> DataFrame:
-    """variant (activities joined by commas), cases."""
-    return trace(log, case).groupBy(F.array_join("trace", ",").alias("variant")).agg(F.count("*").alias("cases"))
+def fingerprints(log: DataFrame, case: str = "idcase", slice_rows: int | None = None) -> DataFrame:
+    """case, length and two 64-bit sums (xor) of hashes of (place, activity): equal for cases of the same activities in the same order.
+
+    Such sums are merged in any order and from any parts of a case, so no case is gathered; only places need its order.
+    """
+    rows = slices.ROWS if slice_rows is None else slice_rows
+    log = log.select(case, "timestamp", "id", "activity")
+    if slice_rows is None and not slices.is_large(log):
+        at = log.withColumn("place", (F.row_number().over(W.partitionBy(case).orderBy("timestamp", "id")) - 1).cast("long"))
+    else:
+        at = slices.placed(log, case, rows=rows)
+    sums = [F.bit_xor(F.xxhash64(F.lit(salt), "place", F.coalesce("activity", F.lit("")), F.col("activity").isNull())).alias(n) for n, salt in (("one", 1), ("two", 2))]
+    return at.groupBy(case).agg(F.count("*").alias("length"), *sums)
+
+
+def variants(log: DataFrame, case: str = "idcase", slice_rows: int | None = None) -> DataFrame:
+    """variant (activities joined by commas), cases.
+
+    Cases are grouped by fingerprint; only the first and the last case of each group are spelled out, and if these differ
+    the query fails rather than counting unlike cases together.
+    """
+    groups = fingerprints(log, case, slice_rows).groupBy("length", "one", "two").agg(F.count("*").alias("cases"), F.min(case).alias("__first"), F.max(case).alias("__last"))
+    ends = groups.select("length", "one", "two", "cases", F.explode(F.array_distinct(F.array("__first", "__last"))).alias("__end"))
+    spelled = log.select(case, "timestamp", "id", "activity").join(ends, F.col(case).eqNullSafe(F.col("__end")))
+    each = spelled.groupBy("length", "one", "two", "cases", "__end").agg(F.sort_array(F.collect_list(F.struct("timestamp", "id", "activity"))).alias("__events"))
+    text = each.select("length", "one", "two", "cases", F.array_join(F.transform("__events", lambda e: e["activity"]), ",").alias("variant"))
+    out = text.groupBy("length", "one", "two", "cases").agg(F.min("variant").alias("variant"), F.max("variant").alias("__other"))
+    unlike = F.raise_error(F.lit("two variants have one fingerprint")).cast("string")
+    checked = F.when(F.col("variant") == F.col("__other"), F.col("variant")).otherwise(unlike)
+    return out.select(checked.alias("variant"), "cases").groupBy("variant").agg(F.sum("cases").alias("cases"))
 
 
 def rework(log: DataFrame, case: str = "idcase") -> DataFrame:
@@ -268,27 +297,32 @@ def elapsed_between(log: DataFrame, first: str, second: str, case: str = "idcase
     return pairs.select(case, (seconds("__b") - seconds("__a")).alias("elapsed"))
 
 
-def following(log: DataFrame, *cols: str, case: str = "idcase", step: int = 1) -> DataFrame:
-    """The log with next_<col> for each given column: its value in the next event of the case."""
+def following(log: DataFrame, *cols: str, case: str = "idcase", step: int = 1, slice_rows: int | None = None) -> DataFrame:
+    """The log with next_<col> for each given column: its value in the next event of the case.
+
+    A large log's cases of more than slice_rows events are spread over several tasks (`slices`).
+    """
+    if slice_rows is not None or slices.is_large(log):
+        return slices.following(log, *cols, case=case, step=step, rows=slices.ROWS if slice_rows is None else slice_rows)
     order = W.partitionBy(case).orderBy("timestamp", "id")
     return log.withColumns({f"next_{c}": F.lead(c, step).over(order) for c in cols})
 
 
-def directly_follows(log: DataFrame, case: str = "idcase") -> DataFrame:
+def directly_follows(log: DataFrame, case: str = "idcase", slice_rows: int | None = None) -> DataFrame:
     """activity, next_activity, n."""
-    steps = following(log.select(case, "timestamp", "id", "activity"), "activity", case=case)
+    steps = following(log.select(case, "timestamp", "id", "activity"), "activity", case=case, slice_rows=slice_rows)
     return steps.where("next_activity is not null").groupBy("activity", "next_activity").agg(F.count("*").alias("n"))
 
 
-def service_duration(log: DataFrame, case: str = "idcase") -> DataFrame:
+def service_duration(log: DataFrame, case: str = "idcase", slice_rows: int | None = None) -> DataFrame:
     """The log with service: seconds to the next event of the case, null at its end."""
-    out = following(log, "timestamp", case=case)
+    out = following(log, "timestamp", case=case, slice_rows=slice_rows)
     return out.withColumn("service", seconds("next_timestamp") - seconds("timestamp")).drop("next_timestamp")
 
 
-def consecutive_repeat(log: DataFrame, other_resource: bool = False, case: str = "idcase") -> DataFrame:
+def consecutive_repeat(log: DataFrame, other_resource: bool = False, case: str = "idcase", slice_rows: int | None = None) -> DataFrame:
     """Cases in which an activity directly follows itself, by another resource if so wished."""
-    steps = following(log.select(case, "timestamp", "id", "activity", "resource"), "activity", "resource", case=case)
+    steps = following(log.select(case, "timestamp", "id", "activity", "resource"), "activity", "resource", case=case, slice_rows=slice_rows)
     same = F.col("activity") == F.col("next_activity")
     if other_resource:
         same &= F.col("resource") != F.col("next_resource")

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .shared import kept
+
 
 def _started(df: DataFrame, part: Column, value: Column) -> DataFrame:
     """df with __p, the number of its part, __before, the sum of the value over all parts before it, and __all, that of all parts."""
@@ -26,8 +28,10 @@ def numbered_in_place(df: DataFrame, place: str) -> DataFrame:
 
 
 def _sorted(df: DataFrame, *order: str | Column) -> DataFrame:
-    """df in order, with its place; kept, as both the sums and the rows are read."""
-    return df.orderBy(*order).withColumn("__place", F.monotonically_increasing_id()).persist()
+    """df in order, with its place. Both the sums and the rows are read, and rows that tie may come in another order when the sort
+    runs again, so the numbered rows are written once.
+    """
+    return kept(df.orderBy(*order).withColumn("__place", F.monotonically_increasing_id()))
 
 
 def numbered(df: DataFrame, *order: str | Column) -> DataFrame:

@@ -121,6 +121,12 @@ _add("consecutive_repeat", lambda log: E.consecutive_repeat(log, case="daycase")
 _add("consecutive_repeat_other", lambda log: E.consecutive_repeat(log, True, "daycase"), "SELECT DISTINCT daycase FROM (SELECT daycase, activity, resource, lead(activity) OVER w AS nxt, lead(resource) OVER w AS nr FROM event_log WINDOW w AS (PARTITION BY daycase ORDER BY timestamp, id)) WHERE activity = nxt AND resource <> nr")
 _add("follows_given", lambda log: E.following(log, "activity", case="idcase").where(E.has_activity("signup") & (F.col("next_activity") == "purchase")).select("idcase", "id"), "SELECT idcase, id FROM (SELECT idcase, id, activity, lead(activity) OVER (PARTITION BY idcase ORDER BY timestamp, id) AS nxt FROM event_log) WHERE activity = 'signup' AND nxt = 'purchase'")
 
+# the same with cases of more than 40 events cut into slices, as for logs whose cases don't fit a task
+_sliced = lambda log, *cols: E.following(log, *cols, slice_rows=40)
+_add("following_sliced", lambda log: _sliced(log, "activity", "timestamp").select("id", F.coalesce("next_activity", F.lit("-")).alias("next_activity"), F.coalesce(E.seconds("next_timestamp"), F.lit(-1)).alias("next_second")), "SELECT id, coalesce(lead(activity) OVER w, '-') AS next_activity, coalesce(floor(epoch(lead(timestamp) OVER w))::BIGINT, -1) AS next_second FROM event_log WINDOW w AS (PARTITION BY idcase ORDER BY timestamp, id)")
+_add("directly_follows_sliced", lambda log: E.directly_follows(log, slice_rows=40), ORACLES["el_directly_follows"].removeprefix(f"WITH {_L} "))
+_add("variant_sliced", lambda log: E.variants(log, "idcase", slice_rows=40), "SELECT variant, count(*) AS cases FROM (SELECT string_agg(activity, ',' ORDER BY timestamp, id) AS variant FROM event_log GROUP BY idcase) GROUP BY variant")
+
 # O: top-k of values, dropping ties by id
 _add("top_limit", lambda log: log.where(E.cost_known()).select("id", "cost").orderBy(F.desc("cost"), "id").limit(7), "SELECT id, cost FROM event_log WHERE cost IS NOT NULL ORDER BY cost DESC, id LIMIT 7")
 _add("top_values", lambda log: log.join(log.where(E.cost_known()).select("cost").distinct().orderBy(F.desc("cost")).limit(5), "cost", "left_semi").select("id", "cost"), "SELECT id, cost FROM event_log WHERE cost IN (SELECT DISTINCT cost FROM event_log WHERE cost IS NOT NULL ORDER BY cost DESC LIMIT 5)")
