@@ -105,7 +105,7 @@ def normal_cell(c: Column, kind: T.DataType) -> Column:
         d = c.cast("double") + F.lit(0.0)  # minus zero becomes zero
         large = F.lit(float("inf"))
         odd = F.when(F.isnan(d), "nan").when(d == large, "inf").when(d == -large, "-inf")
-        text = odd.otherwise(F.when(d == F.rint(d), F.format_string("%.0f", d)).otherwise(F.format_string("%.6f", d)))
+        text = F.when(d.isNotNull(), odd.otherwise(F.when(d == F.rint(d), F.format_string("%.0f", d)).otherwise(F.format_string("%.6f", d))))
     elif isinstance(kind, T.BooleanType):
         text = F.when(c, "1").otherwise("0")
     elif isinstance(kind, T.StringType):
