@@ -6,13 +6,13 @@ published ones are.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import sqltext as X
 from ..functions import text as T
+from . import mtld
 from .order import running
 
 
@@ -102,25 +102,13 @@ def corpus_diversity(corpus: DataFrame) -> DataFrame:
     return each.agg(n.alias("n_tokens"), F.count("*").alias("n_types")).withColumn("ttr", F.round(F.coalesce(F.try_divide("n_types", "n_tokens"), F.lit(0.0)), 6))
 
 
-def corpus_mtld(corpus: DataFrame) -> DataFrame:
-    """MTLD of all utterances in order. It is a fold over one ordered list, serial by definition: one task reads the sorted
-    rows as a stream, once in each direction, and holds the different tokens since the last factor only."""
+def corpus_mtld(corpus: DataFrame, block: int = mtld.BLOCK) -> DataFrame:
+    """MTLD of all utterances in order, by blocks of tokens (`mtld`); 0 below two tokens or without any factor."""
     rows = corpus.select(F.col("group_id").cast("int").alias("g"), "position", T.tokens("question").alias("toks"))
-
-    def folded(order: list, backwards: bool) -> DataFrame:
-        def run(batches):
-            state = T.Factors()
-            for b in batches:
-                for toks in b["toks"]:
-                    state.add(toks[::-1] if backwards else toks)
-            yield pd.DataFrame({"n": [state.tokens], "factors": [state.total()]})
-
-        # partitions of a sorted frame are read one after the other
-        return rows.orderBy(*order).select("toks").coalesce(1).mapInPandas(run, "n long, factors double")
-
-    both = folded([F.col("g").asc(), F.col("position").asc()], False).union(folded([F.col("g").desc(), F.col("position").desc()], True))
-    n, mean = F.max("n"), F.avg("factors")
-    return both.agg(F.round(F.when((n >= 2) & (mean > 0), n / mean).otherwise(F.lit(0.0)), 4).alias("mtld"))
+    n, forwards, backwards = mtld.factors(mtld.placed_tokens(rows, "g", "position"), block)
+    mean = (forwards + backwards) / 2
+    value = n / mean if n >= 2 and mean > 0 else 0.0
+    return corpus.sparkSession.range(1).select(F.round(F.lit(value), 4).alias("mtld"))
 
 
 def anchor_pairs(corpus: DataFrame) -> DataFrame:

@@ -84,7 +84,23 @@ _MTLD = """, g AS (SELECT group_id, flatten(list(toks ORDER BY position)) AS tok
 ) SELECT group_id, round(CASE WHEN max(n) < 2 OR avg(factors) = 0 THEN 0 ELSE max(n) / avg(factors) END, 4) AS mtld FROM e GROUP BY group_id"""
 _turns("tx_mtld", lambda u: C.lexical_diversity(u).select("group_id", "mtld"), _MTLD)
 ORACLES["tx_mtld"] = ORACLES["tx_mtld"].replace("WITH u AS", "WITH RECURSIVE u AS").replace(") , g AS", "), g AS")
-_turns("tx_corpus_mtld", C.corpus_mtld, None)
+# factor by factor; in this data none is as long as 4,000 tokens
+_CORPUS_MTLD = """, f AS (SELECT unnest(toks) AS tok, unnest(range(len(toks))) AS i, group_id, position FROM u
+), o AS (SELECT tok, row_number() OVER (ORDER BY CAST(group_id AS INT), position, i) - 1 AS pos, count(*) OVER () AS total FROM f
+), b AS (SELECT 1 AS dir, pos, tok, total FROM o UNION ALL SELECT 2, total - 1 - pos, tok, total FROM o
+), t AS (SELECT *, coalesce(lag(pos) OVER (PARTITION BY dir, tok ORDER BY pos), -1) AS prev FROM b
+), r(dir, s, total, f) AS (
+  SELECT DISTINCT dir, CAST(0 AS BIGINT), total, CAST(0 AS DOUBLE) FROM t
+  UNION ALL
+  SELECT dir, coalesce(e + 1, total), total, f + CASE WHEN e IS NULL THEN (1 - types / n) / (1 - 0.72::DOUBLE) ELSE 1 END FROM (
+    SELECT dir, s, total, f, min(pos) FILTER (types / n <= 0.72::DOUBLE) AS e, max(types) AS types, max(n) AS n FROM (
+      SELECT r.dir, r.s, r.total, r.f, t.pos, (t.pos - r.s + 1)::DOUBLE AS n, (sum(CASE WHEN t.prev < r.s THEN 1 ELSE 0 END) OVER (PARTITION BY r.dir ORDER BY t.pos))::DOUBLE AS types
+      FROM r JOIN t ON t.dir = r.dir AND t.pos BETWEEN r.s AND r.s + 3999 WHERE r.s < r.total
+    ) GROUP BY dir, s, total, f
+  )
+) SELECT round(max(total) / avg(f), 4) AS mtld FROM r WHERE s = total"""
+_turns("tx_corpus_mtld", C.corpus_mtld, _CORPUS_MTLD)
+ORACLES["tx_corpus_mtld"] = ORACLES["tx_corpus_mtld"].replace("WITH u AS", "WITH RECURSIVE u AS").replace(") , f AS", "), f AS")
 _turns("tx_group_sizes", C.group_sizes, "SELECT round(avg(n), 6) AS mean, round(median(n), 6) AS median, round(stddev_samp(n), 6) AS sd, min(n) AS min, max(n) AS max, count(*) AS n FROM (SELECT count(*) AS n FROM u GROUP BY group_id)")
 _turns("tx_positions", lambda u: C.positions(u.select("group_id", F.col("position").cast("string").alias("Utterance_id")), "group_id", "Utterance_id").select("group_id", "position", "utterance_id"), "SELECT group_id, row_number() OVER (PARTITION BY group_id ORDER BY position) - 1 AS position, concat(group_id, '_', row_number() OVER (PARTITION BY group_id ORDER BY position) - 1) AS utterance_id FROM u")
 
