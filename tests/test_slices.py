@@ -72,3 +72,15 @@ def test_fingerprints_tell_order_and_length(spark):
 def test_empty_log(log):
     none = log.limit(0)
     assert E.following(none, "activity", slice_rows=1).count() == 0 and E.variants(none).count() == 0
+
+
+@pytest.mark.parametrize("rows", [None, 1, 60])
+def test_pairs_in_cases(log, rows):
+    some = log.where("id < 400 or id >= 23000").withColumn("activity", F.coalesce("activity", F.lit("none")))
+    a, b = some.alias("a"), some.where("activity = 'a1'").alias("b")
+    for got, sign in ((E.events_after(some, "a1", "id", slice_rows=rows), ">"), (E.events_before(some, "a1", "id", slice_rows=rows), "<")):
+        want = a.join(b, F.expr(f"a.idcase = b.idcase and a.timestamp {sign} b.timestamp")).select("a.id")
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and got.count() > 1000
+    want = a.join(b, F.expr("a.idcase = b.idcase and a.timestamp > b.timestamp and a.activity = 'a2'")).select(F.col("a.idcase"), (E.seconds("a.timestamp") - E.seconds("b.timestamp")).alias("elapsed"))
+    got = E.elapsed_between(some, "a1", "a2", slice_rows=rows)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()

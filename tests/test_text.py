@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import sqltext as X
 from tracewright.functions import text as T
+from tracewright.operators import corpus
 
 
 @pytest.fixture(scope="module")
@@ -130,3 +131,11 @@ def test_names(ask):
     assert ask(T.experiment_name(F.lit("local"), F.col("x"), F.lit("lf"), F.lit("run 2")), x="a/m") == "oss_m_lf_run_2"
     assert ask(T.group_of(F.col("x")), x="12_3") == "12"
     assert ask(T.scores_filename(F.col("x"), F.lit("EX")), x="a/M-1") == "scores_opr_m_1_EX.tsv"
+
+
+@pytest.mark.parametrize("values", [[], [2.5], [1.0, 2.0], [-3.0, None, 7.0, 7.0, -3.0, 0.0], [1.0, float("nan"), float("nan")], [float(x % 13) for x in range(1000)]])
+def test_describe_of_awkward_values(spark, values):
+    got = corpus.describe(spark.createDataFrame([(v,) for v in values], "v double"), "v").first()
+    seen = sorted((v for v in values if v is not None), key=lambda v: (v != v, v))
+    middle = (seen[(len(seen) - 1) // 2] + seen[len(seen) // 2]) / 2 if seen else None
+    assert got["n"] == len(seen) and (got["median"] == middle or str(got["median"]) == str(middle))

@@ -21,21 +21,30 @@ def percent(part: Column, whole: Column) -> Column:
     return F.round(100 * F.coalesce(F.try_divide(part, whole), F.lit(0.0)), 2)
 
 
+def _at_ranks(df: DataFrame, value: str, **ranks: str) -> DataFrame:
+    """One row: the values at ranks, from 0, of the sorted values that aren't null; each rank an expression of their number `total`.
+
+    Different values are counted, and these counts summed up in order over range partitions: no task holds them all.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("k"))
+    ranked = running(counts, "k", "v")
+    return ranked.agg(*[F.min(F.when(F.col("upto") > F.expr(rank), F.col("v"))).alias(name) for name, rank in ranks.items()])
+
+
 def describe(df: DataFrame, value: str) -> DataFrame:
     """mean, median, sd (sample; 0 for one value), min, max, to 6 digits; null without rows."""
     v = F.col(value)
     sd = F.when(F.count(v) == 1, F.lit(0.0)).otherwise(F.stddev_samp(v))
-    return df.agg(*[F.round(c, 6).alias(n) for n, c in (("mean", F.avg(v)), ("median", F.percentile(v, F.lit(0.5))), ("sd", sd), ("min", F.min(v)), ("max", F.max(v)))], F.count(v).alias("n"))
+    sums = df.agg(*[c.alias(n) for n, c in (("mean", F.avg(v)), ("sd", sd), ("min", F.min(v)), ("max", F.max(v)), ("n", F.count(v)))])
+    middle = _at_ranks(df, value, lower="(total - 1) div 2", upper="total div 2").select(((F.col("lower") + F.col("upper")) / 2).alias("median"))
+    # one row beside one row
+    both = sums.withColumn("__one", F.lit(1)).join(middle.withColumn("__one", F.lit(1)), "__one")
+    return both.select(*[F.round(c, 6).alias(c) for c in ("mean", "median", "sd", "min", "max")], "n")
 
 
 def quartiles(df: DataFrame, value: str) -> DataFrame:
-    """q1, q3 by nearest rank: the values at n // 4 and 3 n // 4 of the sorted list, from 0.
-
-    Values are counted first, so a running sum over different values finds both.
-    """
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("k"))
-    ranked = running(counts, "k", "v")
-    return ranked.agg(F.min(F.when(F.col("upto") > F.expr("total div 4"), F.col("v"))).alias("q1"), F.min(F.when(F.col("upto") > F.expr("3 * total div 4"), F.col("v"))).alias("q3"))
+    """q1, q3 by nearest rank: the values at n // 4 and 3 n // 4 of the sorted list, from 0."""
+    return _at_ranks(df, value, q1="total div 4", q3="3 * total div 4")
 
 
 def positions(rows: DataFrame, group: str, order: str) -> DataFrame:

@@ -261,15 +261,34 @@ def union_of(log: DataFrame, **conditions: Column) -> DataFrame:
 # --- order inside a case ------------------------------------------------------------------------
 
 
-def events_after(log: DataFrame, activity: str, *cols: str, case: str = "idcase") -> DataFrame:
+def _ordered_pairs(log: DataFrame, ref: Column, later: bool, case: str, slice_rows: int | None) -> DataFrame:
+    """The log with __at, the time of an event of the condition: a row for each such event before (later) or after a row in its case.
+
+    Pairs of a case are as many as they are, but a large case isn't one key: its events are dealt by slices of its order, and
+    each event of the condition goes to the slices that can hold its partners.
+    """
+    before = F.col("timestamp") > F.col("__at") if later else F.col("timestamp") < F.col("__at")
+    if slice_rows is None and not slices.is_large(log):
+        marked = log.where(ref).select(F.col(case).alias("__case"), F.col("timestamp").alias("__at"))
+        return log.join(marked, (F.col(case) == F.col("__case")) & before).drop("__case")
+    cut = slices.sliced(log, case, rows=slices.ROWS if slice_rows is None else slice_rows)
+    own = F.col("__slice")
+    sizes = cut.where(own.isNotNull()).groupBy(F.col(case).alias("__of")).agg(F.max("__slice").alias("__last"))
+    marked = cut.where(ref).select(F.col(case).alias("__case"), F.col("timestamp").alias("__at"), own.alias("__own"))
+    spread = marked.join(F.broadcast(sizes), F.col("__case").eqNullSafe(F.col("__of")), "left")
+    to = F.sequence("__own", F.col("__last")) if later else F.sequence(F.lit(0), F.col("__own"))
+    spread = spread.select("__case", "__at", F.explode(F.when(F.col("__own").isNotNull(), to).otherwise(F.array(F.lit(-1)))).alias("__s"))
+    on = (F.col(case) == F.col("__case")) & (F.coalesce(own, F.lit(-1)) == F.col("__s")) & before
+    return cut.join(spread, on).drop("__case", "__s", "__slice")
+
+
+def events_after(log: DataFrame, activity: str, *cols: str, case: str = "idcase", slice_rows: int | None = None) -> DataFrame:
     """Events after each occurrence of the activity in their case; an event comes once per occurrence."""
-    ref = log.where(has_activity(activity)).select(F.col(case).alias("__case"), F.col("timestamp").alias("__at"))
-    return log.join(ref, (F.col(case) == F.col("__case")) & (F.col("timestamp") > F.col("__at"))).select(*cols)
+    return _ordered_pairs(log, has_activity(activity), True, case, slice_rows).select(*cols)
 
 
-def events_before(log: DataFrame, activity: str, *cols: str, case: str = "idcase") -> DataFrame:
-    ref = log.where(has_activity(activity)).select(F.col(case).alias("__case"), F.col("timestamp").alias("__at"))
-    return log.join(ref, (F.col(case) == F.col("__case")) & (F.col("timestamp") < F.col("__at"))).select(*cols)
+def events_before(log: DataFrame, activity: str, *cols: str, case: str = "idcase", slice_rows: int | None = None) -> DataFrame:
+    return _ordered_pairs(log, has_activity(activity), False, case, slice_rows).select(*cols)
 
 
 def events_after_count(log: DataFrame, activity: str, case: str = "idcase") -> DataFrame:
@@ -289,12 +308,11 @@ def precedes(log: DataFrame, first: str, second: str, case: str = "idcase") -> D
     return ends.where("a < b").select(case)
 
 
-def elapsed_between(log: DataFrame, first: str, second: str, case: str = "idcase") -> DataFrame:
+def elapsed_between(log: DataFrame, first: str, second: str, case: str = "idcase", slice_rows: int | None = None) -> DataFrame:
     """case, elapsed: seconds for every pair of a `first` and a later `second` of a case."""
-    a = log.where(has_activity(first)).select(case, F.col("timestamp").alias("__a"))
-    b = log.where(has_activity(second)).select(F.col(case).alias("__case"), F.col("timestamp").alias("__b"))
-    pairs = a.join(b, (F.col(case) == F.col("__case")) & (F.col("__b") > F.col("__a")))
-    return pairs.select(case, (seconds("__b") - seconds("__a")).alias("elapsed"))
+    log = log.where(activity_in(first, second)).select(case, "timestamp", "id", "activity")
+    pairs = _ordered_pairs(log, has_activity(first), True, case, slice_rows).where(has_activity(second))
+    return pairs.select(case, (seconds("timestamp") - seconds("__at")).alias("elapsed"))
 
 
 def following(log: DataFrame, *cols: str, case: str = "idcase", step: int = 1, slice_rows: int | None = None) -> DataFrame:
