@@ -106,3 +106,27 @@ def test_qualifiers(spark):
     rows = {r["label"]: r for r in Z.qualifier_counts(Z.labels(df, "c", heads=True), "c", "kind", {"both": 2}).collect()}
     assert rows["b"]["both"] == 2 and rows["b"]["both_pct"] == 100.0 and rows["a"]["base"] == 1
     assert math.isclose(sum(r["both_pct"] for r in rows.values()), 150.0)
+
+
+def test_draws_of_the_counter():
+    w = Z.counter_weights(np.arange(2000), np.arange(1, 501))
+    assert w.shape == (500, 2000) and abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02 and abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.2
+    assert abs(w.mean(axis=1).var() * 2000 - 1) < 0.2 and abs(w.mean(axis=0).var() * 500 - 1) < 0.2
+    assert (Z.counter_weights(np.array([-5, 7]), np.array([3])) == Z.counter_weights(np.array([7, -5]), np.array([3]))[:, ::-1]).all()
+
+
+def test_drawn_sums_dont_depend_on_partitions(spark):
+    rows = spark.range(3000).selectExpr("id", "cast(id % 3 = 0 as int) as x", "if(id % 10 = 0, null, id % 7) as y")
+    a, b = ({r["draw"]: r.asDict() for r in Z.drawn_sums(rows.repartition(n), "id", "x", "y", draws=40).collect()} for n in (1, 5))
+    assert a == b and set(a) == set(range(1, 41))
+    w = Z.counter_weights(np.array([i for i in range(3000) if i % 10]), np.array([7]))[0]
+    assert a[7]["weight"] == w.sum() and a[7]["x"] == sum(k for i, k in zip((i for i in range(3000) if i % 10), w, strict=True) if i % 3 == 0)
+
+
+def test_keyed_interval_is_that_of_drawing_items(spark):
+    rows = spark.range(900).selectExpr("id", "cast(id % 3 = 0 as int) - cast(id % 5 = 0 as int) as v")
+    found = Z.keyed_bootstrap(rows, "id", F.col("v"))
+    values = np.array([(i % 3 == 0) * 1 - (i % 5 == 0) * 1 for i in range(900)])
+    want = Z.paired_bootstrap_exact(np.zeros(900), values)
+    assert found["obs"] == pytest.approx(want["obs_delta"]) and found["ci_lo"] == pytest.approx(want["ci_lo"], abs=0.004) and found["ci_hi"] == pytest.approx(want["ci_hi"], abs=0.004)
+    assert found["p_boot"] == pytest.approx(want["p_boot"], abs=0.01)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,9 +48,10 @@ def mcnemar(a: int, b: int, c: int, d: int, alpha: float = ALPHA) -> dict:
     return {"n_items": n, "a": a, "b": b, "c": c, "d": d, "n_discordant": nd, "statistic": stat, "p_value": p, "significant": p < alpha, "method": method, "acc_A": acc(a + b), "acc_B": acc(a + c), "delta": delta}
 
 
-def _interval(draws: np.ndarray, observed: float, alpha: float) -> dict:
+def _interval(draws: np.ndarray, observed: float, alpha: float, slack: float = 0.0) -> dict:
+    """slack: how far two sides of the p-value's comparison may be apart and count as equal."""
     lo, hi = (float(np.percentile(draws, 100 * q)) for q in (alpha / 2, 1 - alpha / 2))
-    p = float(np.mean(np.abs(draws - observed) >= abs(observed)))
+    p = float(np.mean(np.abs(draws - observed) >= abs(observed) - slack))
     return {"ci_lo": lo, "ci_hi": hi, "ci_level": f"{int((1 - alpha) * 100)}%", "p_boot": p, "significant": lo > 0 or hi < 0}
 
 
@@ -129,6 +131,78 @@ def poisson_bootstrap(pairs: DataFrame, key: str, a: str, b: str, draws: int) ->
     return each.groupBy("draw").agg(F.round(F.sum(F.col("w") * (F.col(b) - F.col(a))) / F.sum("w"), 9).alias("delta"))
 
 
+# The shifts and multipliers of the 32-bit finaliser by which draws are made; any other engine can repeat them.
+_FINAL = ((16, 0x85EBCA6B), (13, 0xC2B2AE35))
+_GOLDEN, _LOW = 0x9E3779B9, (1 << 32) - 1
+
+
+def _final(x: np.ndarray) -> np.ndarray:
+    for shift, factor in _FINAL:
+        x = ((x ^ (x >> np.uint64(shift))) * np.uint64(factor)) & np.uint64(_LOW)
+    return x ^ (x >> np.uint64(16))
+
+
+def counter_weights(keys: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """Poisson(1) numbers, a row for each draw and a column for each whole-number key, that depend on (key, draw) alone."""
+    keys = keys.astype(np.int64).view(np.uint64)
+    keys = _final((keys & np.uint64(_LOW)) ^ _final(keys >> np.uint64(32)))
+    turns = draws.astype(np.uint64) * np.uint64(_GOLDEN) & np.uint64(_LOW)
+    u = _final(keys[None, :] ^ turns[:, None]) / float(1 << 32)
+    return np.searchsorted(np.array(POISSON), u, side="right").astype(np.float64)
+
+
+def _poisson_steps() -> list[float]:
+    total, term, out = 0.0, math.exp(-1), []
+    for k in range(8):
+        total += term
+        out.append(total)
+        term /= k + 1
+    return out
+
+
+#: P(weight <= k) for k from 0 to 7.
+POISSON = _poisson_steps()
+
+
+def drawn_sums(rows: DataFrame, key: str, *values: str, draws: int = DRAWS) -> DataFrame:
+    """draw (from 1), weight, and a weighted sum of each value: what a bootstrap of any ratio of sums needs.
+
+    Each task adds up vectors over the draws; nothing has a row for an item and a draw. Items with a null key or value are
+    left out; items of one key are drawn together.
+    """
+    step, names = 256, [f"s{i}" for i in range(len(values))]
+    frame = rows.select(F.col(key).cast("long").alias("key"), *[F.col(v).cast("double").alias(n) for v, n in zip(values, names, strict=True)]).na.drop()
+
+    def summed(batches):
+        sums = np.zeros((draws, len(values) + 1))
+        for b in batches:
+            for first in range(0, len(b), 4096):
+                part = b.iloc[first : first + 4096]
+                what = np.column_stack([np.ones(len(part)), *[part[n].to_numpy() for n in names]])
+                for at in range(0, draws, step):
+                    sums[at : at + step] += counter_weights(part["key"].to_numpy(), np.arange(at + 1, min(at + step, draws) + 1)) @ what
+        yield pd.DataFrame({"draw": np.arange(1, draws + 1), "weight": sums[:, 0], **{n: sums[:, i + 1] for i, n in enumerate(names)}})
+
+    schema = "draw int, weight double, " + ", ".join(f"{n} double" for n in names)
+    parts = frame.mapInPandas(summed, schema)
+    return parts.groupBy("draw").agg(F.sum("weight").alias("weight"), *[F.sum(n).alias(v) for n, v in zip(names, values, strict=True)])
+
+
+def interval_of(drawn: DataFrame, statistic: Column, observed: float, alpha: float = ALPHA) -> dict:
+    """Percentile interval and two-sided p of a statistic of drawn_sums(): a number for each draw comes to the driver. Draws without
+    the statistic (nothing was drawn) are left out.
+    """
+    found = np.array([r[0] for r in drawn.where("weight > 0").select(statistic).collect() if r[0] is not None])
+    return {"obs": observed, **_interval(found, observed, alpha, slack=1e-9)}
+
+
+def keyed_bootstrap(rows: DataFrame, key: str, value: Column, draws: int = DRAWS, alpha: float = ALPHA) -> dict:
+    """The bootstrap of a mean at any number of items, with draws that other engines can repeat."""
+    rows = rows.select(key, value.cast("double").alias("value")).na.drop()
+    drawn = drawn_sums(rows, key, "value", draws=draws)
+    return interval_of(drawn, F.col("value") / F.col("weight"), rows.agg(F.avg("value")).first()[0], alpha)
+
+
 def pass_at_k(scores: DataFrame, question: str, *by: str) -> DataFrame:
     """n_questions, pass_at_k (mean over questions of the best score), mean_run_acc."""
     each = scores.groupBy(*by, question).agg(F.max("score").alias("best"), F.sum("score").alias("s"), F.count("score").alias("k"))

@@ -78,7 +78,7 @@ _add(
 
 def _subgroups(s: DataFrame) -> DataFrame:
     """What doesn't depend on the draws of each subgroup's tests: sizes, accuracies and their difference, as the test and the bootstrap see it."""
-    found = Z.subgroups(s, "quality", "toxic", "difficulty", draws=50)
+    found = Z.subgroups(s, "quality", "toxic", "difficulty")
     rows = [(k, v["n_items"], round(v["acc_A"], 9), round(v["acc_B"], 9), round(v["delta"], 9), round(v["boot_obs_delta"], 9), v["boot_ci_lo"] <= v["boot_ci_hi"]) for k, v in found.items()]
     return s.sparkSession.createDataFrame(rows, "difficulty string, n_items long, acc_a double, acc_b double, delta double, boot_delta double, ordered boolean")
 
@@ -89,7 +89,7 @@ _add("st_subgroups", _subgroups, "SELECT difficulty, count(*) AS n_items, round(
 def _cluster(s: DataFrame) -> DataFrame:
     """The bootstrap by question, told by what all seeds share: its interval is in order and holds the mean of the draws."""
     sums = [r for r in Z.group_sums(s.where("difficulty = 'en'").withColumn("kind", F.when(F.col("run_id") % 2 == 0, "base").otherwise("paraphrase")), "question_id", "kind", "quality", "toxic").collect()]
-    found = Z.cluster_bootstrap(sums, "quality", "toxic", draws=200)
+    found = Z.cluster_bootstrap(sums, "quality", "toxic")
     return s.sparkSession.createDataFrame([(len(sums), found["ci_lo"] <= found["mean"] <= found["ci_hi"], 0 <= found["p_boot"] <= 1)], "n_groups long, inside boolean, is_share boolean")
 
 
@@ -119,12 +119,77 @@ _add(
     lambda s: Z.poisson_bootstrap(s, "run_id", "quality", "toxic", 50),
     f", d AS (SELECT draw, quality, toxic, ('0x' || substr(md5(concat(draw, '-', run_id)), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM s, range(1, 51) r(draw)), w AS (SELECT *, {_poisson_sql()} AS w FROM d) SELECT draw::INT AS draw, round(sum(w * (toxic - quality))::DOUBLE / sum(w), 9) AS delta FROM w WHERE w > 0 GROUP BY draw",
 )
+_DRAWS = 10_000
+
+
+def _weights_sql(key: str, source: str) -> str:
+    """x: the rows of source for each draw, with w, the weight of the counter law for keys below 2^32."""
+
+    def final(name: str, start: str, source: str) -> str:
+        out = f"{name}0 AS (SELECT *, {start} AS h FROM {source})"
+        for k, (shift, factor) in enumerate(Z._FINAL):
+            out += f", {name}{k + 1} AS (SELECT * EXCLUDE h, xor(h, h >> {shift}) * {factor}::UBIGINT & {Z._LOW}::UBIGINT AS h FROM {name}{k})"
+        return f"{out}, {name} AS (SELECT * EXCLUDE h, xor(h, h >> 16) AS {name}_h FROM {name}2)"
+
+    steps = " ".join(f"WHEN h2_h / 4294967296.0::DOUBLE < {v!r} THEN {k}" for k, v in enumerate(Z.POISSON))
+    turn = f"xor(h1_h, draw::UBIGINT * {Z._GOLDEN}::UBIGINT & {Z._LOW}::UBIGINT)"
+    return f"{final('h1', f'{key}::UBIGINT', source)}, {final('h2', turn, f'h1, range(1, {_DRAWS + 1}) r(draw)')}, x AS (SELECT *, CASE {steps} ELSE 8 END AS w FROM h2)"
+
+
+_BOUNDS = "round(quantile_cont(v, 0.025), 9) AS ci_lo, round(quantile_cont(v, 0.975), 9) AS ci_hi, round(avg(CASE WHEN abs(v - obs) >= abs(obs) - 1e-9 THEN 1.0::DOUBLE ELSE 0 END), 9) AS p_boot"
+
+
+def _found(spark: SparkSession, found: dict) -> DataFrame:
+    return spark.createDataFrame([tuple(round(found[k], 9) for k in ("obs", "ci_lo", "ci_hi", "p_boot"))], "obs double, ci_lo double, ci_hi double, p_boot double")
+
+
+_add(
+    "st_bootstrap_interval",
+    lambda s: _found(s.sparkSession, Z.keyed_bootstrap(s, "run_id", F.col("toxic") - F.col("quality"))),
+    f", {_weights_sql('run_id', 's')}, o AS (SELECT avg(toxic - quality) AS obs FROM s), d AS (SELECT sum(w * (toxic - quality))::DOUBLE / sum(w) AS v FROM x GROUP BY draw HAVING sum(w) > 0) SELECT round(any_value(obs), 9) AS obs, {_BOUNDS} FROM d, o",
+)
+# four conditions of a run: the difference in differences is a mean of one value an item
+_FOUR = "((CAST(run_id % 2 = 0 AS INT) - CAST(run_id % 3 = 0 AS INT)) - (toxic - quality))"
+_add(
+    "st_did_interval",
+    lambda s: _found(s.sparkSession, Z.keyed_bootstrap(s, "run_id", F.expr(_FOUR))),
+    f", y AS (SELECT run_id, {_FOUR} AS y FROM s), {_weights_sql('run_id', 'y')}, o AS (SELECT avg(y) AS obs FROM y), d AS (SELECT sum(w * y)::DOUBLE / sum(w) AS v FROM x GROUP BY draw HAVING sum(w) > 0) SELECT round(any_value(obs), 9) AS obs, {_BOUNDS} FROM d, o",
+)
+
+
+_CELLS = [f"{c}_{k}_{m}" for c in ("quality", "toxic") for k in ("base", "paraphrase") for m in ("sum", "n")]
+
+
+def _cluster_interval(s: DataFrame) -> DataFrame:
+    """Questions drawn whole: the loss of paraphrases under toxic less that under quality, with its interval, from sums by question."""
+    s = s.withColumn("question_id", F.concat_ws("-", "question_id", "difficulty", (F.col("run_id") % 7).cast("string")))
+    sums = Z.group_sums(s, "question_id", "kind", "quality", "toxic")
+    keyed = sums.withColumn("key", F.conv(F.substring(F.md5(F.col("question_id").cast("binary")), 1, 8), 16, 10).cast("long"))
+    share = lambda c, k: F.try_divide(F.col(f"{c}_{k}_sum"), F.col(f"{c}_{k}_n"))
+    loss = lambda c: 100 * (share(c, "paraphrase") - share(c, "base"))
+    value = loss("toxic") - loss("quality")
+    observed = sums.agg(*[F.sum(n).cast("double").alias(n) for n in _CELLS]).select(value).first()[0]
+    return _found(s.sparkSession, Z.interval_of(Z.drawn_sums(keyed, "key", *_CELLS), value, observed))
+
+
+def _loss_sql(w: str) -> str:
+    share = lambda c, k: f"sum({w}{c}_{k}_sum)::DOUBLE / nullif(sum({w}{c}_{k}_n), 0)"
+    loss = lambda c: f"100 * ({share(c, 'paraphrase')} - {share(c, 'base')})"
+    return f"{loss('toxic')} - {loss('quality')}"
+
+
+_add(
+    "st_cluster_interval",
+    _cluster_interval,
+    f", q AS (SELECT * REPLACE (concat_ws('-', question_id, difficulty, run_id % 7) AS question_id) FROM s), g AS (SELECT ('0x' || substr(md5(question_id), 1, 8))::BIGINT AS key, {_sum} FROM q GROUP BY question_id), "
+    f"{_weights_sql('key', 'g')}, o AS (SELECT {_loss_sql('')} AS obs FROM g), d AS (SELECT {_loss_sql('w * ')} AS v FROM x GROUP BY draw HAVING sum(w) > 0 AND v IS NOT NULL) SELECT round(any_value(obs), 9) AS obs, {_BOUNDS} FROM d, o",
+)
 _add("st_did_patterns", lambda c: Z.did_patterns(c, "z", "l", "f", "c"), "SELECT z, l, f, c, count(*) AS n FROM c4 GROUP BY ALL", conditions, _C)
 _DID = ("obs_did", "acc_zeroshot", "acc_lexicon", "acc_lf", "acc_combined", "marginal_lex", "marginal_lf", "expected_add", "actual_combined_gain")
 
 
 def _did(c: DataFrame) -> DataFrame:
-    found = Z.did(Z.did_patterns(c, "z", "l", "f", "c").collect(), draws=50)
+    found = Z.did(Z.did_patterns(c, "z", "l", "f", "c").collect())
     return c.sparkSession.createDataFrame([(found["n_items"], *[round(found[k], 9) for k in _DID])], "n_items long, " + ", ".join(f"{k} double" for k in _DID))
 
 
@@ -160,6 +225,34 @@ def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "term string, estimate double").withColumn("estimate", F.round("estimate", 6) + F.lit(0.0))
 
 
+def _mixed_difficulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parameters of the model where difficulty varies by question and every question has each condition once.
+
+    With equal numbers in every question the estimates are those of sums over questions, and the variances have closed forms.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet")
+    flags = {"zeroshot": F.col("p_size") % 2, "lexicon": F.col("p_size") % 3, "lf": F.col("p_partkey") % 2, "combined": F.col("p_size") % 5}
+    hardness = F.element_at(F.array(*map(F.lit, Z.DIFFICULTY)), (F.col("p_partkey") % 4 + 1).cast("int"))
+    design = {k: rows.select(F.col("p_partkey").alias("question_id"), hardness.alias("difficulty"), (c > 0).cast("int").alias("score")) for k, c in flags.items()}
+    fit = Z.mixed_model(Z.stacked(**design))
+    found = {**fit["params"], "group_variance": fit["group_variance"], "residual_variance": fit["residual_variance"]}
+    out = spark.createDataFrame([(k, float(v)) for k, v in found.items()], "term string, estimate double")
+    return out.withColumn("estimate", F.round("estimate", 4) + F.lit(0.0))
+
+
+QUERIES["st_mixed_difficulty"] = _mixed_difficulty
+# balanced: effects are differences of means; the slope on difficulty is that of the questions' means; the variances follow from the two sums of squares
+ORACLES["st_mixed_difficulty"] = (
+    "WITH y AS (SELECT p_partkey AS q, p_partkey % 4 AS d, (p_size % 2 > 0)::INT AS z, (p_size % 3 > 0)::INT AS l, (p_partkey % 2 > 0)::INT AS f, (p_size % 5 > 0)::INT AS c FROM part), "
+    "m AS (SELECT avg(z) AS z, avg(l) AS l, avg(f) AS f, avg(c) AS c, count(*)::DOUBLE AS n FROM y), "
+    "g AS (SELECT q, d, (z + l + f + c) / 4.0::DOUBLE AS mean FROM y), b AS (SELECT regr_slope(mean, d) AS slope, regr_intercept(mean, d) AS base FROM g), "
+    "w AS (SELECT sum((y.z - g.mean - m.z + t) ** 2 + (y.l - g.mean - m.l + t) ** 2 + (y.f - g.mean - m.f + t) ** 2 + (y.c - g.mean - m.c + t) ** 2) AS inside "
+    "FROM y JOIN g ON g.q = y.q, (SELECT *, (z + l + f + c) / 4 AS t FROM m) m), a AS (SELECT 4 * sum((mean - base - slope * d) ** 2) AS among FROM g, b), "
+    "v AS (SELECT inside / (3 * n) AS e, greatest(0, (among / n - inside / (3 * n)) / 4) AS u, (inside + among) / (4 * n) AS pooled FROM w, a, m) "
+    "SELECT 'lex' AS term, round(l - z, 4) AS estimate FROM m UNION ALL SELECT 'lf', round(f - z, 4) FROM m UNION ALL SELECT 'lex:lf', round(c - l - f + z, 4) FROM m "
+    "UNION ALL SELECT 'difficulty_num', round(slope, 4) FROM b UNION ALL SELECT 'Intercept', round(base + z - (z + l + f + c) / 4, 4) FROM b, m "
+    "UNION ALL SELECT 'group_variance', round(u, 4) FROM v UNION ALL SELECT 'residual_variance', round(CASE WHEN u > 0 THEN e ELSE pooled END, 4) FROM v"
+)
 QUERIES["st_mixed_model"] = _mixed
 ORACLES["st_mixed_model"] = (
     f"WITH {_C}, m AS (SELECT avg(z) AS z, avg(l) AS l, avg(f) AS f, avg(c) AS c FROM c4) SELECT 'lex' AS term, round(l - z, 6) AS estimate FROM m "
