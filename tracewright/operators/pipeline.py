@@ -44,6 +44,10 @@ class RunConfig:
     results_root: str = "results"
     run_tag: str | None = None
     api_key: str | None = None
+    #: The environment variable that holds the secret on the executors.
+    api_key_name: str | None = None
+    api_url: str | None = None
+    request_timeout: float = 120.0
 
     def public(self) -> dict:
         return {k: "***REDACTED***" if k in ("api_key",) and v is not None else v for k, v in asdict(self).items()}
