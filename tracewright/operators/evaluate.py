@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions import dialect
 from ..functions import sqltext as X
+from ..functions.vocabulary import Vocabulary
 from .digest import Digest, Key, digest
 from .order import numbered_in_place
 
@@ -60,8 +61,8 @@ def only_reads(spark: SparkSession, sql: str) -> bool:
 class Executor:
     """Runs one query statement at a time against the views of a session; nothing else is let through."""
 
-    def __init__(self, spark: SparkSession, timeout: float = TIMEOUT, sqlite: bool = True):
-        self.spark, self.timeout, self.sqlite = spark, timeout, sqlite
+    def __init__(self, spark: SparkSession, timeout: float = TIMEOUT, sqlite: bool = True, known: Vocabulary | None = None):
+        self.spark, self.timeout, self.sqlite, self.known = spark, timeout, sqlite, known
         self.key = Key.drawn()
 
     def execute(self, sql: str | None) -> Execution:
@@ -82,7 +83,7 @@ class Executor:
         context.setJobGroup(group, sql[:100], interruptOnCancel=True)
         timer.start()
         try:
-            text = dialect.to_spark(sql) if self.sqlite else sql.rstrip("; \n")
+            text = dialect.to_spark(sql, known=self.known) if self.sqlite else sql.rstrip("; \n")
             if not only_reads(self.spark, text):
                 return Execution(False, error="not a single query statement", elapsed_ms=took())
             rows = self.spark.sql(text)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.vocabulary import Vocabulary
 from ..operators import eventlog as E
 from ..operators.order import numbered
 from .eventlog_sql import DUCK_LOG, event_log
@@ -56,6 +57,10 @@ _where("mixed", lambda: E.performed_by("r1") & (E.has_activity("view") | E.cost_
 _where("not_equal", lambda: F.col("resource") != "r3", "resource <> 'r3'")
 _where("any_of", lambda: E.activity_in("view", "click"), "activity IN ('view', 'click')")
 _where("not_matching", lambda: ~E.activity_matches("e"), "activity NOT ILIKE '%e%'")
+# without case by the column's different values, as a list that reaches the files
+_nocase = lambda log, part: part(Vocabulary.of(log, "activity", "resource"))
+_add("nocase_like", lambda log: log.where(_nocase(log, lambda k: k.like("activity", "%IG%"))).select("id", "activity"), "SELECT id, activity FROM event_log WHERE activity ILIKE '%ig%'")
+_add("nocase_equal", lambda log: log.where(_nocase(log, lambda k: k.equals("activity", "PURCHASE") & ~k.equals("resource", "R3"))).select("id", "resource"), "SELECT id, resource FROM event_log WHERE lower(activity) = 'purchase' AND lower(resource) <> 'r3'")
 _add("project", lambda log: log.select("idcase", "activity", "id"), "SELECT idcase, activity, id FROM event_log")
 _add("project_alias", lambda log: log.select("id", (F.col("cost") * 2).alias("End trip")), "SELECT id, cost * 2 AS \"End trip\" FROM event_log")
 _add("coalesce", lambda log: log.select("id", F.coalesce("resource", F.lit("nobody")).alias("resource")), "SELECT id, coalesce(resource, 'nobody') AS resource FROM event_log")
