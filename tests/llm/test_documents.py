@@ -95,9 +95,22 @@ def test_presence_in_windows_and_on_the_wire(monkeypatch):
     assert all((langid._received(langid._shipped(g)) == g).all() for g in (*want, dense)) and len(langid._shipped(dense)) == 1 << langid.BITS - 3
 
 
-def test_dirty_languages_are_bounded(spark):
-    rows = [(i, f"text of the language number {i % 40}", f"l{i % 40:02}" if i % 3 else "en") for i in range(300)]
-    assert langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_langs=5).langs[0] == "en"
+def test_every_language_is_learned(spark, monkeypatch):
+    """300 languages, one of most rows: none is left out, and blocks of them give what one matrix gives."""
+    words = [f"{a}{b}{c}" for a in "bdfgklmnpr" for b in "aeiou" for c in "stvxzc"]
+    rows = [(i, f"{words[i % 300]} {words[i % 300][::-1]} {words[i % 300]}{words[i % 300]} and more", f"l{i % 300:03}" if i % 7 else "en") for i in range(2100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(docs)
+    assert len(model.langs) == 301 and model.weights.shape[1] == 301
+    want = {(r["doc_id"], r["lang_pred"], r["score"]) for r in langid.identify(docs, model).select("doc_id", "lang_pred", "score").collect()}
+    assert {k for _, k, _ in want} >= {f"l{i:03}" for i in range(300)}
+    texts = dict((i, t) for i, t, _ in rows)
+    for at, lang, score in sorted(want)[:50]:
+        assert ([lang], [score]) == langid.predict(model, [texts[at]])
+    monkeypatch.setattr(langid, "LANGS", 1000)
+    assert want == {(r["doc_id"], r["lang_pred"], r["score"]) for r in langid.identify(docs, model).select("doc_id", "lang_pred", "score").collect()}
+    none = langid.identify(spark.createDataFrame([(1, None), (2, "12"), (3, "bas")], "doc_id long, text string"), langid.Model(model.langs, model.weights)).collect()
+    assert [(r["lang_pred"], r["score"]) for r in none][:2] == [("und", 0.0)] * 2 and none[2]["lang_pred"] != "und"
 
 
 def test_odd_languages(spark):
@@ -441,6 +454,35 @@ def test_mix_rows_are_the_plan(spark, small):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.mix(docs).collect()))
 
 
+def test_many_instances_are_split_exactly(monkeypatch):
+    """Beyond what NumPy draws from: quotas and shares stay exact, and shares are near their mean."""
+    q = np.array([3 * 10**9, 7, 0, 2 * 10**9 + 1, 10**9])
+    out = mixing.split_tree(q, 8, np.random.default_rng(1))
+    assert (out.sum(0) == q).all() and out.sum(1).max() - out.sum(1).min() <= 1 and (out >= 0).all()
+    assert (abs(out[:, 0] / q[0] - 1 / 8) < 1e-4).all()
+    monkeypatch.setattr(mixing, "EXACT_DRAWS", 1)
+    small = np.array([5, 1, 0, 40, 3])
+    for seed in range(20):
+        out = mixing.split_tree(small, 4, np.random.default_rng(seed))
+        assert (out.sum(0) == small).all() and out.sum(1).max() - out.sum(1).min() <= 1 and (out >= 0).all()
+
+
+def test_mix_leaves_no_tables(spark, small):
+    """Neither the stored rows nor the mix stay in the shared folder; empty documents aren't taken more than twice."""
+    import os
+
+    from tracewright.llm.common import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://").removeprefix("file:")
+    tables = lambda: {x for x in os.listdir(folder) if x.startswith("tracewright-")}
+    before = tables()
+    queries.QUERIES["op9_source_mix"](spark, small).count()
+    assert tables() == before
+    docs = frame(spark, [(i, "" if i % 2 else "some words here", "en", "abc"[i % 3]) for i in range(60)])
+    rows, _ = mixing.planned(docs)
+    assert rows.agg({"copies": "max"}).first()[0] <= 2
+
+
 def test_split_tree_is_exact():
     q = np.array([5, 0, 17, 1])
     out = mixing.split_tree(q, 8, np.random.default_rng(1))

@@ -28,6 +28,8 @@ UNKNOWN = "und"
 #: labelled texts, one-word and junk ones among them, none has less than 0.14; Russian and Japanese have 0.03 and less.
 FLOOR = 0.05
 LETTER = r"\p{L}"
+#: Languages whose weights are broadcast together: 2**BITS floats each, 128 MB in all.
+LANGS = 128
 #: Code points that are hashed at once; a worker needs about a hundred times that. Longer texts are cut into windows.
 PIECE = 1 << 20
 
@@ -114,19 +116,18 @@ def learn(
     landmarks: int = 32,
     most_landmarks: int = 256,
     ridge: float = 0.1,
-    most_langs: int = 128,
 ) -> Model:
     """Fit on a bounded sample of rows(doc_id, text, lang).
 
     The sample holds about per_lang texts of each language and `most` in all, drawn by a hash of
     doc_id; landmarks of a language are the first of its drawn texts in that order, most_landmarks in
-    all at most. Of more than most_langs values of lang those of most rows are learned. Rows whose text or
+    all at most. Every value of lang is learned, from one text and one landmark at least, so these bounds give way where
+    there are more languages than they allow. Rows whose text or
     lang is null or whose text has no letter are left out. Without any row left the model knows no language,
     and every prediction is `und`. The driver holds 32 KB for each text of the sample at most.
     """
     rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(LETTER)).select("doc_id", "text", "lang")
-    often = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs)
-    counts = {r["lang"]: r["n"] for r in often.collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(counts)
     if not langs:
         return Model([], np.zeros((1 << BITS, 0), dtype=np.float32))
@@ -170,13 +171,12 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]]:
-    """The language of greatest score of each text, and that score cut to 0..1.
+def scored(model: Model, texts: list[str | None]) -> tuple[list[str | None], list[float]]:
+    """The language of greatest score of each text, and that score; none where the text has no letter or the model no language.
 
-    `und` and 0 where the text is null, empty or without letter, or where the model knows no language.
     Ties go to the language first by code point.
     """
-    langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    langs, scores = [None] * len(texts), [0.0] * len(texts)
     at = [i for i, t in enumerate(texts) if t and has_letter(t)] if model.langs else []
     if at:
         grams = presence([texts[i] for i in at])
@@ -185,26 +185,49 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[floa
         sums /= np.sqrt([[len(g)] for g in grams])
         best = sums.argmax(1)
         for i, k, row in zip(at, best, sums, strict=True):
-            langs[i], scores[i] = model.langs[k], float(min(1.0, max(0.0, row[k])))
+            langs[i], scores[i] = model.langs[k], float(row[k])
     return langs, scores
 
 
+def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    """scored() with `und` and 0 where there is no language, and scores cut to 0..1."""
+    langs, scores = scored(model, texts)
+    return [UNKNOWN if k is None else k for k in langs], [min(1.0, max(0.0, x)) for x in scores]
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred string and score double added (columns of those names are replaced).
 
-    Only text is read for the prediction; every row comes back, in whole, once.
+    Only text is read for the prediction; every row comes back, in whole, once. Languages are taken LANGS at a time: each
+    block of the matrix is a broadcast of its own, and texts carry the best language so far from block to block.
     """
-    spark = docs.sparkSession
-    known = spark.sparkContext.broadcast(model)  # bounded: 2**BITS x languages floats
     docs = docs.drop("lang_pred", "score")
+    blocks = [Model(model.langs[at : at + LANGS], model.weights[:, at : at + LANGS]) for at in range(0, len(model.langs), LANGS)] or [model]
+    for n, block in enumerate(blocks):
+        docs = _with_best(docs, block, first=n == 0, last=n == len(blocks) - 1)
+    return docs
+
+
+def _with_best(docs: DataFrame, block: Model, first: bool, last: bool) -> DataFrame:
+    """docs with the better of their lang_pred and score and those of the block; the last block has `und` and cut scores."""
+    known = docs.sparkSession.sparkContext.broadcast(block)  # 2**BITS x LANGS floats at most
+    fields = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
     text = docs.schema.names.index("text")
 
     def run(batches):
         for piece, _ in slices(batches, "text", PIECE):
-            langs, scores = predict(known.value, piece.column(text).to_pylist())
-            yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*piece.schema.names, "lang_pred", "score"])
-
-    out = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+            langs, scores = scored(known.value, piece.column(text).to_pylist())
+            if not first:
+                before = zip(piece.column("lang_pred").to_pylist(), piece.column("score").to_pylist(), strict=True)
+                # texts that have a language here have had one before
+                both = [(k, x) if k is None or x >= y else (j, y) for (k, x), (j, y) in zip(before, zip(langs, scores, strict=True), strict=True)]
+                langs, scores = [k for k, _ in both], [x for _, x in both]
+            if last:
+                langs, scores = [UNKNOWN if k is None else k for k in langs], [min(1.0, max(0.0, x)) for x in scores]
+            kept = [piece.column(piece.schema.get_field_index(f.name)) for f in fields]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*(f.name for f in fields), "lang_pred", "score"])
+
+    out = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return docs.mapInArrow(run, out)
 
 

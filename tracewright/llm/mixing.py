@@ -18,7 +18,7 @@ draw, so that every shard gets its exact share of instances and a source's share
 deal without replacement. A source's instances, permuted, are then cut into disjoint runs by the leaf
 quotas, and rows are shuffled inside their shard by a hash.
 
-Defined results: null or empty text has 0 words; it is taken with its block. A null doc_id hashes as one
+Defined results: null or empty text has 0 words; it is taken with its block, CAP times at most. A null doc_id hashes as one
 value. Rows that repeat are documents of their own. Columns of the input named like those that are
 added are replaced. An empty table gives an empty result. Everything is a function of rows and seed.
 """
@@ -39,6 +39,8 @@ BLOCK_WORDS = 1 << 17
 MOST_BLOCKS = 1 << 16
 #: A plan of at most so many rows (about 5 MB) is broadcast; a larger one is joined by shuffle.
 MOST_BROADCAST = 100_000
+#: From fewer instances NumPy draws by the law itself.
+EXACT_DRAWS = 10**9
 
 
 def hashed(*parts: Column | str) -> Column:
@@ -71,6 +73,25 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float) -> DataFra
     return levels.select("src", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
+def _drawn(left: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of n instances, drawn without replacement, are of each source.
+
+    The generator draws from fewer than EXACT_DRAWS instances. From more, sources are drawn one after the other by the normal law
+    of the same mean and variance, cut to what the sources and the draw leave room for, so quotas stay exact.
+    """
+    total = int(left.sum())
+    if total < EXACT_DRAWS:
+        return rng.multivariate_hypergeometric(left, n, method="marginals") if total else left
+    out = np.zeros_like(left)
+    for i, own in enumerate(map(int, left)):
+        share = own / total if total else 0.0
+        spread = np.sqrt(max(0.0, n * share * (1 - share) * (total - n) / max(1, total - 1)))
+        low, high = max(0, n - (total - own)), min(own, n)
+        out[i] = min(high, max(low, round(n * share + spread * float(rng.standard_normal()))))
+        n, total = n - int(out[i]), total - own
+    return out
+
+
 def split_tree(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
     """int[shards, sources]: the instances of each source that each shard gets; rows differ by one in sum at most."""
     total = int(quotas.sum())
@@ -82,7 +103,7 @@ def split_tree(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.
             out[lo] = left
             return
         mid = (lo + hi) // 2
-        drawn = rng.multivariate_hypergeometric(left, int(room[lo:mid].sum()), method="marginals") if left.sum() else left
+        drawn = _drawn(left, int(room[lo:mid].sum()), rng)
         split(drawn, lo, mid)
         split(left - drawn, mid, hi)
 
@@ -112,7 +133,7 @@ def planned(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     blocks = blocks.withColumn("upto", F.sum("words").over(turn.rowsBetween(W.unboundedPreceding, 0)))
     fits = F.col("upto") <= F.col("rest")
     plan = blocks.withColumn("part", ~fits & (F.col("upto") - F.col("words") < F.col("rest"))).withColumn("gap", F.col("rest") - (F.col("upto") - F.col("words")))
-    plan = checkpointed(plan.select("src", "block", "blocks", "source_size", "target", (F.col("whole") + fits.cast("int")).alias("whole"), "part", "gap"))
+    plan = checkpointed(plan.select("src", "block", "blocks", "source_size", "target", F.least(F.lit(CAP), F.col("whole") + fits.cast("int")).alias("whole"), "part", "gap"))
     light = plan.count() <= MOST_BROADCAST
     small = (lambda df: F.broadcast(df)) if light else (lambda df: df)
     dealt = rows.join(F.broadcast(sources.select("src", "blocks")) if light else sources.select("src", "blocks"), "src").withColumn("block", (F.col("key") % MOST_BLOCKS) % F.col("blocks")).drop("blocks")

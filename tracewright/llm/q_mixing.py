@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, checkpointed, table
 from .mixing import deal, planned
 
 
@@ -13,17 +13,16 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     The mix is made in full, texts, shards and keys, and its rows are counted: a taking that is lost or
     doubled on the way to a shard shows in taken.
     """
-    # numbered as it is read, so a row has the same number each time
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source").withColumn("row", F.monotonically_increasing_id())
-    rows, plan = planned(docs)
-    scratch = Scratch(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     facts = ["row", "doc_id", "size", "source_size", "target"]
-    mixed = scratch.keep(deal(rows, plan).select("row", "doc_id", "text", "source", "shard", "mix_key"), "mix")
-    # not cleared: the result reads them lazily
-    times = Scratch(spark).keep(mixed.groupBy("row").agg(F.count("*").alias("times")), "times")
-    scratch.clear()
-    taken = F.col("size") * F.coalesce(F.col("times"), F.lit(0))
-    return rows.select(*facts).join(times, "row", "left").select(*facts[1:], taken.alias("taken"))
+    with Scratch(spark) as scratch:
+        # numbered once and stored: the mix and the rows that it is counted for are two plans
+        docs = scratch.keep(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+        rows, plan = planned(docs)
+        mixed = scratch.keep(deal(rows, plan).select("row", "doc_id", "text", "source", "shard", "mix_key"), "mix")
+        times = mixed.groupBy("row").agg(F.count("*").alias("times"))
+        taken = F.col("size") * F.coalesce(F.col("times"), F.lit(0))
+        return checkpointed(rows.select(*facts).join(times, "row", "left").select(*facts[1:], taken.alias("taken")))
 
 
 SQL = r"""
