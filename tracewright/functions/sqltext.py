@@ -57,6 +57,7 @@ OPERATION_MARKS = {
     "Set operation": r"\b(EXCEPT|INTERSECT|UNION)\b",
 }
 
+# The months' names, and below the patterns and limits by which literals are found, typed and looked for in a question.
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
 

@@ -164,9 +164,10 @@ def operation_rows(corpus: DataFrame) -> DataFrame:
     """Stage 4.3: a row for each utterance and operation: operation_present_in_sql, has_nl_cue (null: not present)."""
     out = corpus.withColumn("__plain", X.without_literals(F.upper("gold_sql")))
     out = out.withColumn("ops", X.operations(F.col("gold_sql"), F.col("__plain")))
-    cells = [F.struct(F.lit(o).alias("sql_operation"), F.col("ops")[o].alias("there"), X.has_cue(F.col("question"), o).alias("cue")) for o in X.OPERATION_CUES]
+    # a cue is sought only where the operation is there
+    cells = [F.struct(F.lit(o).alias("sql_operation"), F.col("ops")[o].alias("there"), F.when(F.col("ops")[o], X.has_cue(F.col("question"), o)).alias("cue")) for o in X.OPERATION_CUES]
     out = out.select("utterance_id", "group_id", F.explode(F.array(*cells)).alias("c"))
-    return out.select("utterance_id", "group_id", "c.sql_operation", F.col("c.there").alias("operation_present_in_sql"), F.when(F.col("c.there"), F.col("c.cue")).alias("has_nl_cue"))
+    return out.select("utterance_id", "group_id", "c.sql_operation", F.col("c.there").alias("operation_present_in_sql"), F.col("c.cue").alias("has_nl_cue"))
 
 
 def _rates(rows: DataFrame, key: str, there: str, named: str, names: tuple[str, str, str]) -> DataFrame:
