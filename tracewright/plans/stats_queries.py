@@ -237,7 +237,7 @@ def _mixed_difficulty(spark: SparkSession, sf_dir: str) -> DataFrame:
     fit = Z.mixed_model(Z.stacked(**design))
     found = {**fit["params"], "group_variance": fit["group_variance"], "residual_variance": fit["residual_variance"]}
     out = spark.createDataFrame([(k, float(v)) for k, v in found.items()], "term string, estimate double")
-    return out.withColumn("estimate", F.round("estimate", 4) + F.lit(0.0))
+    return out.withColumn("estimate", F.round("estimate", 5) + F.lit(0.0))
 
 
 QUERIES["st_mixed_difficulty"] = _mixed_difficulty
@@ -249,9 +249,9 @@ ORACLES["st_mixed_difficulty"] = (
     "w AS (SELECT sum((y.z - g.mean - m.z + t) ** 2 + (y.l - g.mean - m.l + t) ** 2 + (y.f - g.mean - m.f + t) ** 2 + (y.c - g.mean - m.c + t) ** 2) AS inside "
     "FROM y JOIN g ON g.q = y.q, (SELECT *, (z + l + f + c) / 4 AS t FROM m) m), a AS (SELECT 4 * sum((mean - base - slope * d) ** 2) AS among FROM g, b), "
     "v AS (SELECT inside / (3 * n) AS e, greatest(0, (among / n - inside / (3 * n)) / 4) AS u, (inside + among) / (4 * n) AS pooled FROM w, a, m) "
-    "SELECT 'lex' AS term, round(l - z, 4) AS estimate FROM m UNION ALL SELECT 'lf', round(f - z, 4) FROM m UNION ALL SELECT 'lex:lf', round(c - l - f + z, 4) FROM m "
-    "UNION ALL SELECT 'difficulty_num', round(slope, 4) FROM b UNION ALL SELECT 'Intercept', round(base + z - (z + l + f + c) / 4, 4) FROM b, m "
-    "UNION ALL SELECT 'group_variance', round(u, 4) FROM v UNION ALL SELECT 'residual_variance', round(CASE WHEN u > 0 THEN e ELSE pooled END, 4) FROM v"
+    "SELECT 'lex' AS term, round(l - z, 5) AS estimate FROM m UNION ALL SELECT 'lf', round(f - z, 5) FROM m UNION ALL SELECT 'lex:lf', round(c - l - f + z, 5) FROM m "
+    "UNION ALL SELECT 'difficulty_num', round(slope, 5) FROM b UNION ALL SELECT 'Intercept', round(base + z - (z + l + f + c) / 4, 5) FROM b, m "
+    "UNION ALL SELECT 'group_variance', round(u, 5) FROM v UNION ALL SELECT 'residual_variance', round(CASE WHEN u > 0 THEN e ELSE pooled END, 5) FROM v"
 )
 QUERIES["st_mixed_model"] = _mixed
 ORACLES["st_mixed_model"] = (
