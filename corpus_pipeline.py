@@ -40,17 +40,31 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that leak an item of the benchmark."""
+    """Without the documents that leak an item of the benchmark.
+
+    Null and empty texts leak nothing and stay; long texts are read whole; rows that repeat leak alike, so all of them go or
+    stay; a null doc_id is a document like others. Items without a word are nothing to leak. An empty table, or an
+    empty benchmark, leaves the documents as they are.
+    """
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources: a document comes as often as it is taken, 0 to 2 times."""
+    """The mix of sources: a document comes as often as it is taken, 0 to 2 times.
+
+    Null and empty texts have no words and come with their block, twice at most; long texts are taken whole or not at all; rows
+    that repeat are documents of their own; a null source is one source, and a null doc_id hashes as one value. An empty
+    table gives an empty one.
+    """
     return mixing.mix(docs).select(*docs.columns)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their place in eight shards of near equal bytes."""
+    """The documents, all columns, with their place in eight shards of near equal bytes.
+
+    A null text has no bytes but its row counts one; a long text is in one shard whole; rows that repeat have places of their own;
+    ties in order go by doc_id, nulls first. Columns that are named like those added are replaced. An empty table gives no rows.
+    """
     return sharding.shard(docs, shards=8, law="bytes")
 
 
