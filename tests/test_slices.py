@@ -53,7 +53,7 @@ def test_a_hot_case_is_in_several_tasks(spark, log):
     assert len(tasks) > 1 and max(r["count"] for r in tasks) < HOT
 
 
-@pytest.mark.parametrize("rows", [None, 1, 300])
+@pytest.mark.parametrize("rows", [None, 1, 300, 10**9])
 def test_variants(spark, log, rows):
     few = log.where("id >= 12000 and idcase is not null and activity is not null").union(log.where("id >= 12000 and id < 12040").withColumn("idcase", F.concat(F.lit("x"), F.col("id") % 8)))
     want = E.trace(few).groupBy(F.array_join("trace", ",").alias("variant")).agg(F.count("*").alias("cases"))

@@ -196,9 +196,11 @@ def fingerprints(log: DataFrame, case: str = "idcase", slice_rows: int | None =
 def variants(log: DataFrame, case: str = "idcase", slice_rows: int | None = None) -> DataFrame:
     """variant (activities joined by commas), cases.
 
-    Cases are grouped by fingerprint; only the first and the last case of each group are spelled out, and if these differ
-    the query fails rather than counting unlike cases together.
+    A small log's cases are spelled out at once. Those of a large one are grouped by fingerprint; only the first and the last
+    case of each group are spelled out, and if these differ the query fails rather than counting unlike cases together.
     """
+    if slice_rows is None and not slices.is_large(log):
+        return trace(log, case).groupBy(F.array_join("trace", ",").alias("variant")).agg(F.count("*").alias("cases"))
     groups = fingerprints(log, case, slice_rows).groupBy("length", "one", "two").agg(F.count("*").alias("cases"), F.min(case).alias("__first"), F.max(case).alias("__last"))
     ends = groups.select("length", "one", "two", "cases", F.explode(F.array_distinct(F.array("__first", "__last"))).alias("__end"))
     spelled = log.select(case, "timestamp", "id", "activity").join(ends, F.col(case).eqNullSafe(F.col("__end")))
