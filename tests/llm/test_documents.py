@@ -256,7 +256,9 @@ def decisions(decided):
     return {(r["doc_id"], k): k in r["kept"] for r in decided.collect() for k in range(r["n_lines"])}
 
 
-def test_lines_equal_brute_force(spark, small):
+@pytest.mark.parametrize("bits", [64, 10])
+def test_lines_equal_brute_force(spark, small, bits):
+    """Of 10 bits most lines share theirs with another, so that links come from the pass for such lines."""
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").limit(120)
     texts = sorted((r["doc_id"], r["text"]) for r in docs.collect())
     docs = spark.createDataFrame([*texts, (10**6, "A brand new line of words, fuzzy enough to count here\n\nA brand new line of words, fuzzy enough to count hers"), (10**6 + 1, None)], "doc_id long, text string")
@@ -287,7 +289,7 @@ def test_lines_equal_brute_force(spark, small):
     owner = {n: root(j) for n, j in order.items()}
     place = {j: first[n] for n, j in order.items()}
     want = {(i, k): not n or place[owner[n]] == (i, k) for i, k, n in every}
-    decided = lines.dedup_lines(docs)
+    decided = lines.dedup_lines(docs, bits=bits)
     assert decisions(decided) == want
     text = {r["doc_id"]: r["text"] for r in lines.rebuilt(docs, decided).collect()}
     assert text[10**6] == "A brand new line of words, fuzzy enough to count here\n" and text[10**6 + 1] is None
@@ -333,7 +335,7 @@ def test_small_buffers_and_one_id_with_two_texts(spark, monkeypatch):
     assert sorted(got) == [(7, 2, 1), (7, 2, 2), (8, 3, 1), (9, 1, 1)]
     assert {r["doc_id"]: r["kept"] for r in decided.where("doc_id > 7").collect()} == {8: [1, 2], 9: []}
     by_text = {r["text"]: r["text"].split("\n") for r in docs.collect()}
-    back = {r["text"] for r in lines.rebuilt(docs.withColumn("own", docs["text"]), decided).where("doc_id = 7").collect()}
+    back = {r["text"] for r in lines.rebuilt(docs.withColumn("__kept", docs["text"]).withColumn("hash", docs["doc_id"]), decided).where("doc_id = 7").collect()}
     assert back == {a, b} and len(by_text) == 4
 
 

@@ -20,8 +20,11 @@ joins that bring members to hubs and components back to documents are ones that
 
 Defined results: null text has no line; empty text has one, blank. A null doc_id sorts first, so its
 lines are kept before others. Rows that repeat a doc_id and its text keep the same lines; with other texts they are
-documents of their own. Lines are told apart by 128 bits; those that share the first 64 with another (of 10**9
-lines hardly one) are compared for equality only.
+documents of their own. A long line is hashed whole, in windows; a text is one Python object of a task. Of ties in place the least hash
+of the text owns a line. Columns other than doc_id and text don't matter, and rebuilt() keeps them. An empty table gives no rows.
+
+Lines are told apart by 128 bits. A line's node is its first 64; lines that share those with another, unlike line
+(some thousands of pairs in 10**11 lines) have the other 64 for a node, and a pass of their own over the texts makes their keys again.
 """
 
 from __future__ import annotations
@@ -58,10 +61,11 @@ def lines_in(text: bytes) -> list[bytes]:
     return [x.strip(b" ") for x in low.split(b"\n")]
 
 
-def hashes(lines: list[bytes]) -> np.ndarray:
-    """int64[n, 2]: the 128 bits by which lines are told apart."""
+def hashes(lines: list[bytes], bits: int = 64) -> np.ndarray:
+    """int64[n, 2]: the 128 bits by which lines are told apart; of the first 64 all but `bits` are 0."""
     raw = b"".join([xxhash.xxh3_128_digest(x) for x in lines])
-    return np.frombuffer(raw, dtype=np.int64).reshape(-1, 2)
+    found = np.frombuffer(raw, dtype=np.int64).reshape(-1, 2)
+    return found if bits == 64 else found & np.array([(1 << bits) - 1, -1])
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -164,7 +168,7 @@ LINES, PAIRS, MEMBERS, BLANKS = 0, 1, 2, 3
 _REDUCED = "h1 long, h2 long, has boolean, doc_id long, place int, hash long, clash boolean, key long, id long, hub long"
 
 
-def _shipped(docs: DataFrame, scheme: Scheme, parts: int) -> DataFrame:
+def _shipped(docs: DataFrame, scheme: Scheme, parts: int, bits: int) -> DataFrame:
     """part, kind, data: blocks of the records and keys of all lines, dealt to parts by h1 or key."""
 
     def blocks(kind: int, by: np.ndarray, rows: np.ndarray):
@@ -196,7 +200,7 @@ def _shipped(docs: DataFrame, scheme: Scheme, parts: int) -> DataFrame:
             found = [lines_in(text) for text in piece.column(2).to_pylist()]
             lines = [x for own in found for x in own]
             n = np.array([len(x) for x in found])
-            h = hashes(lines)
+            h = hashes(lines, bits)
             full = np.fromiter(map(bool, lines), dtype=bool, count=len(lines))
             record = np.zeros(len(lines), dtype=_RECORD)
             doc = piece.column(0)
@@ -268,7 +272,7 @@ def _reduced(blocks: DataFrame) -> DataFrame:
     return blocks.select("kind", "data").mapInArrow(run, _REDUCED)
 
 
-def _fetched(docs: DataFrame, wanted, scheme: Scheme) -> DataFrame:
+def _fetched(docs: DataFrame, wanted, scheme: Scheme, bits: int) -> DataFrame:
     """id, n, text of the lines whose h1 passes the bitmap; repeats within a piece are one."""
 
     def run(batches):
@@ -276,7 +280,7 @@ def _fetched(docs: DataFrame, wanted, scheme: Scheme) -> DataFrame:
             lines = dict.fromkeys(x for text in piece.column(2).to_pylist() for x in lines_in(text))
             lines.pop(b"", None)
             found = list(lines)
-            own = hashes(found)[:, 0]
+            own = hashes(found, bits)[:, 0]
             mask = passes(wanted.value, own)
             texts = [found[i] for i in np.flatnonzero(mask)]
             sizes = [_size(x.decode(), scheme.size) for x in texts]
@@ -290,51 +294,76 @@ def _size(line: str, size: int) -> int:
     return len({line[i : i + size] for i in range(len(line) - size + 1)}) or 1
 
 
-def components_of(docs: DataFrame, lines: DataFrame, members: DataFrame, scheme: Scheme, keep: Scratch) -> DataFrame:
-    """(node, component) of the lines, by h1, that are linked to others."""
+def _keyed_again(docs: DataFrame, wanted, scheme: Scheme, bits: int) -> DataFrame:
+    """h1, id (the other 64 bits), n, text, keys of the lines whose h1 passes the bitmap; repeats within a piece are one."""
+
+    def run(batches):
+        for piece, _ in slices(batches, "text"):
+            lines = dict.fromkeys(x for text in piece.column(2).to_pylist() for x in lines_in(text))
+            lines.pop(b"", None)
+            found = list(lines)
+            own = hashes(found, bits)
+            mask = passes(wanted.value, np.ascontiguousarray(own[:, 0]))
+            texts, own = [found[i] for i in np.flatnonzero(mask)], own[mask]
+            keys = [np.unique(_keys([x], own[i : i + 1, 0], scheme)[0]) for i, x in enumerate(texts)]
+            sizes = [_size(x.decode(), scheme.size) for x in texts]
+            columns = pa.array(own[:, 0]), pa.array(own[:, 1]), pa.array(sizes, pa.int64()), pa.array(texts, pa.binary()), pa.array(keys, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(list(columns), names=["h1", "id", "n", "text", "keys"])
+
+    return _texts(docs).mapInArrow(run, "h1 long, id long, n long, text binary, keys array<long>")
+
+
+def components_of(docs: DataFrame, clash: DataFrame, members: DataFrame, scheme: Scheme, keep: Scratch, bits: int) -> DataFrame:
+    """(node, component) of the lines that are linked to others; clash(id): each h1 of several lines."""
     context = docs.sparkSession.sparkContext
     found, inner = members.where("hub is not null"), members.where("hub is null")
-    clash = lines.where("clash").select(F.col("h1").alias("id")).distinct()
     hubs = found.groupBy("key").agg(F.min("hub").alias("hub"))
     buckets = found.select("key", "id", "hub").union(inner.select("key", "id").distinct().join(hubs, "key").select("key", "id", "hub"))
+    again = None
     if not clash.isEmpty():
-        buckets = buckets.join(clash, "id", "left_anti").select("key", "id")
-        buckets = buckets.join(buckets.groupBy("key").agg(F.min("id").alias("hub")), "key").select("key", "id", "hub")
+        again = _keyed_again(docs, context.broadcast(bitmap(clash, "id")), scheme, bits).join(clash.withColumnRenamed("id", "h1"), "h1", "left_semi")
+        again = keep.keep(again.dropDuplicates(["id"]), "again")
+        # the members hold all other lines of these keys: a key of lines of two h1s is one of several
+        buckets = buckets.join(clash, "id", "left_anti").select("key", "id").union(again.select(F.explode("keys").alias("key"), "id"))
+        hubs = buckets.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("k")).where("k > 1").drop("k")
+        buckets = buckets.join(hubs, "key").select("key", "id", "hub")
     buckets = keep.keep(buckets, "buckets")
-    sets = keep.keep(_fetched(docs, context.broadcast(bitmap(buckets, "id")), scheme).dropDuplicates(["id"]), "sets")
+    sets = _fetched(docs, context.broadcast(bitmap(buckets, "id")), scheme, bits).dropDuplicates(["id"])
+    if again is not None:
+        # what else the bitmap lets through under a clashing h1 is in no bucket
+        sets = sets.join(clash, "id", "left_anti").union(again.select("id", "n", "text"))
+    sets = keep.keep(sets, "sets")
     return linked(buckets, sets.select("id", "n"), sets.select("id", "text"), scheme, keep)
 
 
-def dedup_lines(docs: DataFrame, scheme: Scheme = SCHEME) -> DataFrame:
+def dedup_lines(docs: DataFrame, scheme: Scheme = SCHEME, bits: int = 64) -> DataFrame:
     """doc_id, hash (text_hash of the text), n_lines, kept, rows: the places of the lines that stay, from 0, in order; a row
-    for each different (doc_id, text) that isn't null, and how many rows of docs(doc_id, text) have it."""
+    for each different (doc_id, text) that isn't null, and how many rows of docs(doc_id, text) have it. By `bits` bits lines
+    are known until several share them; no number of them changes the result."""
     spark = docs.sparkSession
-    keep = Scratch(spark)
     docs = docs.select("doc_id", "text")
-    # the planner knows the size of files, of other frames it may say any number
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > 1 << 50:
-        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     # a line of 100 bytes or more has 16 keys of 16 bytes and a record of 37
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-3 * size // BYTES_A_TASK))
-    found = keep.keep(_reduced(_shipped(docs, scheme, 4 * tasks).repartition(tasks, "part")), "lines")
-    lines = found.where("h1 is not null").select("h1", "h2", "has", "doc_id", "place", "hash", "clash")
-    members = found.where("key is not null").select("key", "id", "hub")
-    labels = components_of(docs, lines, members, scheme, keep).withColumnRenamed("node", "h1")
-    labels = keep.keep(labels, "labels")
-    spot = ["has", "doc_id", "place", "hash"]
-    in_parts = bitmap(labels, "h1")
-    mapped = keep.keep(sifted(lines.select("h1", *spot), "h1", in_parts).join(labels, "h1"), "mapped")
-    owners = mapped.groupBy("component").agg(F.min(F.struct(*spot)).alias("o")).select("o.*")
-    alone = _alone(lines, in_parts, labels)
-    blanks = found.where("h1 is null and key is null").select(*spot)
-    stay = alone.select(*spot).union(owners.select(*spot)).union(blanks)
-    mine = F.collect_list(F.when(F.col("place") >= 0, F.col("place")))
-    out = stay.groupBy("doc_id", "hash").agg((-F.min("place")).alias("n_lines"), F.array_sort(mine).alias("kept"), F.count_if(F.col("place") < 0).alias("rows"))
-    # a blank line comes once for each row that has it
-    out = checkpointed(out.withColumn("kept", F.array_distinct("kept")))
-    keep.clear()
-    return out
+    with Scratch(spark) as keep:
+        found = keep.keep(_reduced(_shipped(docs, scheme, 4 * tasks, bits).repartition(tasks, "part")), "lines")
+        clash = found.where("clash").select(F.col("h1").alias("id")).distinct()
+        node = F.when(F.col("clash"), F.col("h2")).otherwise(F.col("h1")).alias("h1")
+        spot = ["has", "doc_id", "place", "hash"]
+        lines = found.where("h1 is not null").select(node, *spot)
+        members = found.where("key is not null").select("key", "id", "hub")
+        labels = components_of(docs, clash, members, scheme, keep, bits).withColumnRenamed("node", "h1")
+        labels = keep.keep(labels, "labels")
+        in_parts = bitmap(labels, "h1")
+        mapped = keep.keep(sifted(lines, "h1", in_parts).join(labels, "h1"), "mapped")
+        owners = mapped.groupBy("component").agg(F.min(F.struct(*spot)).alias("o")).select("o.*")
+        alone = _alone(lines, in_parts, labels)
+        blanks = found.where("h1 is null and key is null").select(*spot)
+        stay = alone.select(*spot).union(owners.select(*spot)).union(blanks)
+        mine = F.collect_list(F.when(F.col("place") >= 0, F.col("place")))
+        out = stay.groupBy("doc_id", "hash").agg((-F.min("place")).alias("n_lines"), F.array_sort(mine).alias("kept"), F.count_if(F.col("place") < 0).alias("rows"))
+        # a blank line comes once for each row that has it
+        return checkpointed(out.withColumn("kept", F.array_distinct("kept")))
 
 
 def _alone(lines: DataFrame, in_parts: np.ndarray, labels: DataFrame) -> DataFrame:
@@ -350,7 +379,8 @@ def _alone(lines: DataFrame, in_parts: np.ndarray, labels: DataFrame) -> DataFra
 
 def rebuilt(docs: DataFrame, decided: DataFrame) -> DataFrame:
     """docs, all columns, their text without the lines that go."""
-    kept = decided.select(F.col("doc_id").alias("__doc"), F.col("hash").alias("__hash"), F.col("kept").alias("__kept"))
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__doc")) & (text_hash(docs["text"]) == F.col("__hash")), "left")
-    lines = F.filter(F.split("text", "\n"), lambda x, i: F.array_contains("__kept", i))
+    own = "_" * (1 + max(map(len, docs.columns)))  # no column of docs begins so
+    kept = decided.select(*[F.col(c).alias(own + c) for c in ("doc_id", "hash", "kept")])
+    out = docs.join(kept, docs["doc_id"].eqNullSafe(F.col(own + "doc_id")) & (text_hash(docs["text"]) == F.col(own + "hash")), "left")
+    lines = F.filter(F.split("text", "\n"), lambda x, i: F.array_contains(own + "kept", i))
     return out.withColumn("text", F.array_join(lines, "\n")).select(*docs.columns)
