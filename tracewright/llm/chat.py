@@ -14,7 +14,9 @@ is the least mismatch, a partial aggregate.
 Defined results: turns are compared by role and text; null is a value of its own in the comparison and
 renders as empty. A turn number with several different rows has them in order of role and text (nth);
 rows repeated exactly count once. A null turn comes last. A pair with one side only has an empty prompt.
-Marks inside texts are broken by a space, so that they can't end a turn.
+Marks inside texts are broken by a space, so that they can't end a turn. Texts are rendered whole, however long; empty ones as
+turns without words. Turns that tie in number are told apart by nth. Columns other than the five of a turn don't matter. An
+empty table gives no rows.
 """
 
 from __future__ import annotations

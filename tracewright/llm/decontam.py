@@ -23,7 +23,9 @@ have a place in the vectors, so the vocabulary is bounded by the benchmark.
 
 Defined results: one row for each row of documents and item that it leaks. Null or empty texts leak
 nothing, nor do items without words match. A null doc_id is carried as it is. Without items or without
-documents the result is empty.
+documents the result is empty. Long texts are searched in windows from end to end. Items that repeat exactly (item_id and text) count once,
+and rows of documents that repeat give a row each. Of windows of one document and item that tie the first that was found gives the cosine.
+Columns other than doc_id, text and item_id don't matter; clean() keeps those of documents, whatever their names.
 """
 
 from __future__ import annotations

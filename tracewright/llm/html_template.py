@@ -32,7 +32,9 @@ copies of one page), have no template: tags, roles and names decide there, and b
 
 Defined results: null html and pages without main text give an empty string. Pages of a null url are
 one host. Unclosed and stray tags are closed or skipped as HTML has it. Rows that repeat come back as often as
-they came; equal pages of a host count once for its template.
+they came; equal pages of a host count once for its template. Long pages are read whole, as one Python object of a task. Slots that
+tie for the largest new text go by their number, crossing classes of equal size by theirs. Columns other than page_id, url and
+html don't matter and aren't returned. An empty table gives no rows.
 """
 
 from __future__ import annotations

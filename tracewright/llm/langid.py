@@ -7,6 +7,11 @@ landmark texts gives the Nyström map K_mm^(-1/2) k_m(x); one-versus-rest ridge
 fitted to 0/1 targets. The kernel is an inner product of presence vectors, so landmarks, Nyström map
 and ridge weights multiply out to one matrix of bucket x language, and a batch of whole texts is
 scored by the product of its (sparse) presence matrix with that one.
+
+Defined results: texts that are null, empty or without a letter are `und` with score 0, as all are where no row is labelled. Null
+languages and texts teach nothing, nor does a row of null doc_id, whose fold isn't known. Long texts are hashed whole, in windows.
+Ties go to the language first by code point. Rows that repeat are predicted alike and come back as often as they came; in the
+sample they count as often as they are drawn. Columns named lang_pred or score are replaced, others kept. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -23,7 +23,8 @@ confirmed on the full sets, recomputed from the whole texts.
 Defined results: null or empty text, or text of white space, has 0 shingles and is its own component.
 A null doc_id isn't linked: its component_id is null and it is kept. Rows that repeat a doc_id with
 the same text come back as often as they came; with other texts they are documents of their own, each
-linked by its own set. Other columns of the input don't matter.
+linked by its own set. Other columns of the input don't matter. Long texts are hashed whole, to sets of as many shingles as they
+have. Ties in doc_id as to which stays are of one id, so component_id is the same for all. An empty table gives no rows.
 """
 
 from __future__ import annotations

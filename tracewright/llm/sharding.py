@@ -13,7 +13,8 @@ the whole order, from which its shard and its slot follow:
 
 Defined results: null text counts as empty; a record's size is its UTF-8 bytes plus 1, so it is never
 0. A null doc_id sorts first. Rows that repeat are records of their own. Columns of the input named
-like those that are added are replaced. An empty table gives an empty result.
+like those that are added are replaced, as are __h, __d and __r. A long text stays whole in one shard; ties in key go
+by doc_id, and rows of equal text and doc_id come in any order. An empty table gives an empty result.
 """
 
 from __future__ import annotations

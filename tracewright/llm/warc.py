@@ -13,7 +13,9 @@ archive, or is skipped if the next member can be found.
 
 Defined results: null html is an empty payload. A null url leaves WARC-Target-URI out. Rows that repeat
 a page_id with the same payload are all responses if theirs is the largest id. A null page_id is
-written as an id of its own kind and comes back as null; it is never referred to.
+written as an id of its own kind and comes back as null; it is never referred to. Long payloads are one record each, inflated
+in steps but held whole by the task that digests them. Columns other than page_id, url and html aren't archived. An empty table
+writes no archive and reads no record.
 """
 
 from __future__ import annotations
