@@ -45,7 +45,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Scratch, checkpointed, slices
@@ -366,8 +365,9 @@ def _roles(tokens: DataFrame, templates: DataFrame, keep: Scratch) -> DataFrame:
     rows = _with(tokens.select("host", "numbers", "sizes", "linked", "texts"), templates).where("tokens_of is not null")
     rows = rows.select("host", "numbers", "sizes", "linked", "texts", *_GATHERED).mapInArrow(run, "host long, slot long, text long, n long, chars long, linked long, region long")
     texts = rows.groupBy("host", "slot", "text").agg(F.sum("n").alias("n"), F.max("chars").alias("chars"), F.max("linked").alias("linked"), F.max("region").alias("region"))
-    # what is left of a text is a row for each host and slot
-    texts = texts.withColumn("everywhere", F.sum("n").over(W.partitionBy("text")))
+    # what is left of a text is a row for each host and slot; a notice of all hosts has as many, which a join splits
+    texts = keep.keep(texts, "texts")
+    texts = texts.join(texts.groupBy("text").agg(F.sum("n").alias("everywhere")), "text")
     slots = keep.keep(texts.groupBy("host", "slot").agg(
         F.sum(F.col("n") * F.col("chars")).alias("all"), F.sum(F.col("n") * F.col("chars") / F.col("everywhere")).alias("new"), F.sum(F.col("n") * F.col("linked")).alias("linked"), F.max("region").alias("region")
     ), "slots")
@@ -386,16 +386,14 @@ def _roles(tokens: DataFrame, templates: DataFrame, keep: Scratch) -> DataFrame:
 
 def templates(pages: DataFrame) -> DataFrame:
     """__host, tokens_of, class_of, numbers_of, times_of, slots_of, roles_of, region: the template of each host of pages(page_id, url, html) that has one."""
-    keep = Scratch(pages.sparkSession)
-    # equal pages of a host count once; their tokens are as long as a page's tags, so these rows may meet
-    tokens = keep.keep(_read(pages).dropDuplicates(["host", "page"]), "tokens")
-    sizes = tokens.groupBy("host").agg(F.count("*").alias("all"))
-    candidates = keep.keep(_several(_with_roles(_classes(tokens, sizes))), "classes")
-    gathered = keep.keep(_gathered(_several(_valid(tokens, candidates, keep))), "valid")
-    roles = _roles(tokens, gathered, keep)
-    out = checkpointed(gathered.join(roles, "__host").where("not copies").drop("copies"))
-    keep.clear()
-    return out
+    with Scratch(pages.sparkSession) as keep:
+        # equal pages of a host count once; their tokens are as long as a page's tags, so these rows may meet
+        tokens = keep.keep(_read(pages).dropDuplicates(["host", "page"]), "tokens")
+        sizes = tokens.groupBy("host").agg(F.count("*").alias("all"))
+        candidates = keep.keep(_several(_with_roles(_classes(tokens, sizes))), "classes")
+        gathered = keep.keep(_gathered(_several(_valid(tokens, candidates, keep))), "valid")
+        roles = _roles(tokens, gathered, keep)
+        return checkpointed(gathered.join(roles, "__host").where("not copies").drop("copies"))
 
 
 def _several(classes: DataFrame) -> DataFrame:
