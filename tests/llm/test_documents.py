@@ -604,3 +604,51 @@ def test_audio_of_other_makers():
     ours[at + 8] ^= 1
     assert mpeg.parse(bytes(ours)).bad == 1
     assert mpeg.parse(None).offsets == [] and mpeg.parse(b"ID3").offsets == []
+
+
+def test_lines_that_differ_too_much_are_told_by_their_signs(spark, monkeypatch):
+    """Variants of a line that share bands but no link: hardly a pair of them comes to the test on whole lines."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(400)]
+    texts = []
+    for _ in range(150):
+        line = words[:40]
+        for j in rng.sample(range(40), 2):
+            line[j] = rng.choice(words)
+        texts.append(" ".join(line))
+    texts += [texts[3][1:], texts[7] + "x"]
+    tested, confirmed = [], minhash._confirmed
+    monkeypatch.setattr(minhash, "_confirmed", lambda pairs, *rest: tested.append(pairs.count()) or confirmed(pairs, *rest))
+    out = lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {r["doc_id"] for r in out.collect() if r["kept"]}
+    sets = [{t[i : i + 8] for i in range(len(t) - 7)} for t in texts]
+    linked = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    near = list(range(len(sets)))
+    for i, s in enumerate(sets):
+        for j in range(i):
+            if linked(s, sets[j]):
+                near = [min(near[i], near[j]) if x in (near[i], near[j]) else x for x in near]
+    assert got == set(near) and len(got) > 40
+    assert sum(tested) < 2000, tested
+
+
+def test_signs_count_shingles_and_lose_no_link():
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("ab é", k=rng.choice((3, 8, 30, 300)))) for _ in range(300)] + ["abcdefgh" * 9000, "abcdefgh" * 9000 + "x"]
+    n, sign = lines.signs([t.encode() for t in texts], lines.SCHEME)
+    sets = [{t[i : i + 8] for i in range(len(t) - 7)} or {t} for t in texts]
+    assert n.tolist() == list(map(len, sets))
+    long = [i for i, t in enumerate(texts) if len(t) >= 8]
+    for i in long:
+        for j in long:
+            assert np.unpackbits((sign[i] ^ sign[j]).view(np.uint8)).sum() <= len(sets[i] ^ sets[j])
+
+
+def test_a_pair_of_lines_is_shipped_and_stored_once_a_key(spark):
+    """13 bytes for a key and its line, and one row for a key that two lines have."""
+    docs = spark.createDataFrame([(0, "A line of words, long enough to be told by its bands and shingles"), (1, "A line of words, long enough to be told by its bands and shingles!")], "doc_id long, text string")
+    blocks = lines._shipped(docs, lines.SCHEME, 8, 64)
+    sizes = [len(r["data"]) for r in blocks.where(f"kind = {lines.PAIRS}").collect()]
+    assert sizes and all(n % 13 == 0 for n in sizes)
+    several = lines._reduced(blocks.repartition(2, "part")).where("key is not null").collect()
+    assert several and len(several) == len({r["key"] for r in several}) and {r["k"] for r in several} == {2}

@@ -10,11 +10,11 @@ probability 1 - (1 - 0.8**4)**16 = 0.9998, of 0.85 and more with 0.99999. Lines
 shingles take an exact way: two that are linked share one of their n - ceil(0.8 n) + 1 shingles of least hash.
 
 Nearly no line has a partner, so no line is stored or shuffled. One pass over the texts ships a record of each
-line, its hashes and place, by which exact copies are one; and its keys, 16 bytes each, by which a task finds
+line, its hashes and place, by which exact copies are one; and its keys, 13 bytes each, by which a task finds
 those that several lines have. A second pass fetches the few lines that have such a key.
 Links are confirmed on whole lines and united as in minhash.py.
 
-Hot lines and keys: copies within a piece are one line. A key goes out twice at most from a buffer of BUFFER
+Hot lines and keys: copies within a piece are one line. A key goes out three times at most from a buffer of BUFFER
 keys, however many lines of it have the key; the others go out as members of their bucket, to any task. The
 joins that bring members to hubs and components back to documents are ones that Spark splits.
 
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .bitmap import bitmap, passes, sifted
 from .common import Scratch, checkpointed, slices
-from .minhash import Scheme, _mix, band_keys_of, least_of, linked, packed, rolled, text_hash
+from .minhash import SIGN, Scheme, _mix, band_keys_of, least_of, linked, packed, rolled, text_hash
 
 SCHEME = Scheme(size=8, unit="chars", layers=2, bits=5, small=24)
 #: Code points that are hashed at once: what a core's cache holds. Longer lines are cut into overlapping parts for it.
@@ -135,6 +135,34 @@ def _keys(lines: list[bytes], own: np.ndarray, scheme: Scheme) -> tuple[np.ndarr
     return np.concatenate([keys[filled], *exact]), np.concatenate([np.repeat(own[long], filled.sum(1)), np.repeat(own[short], [len(k) for k in exact]).astype(np.int64)])
 
 
+#: Bits of a key besides the part it is dealt to.
+_LOW = 40
+
+
+def _dealt(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Keys by the part they are dealt to and _LOW bits. Different keys that become one make a bucket of lines that are then told apart."""
+    x = keys.view(np.uint64)
+    return (_mix(x) % _U(parts) << _U(_LOW) | x & _U((1 << _LOW) - 1)).view(np.int64)
+
+
+#: What is shipped of a key and its line; the part is known where it arrives.
+_PAIR = np.dtype([("key", "u1", _LOW // 8), ("h1", "<i8")])
+
+
+def _paired(key: np.ndarray, own: np.ndarray) -> np.ndarray:
+    out = np.empty(len(key), dtype=_PAIR)
+    out["key"] = np.ascontiguousarray(key, dtype="<i8").view(np.uint8).reshape(-1, 8)[:, : _LOW // 8]
+    out["h1"] = own
+    return out
+
+
+def _unpaired(data: bytes, part: int) -> tuple[np.ndarray, np.ndarray]:
+    pairs = np.frombuffer(data, dtype=_PAIR)
+    key = np.zeros((len(pairs), 8), dtype=np.uint8)
+    key[:, : _LOW // 8] = pairs["key"]
+    return key.view("<i8")[:, 0] | np.int64(part << _LOW), pairs["h1"]
+
+
 def _runs(values: np.ndarray) -> np.ndarray:
     """Where a run of equal values begins."""
     return np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.empty(0, dtype=np.intp)
@@ -163,16 +191,16 @@ def _buckets(key: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 #: Kinds of blocks: records of lines; of blank lines, and one for each row with minus the number of its lines as place;
-#: pairs (key, h1); and pairs that are known to be in a bucket of several.
+#: _PAIRs; and pairs (key, h1) that are known to be in a bucket of several.
 LINES, PAIRS, MEMBERS, BLANKS = 0, 1, 2, 3
-_REDUCED = "h1 long, h2 long, has boolean, doc_id long, place int, hash long, clash boolean, key long, id long, hub long"
+_REDUCED = "h1 long, h2 long, has boolean, doc_id long, place int, hash long, clash boolean, key long, id long, hub long, k int"
 
 
 def _shipped(docs: DataFrame, scheme: Scheme, parts: int, bits: int) -> DataFrame:
     """part, kind, data: blocks of the records and keys of all lines, dealt to parts by h1 or key."""
 
     def blocks(kind: int, by: np.ndarray, rows: np.ndarray):
-        part = _mix(by.view(np.uint64)) % _U(parts)
+        part = by.view(np.uint64) >> _U(_LOW) if kind == PAIRS else _mix(by.view(np.uint64)) % _U(parts)
         order = np.argsort(part, kind="stable")
         rows, ends = rows[order], np.searchsorted(part[order], np.arange(parts + 1).astype(np.uint64))
         there = np.flatnonzero(np.diff(ends))
@@ -186,12 +214,14 @@ def _shipped(docs: DataFrame, scheme: Scheme, parts: int, bits: int) -> DataFram
         yield from blocks(BLANKS, np.ascontiguousarray(blanks["hash"]), blanks)
         records = _least_records(np.concatenate(records))
         yield from blocks(LINES, np.ascontiguousarray(records["h1"]), records)
-        key, own, run, starts = _buckets(np.concatenate(keys), np.concatenate(owners))
+        key, own, run, starts = _buckets(_dealt(np.concatenate(keys), parts), np.concatenate(owners))
         ends = np.r_[starts[1:], len(key)][: len(starts)] - 1
-        # of each key its least and its greatest line meet others; those between are members at any rate
+        # of each key its least and its greatest line meet others; those between are members at any rate, and the first of
+        # them goes along, so that the key is seen to have more than two
         outer = np.zeros(len(key), dtype=bool)
         outer[starts] = outer[ends] = True
-        yield from blocks(PAIRS, key[outer], np.stack([key[outer], own[outer]], axis=1))
+        outer[starts[ends > starts + 1] + 1] = True
+        yield from blocks(PAIRS, key[outer], _paired(key[outer], own[outer]))
         yield from blocks(MEMBERS, own[~outer], np.stack([key[~outer], own[~outer]], axis=1))
 
     def run(batches):
@@ -231,49 +261,62 @@ def _shipped(docs: DataFrame, scheme: Scheme, parts: int, bits: int) -> DataFram
 
 def _reduced(blocks: DataFrame) -> DataFrame:
     """The different lines, with clash where others share their h1 (key is null); blank lines and numbers of lines (h1 and
-    key are null); the buckets of several lines: key, id (an h1), hub, the least of them, which is null for those
-    members of whom only that is known."""
+    key are null); the buckets of several lines: key, id (an h1), hub, the least of them, and k, 2 where the key has two lines
+    (then the hub has no row) or more; hub and k are null for those members of whom only that is known."""
     names = [x.split()[0] for x in _REDUCED.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
 
     def batches_of(columns: dict, n: int):
         for at in range(0, n, 1 << 18):
             yield pa.RecordBatch.from_arrays([columns[c][at : at + (1 << 18)] if c in columns else pa.nulls(min(n - at, 1 << 18), k) for c, k in zip(names, kinds, strict=True)], names=names)
 
     def run(batches):
-        held: dict[int, list] = {LINES: [], PAIRS: []}
+        records, pairs = [], [(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))]
 
         def placed(records):
             columns = {c: pa.array(np.ascontiguousarray(records[c])) for c in ("place", "hash")}
             return columns | {"has": pa.array(records["has"].astype(bool)), "doc_id": pa.array(np.ascontiguousarray(records["doc_id"]), mask=records["has"] == 0)}
 
         for b in batches:
-            for kind, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for part, kind, data in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 if kind == MEMBERS:
                     key, own = np.frombuffer(data, dtype=np.int64).reshape(-1, 2).T
                     yield from batches_of({"key": pa.array(key), "id": pa.array(own)}, len(key))
                 elif kind == BLANKS:
                     blanks = np.frombuffer(data, dtype=_RECORD)
                     yield from batches_of(placed(blanks), len(blanks))
+                elif kind == PAIRS:
+                    pairs.append(_unpaired(data, part))
                 else:
-                    held[kind].append(data)
-        records = _least_records(np.frombuffer(b"".join(held.pop(LINES)), dtype=_RECORD))
+                    records.append(data)
+        records = _least_records(np.frombuffer(b"".join(records), dtype=_RECORD))
         if len(records):
             h1 = records["h1"]
             same = h1[1:] == h1[:-1]
             own = {"h1": pa.array(np.ascontiguousarray(h1)), "h2": pa.array(np.ascontiguousarray(records["h2"])), "clash": pa.array(np.r_[False, same] | np.r_[same, False])}
             yield from batches_of(placed(records) | own, len(records))
-        pairs = np.frombuffer(b"".join(held.pop(PAIRS)), dtype=np.int64).reshape(-1, 2)
-        key, own, run_, starts = _buckets(pairs[:, 0], pairs[:, 1])
+        key, own, run_, starts = _buckets(*map(np.concatenate, zip(*pairs, strict=True)))
         if len(key):
-            several = np.bincount(run_)[run_] > 1
-            yield from batches_of({"key": pa.array(key[several]), "id": pa.array(own[several]), "hub": pa.array(own[starts][run_[several]])}, int(several.sum()))
+            k, hub = np.bincount(run_)[run_], own[starts][run_]
+            there = (k > 2) | ((k == 2) & (own != hub))
+            bucket = {"key": key[there], "id": own[there], "hub": hub[there], "k": k[there].astype(np.int32)}
+            yield from batches_of({c: pa.array(x) for c, x in bucket.items()}, int(there.sum()))
+
+    return blocks.select("part", "kind", "data").mapInArrow(run, _REDUCED)
 
-    return blocks.select("kind", "data").mapInArrow(run, _REDUCED)
+
+_SIGNED = "id long, n long, sign array<long>, text binary"
+
+
+def _signed_columns(lines: list[bytes], scheme: Scheme) -> list[pa.Array]:
+    """n, sign, text of lines, as _SIGNED has them."""
+    n, sign = signs(lines, scheme)
+    width = SIGN // 64
+    return [pa.array(n), pa.ListArray.from_arrays(np.arange(0, len(lines) * width + 1, width, dtype=np.int32), sign.ravel()), pa.array(lines, pa.binary())]
 
 
 def _fetched(docs: DataFrame, wanted, scheme: Scheme, bits: int) -> DataFrame:
-    """id, n, text of the lines whose h1 passes the bitmap; repeats within a piece are one."""
+    """id, n, sign, text of the lines whose h1 passes the bitmap; repeats within a piece are one."""
 
     def run(batches):
         for piece, _ in slices(batches, "text"):
@@ -282,20 +325,43 @@ def _fetched(docs: DataFrame, wanted, scheme: Scheme, bits: int) -> DataFrame:
             found = list(lines)
             own = hashes(found, bits)[:, 0]
             mask = passes(wanted.value, own)
-            texts = [found[i] for i in np.flatnonzero(mask)]
-            sizes = [_size(x.decode(), scheme.size) for x in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(own[mask]), pa.array(sizes, pa.int64()), pa.array(texts, pa.binary())], names=["id", "n", "text"])
+            columns = _signed_columns([found[i] for i in np.flatnonzero(mask)], scheme)
+            yield pa.RecordBatch.from_arrays([pa.array(own[mask]), *columns], names=["id", "n", "sign", "text"])
 
-    return _texts(docs).mapInArrow(run, "id long, n long, text binary")
+    return _texts(docs).mapInArrow(run, _SIGNED)
 
 
-def _size(line: str, size: int) -> int:
-    """How many different shingles a line has."""
-    return len({line[i : i + size] for i in range(len(line) - size + 1)}) or 1
+def _parity(places: np.ndarray, n: int) -> np.ndarray:
+    """int64[n, SIGN // 64]: the bits that occur an odd number of times in places, SIGN of them for each of n."""
+    odd = (np.bincount(places, minlength=n * SIGN) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(n, SIGN), axis=1).view(np.int64)
 
 
-def _keyed_again(docs: DataFrame, wanted, scheme: Scheme, bits: int) -> DataFrame:
-    """h1, id (the other 64 bits), n, text, keys of the lines whose h1 passes the bitmap; repeats within a piece are one."""
+def signs(lines: list[bytes], scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
+    """How many different shingles each line has; and its sign (minhash.can_be_linked), of zeros if it is shorter than a shingle."""
+    texts = [x.decode() for x in lines]
+    n, sign = np.ones(len(lines), dtype=np.int64), np.zeros((len(lines), SIGN // 64), dtype=np.int64)
+    usual = np.array([k for k, x in enumerate(texts) if scheme.size <= len(x) <= WINDOW], dtype=np.intp)
+    # lines in several windows, or with a shingle that may repeat, are taken one by one
+    apart = [k for k, x in enumerate(texts) if len(x) > WINDOW]
+    top = _U(64 - SIGN.bit_length() + 1)
+    for own, h in _windows([texts[k] for k in usual], scheme.size):
+        at = own - own[0]
+        some = usual[own[0] : own[-1] + 1]
+        n[some] = np.bincount(at)
+        sign[some] = _parity(at * SIGN + (h >> top).astype(np.intp), len(some))
+        shift = _U(len(some).bit_length())
+        tagged = np.sort((at.astype(np.uint64) << (_U(64) - shift)) | (h >> shift))
+        again = tagged[1:][tagged[1:] == tagged[:-1]] >> (_U(64) - shift)
+        apart += some[np.unique(again).astype(np.intp)].tolist()
+    for k in apart:
+        held = scheme.shingles(lines[k])
+        n[k], sign[k] = len(held), _parity((held >> top).astype(np.intp), 1)[0]
+    return n, sign
+
+
+def _keyed_again(docs: DataFrame, wanted, scheme: Scheme, parts: int, bits: int) -> DataFrame:
+    """h1, id (the other 64 bits), n, sign, text, keys of the lines whose h1 passes the bitmap; repeats within a piece are one."""
 
     def run(batches):
         for piece, _ in slices(batches, "text"):
@@ -305,35 +371,36 @@ def _keyed_again(docs: DataFrame, wanted, scheme: Scheme, bits: int) -> DataFram
             own = hashes(found, bits)
             mask = passes(wanted.value, np.ascontiguousarray(own[:, 0]))
             texts, own = [found[i] for i in np.flatnonzero(mask)], own[mask]
-            keys = [np.unique(_keys([x], own[i : i + 1, 0], scheme)[0]) for i, x in enumerate(texts)]
-            sizes = [_size(x.decode(), scheme.size) for x in texts]
-            columns = pa.array(own[:, 0]), pa.array(own[:, 1]), pa.array(sizes, pa.int64()), pa.array(texts, pa.binary()), pa.array(keys, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays(list(columns), names=["h1", "id", "n", "text", "keys"])
+            keys = [np.unique(_dealt(_keys([x], own[i : i + 1, 0], scheme)[0], parts)) for i, x in enumerate(texts)]
+            columns = pa.array(own[:, 0]), pa.array(own[:, 1]), *_signed_columns(texts, scheme), pa.array(keys, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(list(columns), names=["h1", "id", "n", "sign", "text", "keys"])
 
-    return _texts(docs).mapInArrow(run, "h1 long, id long, n long, text binary, keys array<long>")
+    return _texts(docs).mapInArrow(run, f"h1 long, {_SIGNED}, keys array<long>")
 
 
-def components_of(docs: DataFrame, clash: DataFrame, members: DataFrame, scheme: Scheme, keep: Scratch, bits: int) -> DataFrame:
+def components_of(docs: DataFrame, clash: DataFrame, members: DataFrame, scheme: Scheme, keep: Scratch, parts: int, bits: int) -> DataFrame:
     """(node, component) of the lines that are linked to others; clash(id): each h1 of several lines."""
     context = docs.sparkSession.sparkContext
     found, inner = members.where("hub is not null"), members.where("hub is null")
-    hubs = found.groupBy("key").agg(F.min("hub").alias("hub"))
-    buckets = found.select("key", "id", "hub").union(inner.select("key", "id").distinct().join(hubs, "key").select("key", "id", "hub"))
+    hubs = found.where("k > 2").groupBy("key").agg(F.min("hub").alias("hub"), F.max("k").alias("k"))
+    buckets = found.select("key", "id", "hub", "k").union(inner.select("key", "id").distinct().join(hubs, "key").select("key", "id", "hub", "k"))
     again = None
     if not clash.isEmpty():
-        again = _keyed_again(docs, context.broadcast(bitmap(clash, "id")), scheme, bits).join(clash.withColumnRenamed("id", "h1"), "h1", "left_semi")
+        again = _keyed_again(docs, context.broadcast(bitmap(clash, "id")), scheme, parts, bits).join(clash.withColumnRenamed("id", "h1"), "h1", "left_semi")
         again = keep.keep(again.dropDuplicates(["id"]), "again")
         # the members hold all other lines of these keys: a key of lines of two h1s is one of several
-        buckets = buckets.join(clash, "id", "left_anti").select("key", "id").union(again.select(F.explode("keys").alias("key"), "id"))
-        hubs = buckets.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("k")).where("k > 1").drop("k")
-        buckets = buckets.join(hubs, "key").select("key", "id", "hub")
+        each = buckets.select("key", "id").union(found.where("k = 2").select("key", F.col("hub").alias("id")))
+        buckets = each.join(clash, "id", "left_anti").select("key", "id").union(again.select(F.explode("keys").alias("key"), "id"))
+        hubs = buckets.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").cast("int").alias("k")).where("k > 1")
+        buckets = buckets.join(hubs, "key").select("key", "id", "hub", "k")
     buckets = keep.keep(buckets, "buckets")
-    sets = _fetched(docs, context.broadcast(bitmap(buckets, "id")), scheme, bits).dropDuplicates(["id"])
+    every = buckets.select("id").union(buckets.where("k = 2").select("hub"))
+    sets = _fetched(docs, context.broadcast(bitmap(every, "id")), scheme, bits).dropDuplicates(["id"])
     if again is not None:
         # what else the bitmap lets through under a clashing h1 is in no bucket
-        sets = sets.join(clash, "id", "left_anti").union(again.select("id", "n", "text"))
+        sets = sets.join(clash, "id", "left_anti").union(again.select("id", "n", "sign", "text"))
     sets = keep.keep(sets, "sets")
-    return linked(buckets, sets.select("id", "n"), sets.select("id", "text"), scheme, keep)
+    return linked(buckets, sets.select("id", "n", "sign"), sets.select("id", "sign", "text"), scheme, keep)
 
 
 def dedup_lines(docs: DataFrame, scheme: Scheme = SCHEME, bits: int = 64) -> DataFrame:
@@ -343,16 +410,17 @@ def dedup_lines(docs: DataFrame, scheme: Scheme = SCHEME, bits: int = 64) -> Dat
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    # a line of 100 bytes or more has 16 keys of 16 bytes and a record of 37
+    # a line of 100 bytes or more has 16 keys, 16 bytes each while they are sorted, and a record of 37
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-3 * size // BYTES_A_TASK))
     with Scratch(spark) as keep:
-        found = keep.keep(_reduced(_shipped(docs, scheme, 4 * tasks, bits).repartition(tasks, "part")), "lines")
+        parts = 4 * tasks
+        found = keep.keep(_reduced(_shipped(docs, scheme, parts, bits).repartition(tasks, "part")), "lines")
         clash = found.where("clash").select(F.col("h1").alias("id")).distinct()
         node = F.when(F.col("clash"), F.col("h2")).otherwise(F.col("h1")).alias("h1")
         spot = ["has", "doc_id", "place", "hash"]
         lines = found.where("h1 is not null").select(node, *spot)
-        members = found.where("key is not null").select("key", "id", "hub")
-        labels = components_of(docs, clash, members, scheme, keep, bits).withColumnRenamed("node", "h1")
+        members = found.where("key is not null").select("key", "id", "hub", "k")
+        labels = components_of(docs, clash, members, scheme, keep, parts, bits).withColumnRenamed("node", "h1")
         labels = keep.keep(labels, "labels")
         in_parts = bitmap(labels, "h1")
         mapped = keep.keep(sifted(lines, "h1", in_parts).join(labels, "h1"), "mapped")

@@ -14,9 +14,10 @@ would stay empty, take an exact way: the rarest shingles, as many as any link mu
 filter in the order of hashed counts). Sets from percent * small up do both, so that no pair falls between.
 Equal sets are one node, known by their fingerprint, before any of this.
 
-Links. A bucket of k members is never expanded into its pairs. Members first meet the bucket's hub, then the
+Links. A bucket of two is a pair; one of more members is never expanded into its pairs. Members first meet the bucket's hub, then the
 member that is nearest to it; confirmed links are merged by distributed union-find; what can still be linked lies between members of
-buckets with several components, and an exact positional prefix join finds it. Registers give a
+buckets with several components, and an exact positional prefix join finds it. Signs, where sets have them, drop
+pairs that differ too much, without a loss (`can_be_linked`). Registers give a
 collision-corrected estimate that drops pairs far (7 standard deviations) below the threshold; the rest is
 confirmed on the full sets, recomputed from the whole texts.
 
@@ -48,6 +49,8 @@ ROWS = 4
 EMPTY = 0xFFFF
 #: Bits of the hashed counts by which shingles are put in order for the prefix join.
 CELLS = 21
+#: Places of a sign, bits.
+SIGN = 512
 
 
 @dataclass(frozen=True)
@@ -366,8 +369,22 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFrame:
     return with_a.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, near long")
 
 
+def can_be_linked(a: str, b: str, signed: bool, scheme: Scheme) -> Column:
+    """Whether sets of n_`a` and n_`b` shingles can be linked, by their sizes and by sign_`a` and sign_`b` if they have signs.
+
+    A sign is the parity of a set's shingles at each of some hundred places. Signs of two sets differ at no more places than
+    the sets have shingles that aren't in both, so no link is lost (Sandes, Teodoro and Melo, "Bitmap filter", 2020).
+    """
+    n_a, n_b = F.col(f"n_{a}"), F.col(f"n_{b}")
+    can = F.greatest(n_a, n_b) * scheme.percent <= F.least(n_a, n_b) * 100
+    if not signed:
+        return can
+    differ = reduce(Column.__add__, [F.bit_count(F.col(f"sign_{a}")[i].bitwiseXOR(F.col(f"sign_{b}")[i])) for i in range(SIGN // 64)])
+    return can & (differ * (100 + scheme.percent) <= (n_a + n_b) * (100 - scheme.percent))
+
+
 def _plausible(pairs: DataFrame, regs: DataFrame, scheme: Scheme) -> DataFrame:
-    """Pairs (a, b) without those whose sizes or registers rule the link out."""
+    """Pairs (a, b), once each, without those whose registers, if there are any, rule the link out."""
 
     def run(batches):
         for batch in batches:
@@ -381,16 +398,16 @@ def _plausible(pairs: DataFrame, regs: DataFrame, scheme: Scheme) -> DataFrame:
             mask = pa.array(keep)
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
 
-    sized = pairs.where(F.greatest("n_a", "n_b") * scheme.percent <= F.least("n_a", "n_b") * 100).select("a", "b").distinct()
+    once = pairs.select("a", "b").distinct()
     if "regs" not in regs.columns:
-        return sized
-    both = sized.join(regs.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("regs").alias("r_b")), "b")
+        return once
+    both = once.join(regs.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("regs").alias("r_b")), "b")
     both = both.join(regs.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("regs").alias("r_a")), "a")
     return both.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, "a long, b long")
 
 
 def _prefix_pairs(members: DataFrame, texts: DataFrame, scheme: Scheme, keep: Scratch) -> DataFrame:
-    """(a, b, n_a, n_b) of members(id, n, c) of different components c, with all that can be linked.
+    """(a, b) of members(id, n, c) of different components c, with all that can be linked. texts: id, text, and sign if there is one.
 
     A positional prefix join (Xiao et al., PPJoin, 2008). Shingles are put in one order, rare ones first.
     Linked sets share one of their first n - ceil(t n) + 1; and at the first that they share, no more can
@@ -400,7 +417,8 @@ def _prefix_pairs(members: DataFrame, texts: DataFrame, scheme: Scheme, keep: Sc
     Per shingle only members outside its commonest component meet the others.
     """
     spark = members.sparkSession
-    own = keep.keep(members.join(texts, "id").select("id", "n", "c", "text"), "members")
+    sign = ["sign"] if "sign" in texts.columns else []
+    own = keep.keep(members.join(texts, "id").select("id", "n", "c", "text", *sign), "members")
 
     def shingles_of(batch):
         return (scheme.shingles(t) for piece, _ in slices([batch], "text") for t in piece.column(3).to_pylist())
@@ -410,69 +428,78 @@ def _prefix_pairs(members: DataFrame, texts: DataFrame, scheme: Scheme, keep: Sc
     def prefixes(batches):
         for piece, _ in slices(batches, "text", 1 << 20):
             out: list[list[np.ndarray]] = [[], [], [], [], []]
-            for i, n, c, text in zip(*(x.to_pylist() for x in piece.columns), strict=True):
+            for i, n, c, text in zip(*(x.to_pylist() for x in piece.columns[:4]), strict=True):
                 key, at = _prefix(scheme.shingles(text), known.value, scheme)
                 for column, x in zip(out, (key.view(np.int64), *(np.full(len(at), v) for v in (i, n, c)), at), strict=True):
                     column.append(x.astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["key", "id", "n", "c", "at"])
+            row = np.repeat(np.arange(piece.num_rows), [len(x) for x in out[0]])
+            signs = [piece.column(x).take(pa.array(row)) for x in sign]
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in out), *signs], names=["key", "id", "n", "c", "at", *sign])
 
-    first = keep.keep(own.mapInArrow(prefixes, "key long, id long, n long, c long, at long"), "prefixes")
+    first = own.mapInArrow(prefixes, "key long, id long, n long, c long, at long" + ", sign array<long>" * len(sign))
+    first = keep.keep(first, "prefixes")
     counts = first.groupBy("key", "c").agg(F.count("*").alias("k"))
     main = counts.groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("several")).where("several > 1").select("key", "main")
     mixed = first.join(main, "key")
-    left = mixed.where("c <> main").select("key", *[F.col(x).alias(f"{x}_a") for x in ("id", "n", "c", "at")])
-    right = mixed.select("key", "main", *[F.col(x).alias(f"{x}_b") for x in ("id", "n", "c", "at")])
+    left = mixed.where("c <> main").select("key", *[F.col(x).alias(f"{x}_a") for x in ("id", "n", "c", "at", *sign)])
+    right = mixed.select("key", "main", *[F.col(x).alias(f"{x}_b") for x in ("id", "n", "c", "at", *sign)])
     most = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    can = most * 100 >= (F.col("n_a") + F.col("n_b") - most) * scheme.percent
+    can = (most * 100 >= (F.col("n_a") + F.col("n_b") - most) * scheme.percent) & can_be_linked("a", "b", bool(sign), scheme)
     met = left.join(right, "key").where((F.col("c_a") != F.col("c_b")) & ((F.col("c_b") == F.col("main")) | (F.col("id_a") < F.col("id_b"))) & can)
-    swap = F.col("id_a") > F.col("id_b")
-    either = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
-    return met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), either("n_a", "n_b").alias("n_a"), either("n_b", "n_a").alias("n_b"))
+    return met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
 
 
 def linked(found: DataFrame, sets: DataFrame, texts: DataFrame, scheme: Scheme, keep: Scratch) -> DataFrame:
     """(node, component) of every set that is linked to another; component is a node of it.
 
-    found(key, id, hub): the members of all buckets of several, hub being one of them, the same for all; sets(id, n, and regs if there are any) and texts(id, text binary): those of found at
-    least, a row each. The links are those of all pairs that share a bucket.
+    found(key, id, hub, k): the members of all buckets of several, hub being the least of them, the same for all, and k 2 where
+    the bucket has two members (that of the hub may be missing), more in others. sets(id, n, and regs or sign if there are any) and
+    texts(id, text binary, and sign if there is one): those of found at least, a row each. The links are those of all pairs that share a bucket.
     """
-    n_hub = sets.select(F.col("id").alias("hub"), F.col("n").alias("n_hub"))
-    live = keep.keep(found.join(sets.select("id", "n"), "id").join(n_hub, "hub").select("key", "id", "n", "hub", "n_hub"), "live")
+    sign = ["sign"] if "sign" in sets.columns else []
+    own = sets.select("id", *[F.col(x).alias(f"{x}_id") for x in ("n", *sign)])
+    hubs = sets.select(F.col("id").alias("hub"), *[F.col(x).alias(f"{x}_hub") for x in ("n", *sign)])
+
+    def with_can(rows: DataFrame) -> DataFrame:
+        return rows.join(own, "id").join(hubs, "hub").withColumn("can", can_be_linked("id", "hub", bool(sign), scheme))
+
     links, tested, labels = [], [], None
+    # a bucket of two is settled by its pair, which other bands often have too
+    twos = with_can(found.where("k = 2 and id <> hub").select("id", "hub").distinct()).where("can")
+    live = keep.keep(with_can(found.where("k > 2").select("key", "id", "hub")).select("key", "id", F.col("n_id").alias("n"), "hub", "can"), "live")
 
-    def labelled(label: str) -> DataFrame:
-        """live with the component of each member, buckets of one component left out."""
-        marked = live.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-        mixed = marked.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
-        return keep.keep(marked.join(mixed.select("key"), "key"), label)
+    def labelled(rows: DataFrame, label: str, of_hub: bool) -> DataFrame:
+        """rows with the component c of each member and c_hub of its hub, without buckets of one component, not counting the hub's row unless of_hub."""
+        marked = rows.drop("c", "c_hub").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+        counted = F.col("c") if of_hub else F.when(F.col("id") != F.col("hub"), F.col("c"))
+        mixed = marked.groupBy("key").agg(F.min(counted).alias("low"), F.max(counted).alias("high"), F.max(F.when(F.col("id") == F.col("hub"), F.col("c"))).alias("c_hub"))
+        return keep.keep(marked.join(mixed.where("low < high").select("key", "c_hub"), "key"), label)
 
     def tried(pairs: DataFrame) -> None:
         nonlocal labels
         near = _plausible(pairs, sets, scheme)
-        for earlier in tested:
-            near = near.join(earlier, ["a", "b"], "left_anti")
+        if tested:
+            near = near.join(reduce(DataFrame.union, tested), ["a", "b"], "left_anti")
         tested.append(keep.keep(near, "pairs"))
         links.append(keep.keep(_confirmed(tested[-1], texts, scheme), "links"))
         labels = components(reduce(DataFrame.union, links), keep)
 
-    # 1: each member with the least hub among its buckets
-    hubs = live.where("id <> hub").groupBy("id", "n").agg(F.min(F.struct("hub", "n_hub")).alias("h"))
-    tried(hubs.select(F.col("h.hub").alias("a"), F.col("id").alias("b"), F.col("h.n_hub").alias("n_a"), F.col("n").alias("n_b")))
+    # 1: buckets of two, and each member with the least hub among its buckets
+    least = live.where("id <> hub and can").groupBy("id").agg(F.min("hub").alias("hub"))
+    tried(least.select("hub", "id").union(twos.select("hub", "id")).toDF("a", "b"))
     # 2: each member with the hub of every bucket that still holds several components
-    rest = labelled("rest2").where("id <> hub")
-    tried(rest.select(F.col("hub").alias("a"), F.col("id").alias("b"), F.col("n_hub").alias("n_a"), F.col("n").alias("n_b")))
-    # 3: each member with the one nearest to the hub, likely a middle of the bucket, where that is in another component
-    rest = labelled("middle")
-    nearest = rest.where("id <> hub").select("key", "id", "n", "c", F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b"))
+    live = labelled(live, "rest2", True)
+    tried(live.where("id <> hub and can and c <> c_hub").select(F.col("hub").alias("a"), F.col("id").alias("b")))
+    # 3: each member with the one nearest to the hub, likely a middle of the bucket, where that is in another component.
+    # From here on the hub has met all, so buckets whose other members are of one component are done with
+    live = labelled(live, "middle", False)
+    nearest = live.where("id <> hub").select("key", "id", "n", "c", F.col("hub").alias("a"), F.col("id").alias("b"))
     nearest = nearest.join(reduce(DataFrame.union, links), ["a", "b"]).groupBy("key").agg(F.max(F.struct("near", "id", "n", "c")).alias("m"))
-    others = rest.join(nearest, "key").where("c <> m.c")
-    first = F.col("id") < F.col("m.id")
-    either = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
-    tried(others.select(either("id", "m.id").alias("a"), either("m.id", "id").alias("b"), either("n", "m.n").alias("n_a"), either("m.n", "n").alias("n_b")))
+    others = live.join(nearest, "key").where("c <> m.c").select("id", F.col("n").alias("n_id"), F.col("m.id").alias("mid"), F.col("m.n").alias("n_mid"))
+    tried(others.where(can_be_linked("id", "mid", False, scheme)).select(F.least("id", "mid").alias("a"), F.greatest("id", "mid").alias("b")))
     # 4: whatever link is left lies between members of one bucket, neither its hub; an exact prefix join finds it
-    rest = labelled("rest4").where("id <> hub")
-    parts = rest.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    tried(_prefix_pairs(rest.join(parts, "key").select("id", "n", "c").distinct(), texts, scheme, keep))
+    live = labelled(live, "rest4", False)
+    tried(_prefix_pairs(live.where("id <> hub").select("id", "n", "c").distinct(), texts, scheme, keep))
     return labels
 
 
@@ -491,7 +518,7 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
     reps = keep.keep(reps.select("id", "doc_id", "hash", "n", "keys", "regs", "small"), "reps")
     context = reps.sparkSession.sparkContext
     counts = context.broadcast(_cell_counts(reps.where("small is not null").select("small"), lambda b: _lists(b.column(0))))
-    shared = _keys(reps, counts, scheme).groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("k")).where("k > 1").select("key", "hub")
+    shared = _keys(reps, counts, scheme).groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("k")).where("k > 1")
     shared = keep.keep(shared, "shared")
     # most buckets have one member: these are sifted out before the buckets meet their hubs
     wanted = context.broadcast(bitmap(shared, "key"))
