@@ -139,3 +139,11 @@ def test_describe_of_awkward_values(spark, values):
     seen = sorted((v for v in values if v is not None), key=lambda v: (v != v, v))
     middle = (seen[(len(seen) - 1) // 2] + seen[len(seen) // 2]) / 2 if seen else None
     assert got["n"] == len(seen) and (got["median"] == middle or str(got["median"]) == str(middle))
+
+
+@pytest.mark.parametrize("kw", [{}, {"cot": True}, {"prefix": "SELECT "}])
+def test_an_answer_is_cleaned_once_a_row(spark, kw):
+    """Each step stands once in the plan; it was written out anew wherever the next one read it."""
+    df = spark.range(1).select(F.col("id").cast("string").alias("x")).select(X.clean_sql(F.col("x"), **kw).alias("sql"))
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert plan.count("im_end") == 1 and plan.count("insert|update") == 1

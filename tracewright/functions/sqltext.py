@@ -61,6 +61,11 @@ OPERATION_MARKS = {
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
 
+def once(c: Column, use) -> Column:
+    """use(c) with c made once a row, however often use() reads it: Spark makes what stands inside of a lambda or a branch anew each time."""
+    return F.transform(F.array(c), use)[0]
+
+
 def without_literals(sql: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(sql, r"'[^']*'", "''"), r'"[^"]*"', '""')
 
@@ -111,39 +116,45 @@ def has_cue(utterance: Column, operation: str) -> Column:
     return F.rlike(F.lower(utterance), F.lit("|".join(f"(?:{p})" for p in OPERATION_CUES[operation])))
 
 
+def _soft(c: Column) -> Column:
+    return F.trim(F.regexp_replace(c, "['-]", " "))
+
+
 def _string_named(value: Column, low: Column) -> Column:
-    value = F.trim(F.lower(value))
-    soft = lambda c: F.trim(F.regexp_replace(c, "['-]", " "))
-    return F.contains(low, value) | F.contains(soft(low), soft(value))
+    return once(F.trim(F.lower(value)), lambda v: F.contains(low, v) | F.contains(_soft(low), _soft(v)))
 
 
 def _number_named(value: Column, low: Column) -> Column:
     quoted = F.regexp_replace(value, r"\.", r"\\.")
-    grouped = F.format_number(value.try_cast("bigint"), 0)
+    grouped = lambda g: F.contains(low, g) | F.contains(low, F.replace(g, F.lit(","), F.lit(".")))
     long = ~F.contains(value, F.lit(".")) & (F.length(value) >= 4)
-    either = F.contains(low, grouped) | F.contains(low, F.replace(grouped, F.lit(","), F.lit(".")))
+    either = once(F.format_number(value.try_cast("bigint"), 0), grouped)
     return (value != "1") & (F.rlike(low, F.concat(F.lit(r"\b"), quoted, F.lit(r"\b"))) | (long & F.coalesce(either, F.lit(False))))
 
 
 def _date_named(value: Column, low: Column) -> Column:
-    value = F.trim(F.lower(value))
-    part = lambda i: F.coalesce(F.get(F.split(value, "-"), F.lit(i)), F.lit(""))
     bare = lambda c: F.ltrim(c, F.lit("0"))
-    month = F.lit(False)
-    for i, name in enumerate(MONTHS, 1):
-        month |= (part(1) == f"{i:02d}") & (F.contains(low, F.lit(name)) | F.contains(low, F.lit(str(i))))
-    year = (part(0) != "") & F.contains(low, part(0))
-    return F.contains(low, value) | year | month | ((part(2) != "") & F.contains(low, bare(part(2))))
+
+    def by_parts(parts: Column) -> Column:
+        part = lambda i: F.coalesce(F.get(parts, F.lit(i)), F.lit(""))
+        month = F.lit(False)
+        for i, name in enumerate(MONTHS, 1):
+            month |= (part(1) == f"{i:02d}") & (F.contains(low, F.lit(name)) | F.contains(low, F.lit(str(i))))
+        year = (part(0) != "") & F.contains(low, part(0))
+        return year | month | ((part(2) != "") & F.contains(low, bare(part(2))))
+
+    return once(F.trim(F.lower(value)), lambda v: F.contains(low, v) | once(F.split(v, "-"), by_parts))
 
 
 def value_named(literal: Column, utterance: Column) -> Column:
     """Does the utterance name a literal struct<literal, value_type>?"""
-    value, kind, low = literal["literal"], literal["value_type"], F.lower(utterance)
-    return (
-        F.when(kind == "string", _string_named(value, low))
+    value, kind = literal["literal"], literal["value_type"]
+    return once(
+        F.lower(utterance),
+        lambda low: F.when(kind == "string", _string_named(value, low))
         .when(kind.isin("date_string", "year_pattern"), _date_named(value, low))
         .when(kind == "numeric", _number_named(value, low))
-        .otherwise(False)
+        .otherwise(False),
     )
 
 
@@ -167,21 +178,34 @@ def clean_sql(raw: Column, cot: bool = False, prefix: str = "") -> Column:
     """One executable statement out of a model's answer: chat marks, fence, final answer, prose, prefix,
     first statement (split at any semicolon, even in a literal), white space outside literals."""
     text = F.regexp_replace(F.coalesce(raw, F.lit("")), r"(?s)<\|im_end\|>.*", "")
-    text = _strip(F.regexp_replace(text, r"<\|[^|>]+\|>", ""))
+    return once(_strip(F.regexp_replace(text, r"<\|[^|>]+\|>", "")), lambda t: F.when(t == "", "").otherwise(_clean(t, cot, prefix)))
+
+
+def _clean(text: Column, cot: bool, prefix: str) -> Column:
+    """clean_sql of a text without chat marks, stripped; each step is made once."""
     fence = r"(?is)```(?:sql|sqlite)?\s*(.*?)\s*```"
-    fenced = lambda c: F.when(F.rlike(c, F.lit(fence)), _strip(F.regexp_extract(c, fence, 1))).otherwise(c)
-    inner = fenced(text)
-    if cot:
-        final = r"(?is)final\s*sql\s*:?\s*(.+)"
-        inner = F.when(inner != text, inner).when(F.rlike(text, F.lit(final)), fenced(_strip(F.regexp_extract(text, final, 1)))).otherwise(text)
-    keyword = r"(?is)\b(?:select|with|insert|update|delete)\b.*"
-    inner = F.when(F.rlike(inner, F.lit(keyword)), F.regexp_extract(inner, f"({keyword})", 1)).otherwise(inner)
+    fenced = lambda c: F.when(F.contains(c, F.lit("```")) & F.rlike(c, F.lit(fence)), _strip(F.regexp_extract(c, fence, 1))).otherwise(c)
+    final = r"(?is)final\s*sql\s*:?\s*(.+)"
+    keyword = r"(?is)(\b(?:select|with|insert|update|delete)\b.*)"
+
+    def answer(inner: Column) -> Column:
+        last = once(F.regexp_extract(text, final, 1), lambda x: F.when(x != "", once(_strip(x), fenced)).otherwise(text))
+        return F.when(inner != text, inner).otherwise(last)
+
+    # both patterns catch a character at least, so an empty extract is no match
+    def statement(inner: Column) -> Column:
+        return once(F.regexp_extract(inner, keyword, 1), lambda x: F.when(x != "", x).otherwise(inner))
+
+    def prefixed(inner: Column) -> Column:
+        return F.when(F.rlike(inner, F.lit(r"(?i)^\s*select\b")), inner).otherwise(F.concat(F.lit(prefix), inner))
+
+    inner = once(fenced(text), answer) if cot else fenced(text)
+    inner = once(inner, statement)
     if prefix:
-        inner = F.when(F.rlike(inner, F.lit(r"(?i)^\s*select\b")), inner).otherwise(F.concat(F.lit(prefix), inner))
+        inner = once(inner, prefixed)
     head = _strip(F.split_part(F.rtrim(_strip(inner), F.lit(";")), F.lit(";"), F.lit(1)))
-    whole = F.when(head == "", "").otherwise(F.concat(head, F.lit(";")))
-    flat = _strip(_outside_quotes(whole, lambda x: F.regexp_replace(x, r"[ \t\n\r]+", " ")))
-    return F.when(text == "", "").otherwise(flat)
+    whole = once(head, lambda x: F.when(x == "", "").otherwise(F.concat(x, F.lit(";"))))
+    return _strip(_outside_quotes(whole, lambda x: F.regexp_replace(x, r"[ \t\n\r]+", " ")))
 
 
 def normal_sql(sql: Column) -> Column:
