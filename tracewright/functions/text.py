@@ -14,7 +14,7 @@ def tokens(text: Column | str) -> Column:
     """Lower case, ASCII punctuation deleted, split at white space; null and blank give no token."""
     text = F.col(text) if isinstance(text, str) else text
     plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), ASCII_PUNCTUATION, "")
-    return F.filter(F.split(plain, r"\s+"), lambda t: t != "")
+    return F.regexp_extract_all(plain, F.lit(r"\S+"), F.lit(0))
 
 
 def token_set(text: Column | str) -> Column:

@@ -194,6 +194,9 @@ def utterance_level(corpus: DataFrame) -> DataFrame:
     named = F.array_compact(F.array(*[F.when(F.array_contains("__c", c) & X.names_column(q, c, F.col("__t")), c) for c in X.TARGET_COLUMNS]))
     there = F.array_compact(F.array(*[F.when(F.col("__o")[o], o) for o in X.OPERATION_CUES]))
     cued = F.array_compact(F.array(*[F.when(F.col("__o")[o] & X.has_cue(q, o), o) for o in X.OPERATION_CUES]))
+    # what is joined and counted is a column of its own, so that it is made once a row
+    out = out.withColumns({"__named": named, "__there": there, "__cued": cued})
+    named, there, cued = map(F.col, ("__named", "__there", "__cued"))
     hits = F.size(F.filter("__l", lambda x: X.value_named(x, q)))
     joined = lambda c: F.array_join(c, ";")
     extra = [c for c in ("u_class", "spider_class") if c in corpus.columns]
