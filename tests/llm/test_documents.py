@@ -652,3 +652,42 @@ def test_a_pair_of_lines_is_shipped_and_stored_once_a_key(spark):
     assert sizes and all(n % 13 == 0 for n in sizes)
     several = lines._reduced(blocks.repartition(2, "part")).where("key is not null").collect()
     assert several and len(several) == len({r["key"] for r in several}) and {r["k"] for r in several} == {2}
+
+
+def test_small_buckets_of_lines_are_settled_by_their_pairs(spark, monkeypatch):
+    """No member of theirs comes to the prefix join; larger buckets do, with the same result."""
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(300)]
+    texts = []
+    for g in range(6):
+        base = words[40 * g : 40 * g + 40]
+        for _ in range(5):
+            line = list(base)
+            for j in rng.sample(range(40), 3):
+                line[j] = rng.choice(words)
+            texts.append(" ".join(line))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    joined, prefix_pairs = [], minhash._prefix_pairs
+    monkeypatch.setattr(minhash, "_prefix_pairs", lambda members, *rest: joined.append(members.count()) or prefix_pairs(members, *rest))
+    some = decisions(lines.dedup_lines(docs))
+    assert joined == [0]
+    monkeypatch.setattr(minhash, "FEW", 2)
+    assert decisions(lines.dedup_lines(docs)) == some and joined[1] > 0
+
+
+def test_pairs_of_lines_are_compared_many_at_once():
+    rng = random.Random(12)
+    texts = ["".join(rng.choices("ab é\U0001f600", k=rng.choice((8, 9, 30, 200)))) for _ in range(80)]
+    texts[1::4] = [x[:-1] + "z" for x in texts[::4]]
+    common, union = minhash._shared(texts, 8)
+    sets = [{t[i : i + 8] for i in range(len(t) - 7)} for t in texts]
+    assert common.tolist() == [len(a & b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert union.tolist() == [len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+
+
+def test_a_fetched_line_comes_once(spark):
+    text = "A line of words, long enough to be told by its bands and shingles"
+    docs = spark.createDataFrame([(i, text) for i in range(6)], "doc_id long, text string").repartition(3)
+    every = spark.sparkContext.broadcast(np.full(1 << 19, -1, dtype=np.int64).view(np.uint64))
+    rows = lines._fetched(docs, every, lines.SCHEME, 64).collect()
+    assert [(r["text"].decode(), r["n"]) for r in rows] == [(text.lower(), len(text) - 7)]

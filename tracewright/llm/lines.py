@@ -176,7 +176,7 @@ def _least_records(records: np.ndarray) -> np.ndarray:
 
 def _buckets(key: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The pairs (key, own) in order, each once, with the place of its key's run and the starts of the runs."""
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key, own = key[order], own[order]
     starts = _runs(key)
     run = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(key)]))
@@ -316,7 +316,7 @@ def _signed_columns(lines: list[bytes], scheme: Scheme) -> list[pa.Array]:
 
 
 def _fetched(docs: DataFrame, wanted, scheme: Scheme, bits: int) -> DataFrame:
-    """id, n, sign, text of the lines whose h1 passes the bitmap; repeats within a piece are one."""
+    """id, n, sign, text of the lines whose h1 passes the bitmap, one of each id: signs are made once, of copies too."""
 
     def run(batches):
         for piece, _ in slices(batches, "text"):
@@ -325,10 +325,14 @@ def _fetched(docs: DataFrame, wanted, scheme: Scheme, bits: int) -> DataFrame:
             found = list(lines)
             own = hashes(found, bits)[:, 0]
             mask = passes(wanted.value, own)
-            columns = _signed_columns([found[i] for i in np.flatnonzero(mask)], scheme)
-            yield pa.RecordBatch.from_arrays([pa.array(own[mask]), *columns], names=["id", "n", "sign", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(own[mask]), pa.array([found[i] for i in np.flatnonzero(mask)], pa.binary())], names=["id", "text"])
 
-    return _texts(docs).mapInArrow(run, _SIGNED)
+    def sign(batches):
+        for piece, _ in slices(batches, "text"):
+            columns = _signed_columns(piece.column(1).to_pylist(), scheme)
+            yield pa.RecordBatch.from_arrays([piece.column(0), *columns], names=["id", "n", "sign", "text"])
+
+    return _texts(docs).mapInArrow(run, "id long, text binary").dropDuplicates(["id"]).mapInArrow(sign, _SIGNED)
 
 
 def _parity(places: np.ndarray, n: int) -> np.ndarray:
@@ -342,18 +346,19 @@ def signs(lines: list[bytes], scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
     texts = [x.decode() for x in lines]
     n, sign = np.ones(len(lines), dtype=np.int64), np.zeros((len(lines), SIGN // 64), dtype=np.int64)
     usual = np.array([k for k, x in enumerate(texts) if scheme.size <= len(x) <= WINDOW], dtype=np.intp)
-    # lines in several windows, or with a shingle that may repeat, are taken one by one
+    # lines in several windows are taken one by one
     apart = [k for k, x in enumerate(texts) if len(x) > WINDOW]
     top = _U(64 - SIGN.bit_length() + 1)
     for own, h in _windows([texts[k] for k in usual], scheme.size):
         at = own - own[0]
         some = usual[own[0] : own[-1] + 1]
-        n[some] = np.bincount(at)
-        sign[some] = _parity(at * SIGN + (h >> top).astype(np.intp), len(some))
+        # shingles of a line that repeat are one; they are told by their hashes without the bits that the number of lines takes
         shift = _U(len(some).bit_length())
-        tagged = np.sort((at.astype(np.uint64) << (_U(64) - shift)) | (h >> shift))
-        again = tagged[1:][tagged[1:] == tagged[:-1]] >> (_U(64) - shift)
-        apart += some[np.unique(again).astype(np.intp)].tolist()
+        held = np.sort((at.astype(np.uint64) << (_U(64) - shift)) | (h >> shift))
+        held = held[np.r_[True, held[1:] != held[:-1]]]
+        at = (held >> (_U(64) - shift)).astype(np.intp)
+        n[some] = np.bincount(at)
+        sign[some] = _parity(at * SIGN + (held << shift >> top).astype(np.intp), len(some))
     for k in apart:
         held = scheme.shingles(lines[k])
         n[k], sign[k] = len(held), _parity((held >> top).astype(np.intp), 1)[0]
@@ -395,7 +400,7 @@ def components_of(docs: DataFrame, clash: DataFrame, members: DataFrame, scheme:
         buckets = buckets.join(hubs, "key").select("key", "id", "hub", "k")
     buckets = keep.keep(buckets, "buckets")
     every = buckets.select("id").union(buckets.where("k = 2").select("hub"))
-    sets = _fetched(docs, context.broadcast(bitmap(every, "id")), scheme, bits).dropDuplicates(["id"])
+    sets = _fetched(docs, context.broadcast(bitmap(every, "id")), scheme, bits)
     if again is not None:
         # what else the bitmap lets through under a clashing h1 is in no bucket
         sets = sets.join(clash, "id", "left_anti").union(again.select("id", "n", "sign", "text"))
@@ -423,9 +428,11 @@ def dedup_lines(docs: DataFrame, scheme: Scheme = SCHEME, bits: int = 64) -> Dat
         labels = components_of(docs, clash, members, scheme, keep, parts, bits).withColumnRenamed("node", "h1")
         labels = keep.keep(labels, "labels")
         in_parts = bitmap(labels, "h1")
-        mapped = keep.keep(sifted(lines, "h1", in_parts).join(labels, "h1"), "mapped")
+        # the bitmap lets a few others through, which are told by the labels
+        near = keep.keep(sifted(lines, "h1", in_parts), "near")
+        mapped = near.join(labels, "h1")
         owners = mapped.groupBy("component").agg(F.min(F.struct(*spot)).alias("o")).select("o.*")
-        alone = _alone(lines, in_parts, labels)
+        alone = _unlike(lines, in_parts).union(near.join(labels.select("h1"), "h1", "left_anti").select(*lines.columns))
         blanks = found.where("h1 is null and key is null").select(*spot)
         stay = alone.select(*spot).union(owners.select(*spot)).union(blanks)
         mine = F.collect_list(F.when(F.col("place") >= 0, F.col("place")))
@@ -434,15 +441,15 @@ def dedup_lines(docs: DataFrame, scheme: Scheme = SCHEME, bits: int = 64) -> Dat
         return checkpointed(out.withColumn("kept", F.array_distinct("kept")))
 
 
-def _alone(lines: DataFrame, in_parts: np.ndarray, labels: DataFrame) -> DataFrame:
-    """The lines that no other is linked with: the bitmap lets a few of them through, which are told by the labels."""
+def _unlike(lines: DataFrame, in_parts: np.ndarray) -> DataFrame:
+    """The lines that the bitmap doesn't let through."""
     known = lines.sparkSession.sparkContext.broadcast(in_parts)
 
     def run(batches):
         for b in batches:
             yield b.filter(pa.array(~passes(known.value, b.column(0).to_numpy())))
 
-    return lines.mapInArrow(run, lines.schema).union(sifted(lines, "h1", in_parts).join(labels.select("h1"), "h1", "left_anti").select(*lines.columns))
+    return lines.mapInArrow(run, lines.schema)
 
 
 def rebuilt(docs: DataFrame, decided: DataFrame) -> DataFrame:

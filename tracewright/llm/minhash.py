@@ -14,7 +14,7 @@ would stay empty, take an exact way: the rarest shingles, as many as any link mu
 filter in the order of hashed counts). Sets from percent * small up do both, so that no pair falls between.
 Equal sets are one node, known by their fingerprint, before any of this.
 
-Links. A bucket of two is a pair; one of more members is never expanded into its pairs. Members first meet the bucket's hub, then the
+Links. A bucket of two is a pair, and where sets have signs one of FEW members at most is its pairs; no other is expanded. Members of others first meet the bucket's hub, then the
 member that is nearest to it; confirmed links are merged by distributed union-find; what can still be linked lies between members of
 buckets with several components, and an exact positional prefix join finds it. Signs, where sets have them, drop
 pairs that differ too much, without a loss (`can_be_linked`). Registers give a
@@ -51,6 +51,10 @@ EMPTY = 0xFFFF
 CELLS = 21
 #: Places of a sign, bits.
 SIGN = 512
+#: Of sets with signs, members of a bucket whose pairs are all tried: signs leave few of them.
+FEW = 32
+#: Code points of lines that are compared at once: what a core's cache holds.
+_TOGETHER = 1 << 15
 
 
 @dataclass(frozen=True)
@@ -118,9 +122,17 @@ def shingles(text: bytes | None, words: int) -> np.ndarray:
     return np.unique(_mix(h))
 
 
+#: The hashes of the code points that most texts are of.
+_POINTS = _mix(np.arange(1, (1 << 13) + 1, dtype=np.uint64))
+
+
 def rolled(code: np.ndarray, size: int) -> np.ndarray:
     """A hash of each run of `size` of the code points. Runs are joined of halves, so the work grows with log(size)."""
-    h, out, done, n = _mix(code.astype(np.uint64) + _U(1)), None, 0, 1
+    h = _POINTS.take(code, mode="clip")
+    rare = np.flatnonzero(code >= len(_POINTS))
+    if len(rare):
+        h[rare] = _mix(code[rare].astype(np.uint64) + _U(1))
+    out, done, n = None, 0, 1
     while n <= size:
         if size & n:
             out = h if out is None else out[: max(0, len(h) - done)] * _U(pow(_FACTOR, n, 1 << 64)) + h[done:]
@@ -156,11 +168,9 @@ def least_of(held: np.ndarray, owner: np.ndarray, n: int, scheme: Scheme) -> np.
 
 def packed(least: np.ndarray, scheme: Scheme) -> np.ndarray:
     """The HyperMinHash registers of least hashes: uint16, EMPTY where a bucket got nothing."""
-    bits = np.frexp(least.astype(np.float64))[1]  # the bit length; exact below 2**53
-    zeros = (32 - scheme.bits) - bits
-    shift = bits - 1 - MANTISSA
-    wide = least.astype(np.int64)
-    mantissa = np.where(shift >= 0, wide >> np.maximum(shift, 0), wide << np.maximum(-shift, 0)) & ((1 << MANTISSA) - 1)
+    wide = least.astype(np.float64).view(np.uint64)  # its exponent is the bit length, 1022 more; exact below 2**53
+    zeros = (32 - scheme.bits) - np.maximum((wide >> _U(52)).astype(np.int32) - 1022, 0)
+    mantissa = (wide >> _U(52 - MANTISSA)).astype(np.int32) & ((1 << MANTISSA) - 1)
     return np.where(least == 0xFFFFFFFF, EMPTY, (zeros << MANTISSA) | mantissa).astype(np.uint16)
 
 
@@ -330,39 +340,67 @@ def _keys(reps: DataFrame, counts, scheme: Scheme, wanted=None) -> DataFrame:
     return reps.select("id", "keys", "small").mapInArrow(run, "key long, id long")
 
 
+def _groups(sizes: list[int], most: int):
+    """Runs of places whose sizes add up to `most` about."""
+    start, held = 0, 0
+    for i, n in enumerate(sizes):
+        if held and held + n > most:
+            yield start, i
+            start, held = i, 0
+        held += n
+    if held:
+        yield start, len(sizes)
+
+
+def _shared(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of texts, one after the other, how many different runs of `size` code points both have and how many either has.
+
+    All texts have such a run. Runs are told by their hashes, without the bits that the number of pairs takes, and one more.
+    """
+    n = len(texts) // 2
+    windows = np.array([len(x) - size + 1 for x in texts])
+    h = rolled(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32), size)
+    part = np.repeat(np.arange(len(texts)), windows)
+    h = h[np.arange(len(part)) + part * (size - 1)]
+    shift = _U(n.bit_length() + 1)
+    top = _U(65) - shift
+    held = np.sort(((part >> 1).astype(np.uint64) << top) | (h >> shift << _U(1)) | (part & 1).astype(np.uint64))
+    held = held[np.r_[True, held[1:] != held[:-1]]]
+    again = held[1:] >> _U(1) == held[:-1] >> _U(1)
+    pair = (held >> top).astype(np.intp)
+    common = np.bincount(pair[1:][again], minlength=n)
+    return common, np.bincount(pair, minlength=n) - common
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFrame:
     """Of pairs(a, b) those linked on their full sets, with near, their Jaccard index in millionths. texts: id, text binary, of all ids that occur."""
 
-    def sets_of(text: bytes, short: bool):
-        # of short lines a set of strings is made faster than an array of hashes
-        if not short:
-            return scheme.shingles(text)
-        t = text.decode("utf-8", "replace")
-        return {t[i : i + scheme.size] for i in range(len(t) - scheme.size + 1)} or {t}
+    def counts(ids: list[int], mine: list[bytes], others: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """How many shingles the two of each pair have in common, and in all."""
+        common, union = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids), dtype=np.int64)
+        usual = np.zeros(len(ids), dtype=bool)
+        if scheme.unit == "chars":  # lines are compared many at once, but for long ones and those without a whole shingle
+            both = [(x.decode("utf-8", "replace"), y.decode("utf-8", "replace")) for x, y in zip(mine, others, strict=True)]
+            usual[:] = [scheme.size <= min(len(x), len(y)) and len(x) + len(y) <= _TOGETHER for x, y in both]
+            at = np.flatnonzero(usual)
+            for lo, hi in _groups([len(both[i][0]) + len(both[i][1]) for i in at], _TOGETHER):
+                common[at[lo:hi]], union[at[lo:hi]] = _shared([x for i in at[lo:hi] for x in both[i]], scheme.size)
+        last, held = None, None
+        for i in np.flatnonzero(~usual):
+            if last is None or ids[i] != ids[last]:
+                last, held = i, scheme.shingles(mine[i])
+            theirs = scheme.shingles(others[i])
+            union[i] = len(np.union1d(held, theirs))
+            common[i] = len(held) + len(theirs) - union[i]
+        return common, union
 
     def run(batches):
-        last, held, held_short = None, None, None
         for piece, _ in slices(batches, "text_b"):
-            keep, near = [], []
-            a, b, ta, tb = (piece.column(i) for i in range(4))
-            ids, others = a.to_pylist(), tb.to_pylist()
-            for i, (x, other) in enumerate(zip(ids, others, strict=True)):
-                if x != last:
-                    last, text, held, held_short = x, ta[i].as_py(), None, None
-                short = scheme.unit == "chars" and 0 < len(text) < 1000 and 0 < len(other) < 1000
-                if short:
-                    mine = held_short = sets_of(text, True) if held_short is None else held_short
-                    theirs = sets_of(other, True)
-                    common = len(mine & theirs)
-                else:
-                    mine = held = sets_of(text, False) if held is None else held
-                    theirs = sets_of(other, False)
-                    common = len(mine) + len(theirs) - len(np.union1d(mine, theirs))
-                union = len(mine) + len(theirs) - common
-                keep.append(100 * common >= scheme.percent * union)
-                near.append(1_000_000 * common // union)
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask), pa.array(near, pa.int64()).filter(mask)], names=["a", "b", "near"])
+            a, b = piece.column(0), piece.column(1)
+            common, union = counts(*(piece.column(i).to_pylist() for i in (0, 2, 3)))
+            mask = pa.array(100 * common >= scheme.percent * union)
+            near = pa.array(1_000_000 * common // np.maximum(1, union))
+            yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask), near.filter(mask)], names=["a", "b", "near"])
 
     with_b = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     with_a = with_b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -465,8 +503,15 @@ def linked(found: DataFrame, sets: DataFrame, texts: DataFrame, scheme: Scheme,
 
     links, tested, labels = [], [], None
     # a bucket of two is settled by its pair, which other bands often have too
-    twos = with_can(found.where("k = 2 and id <> hub").select("id", "hub").distinct()).where("can")
-    live = keep.keep(with_can(found.where("k > 2").select("key", "id", "hub")).select("key", "id", F.col("n_id").alias("n"), "hub", "can"), "live")
+    twos, several = found.where("k = 2 and id <> hub").select("id", "hub"), found.where("k > 2").select("key", "id", "hub")
+    if sign:
+        # so are buckets of few by theirs
+        sizes = keep.keep(several.groupBy("key").agg(F.count("*").alias("m")), "sizes")
+        few = several.join(sizes.where(F.col("m") <= FEW), "key")
+        twos = twos.union(few.select("key", "id").join(few.select("key", F.col("id").alias("other")), "key").where("other < id").select("id", "other"))
+        several = several.join(sizes.where(F.col("m") > FEW), "key", "left_semi")
+    twos = with_can(twos.distinct()).where("can")
+    live = keep.keep(with_can(several).select("key", "id", F.col("n_id").alias("n"), "hub", "can"), "live")
 
     def labelled(rows: DataFrame, label: str, of_hub: bool) -> DataFrame:
         """rows with the component c of each member and c_hub of its hub, without buckets of one component, not counting the hub's row unless of_hub."""
@@ -484,7 +529,7 @@ def linked(found: DataFrame, sets: DataFrame, texts: DataFrame, scheme: Scheme,
         links.append(keep.keep(_confirmed(tested[-1], texts, scheme), "links"))
         labels = components(reduce(DataFrame.union, links), keep)
 
-    # 1: buckets of two, and each member with the least hub among its buckets
+    # 1: buckets settled by their pairs, and each member with the least hub among its other buckets
     least = live.where("id <> hub and can").groupBy("id").agg(F.min("hub").alias("hub"))
     tried(least.select("hub", "id").union(twos.select("hub", "id")).toDF("a", "b"))
     # 2: each member with the hub of every bucket that still holds several components
