@@ -226,3 +226,12 @@ def test_odd_conversations(spark):
     assert any(p is None and part == "chosen" for p, part, *_ in got)
     assert any("<| im_end|><|im_end|>" in x for *_, x, _, _ in got)
     assert any(t is None for _, _, t, *_ in got)
+
+
+def test_siblings_alike_are_opened_once(monkeypatch):
+    """Elements of one place, tag and attributes are worked out once, however many there are, and are read as before."""
+    opened, entered = [], html_page._entered
+    monkeypatch.setattr(html_page, "_entered", lambda *x: opened.append(x[1]) or entered(*x))
+    tokens = html_page.read("<ul>" + '<li class="ad"><a href="x">one</a></li><li>two</li>' * 50 + "</ul>")
+    assert len(opened) == 4
+    assert [(t.text, t.soft, t.linked) for t in tokens if t.text] == [("one", True, 3), ("two", False, 0)] * 50

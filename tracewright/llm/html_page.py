@@ -92,6 +92,9 @@ class Token:
 
 @dataclass(slots=True)
 class _Open:
+    """inner: the elements opened inside, by tag and attributes. An element isn't changed once it is open, so that siblings alike are
+    one, with one token for their start and one for their end."""
+
     tag: str
     path: int
     block: _Open | None = None
@@ -103,6 +106,9 @@ class _Open:
     article: bool = False
     link: bool = False
     marks: int = 0
+    inner: dict | None = None
+    start: Token | None = None
+    end: Token | None = None
 
 
 def _hash(*parts: int | str) -> int:
@@ -168,7 +174,7 @@ def read(page: str) -> list[Token]:
     def flush() -> None:
         nonlocal linked
         if parts:
-            text = " ".join("".join(parts).split())
+            text = " ".join((parts[0] if len(parts) == 1 else "".join(parts)).split())
             if text:
                 inner = stack[-1]
                 own = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
@@ -182,7 +188,7 @@ def read(page: str) -> list[Token]:
             flush()
         while len(stack) > i:
             x = stack.pop()
-            out.append(Token(x.path | 1, ends=True))
+            out.append(x.end)
             opened[x.tag] -= 1
 
     def close(names: tuple[str, ...], scope: frozenset = frozenset()) -> None:
@@ -204,15 +210,15 @@ def read(page: str) -> list[Token]:
         upto = page.find("<", at)
         m = None
         while upto >= 0:
+            m = tag_of.match(page, upto)
+            if m:
+                break
             after = page[upto + 1 : upto + 2]
             if after in "!?" and after:
                 break
             if after == "/" or after.isalpha():
-                m = tag_of.match(page, upto)
-                if not m and tag_of is _QUOTED and _PLAIN.match(page, upto):
+                if tag_of is _QUOTED and (m := _PLAIN.match(page, upto)):
                     tag_of = _PLAIN
-                    m = tag_of.match(page, upto)
-                if m:
                     break
                 if page.find(">", upto) < 0:
                     upto = -1  # no tag ends any more
@@ -220,7 +226,9 @@ def read(page: str) -> list[Token]:
             upto = page.find("<", upto + 1)
         stop = upto if upto >= 0 else len(page)
         if stop > at:
-            piece = _html.unescape(page[at:stop])
+            piece = page[at:stop]
+            if "&" in piece:
+                piece = _html.unescape(piece)
             parts.append(piece)
             if stack[-1].link:
                 linked += len(piece.strip())
@@ -238,6 +246,10 @@ def read(page: str) -> list[Token]:
         if m[1]:
             if parts and tag in _BLOCK:
                 flush()
+            if stack[-1].tag == tag:
+                out.append(stack.pop().end)
+                opened[tag] -= 1
+                continue
             # an inline end tag doesn't close the block around it
             close((tag,), frozenset() if tag in _BLOCK else _BLOCK)
             continue
@@ -265,8 +277,14 @@ def read(page: str) -> list[Token]:
             if tag == "br":
                 parts.append(" ")
             continue
-        entered = _entered(stack[-1], tag, m[3])
-        out.append(Token(entered.path, opens=tag not in ("html", "body")))
+        top = stack[-1]
+        if top.inner is None:
+            top.inner = {}
+        entered = top.inner.get((tag, m[3]))
+        if entered is None:
+            top.inner[tag, m[3]] = entered = _entered(top, tag, m[3])
+            entered.start, entered.end = Token(entered.path, opens=tag not in ("html", "body")), Token(entered.path | 1, ends=True)
+        out.append(entered.start)
         stack.append(entered)
         opened[tag] = opened.get(tag, 0) + 1
     flush()

@@ -40,6 +40,7 @@ html don't matter and aren't returned. An empty table gives no rows.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -78,8 +79,9 @@ class Template:
         self.once = frozenset(x for own in self.turns.values() for x in own)
 
 
+@lru_cache(1 << 16)
 def _mixed(*parts: int) -> int:
-    """63 bits of hash of whole numbers."""
+    """63 bits of hash of whole numbers; those of a host's template come on each of its pages."""
     x = 0x243F6A8885A308D3
     for part in parts:
         x = ((x ^ part) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
