@@ -239,6 +239,15 @@ def test_cell_counts_are_those_of_all_sets(spark):
     assert (got == want).all() and want.max() > 1
 
 
+def test_cell_counts_come_to_the_driver_as_bytes_in_order(spark):
+    counts = np.unique(np.r_[np.arange(300), np.geomspace(300, 2**40, 4000).astype(np.int64)])
+    got = minhash._in_a_byte(counts)
+    assert got.dtype == np.uint8 and (np.diff(got.astype(int)) >= 0).all() and (got[:128] == np.arange(128)).all() and got[-1] == 255
+    rows = spark.createDataFrame([(np.array([7], dtype=np.uint64).tobytes(),)] * 1000, "d binary").repartition(4)
+    often = minhash._cell_counts(rows, lambda b: (np.frombuffer(x, dtype=np.uint64) for x in b.column(0).to_pylist()))
+    assert often.nbytes == 1 << minhash.CELLS and often[0] == minhash._in_a_byte(np.array([1000]))[0] and often[1:].max() == 0
+
+
 def test_components_of_chains_and_stars(spark, monkeypatch):
     monkeypatch.setattr("tracewright.llm.components.LAST", 3)  # the distributed rounds do the work
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (3, 2), (2, 3), (500, None)]

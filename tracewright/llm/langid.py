@@ -16,6 +16,7 @@ sample they count as often as they are drawn. Columns named lang_pred or score a
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -145,14 +146,15 @@ def learn(
 
     def encode(batches):
         for lang, draws, text in _pieces(batches, "lang", "draw", "text"):
-            grams = [_shipped(g) for g in presence(text.to_pylist())]
+            grams = [zlib.compress(_shipped(g), 1) for g in presence(text.to_pylist())]
             yield pa.RecordBatch.from_arrays([lang, draws, pa.array(grams, pa.binary())], names=["lang", "draw", "grams"])
 
     sample: dict[str, list] = {k: [] for k in langs}
     for r in drawn.mapInArrow(encode, "lang string, draw long, grams binary").toLocalIterator():
         sample[r["lang"]].append((r["draw"], bytes(r["grams"])))
-    ordered = {k: [g for _, g in sorted(v)[:each]] for k, v in sample.items()}
-    chosen = [_received(g) for k in langs for g in ordered[k][:marks]]
+    unpacked = lambda g: _received(zlib.decompress(g))
+    ordered = {k: [g for _, g in sorted(v, key=lambda x: (x[0], zlib.decompress(x[1])))[:each]] for k, v in sample.items()}
+    chosen = [unpacked(g) for k in langs for g in ordered[k][:marks]]
     texts = [(i, g) for i, k in enumerate(langs) for g in ordered[k]]
     held = np.zeros((1 << BITS, len(chosen)), dtype=np.uint8)
     for j, g in enumerate(chosen):
@@ -162,7 +164,7 @@ def learn(
     k_mm = np.array([kernel(g) for g in chosen])
     values, vectors = np.linalg.eigh((k_mm + k_mm.T) / 2)
     half = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
-    phi = np.array([kernel(_received(g)) for _, g in texts]) @ half
+    phi = np.array([kernel(unpacked(g)) for _, g in texts]) @ half
     target = np.eye(len(langs))[[i for i, _ in texts]]
     weight = np.linalg.solve(phi.T @ phi + ridge * np.eye(len(chosen)), phi.T @ target)
     alpha = (half @ weight) * norm[:, None]

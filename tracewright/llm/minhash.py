@@ -251,13 +251,24 @@ def _cells(held: np.ndarray) -> np.ndarray:
 _BLOCK = 1 << 10
 
 
+def _in_a_byte(counts: np.ndarray) -> np.ndarray:
+    """Counts as uint8 in the same order: below 128 themselves, then in steps of 14 %, up to 2**31."""
+    above = np.log2(np.clip(counts, 128, 2**31)) - 7
+    return np.where(counts < 128, counts, 128 + above * (127 / 24)).astype(np.uint8)
+
+
 def _cell_counts(sets: DataFrame, shingles_of) -> np.ndarray:
-    """How many of the sets hold a shingle of each hashed cell: 8 MB at any size of the input.
+    """How many of the sets hold a shingle of each hashed cell, as _in_a_byte has it: 2 MB at any size of the input.
 
-    shingles_of gives the sets of a batch. Tasks hand on blocks of counts, which are added up by block on the executors.
+    shingles_of gives the sets of a batch. Tasks hand on blocks of counts, which are added up by block on the executors;
+    the driver gets a byte of each cell, as only the order of counts matters, and which cells hold one set.
     """
 
-    def rows(n: np.ndarray):
+    def count(batches):
+        n = np.zeros(1 << CELLS, dtype=np.int64)
+        for b in batches:
+            for held in shingles_of(b):
+                np.add.at(n, _cells(held), 1)
         blocks, data = n.reshape(-1, _BLOCK), []
         there = np.flatnonzero(blocks.any(axis=1))
         for b in blocks[there]:
@@ -266,13 +277,6 @@ def _cell_counts(sets: DataFrame, shingles_of) -> np.ndarray:
             data.append(np.stack([at, b[at]]).tobytes() if 2 * len(at) < _BLOCK else b.tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(data, pa.binary())], names=["block", "data"])
 
-    def count(batches):
-        n = np.zeros(1 << CELLS, dtype=np.int64)
-        for b in batches:
-            for held in shingles_of(b):
-                np.add.at(n, _cells(held), 1)
-        yield from rows(n)
-
     def added(total: np.ndarray, block: int, data: bytes) -> None:
         x = np.frombuffer(data, dtype=np.int64)
         if len(x) == _BLOCK:
@@ -286,15 +290,18 @@ def _cell_counts(sets: DataFrame, shingles_of) -> np.ndarray:
         for b in batches:
             for block, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 added(n, block, data)
-        yield from rows(n)
+        blocks = n.reshape(-1, _BLOCK)
+        there = np.flatnonzero(blocks.any(axis=1))
+        data = [x.tobytes() for x in _in_a_byte(blocks[there])]
+        yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(data, pa.binary())], names=["block", "data"])
 
     schema = "block int, data binary"
     tasks = min(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 << CELLS >> 10)
     found = sets.mapInArrow(count, schema).repartition(tasks, "block").mapInArrow(add, schema).toArrow()
-    often = np.zeros(1 << CELLS, dtype=np.int64)
+    often = np.zeros((1 << CELLS >> 10, _BLOCK), dtype=np.uint8)
     for block, data in zip(found.column("block").to_pylist(), found.column("data").to_pylist(), strict=True):
-        added(often, block, data)
-    return np.minimum(often, 2**31 - 1).astype(np.int32)
+        often[block] = np.frombuffer(data, dtype=np.uint8)
+    return often.ravel()
 
 
 def _prefix(held: np.ndarray, counts: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
