@@ -248,6 +248,29 @@ def test_cell_counts_come_to_the_driver_as_bytes_in_order(spark):
     assert often.nbytes == 1 << minhash.CELLS and often[0] == minhash._in_a_byte(np.array([1000]))[0] and often[1:].max() == 0
 
 
+def test_members_meet_their_labels_once_a_step(spark, monkeypatch):
+    """Of large buckets: one outer join a step, whose rows grow with the members and not with their square."""
+    rng = random.Random(21)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(60)]
+    met, keep = [], Scratch.keep
+
+    def watched(self, df, label):
+        out = keep(self, df, label)
+        if n := df._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter, (id"):
+            assert n == 1, label
+            met[-1].append(out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", watched)
+    for lines_ in (150, 300):
+        met.append([])
+        texts = [" ".join([*words[:40], words[rng.randrange(60)], str(i)]) for i in range(lines_)]
+        decided = lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+        assert sum(len(r["kept"]) for r in decided.collect()) == 1
+    few, many = met
+    assert 0 < sum(few) <= 3 * 16 * 150 and sum(many) <= 3 * sum(few), met
+
+
 def test_components_of_chains_and_stars(spark, monkeypatch):
     monkeypatch.setattr("tracewright.llm.components.LAST", 3)  # the distributed rounds do the work
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (3, 2), (2, 3), (500, None)]

@@ -523,6 +523,8 @@ def linked(found: DataFrame, sets: DataFrame, texts: DataFrame, scheme: Scheme,
     def labelled(rows: DataFrame, label: str, of_hub: bool) -> DataFrame:
         """rows with the component c of each member and c_hub of its hub, without buckets of one component, not counting the hub's row unless of_hub."""
         marked = rows.drop("c", "c_hub").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+        # it is read twice, so it is stored lest members meet their labels twice
+        marked = keep.keep(marked, "marked")
         counted = F.col("c") if of_hub else F.when(F.col("id") != F.col("hub"), F.col("c"))
         mixed = marked.groupBy("key").agg(F.min(counted).alias("low"), F.max(counted).alias("high"), F.max(F.when(F.col("id") == F.col("hub"), F.col("c"))).alias("c_hub"))
         return keep.keep(marked.join(mixed.where("low < high").select("key", "c_hub"), "key"), label)
